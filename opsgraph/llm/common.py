@@ -4,13 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once an application; they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp(prefix="ship-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    context.addPyFile(str(name))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,3 +86,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def packed(docs: DataFrame, **own: Column) -> DataFrame:
+    """Each row of docs as one column `_row`, and the columns named: working names can't clash with the caller's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in own.items()))
+
+
+def unpacked(work: DataFrame, docs: DataFrame, **results: Column | str) -> DataFrame:
+    """The columns of docs, and the results; a result replaces a column of the same name (in any case)."""
+    names = {n.lower() for n in results}
+    return work.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in names), *((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in results.items()))

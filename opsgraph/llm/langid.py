@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsgraph.llm.common import code_points, fold, slices
+from opsgraph.llm.common import code_points, fold, packed, ship, slices, unpacked
 
 BLOCK = 1024
 #: Bounds of the labelled sample that is learned from; the sample, not the scoring, is bounded.
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, corpus: tuple[tuple[str, str], ...], text: str = "
     """docs with lang_pred and lang_score (0 to 1: the runner-up's share of the two lowest entropies).
 
     A null or empty text, or one without a letter, gets `und` and 0; so does every text when corpus is
-    empty. Equal entropies: the language that sorts first. Other columns stay; the two names must be free.
+    empty. Equal entropies: the language that sorts first. Other columns stay; columns of these two names are replaced.
     """
 
     @F.pandas_udf("struct<lang:string,score:double>")
@@ -196,7 +196,9 @@ def identify(docs: DataFrame, corpus: tuple[tuple[str, str], ...], text: str = "
             scores.append(s)
         return pd.DataFrame({"lang": names, "score": np.concatenate(scores) if scores else []})
 
-    return docs.withColumn("_lang", predict(F.col(text))).withColumns({"lang_pred": F.col("_lang.lang"), "lang_score": F.col("_lang.score")}).drop("_lang")
+    ship(docs.sparkSession)
+    work = packed(docs, _text=F.col(text)).withColumn("_lang", predict("_text"))
+    return unpacked(work, docs, lang_pred="_lang.lang", lang_score="_lang.score")
 
 
 def held_out(key: str | Column = "doc_id") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsgraph.llm import langid
+from opsgraph.llm import langid, secretscan
 from opsgraph.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,50 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), corpus).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_base", "secret_spans")
+    counts = [secretscan.counted("secret_base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secretscan.listed("secret_base"), 256).alias("base_sha256"), secretscan.listed("secret_spans").alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
+    "op2_secrets": op2_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+def _matches_sql(pattern: str, group: int, least: int, below: int, kind: int) -> str:
+    """DuckDB: the matches of a pattern as a list of structs; ends by summing the lengths of what precedes."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, {p})) + 1), lambda i: {{
+        's': cast(coalesce(list_sum(list_transform(list_slice(string_split_regex(t, {p}), 1, i), lambda x: length(x))), 0) + coalesce(list_sum(list_transform(list_slice(regexp_extract_all(t, {p}), 1, i - 1), lambda x: length(x))), 0) AS bigint),
+        'k': {kind},
+        'e': cast(coalesce(list_sum(list_transform(list_slice(string_split_regex(t, {p}), 1, i), lambda x: length(x))), 0) + list_sum(list_transform(list_slice(regexp_extract_all(t, {p}), 1, i), lambda x: length(x))) AS bigint),
+        'v': length(regexp_extract_all(t, {p}, {group})[i])}}), lambda m: m.v >= {least} AND m.v < {below})"""
+
+
+def _secrets_sql() -> str:
+    letters = lambda w: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w)
+    assign = "(" + "|".join(map(letters, ("password", "passwd", "secret", "token", "api_?key"))) + ")" + secretscan.ASSIGN.partition("key)")[2]
+    ident = "(" + "|".join(map(letters, ("access_?key_?id", "client_?id", "username", "login"))) + ")" + secretscan.IDENT.partition("login)")[2]
+    most, cell = 1 << 30, secretscan.CELL
+    m = lambda *a: _matches_sql(*a)
+    near = lambda cells: f"(list_contains({cells}, x.s // {cell}) OR list_contains({cells}, x.s // {cell} - 1) OR list_contains({cells}, x.s // {cell} + 1))"
+    text = lambda spans: f"coalesce(array_to_string(list_transform({spans}, lambda x: ['assign','access','hex','ident','secret','endpoint'][x.k + 1] || ':' || cast(x.s AS bigint) || ':' || cast(x.e AS bigint)), ','), '')"
+    clear = lambda l: f"list_filter({l}, lambda x: len(list_filter(base, lambda y: y.s < x.e AND x.s < y.e)) = 0)"
+    return f"""
+WITH t0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+t1 AS (SELECT doc_id,
+    {m(assign, 2, secretscan.ASSIGN_LEAST, most, 0)} AS a, {m(secretscan.ACCESS, 1, secretscan.ACCESS_LEAST, most, 1)} AS k, {m(secretscan.HEX, 1, 0, most, 2)} AS h,
+    list_concat({m(secretscan.ACCESS, 1, secretscan.ACCESS_WEAK, secretscan.ACCESS_LEAST, 3)}, {m(ident, 2, secretscan.IDENT_LEAST, most, 3)}) AS i,
+    list_concat({m(assign, 2, secretscan.ASSIGN_WEAK, secretscan.ASSIGN_LEAST, 4)}, {m(secretscan.BARE, 1, 0, most, 4)}) AS s,
+    {m(secretscan.ENDPOINT, 1, 0, most, 5)} AS e FROM t0),
+t2 AS (SELECT *, list_sort(list_concat(list_concat(a, k), h)) AS base FROM t1),
+t3 AS (SELECT doc_id, a, k, h, base, {clear('i')} AS i, {clear('s')} AS s, {clear('e')} AS e FROM t2),
+t4 AS (SELECT *, list_transform(list_concat(k, i), lambda x: x.s // {cell}) AS ic, list_transform(list_concat(list_concat(a, h), s), lambda x: x.s // {cell}) AS sc FROM t3),
+t5 AS (SELECT *, list_sort(list_concat(base, list_concat(list_filter(i, lambda x: {near('sc')}), list_concat(list_filter(s, lambda x: {near('ic')}), list_filter(e, lambda x: {near('ic')} AND {near('sc')}))))) AS spans FROM t4)
+SELECT doc_id, cast(len(a) AS bigint) AS n_assign, cast(len(k) AS bigint) AS n_access, cast(len(h) AS bigint) AS n_hex, sha256({text('base')}) AS base_sha256, {text('spans')} AS spans FROM t5"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_secrets": _secrets_sql(),
+}
