@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsgraph.llm import langid, secretscan
-from opsgraph.llm.common import fold, table
+from opsgraph.llm import langid, secretscan, simhash, toxicity
+from opsgraph.llm.common import fold, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +25,25 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secretscan.listed("secret_base"), 256).alias("base_sha256"), secretscan.listed("secret_spans").alias("spans"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model).withColumnRenamed("toxicity", "score")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = saved(simhash.prints(docs), "keys")
+    found = simhash.grouped(prints)
+    return found.select(F.col("_key").alias("doc_id"), simhash.hex_digits("_f").alias("fingerprint"), F.col("_component").alias("component_id"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op2_secrets": op2_secrets,
+    "op5_toxicity": op5_toxicity,
+    "op9_simhash": op9_simhash,
 }
 
 def _matches_sql(pattern: str, group: int, least: int, below: int, kind: int) -> str:
