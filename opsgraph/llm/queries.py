@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsgraph.llm import langid, secretscan, simhash, toxicity
+from opsgraph.llm import decontaminate, langid, secretscan, simhash, toxicity
 from opsgraph.llm.common import fold, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that leaks into it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaked_items") > 0)
+    each = found.select("doc_id", F.explode(F.arrays_zip("leaked_items", "leaked_matched", "leaked_tokens")).alias("x"))
+    return each.select("doc_id", F.col("x.leaked_items").alias("item_id"), F.col("x.leaked_matched").alias("n_matched"), F.col("x.leaked_tokens").alias("n_tokens"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = saved(simhash.prints(docs), "keys")
@@ -43,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op2_secrets": op2_secrets,
     "op5_toxicity": op5_toxicity,
+    "op7_decontaminate": op7_decontaminate,
     "op9_simhash": op9_simhash,
 }
 

@@ -18,14 +18,18 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsgraph.llm.common import fold, packed, ship, unpacked
+from opsgraph.llm.simhash import shingles
 
-SAMPLE, LONGEST = 1500, 20_000
-FEATURES, LEAST_DOCS, LEAST_LIFT, GROUPS = 2048, 4, 8.0, 8
-BEGINNINGS = (4, 5)
+SAMPLE, LONGEST = {1: 1500, 0: 4500}, 10_000
+FEATURES, LEAST_DOCS, GROUPS = 512, 3, 8
+#: Log-odds that a row's own label adds to what the voters say of it.
+LABEL_ODDS = 4.0
+BEGINNINGS, LEVELS = (4, 5, 6, 7, 8), 3
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -34,9 +38,13 @@ PATTERNS = tuple(map(re.compile, (r"\b[A-Z]{4,}\b.*\b[A-Z]{4,}\b", r"[!?]{3,}",
 
 
 def presence(text: str) -> set[str]:
-    """The words of a text (lower case), and the beginnings of words, marked by a star."""
-    words = set(WORD.findall(text.lower()))
-    return words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in BEGINNINGS))
+    """Words of a text (lower case) and beginnings of words, marked by a star; with @2 and @3 if they occur that often."""
+    counts = Counter(WORD.findall(text.lower()))
+    for w, k in list(counts.items()):
+        for n in BEGINNINGS:
+            if len(w) >= n:
+                counts[w[:n] + "*"] += k
+    return {f if level == 1 else f"{f}@{level}" for f, k in counts.items() for level in range(1, min(k, LEVELS) + 1)}
 
 
 @dataclass(frozen=True)
@@ -46,20 +54,28 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probability that a text is toxic."""
-        words = {w for w in self.weights if not w.endswith("*")}
-        starts = [(n, {w for w in self.weights if len(w) == n + 1 and w.endswith("*")}) for n in BEGINNINGS]
-        get, out = self.weights.__getitem__, np.full(len(texts), self.bias)
+        steps: dict[str, list[float]] = {}
+        for f, w in self.weights.items():
+            name, _, level = f.partition("@")
+            steps.setdefault(name, [0.0] * LEVELS)[int(level or 1) - 1] = w
+        words = {f for f in steps if f[-1] != "*"}
+        starts = {f[:-1] for f in steps if f[-1] == "*"}
+        short = {f[: BEGINNINGS[0]] for f in starts}
+        out = np.full(len(texts), self.bias)
         for i, t in enumerate(texts):
-            found = set(WORD.findall(t.lower()))
-            hits = found & words
-            for n, known in starts:
-                hits |= {w[:n] + "*" for w in found if len(w) >= n} & known
-            out[i] += sum(map(get, sorted(hits)))
+            counts = Counter(WORD.findall(t.lower()))
+            hits = {w: counts[w] for w in counts.keys() & words}
+            for w in counts:
+                if w[: BEGINNINGS[0]] in short:
+                    for n in BEGINNINGS:
+                        if w[:n] in starts and len(w) >= n:
+                            hits[w[:n] + "*"] = hits.get(w[:n] + "*", 0) + counts[w]
+            out[i] += sum(sum(steps[f][: hits[f]]) for f in sorted(hits))
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM for binary voters. Gives the posteriors, each voter's rate of votes by class (voters x 2), and the voters' correlations.
+def label_model(votes: np.ndarray, start: np.ndarray, known: np.ndarray | float = 0.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM for binary voters; known: log-odds of each row besides the votes. Gives the posteriors, each voter's rate of votes by class (voters x 2), and the voters' correlations.
 
     Correlations are those of what is left of the votes once the class explains its part; a voter whose
     residuals follow others' has its log-odds divided by 1 + the sum of its squared correlations.
@@ -77,7 +93,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 50) -> tuple
             damp = 1 / (1 + (corr**2).sum(1) - np.diag(corr) ** 2)
         log = np.log(rates)
         none = np.log1p(-rates)
-        odds = np.log((q.mean() + 1e-6) / (1 - q.mean() + 1e-6)) + (votes * damp) @ (log[:, 1] - log[:, 0]) + ((1 - votes) * damp) @ (none[:, 1] - none[:, 0])
+        odds = known + np.log((q.mean() + 1e-6) / (1 - q.mean() + 1e-6)) + (votes * damp) @ (log[:, 1] - log[:, 0]) + ((1 - votes) * damp) @ (none[:, 1] - none[:, 0])
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         done, q = np.abs(new - q).max() < 1e-6, new
         if done:
@@ -91,27 +107,50 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return Model(bias=10.0 if n1 else -10.0)
-    found = [presence(t) for t in texts]
+    fresh, seen = [], set()
+    for i, t in enumerate(texts):  # of near copies, one
+        least = sorted(xxhash.xxh64_intdigest(x) for x in shingles(t, 3))[:4]
+        if seen.isdisjoint(least):
+            fresh.append(i)
+        seen.update(least)
+    texts, toxic = [texts[i] for i in fresh], toxic[fresh]
+    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
+    if not n1 or not n0:
+        return Model(bias=10.0 if n1 else -10.0)
     bad, good = Counter(), Counter()
+    for t, y in zip(texts, toxic):
+        if y:
+            bad.update(presence(t))
+    bad = Counter({f: c for f, c in bad.items() if c >= LEAST_DOCS})
+    found = [presence(t) & bad.keys() for t in texts]
     for f, y in zip(found, toxic):
-        (bad if y else good).update(f)
-    lift = {f: (c / n1) / ((good[f] + 0.5) / n0) for f, c in bad.items() if c >= LEAST_DOCS}
-    chosen = sorted((f for f, x in lift.items() if x >= LEAST_LIFT), key=lambda f: (-bad[f] + good[f], f))[:FEATURES]
+        if not y:
+            good.update(f)
+    share, sure = n1 / (n1 + n0), np.log(len(bad) + 1) + 4
+
+    def evidence(f: str) -> float:
+        """Log-likelihood ratio that f goes with the toxic texts rather than with any."""
+        c, g = bad[f], good[f]
+        p = c / (c + g)
+        return 0.0 if p <= share else c * np.log(p / share) + (g * np.log((1 - p) / (1 - share)) if g else 0.0)
+
+    weight = {f: e for f in bad if (e := evidence(f)) >= sure}
+    chosen = sorted(weight, key=lambda f: (-weight[f], f))[:FEATURES]
     if not chosen:
         return Model(bias=float(np.log((n1 + 1) / (n0 + 1))))
     at = {f: i for i, f in enumerate(chosen)}
     x = np.zeros((len(texts), len(chosen)), np.float32)
     for i, f in enumerate(found):
         x[i, [at[k] for k in f if k in at]] = 1
-    group = np.array([(GROUPS if f.endswith("*") else 0) + crc32(f.encode()) % GROUPS for f in chosen])
-    votes = [x[:, group == g].max(1) for g in range(2 * GROUPS) if (group == g).any()]
+    group = np.array([GROUPS * (int(f.partition("@")[2] or 1) if "*" in f else 0) + crc32(f.encode()) % GROUPS for f in chosen])
+    votes = [x[:, group == g].max(1) for g in range((LEVELS + 1) * GROUPS) if (group == g).any()]
     votes += [np.array([bool(p.search(t)) for t in texts], float) for p in PATTERNS]
-    posterior, _, _ = label_model(np.stack(votes, 1).astype(float), np.where(toxic > 0, 0.9, 0.1))
+    posterior, _, _ = label_model(np.stack(votes, 1).astype(float), np.where(toxic > 0, 0.9, 0.1), LABEL_ODDS * (2 * toxic - 1))
     w, b = np.zeros(len(chosen)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for step in range(1, 301):  # Adam; weights stay at or above 0, so more text never hides what was found
+    for step in range(1, 401):  # Adam; weights stay at or above 0, so more text never hides what was found
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        g, gb = x.T @ (p - posterior) / len(p) + 1e-5 * w, float((p - posterior).mean())
+        g, gb = x.T @ (p - posterior) / len(p) + 1e-6 * w, float((p - posterior).mean())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w = np.maximum(0, w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
         b -= 0.1 * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
@@ -119,7 +158,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """Fits a model on a bounded sample: of each class, the row of least hash in each of SAMPLE buckets.
+    """Fits a model on a bounded sample: of each class, the row of least hash in each of SAMPLE buckets; of near copies, one.
 
     Rows with a null key, label or text, and texts of over LONGEST code points, aren't learned from; a
     key with both labels counts as toxic.
@@ -127,7 +166,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     h = F.xxhash64("k")
     rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null")
     each = rows.groupBy("k").agg(F.max("y").alias("y"))
-    least = each.groupBy("y", F.pmod(h, F.lit(SAMPLE))).agg(F.min(F.struct(h.alias("h"), "k")).alias("m")).select("m.k", "y").collect()
+    buckets = F.when(F.col("y") > 0, SAMPLE[1]).otherwise(SAMPLE[0])
+    least = each.groupBy("y", F.pmod(h, buckets)).agg(F.min(F.struct(h.alias("h"), "k")).alias("m")).select("m.k", "y").collect()
     known = {r.k: r.y for r in least}
     if not known:
         return Model()
