@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsgraph.llm import decontaminate, langid, secretscan, simhash, toxicity
+from opsgraph.llm import decontaminate, langid, secretscan, simhash, suffixdedup, toxicity
 from opsgraph.llm.common import fold, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that leaks into it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op2_secrets": op2_secrets,
     "op5_toxicity": op5_toxicity,
+    "op6_suffixdedup": op6_suffixdedup,
     "op7_decontaminate": op7_decontaminate,
     "op9_simhash": op9_simhash,
 }
