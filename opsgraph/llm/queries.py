@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsgraph.llm import decontaminate, langid, secretscan, simhash, suffixdedup, toxicity
+from opsgraph.llm import decontaminate, langid, pieces, secretscan, simhash, suffixdedup, toxicity
 from opsgraph.llm.common import fold, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", F.col("x.leaked_items").alias("item_id"), F.col("x.leaked_matched").alias("n_matched"), F.col("x.leaked_tokens").alias("n_tokens"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each whole text: how many pieces, a digest of their ids, and whether decoding gives the text back."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    decoded = pieces.decode(encoded)
+    return decoded.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = saved(simhash.prints(docs), "keys")
@@ -59,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_suffixdedup": op6_suffixdedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
 }
 
