@@ -10,8 +10,8 @@ refined by the bucket identifiers found at later offsets: identifiers of depth Q
    about one byte in forty has to be dealt out. Buckets are refined by the depth-LENGTH identifiers at
    the run's first and last window, which together hold all its bytes. Runs that repeat a whole earlier
    run are done, and so are runs alone in their bucket.
-2. Where one bucket holds different runs (at the ends of copied passages), their windows are put in
-   buckets of depth LENGTH one by one.
+2. Where one bucket holds different runs (at the ends of copied passages, about edits), the bytes of one
+   of each meet, and their windows are put in buckets of depth LENGTH one by one.
 
 Each task first deals with what repeats within its own batch, so that a passage in a third of all
 documents sends a row a batch, not a row a copy.
@@ -36,6 +36,9 @@ _BITS = np.uint64(21)
 _PLACE = np.uint64((1 << 21) - 1)
 _K = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 RUNS = "g long, c long, doc long, at long"
+CONTEXTS = "g long, doc long, at long, bytes binary"
+#: Buckets of more than MANY different runs are refined window by window, dealt out evenly; HOT marks their runs.
+MANY, HOT = 500, 1 << 62
 
 
 @lru_cache(1)
@@ -145,7 +148,7 @@ def _dealt(g: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, start:
     again = (doc != doc[head]) | (at != at[head])
     d, s, e = merged(doc[again], start[again], end[again])
     own = mix(d.astype(np.uint64) * _K[4] + s.astype(np.uint64))
-    whole = lambda a, b: pa.array(np.concatenate([a[first].astype(np.int64, copy=False) if a.dtype != np.uint64 else a[first].view(np.int64), b]))
+    whole = lambda a, b: pa.array(np.concatenate([a[first].view(np.int64), b]))
     return pa.RecordBatch.from_arrays([whole(g, own.view(np.int64)), whole(c, np.zeros(len(d), np.int64)), whole(doc, d), whole(at, -(s << 31 | e) - 1)], names=["g", "c", "doc", "at"])
 
 
@@ -166,25 +169,75 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _dealt(*_joined(found))
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text, runs in doubt -> RUNS; `at` is a window's place, c its identifier of depth LENGTH."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, text, runs in doubt -> CONTEXTS: of each run the bytes of its windows, from the first window's place on.
+
+    Runs of buckets with very many different runs (marked HOT) give each window under a bucket of its
+    own, the first of equal ones in the batch, and intervals for the others.
+    """
     for batch in batches:
-        docs, (data, offsets), found = batch.column(0).to_numpy(zero_copy_only=False), _bytes(batch.column(1)), []
+        docs, (data, offsets) = batch.column(0).to_numpy(zero_copy_only=False), _bytes(batch.column(1))
         doubt = [np.sort(np.array(x, np.int64)) for x in batch.column(2).to_pylist()]
+        rows, hot = ([], [], [], []), []
         for part in _parts(offsets):
             flat, bounds, row, add = _gathered(data, part)
-            ids = grams(flat)
+            ids, raw = grams(flat), flat.tobytes()
             for (a, b), r, plus in zip(bounds, row, add):
                 at = doubt[r]
-                place, low, high = at >> 14, (at >> 14) - (at >> 7 & 127), (at >> 14) - (at & 127)
+                place, low, high = (at & HOT - 1) >> 14, ((at & HOT - 1) >> 14) - (at >> 7 & 127), ((at & HOT - 1) >> 14) - (at & 127)
                 here = (low >= a + plus) & (high + LENGTH <= b + plus)
-                place, low, high = place[here], low[here], high[here]
-                if len(low):
-                    n = high - low + 1
-                    p = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    found.append((ids[np.repeat(place, n) - plus], deeper(ids, p - plus), np.full(len(p), docs[r], np.int64), p, p, p + LENGTH))
-        if found:
-            yield _dealt(*_joined(found))
+                many = here & (at >= HOT)
+                if many.any():
+                    n = (high - low + 1)[many]
+                    p = np.repeat(low[many] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    hot.append((mix(ids[np.repeat(place[many], n) - plus] + deeper(ids, p - plus) * _K[5]), deeper(ids, p - plus), np.full(len(p), docs[r], np.int64), p, p, p + LENGTH))
+                few = here & (at < HOT)
+                if few.any():
+                    for out, x in zip(rows, (ids[place[few] - plus].view(np.int64).tolist(), [docs[r]] * int(few.sum()), low[few].tolist(), [raw[i:j] for i, j in zip((low[few] - plus).tolist(), (high[few] - plus + LENGTH).tolist())])):
+                        out.extend(x)
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary())], names=["g", "doc", "at", "bytes"])
+        if hot:
+            dealt = _dealt(*_joined(hot))
+            yield pa.RecordBatch.from_arrays([dealt.column(0), dealt.column(2), dealt.column(3), pa.array([b""] * dealt.num_rows, pa.binary())], names=["g", "doc", "at", "bytes"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CONTEXTS, sorted by bucket -> doc, iv: which windows repeat an earlier one of their bucket."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        g = table.column(0).to_numpy()
+        cut = int(np.searchsorted(g, g[-1])) if len(g) else 0
+        rest = table.slice(cut)
+        if cut:
+            yield from _settle(table.slice(0, cut))
+    if rest is not None and rest.num_rows:
+        yield from _settle(rest)
+
+
+def _settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    g, doc, at = (table.column(k).to_numpy() for k in range(3))
+    flat = table.column(3).combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    data, offsets = _bytes(flat)
+    size = np.diff(offsets)
+    docs, starts, ends = [doc[at < 0]], [-(at[at < 0] + 1) >> 31], [-(at[at < 0] + 1) & (1 << 31) - 1]
+    windows = np.where(at < 0, 0, np.maximum(1, size - LENGTH + 1))
+    row = np.repeat(np.arange(len(g)), windows)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    ids, deep = grams(data), np.zeros(len(row), np.uint64)
+    long_ = size[row] >= LENGTH
+    deep[long_] = deeper(ids, (offsets[:-1] - offsets[0])[row[long_]] + nth[long_]) if long_.any() else 0
+    bucket, owner, place = g[row], doc[row], at[row] + nth
+    order = np.lexsort((place, owner, deep, bucket))
+    bucket, owner, place, deep = bucket[order], owner[order], place[order], deep[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (bucket[1:] != bucket[:-1]) | (deep[1:] != deep[:-1])
+    again = ~first
+    d, s, e = merged(np.concatenate([*docs, owner[again]]), np.concatenate([*starts, place[again]]), np.concatenate([*ends, place[again] + LENGTH]))
+    if len(d):
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s << 31 | e)], names=["doc", "iv"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +261,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(dealt: DataFrame) -> DataFrame:
-    """dealt (RUNS), dealt out by bucket, with `again`: not the first of its refined bucket, and `mixed`: its bucket holds several."""
-    by = Window.partitionBy("g")
-    return dealt.withColumns({"again": F.row_number().over(Window.partitionBy("g", "c").orderBy("doc", "at")) > 1, "mixed": F.min("c").over(by) < F.max("c").over(by)})
+    """dealt (RUNS), dealt out by bucket, with `again`: not the first of its refined bucket, and `kinds`: how many that bucket was refined into."""
+    again = F.row_number().over(Window.partitionBy("g", "c").orderBy("doc", "at")) > 1
+    return dealt.withColumn("again", again).withColumn("kinds", F.count_if(~F.col("again")).over(Window.partitionBy("g")))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -232,15 +285,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     dealt = _repeated(own.mapInArrow(_runs, RUNS).repartition("g"))
     place, low, high = F.shiftright("at", 14), F.shiftright("at", 7).bitwiseAND(127), F.col("at").bitwiseAND(127)
     interval = F.when(F.col("at") < 0, -(F.col("at") + 1)).when(F.col("again"), F.shiftleft(place - low, 31).bitwiseOR(place - high + LENGTH))
-    doubt = F.when((F.col("at") >= 0) & ~F.col("again") & F.col("mixed"), F.col("at"))
+    doubt = F.when((F.col("at") >= 0) & ~F.col("again") & (F.col("kinds") > 1), F.col("at").bitwiseOR(F.when(F.col("kinds") > MANY, HOT).otherwise(0)))
     told = dealt.select("doc", interval.alias("iv"), doubt.alias("doubt")).where("iv is not null or doubt is not null")
     first = saved(told.groupBy("doc").agg(F.collect_list("iv").alias("iv"), F.collect_list("doubt").alias("doubt")), "runs")
 
+    own = own.where("doc is not null")  # as both joins want it, so that one exchange serves both
     open_ = first.where(F.size("doubt") > 0).select("doc", "doubt")
-    windows = own.join(open_, "doc").select("doc", "text", "doubt").mapInArrow(_windows, RUNS).repartition("g", "c")
-    again = F.row_number().over(Window.partitionBy("g", "c").orderBy("doc", "at")) > 1
-    interval = F.when(F.col("at") < 0, -(F.col("at") + 1)).when(F.col("again"), F.shiftleft("at", 31).bitwiseOR(F.col("at") + LENGTH))
-    second = windows.withColumn("again", again).select("doc", interval.alias("iv")).where("iv is not null").groupBy("doc").agg(F.collect_list("iv").alias("more"))
+    contexts = own.join(open_, "doc").select("doc", "text", "doubt").mapInArrow(_contexts, CONTEXTS)
+    second = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_settled, "doc long, iv long").groupBy("doc").agg(F.collect_list("iv").alias("more"))
 
     both = own.join(first.select("doc", "iv"), "doc", "left").join(second, "doc", "left").select("doc", "text", "iv", "more")
     out = both.mapInArrow(_cut, "doc long, n_bytes long, starts array<long>, ends array<long>, kept binary")
