@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsgraph.llm import decontaminate, langid, pieces, secretscan, simhash, suffixdedup, toxicity
+from opsgraph.llm import chat, decontaminate, imatch, langid, pieces, quality, secretscan, simhash, suffixdedup, toxicity
 from opsgraph.llm.common import fold, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,20 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secretscan.listed("secret_base"), 256).alias("base_sha256"), secretscan.listed("secret_spans").alias("spans"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.learn(docs)).select("doc_id", F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each conversation with an answer: the prompt, and each completion with the code points that count for a loss."""
+    talks = chat.conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    found = chat.preferences(chat.pairs(talks))
+    text = lambda side: F.array_join(F.transform(f"{side}_segments", lambda s: s["text"]), "")
+    counted = lambda side: F.aggregate(f"{side}_segments", F.lit(0), lambda a, s: a + F.length(s["text"]) * s["loss"]).cast("long")
+    return found.select("conv_id", F.col("common_turns").cast("long").alias("common_turns"), "prompt", text("chosen").alias("chosen"), text("rejected").alias("rejected"), counted("chosen").alias("chosen_loss_chars"), counted("rejected").alias("rejected_loss_chars"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
@@ -60,14 +74,22 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_key").alias("doc_id"), simhash.hex_digits("_f").alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return imatch.edited_neighbours(docs, imatch.lexicon(docs))
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op2_secrets": op2_secrets,
+    "op3_quality": op3_quality,
+    "op4_preferences": op4_preferences,
     "op5_toxicity": op5_toxicity,
     "op6_suffixdedup": op6_suffixdedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
+    "op10_imatch": op10_imatch,
 }
 
 def _matches_sql(pattern: str, group: int, least: int, below: int, kind: int) -> str:
@@ -103,6 +125,19 @@ t5 AS (SELECT *, list_sort(list_concat(base, list_concat(list_filter(i, lambda x
 SELECT doc_id, cast(len(a) AS bigint) AS n_assign, cast(len(k) AS bigint) AS n_access, cast(len(h) AS bigint) AS n_hex, sha256({text('base')}) AS base_sha256, {text('spans')} AS spans FROM t5"""
 
 
+def _preferences_sql() -> str:
+    show = lambda turns: f"coalesce(array_to_string(list_transform({turns}, lambda t: '{chat.OPEN}' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '')"
+    loss = lambda turns: f"cast(coalesce(list_sum(list_transform(list_filter({turns}, lambda t: t.role = 'assistant'), lambda t: length(t.text) + {len(chat.CLOSE)})), 0) AS bigint)"
+    return f"""
+WITH t AS (SELECT conv_id, list({{'o': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM conversations GROUP BY conv_id),
+s AS (SELECT conv_id, list_transform(turns, lambda x: {{'role': x.role, 'text': x.text}}) AS turns, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS said FROM t),
+p AS (SELECT conv_id, turns[1:said[-1]] AS a, list_append(turns[1:said[-1] - 1], {{'role': 'assistant', 'text': CASE WHEN len(said) > 1 THEN turns[said[-2]].text ELSE '' END}}) AS b FROM s WHERE len(said) > 0),
+n AS (SELECT *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) - 1, len(a)) AS n FROM p)
+SELECT conv_id, cast(n AS bigint) AS common_turns, {show('a[1:n]')} AS prompt, {show('a[n + 1:]')} AS chosen, {show('b[n + 1:]')} AS rejected,
+    {loss('a[n + 1:]')} AS chosen_loss_chars, {loss('b[n + 1:]')} AS rejected_loss_chars FROM n"""
+
+
 ORACLES: dict[str, str] = {
     "op2_secrets": _secrets_sql(),
+    "op4_preferences": _preferences_sql(),
 }
