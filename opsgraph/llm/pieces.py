@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,7 +27,7 @@ from opsgraph.llm.common import code_points, mix, packed, ship, slices, unpacked
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000
 #: Units and texts are cut at these many code points; a cut is a place every segmentation has.
-LONGEST_UNIT, LONGEST_PART = 256, 1_000_000
+LONGEST_UNIT, LONGEST_PART = 256, 100_000
 #: Log-probability of a byte of what no piece covers, besides that of the rarest piece.
 BYTE_COST = -2.0
 _ODD = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
@@ -67,11 +67,12 @@ class Lattice:
         mark = chr(SPACE)
         ids = [i for i, p in enumerate(vocab.pieces) if p and mark not in p.lstrip(mark)]
         self.most = max(len(vocab.pieces[i]) for i in ids)
-        self.logp = np.array(vocab.logp) * sharpness
+        self.logp = np.append(np.array(vocab.logp) * sharpness, -np.inf)  # at -1: no piece
         self.byte_logp = (min(vocab.logp[i] for i in ids) + BYTE_COST) * sharpness
         self.bytes_ = np.array(vocab.bytes_, np.int32)
         self.value = lambda c: mix(c.astype(np.uint64) + np.uint64(1))
-        self.size_bits = 19
+        self.size_bits = 17
+        self.maybe = np.zeros(1 << 19, bool)
         self.keys, self.ids = np.zeros(1 << self.size_bits, np.uint64), np.full(1 << self.size_bits, -1, np.int32)
         seen = np.zeros(LITERAL + 1, bool)
         for i in ids:
@@ -85,12 +86,8 @@ class Lattice:
             while self.ids[s] >= 0:
                 s = (s + 1) & (1 << self.size_bits) - 1
             self.keys[s], self.ids[s] = h, i
+            self.maybe[int(h) >> 45] = True
         self.alien = ~seen
-        raw = [p.replace(mark, " ").encode("utf-8", "surrogatepass") for p in vocab.pieces]
-        for b, i in enumerate(vocab.bytes_):
-            raw[i] = bytes([b])
-        self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
-        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
 
     def _slot(self, h):
         return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.size_bits)
@@ -98,7 +95,8 @@ class Lattice:
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 for none."""
         out = np.full(len(h), -1, np.int32)
-        left, slot = np.arange(len(h)), self._slot(h).astype(np.int64)
+        left = np.flatnonzero(self.maybe[h >> np.uint64(45)])
+        slot = self._slot(h[left]).astype(np.int64)
         while len(left):
             got = self.ids[slot]
             same = self.keys[slot] == h[left]
@@ -148,6 +146,8 @@ class Lattice:
         at, size, unit = at[order], size[order], np.argsort(order)[unit]
 
         piece, upto, begin = self._filter(chars, value, at, size)
+        ids_at = np.cumsum([0, *map(len, piece)])[:-1] - begin[: len(piece)]
+        all_ids = np.concatenate([np.zeros(0, np.int32), *piece])
         out = np.full(n, -2, np.int32)  # at each piece's last code point: its id, -1 for bytes
         row = np.searchsorted(bounds, starts, "right") - 1
         lane, depth = np.arange(len(starts)), sizes.copy()
@@ -156,7 +156,7 @@ class Lattice:
             k = begin[depth - 1] + unit[lane]
             u = (mix(seed[lane] + (place[lane] + depth).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
             step = (upto[k] <= u[:, None]).sum(1)
-            out[starts[lane] + depth - 1] = piece[k, step]
+            out[starts[lane] + depth - 1] = all_ids[ids_at[step] + k]
             depth = depth - step - 1
             on = depth > 0
             lane, depth = lane[on], depth[on]
@@ -175,8 +175,8 @@ class Lattice:
         cuts = np.concatenate([[0], ends])[np.searchsorted(where, bounds)]
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
-    def _filter(self, chars: np.ndarray, value: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each place of each unit (longest first): the pieces that end there by length, and their cumulative probabilities.
+    def _filter(self, chars: np.ndarray, value: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of each place of each unit (longest first): the pieces that end there, by length, and their cumulative probabilities.
 
         Places go by depth and then by unit, so all steps are on stretches of arrays; also where each depth begins.
         """
@@ -186,29 +186,30 @@ class Lattice:
         total = int(begin[-1])
         char = np.arange(total) - np.repeat(begin[:-1], wide)
         char = at[char] + np.repeat(np.arange(deepest), wide)
-        piece = np.full((self.most, total), -1, np.int32)
-        log = np.full((self.most, total), -np.inf)
+        piece: list[np.ndarray] = []  # by length - 1, from the first place deep enough on
         h, widest = np.zeros(total, np.uint64), 1
         for k in range(min(self.most, deepest)):
             live = slice(begin[k], total)
             h[live] += value[char[live] - k] * _ODD[k]
             got = self._find(h[live])
-            hit = np.flatnonzero(got >= 0)
-            if len(hit):
+            piece.append(got)
+            if (got >= 0).any():
                 widest = k + 1
-                piece[k, live] = got
-                log[k, begin[k] + hit] = self.logp[got[hit]]
-        lone = np.flatnonzero(piece[0] < 0)
+        piece = piece[:widest]
+        log = [self.logp[p] for p in piece]
+        lone = np.flatnonzero(piece[0] < 0) if total else np.zeros(0, np.int64)
         code = chars[char[lone]]
-        log[0, lone] = self.byte_logp * (1 + (code > 0x7F) + (code > 0x7FF) + ((code > 0xFFFF) & (code != LITERAL)))
+        if total:
+            log[0][lone] = self.byte_logp * (1 + (code > 0x7F) + (code > 0x7FF) + ((code > 0xFFFF) & (code != LITERAL)))
         reach = np.zeros(total)
         upto = np.full((total, widest), np.float32(2), np.float32)
         for d in range(deepest):
             units, here = int(wide[d]), slice(begin[d], begin[d + 1])
             width = min(d + 1, widest)
-            s = log[:width, here].copy()
-            for j in range(min(width, d)):
-                s[j] += reach[begin[d - j - 1] : begin[d - j - 1] + units]
+            s = np.empty((width, units))
+            for j in range(width):
+                own = log[j][begin[d] - begin[j] : begin[d] - begin[j] + units]
+                np.add(own, reach[begin[d - j - 1] : begin[d - j - 1] + units] if j < d else 0.0, out=s[j])
             top = s.max(0)
             s -= top
             np.exp(s, out=s)
@@ -219,15 +220,25 @@ class Lattice:
             last = width - 1 - np.argmax(s[::-1] > 0, 0)
             share[np.arange(width)[:, None] >= last] = 2
             upto[here, :width] = share.T
-        return piece[:widest].T.copy(), upto, begin
+        return piece, upto, begin
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """Texts of id sequences; ids that aren't for text give nothing, bytes that aren't UTF-8 the replacement character."""
-        flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-        size = self.raw_size[flat]
+
+class Decoder:
+    """The text of each id."""
+
+    def __init__(self, vocab: Vocabulary):
+        raw = [p.replace(chr(SPACE), " ").encode("utf-8", "surrogatepass") for p in vocab.pieces]
+        for b, i in enumerate(vocab.bytes_):
+            raw[i] = bytes([b])
+        self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw])
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """Texts of id sequences laid end to end; ids that aren't for text give nothing, bytes that aren't UTF-8 the replacement character."""
+        size = self.raw_size[ids]
         end = np.cumsum(size)
-        data = self.raw[np.repeat(self.raw_at[flat] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].tobytes()
-        cuts = np.concatenate([[0], end])[np.cumsum([0, *map(len, ids)])].tolist()
+        data = self.raw[np.repeat(self.raw_at[ids] - (end - size), size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        cuts = np.concatenate([[0], end])[bounds].tolist()
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
 
 
@@ -237,24 +248,38 @@ def _lattice(vocab: Vocabulary, sharpness: float) -> Lattice:
     return Lattice(vocab, sharpness)
 
 
-def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str = MODEL, sharpness: float = 0.5, seed: int = 0) -> DataFrame:
+@lru_cache(2)
+def _decoder(vocab: Vocabulary) -> Decoder:
+    return Decoder(vocab)
+
+
+def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str = MODEL, sharpness: float = 0.5, seed: int = 0, verify: bool = False) -> DataFrame:
     """docs with piece_ids: a sampled segmentation of the text, the same for the same key, text, sharpness and seed.
 
-    sharpness 0 samples all segmentations alike, large values give the likeliest one. A null text gives
-    null, an empty one no ids; a null key seeds like an empty one. Other columns stay; a column of this
-    name is replaced. The vocabulary, whose size the model fixes, is sent to the executors.
+    With verify, also lossless: whether the ids, decoded on the spot, give the text back (a second
+    Python function over piece_ids would have them made twice). sharpness 0 samples all segmentations
+    alike, large values give the likeliest one. A null text gives null ids and is lossless, an empty one
+    no ids; a null key seeds like an empty one. Other columns stay; columns of these names are replaced.
+    The vocabulary, whose size the model fixes, is sent to the executors.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
 
-    @F.pandas_udf("array<int>")
-    def of(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        values = ["" if t is None else t for t in texts]
-        out = _lattice(sent.value, sharpness).encode(values, [xxhash.xxh64_intdigest(k or "", seed) for k in keys])
-        return pd.Series([None if t is None else ids for t, ids in zip(texts, out)], dtype=object)
+    @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
+    def of(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        values = texts.fill_null("").to_pylist()
+        out = _lattice(sent.value, sharpness).encode(values, [xxhash.xxh64_intdigest(k or "", seed) for k in keys.to_pylist()])
+        bounds, flat = np.cumsum([0, *map(len, out)]), np.concatenate([np.zeros(0, np.int32), *out])
+        same = [None] * len(values)
+        if verify:
+            decoder, same = _decoder(sent.value), []
+            for a, b in slices(np.diff(bounds).tolist(), 1_000_000):
+                same += [x == y for x, y in zip(values[a:b], decoder.decode(flat[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]))]
+        ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat), mask=texts.is_null())
+        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], names=["ids", "lossless"])
 
-    work = packed(docs, _text=F.col(text), _key=F.col(key).cast("string")).select("_row", of("_text", "_key").alias("_ids"))
-    return unpacked(work, docs, piece_ids="_ids")
+    work = packed(docs, _text=F.col(text), _key=F.col(key).cast("string")).select("_row", of("_text", "_key").alias("_out"))
+    return unpacked(work, docs, piece_ids="_out.ids", **({"lossless": "_out.lossless"} if verify else {}))
 
 
 def decode(docs: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> DataFrame:
@@ -262,12 +287,13 @@ def decode(docs: DataFrame, ids: str = "piece_ids", model: str = MODEL) -> DataF
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
 
-    @F.pandas_udf("string")
-    def of(rows: pd.Series) -> pd.Series:
-        out, lattice = [], _lattice(sent.value, 1.0)
-        values = [np.zeros(0, np.int32) if r is None else np.asarray(r, np.int32) for r in rows]
-        for a, b in slices([len(v) for v in values], 1_000_000):
-            out += lattice.decode(values[a:b])
-        return pd.Series([None if r is None else t for r, t in zip(rows, out)], dtype=object)
+    @F.arrow_udf("string")
+    def of(rows: pa.Array) -> pa.Array:
+        bounds, flat = rows.offsets.to_numpy(), rows.values.to_numpy(zero_copy_only=False)
+        out: list[str] = []
+        decoder = _decoder(sent.value)
+        for a, b in slices(np.diff(bounds).tolist(), 1_000_000):
+            out += decoder.decode(flat[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+        return pa.array(out, pa.string(), mask=rows.is_null().to_numpy(zero_copy_only=False))
 
     return unpacked(packed(docs, _ids=F.col(ids)).select("_row", of("_ids").alias("_text")), docs, decoded="_text")

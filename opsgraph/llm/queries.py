@@ -62,9 +62,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each whole text: how many pieces, a digest of their ids, and whether decoding gives the text back."""
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    decoded = pieces.decode(encoded)
-    return decoded.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), verify=True)
+    return encoded.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "lossless")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
