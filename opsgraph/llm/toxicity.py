@@ -47,6 +47,22 @@ def presence(text: str) -> set[str]:
     return {f if level == 1 else f"{f}@{level}" for f, k in counts.items() for level in range(1, min(k, LEVELS) + 1)}
 
 
+def frequent(texts: list[str]) -> Counter:
+    """How many of the texts have each feature, of those in at least LEAST_DOCS. One length of beginnings is counted at a time, so that few of the rare are held."""
+    out = Counter()
+    for n in (0, *BEGINNINGS):
+        some = Counter()
+        for t in texts:
+            words = set(WORD.findall(t.lower()))
+            some.update({w[:n] + "*" for w in words if len(w) >= n} if n else words)
+        out.update({f: c for f, c in some.items() if c >= LEAST_DOCS})
+    again = Counter()
+    for t in texts:
+        again.update(f for f in presence(t) if "@" in f and f[:-2] in out)
+    out.update({f: c for f, c in again.items() if c >= LEAST_DOCS})
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -117,15 +133,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return Model(bias=10.0 if n1 else -10.0)
-    bad, good = Counter(), Counter()
+    bad, good = frequent([t for t, y in zip(texts, toxic) if y]), Counter()
     for t, y in zip(texts, toxic):
-        if y:
-            bad.update(presence(t))
-    bad = Counter({f: c for f, c in bad.items() if c >= LEAST_DOCS})
-    found = [presence(t) & bad.keys() for t in texts]
-    for f, y in zip(found, toxic):
         if not y:
-            good.update(f)
+            good.update(presence(t) & bad.keys())
     share, sure = n1 / (n1 + n0), np.log(len(bad) + 1) + 4
 
     def evidence(f: str) -> float:
@@ -140,8 +151,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         return Model(bias=float(np.log((n1 + 1) / (n0 + 1))))
     at = {f: i for i, f in enumerate(chosen)}
     x = np.zeros((len(texts), len(chosen)), np.float32)
-    for i, f in enumerate(found):
-        x[i, [at[k] for k in f if k in at]] = 1
+    for i, t in enumerate(texts):
+        x[i, [at[k] for k in presence(t) & at.keys()]] = 1
     group = np.array([GROUPS * (int(f.partition("@")[2] or 1) if "*" in f else 0) + crc32(f.encode()) % GROUPS for f in chosen])
     votes = [x[:, group == g].max(1) for g in range((LEVELS + 1) * GROUPS) if (group == g).any()]
     votes += [np.array([bool(p.search(t)) for t in texts], float) for p in PATTERNS]
