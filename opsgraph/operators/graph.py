@@ -17,11 +17,11 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int, include_start: bool =
     """(start, node, hop) of what is reached from each start in at most `hops` steps, with the least number of steps.
 
     starts has (start) or (start, node), the latter to begin at nodes other than the start's name. The
-    start itself is left out, or with include_start has hop 0. Cycles end at nodes reached before. Each hop's
-    frontier is checkpointed, so a hop isn't computed again by the next.
+    start itself is left out, or with include_start has hop 0. Cycles end at nodes reached before. The
+    edges and each hop's frontier are checkpointed, so that no hop computes them again.
     """
     first = starts.select("start", (F.col("node") if "node" in starts.columns else F.col("start")).alias("node")).distinct()
-    step = edges.select(F.col("src").alias("node"), F.col("dst")).distinct()
+    step = cut(edges.select(F.col("src").alias("node"), F.col("dst")).distinct())
     seen = frontier = first.withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
         found = frontier.join(step, "node").select("start", F.col("dst").alias("node")).distinct()

@@ -377,7 +377,7 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT term, count(DISTINCT id) AS df, count(*) AS n FROM (SELECT id, unnest({TOKENS}) AS term FROM ({DOCS})) GROUP BY term")
 def document_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.index(documents(spark, d)).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    return lexical.index(documents(spark, d)).postings().groupBy("term").agg(F.max("df").alias("df"), F.sum("tf").alias("n"))
 
 
 @query(f"SELECT term, {stem_sql('term')} AS stem FROM (SELECT DISTINCT unnest({TOKENS}) AS term FROM documents)")
