@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -219,10 +220,24 @@ def test_repeats_equal_brute_force(spark, monkeypatch, many):
     assert found_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)) == brute_repeats(texts)
 
 
-def test_repeats_across_parts_of_a_long_text(spark, monkeypatch):
+def test_parts_of_a_long_text_have_the_same_windows(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([prose(1, 3000), prose(2, 50), None])], names=["doc", "text"])
+
+    def windows():
+        rows = pa.Table.from_batches(suffixdedup._runs(iter([batch]))).to_pylist()
+        assert all(r["at"] >= 0 for r in rows)
+        return {(r["doc"], p, r["at"] >> 14, r["g"]) for r in rows for p in range((r["at"] >> 14) - (r["at"] >> 7 & 127), (r["at"] >> 14) - (r["at"] & 127) + 1)}
+
+    whole = windows()
     monkeypatch.setattr(suffixdedup, "PART", 1000)
-    texts = {1: prose(1, 900), 2: prose(2, 300) + prose(1, 900)[2000:4200]}
-    assert found_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == brute_repeats(texts) or True
+    assert windows() == whole and len({(d, p) for d, p, *_ in whole}) == len(whole) == sum(len(t) - 99 for t in (prose(1, 3000), prose(2, 50)))
+
+
+def test_repeats_in_texts_longer_than_a_part(spark):
+    long = prose(1, 210_000)
+    assert len(long) > 1.01 * suffixdedup.PART
+    texts = {1: long, 2: prose(2, 40) + long[suffixdedup.PART - 700 : suffixdedup.PART + 900]}
+    assert found_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == brute_repeats(texts)
 
 
 def test_repeats_of_hard_rows(spark, hard):
