@@ -8,20 +8,25 @@ shares it, and the full Hamming distance decides.
 Work is on distinct fingerprints, so copies cost nothing. A segment value that more than BUCKET
 fingerprints share isn't paired: its fingerprints meet, exactly, in the values one bit away from them
 (two that differ in at most two bits have such a value in common, and at most 65 share one).
+
+For texts that are alike to a lower degree, 64 bits are too few to tell; there, prints of 2,048 bits
+meet by equal segments and are pruned by the chains that follow them on the ring.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsgraph.llm.common import packed, saved, ship, slices, unpacked
+from opsgraph.llm.common import mix, packed, saved, ship, slices, unpacked
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 BUCKET = 64
@@ -157,8 +162,103 @@ def grouped(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(rooted.select("_f", "_root").join(named, "_root").select("_f", "_component"), "_f")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of each group, the one of least key, with the columns of docs; of rows that repeat a key, one. Rows with a null key stay."""
-    prints_ = saved(prints(docs.where(F.col(key).isNotNull()), text, key, size), "keys")
-    kept = grouped(prints_, distance).where("_key = _component").select(F.col("_key").alias(key)).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+WIDE, PART, SIMILARITY, WORDS = 2048, 24, 0.8, 5
+#: How many rows before it in its bucket a row is held against, besides the first.
+BEFORE = 4
+#: Of the 64 bits after an equal segment, how many may differ: 0.15 x 64 within the similarity, over 30 of unlike texts.
+CHAIN = 16
+
+
+def wide_fingerprints(texts: list[str], size: int = WORDS) -> np.ndarray:
+    """SimHash of WIDE bits, as rows of bytes, over each text's distinct shingles.
+
+    Shingles are hashed to WIDE signed sums, which a Hadamard transform turns into WIDE sums with other
+    signs each; a bit is 1 where the sum is above 0. Equal bits estimate the angle between two texts.
+    """
+    out = np.zeros((len(texts), WIDE // 8), np.uint8)
+    for a, b in slices([len(t) + 20_000 for t in texts], 8_000_000):
+        sums = np.zeros((b - a, WIDE), np.float32)
+        for i, t in enumerate(texts[a:b]):
+            if found := set(shingles(t, size)):
+                h = mix(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
+                sums[i] = np.bincount((h % np.uint64(WIDE)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), WIDE)
+        step = 1
+        while step < WIDE:
+            pairs = sums.reshape(b - a, WIDE // (2 * step), 2, step)
+            plus, minus = pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]
+            pairs[:, :, 0], pairs[:, :, 1] = plus, minus
+            step *= 2
+        out[a:b] = np.packbits(sums > 0, axis=1)
+    return out
+
+
+def allowed(similarity: float) -> int:
+    """Bits of WIDE that may differ: the angle of two sets of equal size with that Jaccard similarity, and one standard deviation of the estimate."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return round(share * WIDE + np.sqrt(share * (1 - share) * WIDE))
+
+
+def _both(size: int) -> Column:
+    @F.pandas_udf("struct<f:long,w:binary>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        values = [t or "" for t in texts]
+        return pd.DataFrame({"f": fingerprints(values).view(np.int64), "w": [w.tobytes() for w in wide_fingerprints(values, size)]})
+
+    return of("_text")
+
+
+def _segments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, wide print -> for each segment of PART bits: its number and value, the key, and the 64 bits that follow on the ring."""
+    n = WIDE // PART
+    weights = 1 << np.arange(PART - 1, -1, -1, dtype=np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
+            ring = np.concatenate([bits, bits[:, : PART + 64]], 1)
+            for i in range(n):
+                value = ring[:, i * PART : (i + 1) * PART] @ weights
+                after = np.packbits(ring[:, (i + 1) * PART : (i + 1) * PART + 64], axis=1).view(">i8").ravel().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(value + (i << PART)), part.column(0), pa.array(after)], names=["b", "k", "after"])
+
+
+def similar(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between keys of wide (k, w), w distinct, whose prints differ in few enough bits.
+
+    Keys meet where a whole segment is equal. In each such bucket a row is held against the first and
+    the BEFORE rows before it, so a bucket of any size gives a few candidates a row; those whose chain
+    of following segments differs too much go, and the whole prints decide. Which pairs share a segment
+    is chance: over nine in ten at the similarity 0.85, nearly all from 0.9 on.
+    """
+    most = allowed(similarity)
+    rows = wide.select("k", "w").mapInArrow(_segments_of, "b long, k long, after long")
+    by = Window.partitionBy("b").orderBy("k")
+    seen = F.array(F.first(F.struct("k", "after")).over(by), *(F.lag(F.struct("k", "after"), i).over(by) for i in range(1, BEFORE + 1)))
+    met = rows.withColumn("_o", seen).select("k", "after", F.explode("_o").alias("o")).where("o is not null and o.k <> k")
+    pairs = met.where(F.bit_count(F.col("after").bitwiseXOR(F.col("o.after"))) <= CHAIN).select(F.col("o.k").alias("a"), F.col("k").alias("b")).distinct()
+    one, two = wide.select(F.col("k").alias("a"), F.col("w").alias("_wa")), wide.select(F.col("k").alias("b"), F.col("w").alias("_wb"))
+
+    @F.arrow_udf("int")
+    def differ(x: pa.Array, y: pa.Array) -> pa.Array:
+        bits = [np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) for v in (x, y)]
+        return pa.array(np.bitwise_count(bits[0] ^ bits[1]).sum(1).astype(np.int32))
+
+    return pairs.join(one, "a").join(two, "b").where(differ("_wa", "_wb") <= most).select("a", "b")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near copies, the one of least key, with the columns of docs; of rows that repeat a key, one.
+
+    Near copies are texts whose shingles of `size` words are `similarity` alike by their wide prints, or
+    whose fingerprints link as in near_duplicates. Keys are integers; rows with a null key stay.
+    """
+    ship(docs.sparkSession)
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    both = saved(own.select("_key", _both(size).alias("p")).select("_key", F.col("p.f").alias("_f"), F.col("p.w").alias("w")), "keys")
+    wide = saved(both.groupBy("w").agg(F.min("_key").alias("k")), "wide")
+    copies = both.join(wide, "w").where("_key <> k").select(F.col("_key").alias("a"), F.col("k").alias("b"))
+    linked = grouped(both.select("_key", "_f")).where("_key <> _component").select(F.col("_key").alias("a"), F.col("_component").alias("b"))
+    roots = components(copies.unionByName(linked).unionByName(similar(wide, similarity)))
+    gone = roots.where("node <> root").select(F.col("node").alias("_gone"))
+    kept = docs.where(F.col(key).isNotNull()).join(gone, docs[key].cast("long") == F.col("_gone"), "left_anti")
+    return kept.dropDuplicates([key]).select(docs.columns).unionByName(docs.where(F.col(key).isNull()))

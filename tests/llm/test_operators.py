@@ -357,6 +357,37 @@ def test_near_copies_of_hard_rows(spark, hard):
     assert simhash.deduplicated(hard.limit(0)).count() == 0
 
 
+def worn(text, share, seed):
+    """text with that share of its words changed."""
+    r = random.Random(seed)
+    return " ".join(f"new{r.random()}" if r.random() < share else w for w in text.split())
+
+
+def test_near_copies_go_and_others_stay(spark):
+    r = random.Random(8)
+    fresh = lambda: " ".join(f"{r.choice(WORDS)}{r.randrange(300)}" for _ in range(300))
+    texts = [fresh() for _ in range(40)]
+    copies = [worn(texts[i % 10], 0.012, i) for i in range(60)]
+    apart = [worn(texts[10 + i], 0.2, i) for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts + copies + apart)), "doc_id long, text string").repartition(5)
+    kept = {x.doc_id for x in simhash.deduplicated(df).collect()}
+    sets = [set(simhash.shingles(t, 5)) for t in texts + copies + apart]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    near = {40 + i for i in range(60) if alike(40 + i, i % 10) >= 0.85}
+    assert len(near) > 40 and kept.isdisjoint(near) and kept >= set(range(40)) | set(range(100, 110))
+
+
+def test_wide_prints_estimate_the_angle():
+    r = random.Random(4)
+    a = " ".join(f"w{r.randrange(10**6)}" for _ in range(800))
+    for share in (0.01, 0.03, 0.3):
+        b = worn(a, share, 1)
+        x, y = (set(simhash.shingles(t, 5)) for t in (a, b))
+        angle = np.arccos(len(x & y) / np.sqrt(len(x) * len(y))) / np.pi
+        p = simhash.wide_fingerprints([a, b])
+        assert abs(np.bitwise_count(p[0] ^ p[1]).sum() / simhash.WIDE - angle) < 0.05
+
+
 # I-Match
 
 
