@@ -106,3 +106,18 @@ def verdicts(graded: DataFrame) -> DataFrame:
     rows = graded.withColumns({"v": word(F.col("reply")), "w": word(F.col("again"))})
     count = lambda v: F.count_if(F.col("v") == v).alias(v.lower())
     return rows.groupBy("arm").agg(F.count("*").alias("graded"), *map(count, ("CORRECT", "WRONG", "REFUSED", "UNPARSED")), F.count_if(F.col("v") != F.col("w")).alias("flipped"), F.count_if((F.col("v") == "CORRECT") == (F.col("recall") >= 0.999)).alias("agrees"))
+
+
+def control_gate(graded: DataFrame) -> DataFrame:
+    """One row: whether a judge can be trusted: of (context, correct), answers from gold must be right more often than those from random texts."""
+    count = lambda kind: F.count_if((F.col("context") == kind) & F.col("correct"))
+    return graded.agg(count("gold").alias("gold"), count("random").alias("random"), (count("gold") > count("random")).alias("passes"))
+
+
+def frozen_hash(questions: DataFrame) -> str:
+    """sha256 over id, text, kind and holdout of the questions, in the order of their ids: a changed question shows. The set is small by nature."""
+    import hashlib
+    import json
+
+    rows = [[str(r.question_id), r.text, r.kind, bool(r.holdout)] for r in questions.select("question_id", "text", "kind", "holdout").orderBy("question_id").toLocalIterator()]
+    return hashlib.sha256(json.dumps(rows, sort_keys=True).encode()).hexdigest()

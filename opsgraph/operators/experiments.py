@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsgraph.operators.fuse import seeded_order
 from opsgraph.operators.graph import reach
+from opsgraph.operators.vector import dot
 
 SEEDS, FRACTIONS = (1, 2, 3), (0.0, 0.1, 0.2, 0.4, 0.6)
 
@@ -69,3 +70,19 @@ def moved(before: DataFrame, after: DataFrame) -> DataFrame:
     rows = a.join(b, "question_id", "full").where(~F.col("before").eqNullSafe(F.col("after")))
     change = F.when(F.coalesce("before", F.lit(0.0)) == 0, "rescued").when(F.coalesce("after", F.lit(0.0)) > F.col("before"), "better").otherwise("worse")
     return rows.withColumn("change", change)
+
+
+def scaling(vectors: DataFrame, question: DataFrame, sizes: tuple[int, ...], seeds: tuple[int, ...], top: int = 40) -> DataFrame:
+    """(size, recall) of one question over vectors (id, embedding, gold) as the haystack grows, the mean over seeds.
+
+    A haystack is the first `size` rows, gold before all others and those in a hashed order. Every row is
+    scored once; the cut-off of each seed and size is found among the rows' order keys, and the best
+    `top` of each haystack by rank.
+    """
+    scored = vectors.join(F.broadcast(question.select(F.col("embedding").alias("_q")))).select("id", "gold", F.round(dot("embedding", "_q"), 9).alias("score"))
+    drawn = scored.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).withColumn("_o", F.struct(~F.col("gold"), F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("id").cast("string"))), "id"))
+    first = drawn.withColumn("_p", F.row_number().over(Window.partitionBy("seed").orderBy("_o"))).where(F.col("_p") <= max(sizes))
+    stacks = first.withColumn("size", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda s: s >= F.col("_p"))))
+    hit = stacks.withColumn("_r", F.row_number().over(Window.partitionBy("seed", "size").orderBy(F.desc("score"), F.desc("id"))))
+    each = hit.groupBy("seed", "size").agg((F.count_if(F.col("gold") & (F.col("_r") <= top)) / F.count_if("gold")).alias("recall"))
+    return each.groupBy("size").agg(F.round(F.avg("recall"), 6).alias("recall"))

@@ -86,3 +86,34 @@ def incidents(spark: SparkSession, services: int, n: int, seed: int) -> DataFram
         F.concat(F.lit("group"), (F.abs(F.xxhash64("category")) % 9).cast("string")).alias("assignment_group"),
         F.when(F.col("_repeat"), before).alias("duplicate_of"),
     )
+
+
+def changes(spark: SparkSession, services: int, n: int, seed: int, incident_share: float = 0.15) -> DataFrame:
+    """Changes with planned and actual times, one in seven never begun, some raised after an incident."""
+    u = lambda slot: uniform(seed, "chg" + slot, "id")
+    start = F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval((2 + F.floor(u("date") * 700)).cast("int"), F.floor(u("hour") * 24).cast("int"))
+    planned = 30 + F.floor(u("plan") * 240)
+    minutes = lambda m: F.make_dt_interval(F.lit(0), F.lit(0), m.cast("int"))
+    begun = u("begun") >= 1 / 7
+    return spark.range(n).select(
+        F.concat(F.lit("CHG"), F.lpad((F.col("id") + 1_000_000).cast("string"), 7, "0")).alias("number"),
+        F.concat(F.lit("Update of "), chosen(DOMAINS, u("domain"))).alias("short_description"), F.lit("Planned work").alias("description"),
+        F.concat(F.lit("svc-"), F.lpad(F.floor(u("item") * services).cast("long").cast("string"), 6, "0")).alias("ci_key"),
+        weighted((("normal", 0.7), ("standard", 0.2), ("emergency", 0.1)), u("type")).alias("change_type"), weighted((("low", 0.5), ("moderate", 0.35), ("high", 0.15)), u("risk")).alias("risk"),
+        start.alias("planned_start"), (start + minutes(planned)).alias("planned_end"),
+        F.when(begun, start).alias("actual_start"), F.when(begun, start + minutes(planned * (0.6 + u("run")))).alias("actual_end"),
+        F.when(u("code") < 0.9, "successful").otherwise("unsuccessful").alias("close_code"),
+        F.when(u("after") < incident_share, F.concat(F.lit("INC"), F.lpad((F.floor(u("which") * 1000) + 1_000_000).cast("string"), 7, "0"))).alias("raised_after_incident"),
+    )
+
+
+def problems(incidents_: DataFrame, seed: int) -> DataFrame:
+    """A problem for each item and family with two or more incidents."""
+    rows = incidents_.where("ci_key is not null").groupBy("ci_key", "category").agg(F.count("*").alias("n"), F.min("opened_at").alias("opened_at"), F.max("resolved_at").alias("_last"), F.array_sort(F.collect_list("number")).alias("incident_numbers")).where("n >= 2")
+    return rows.select(F.concat_ws("-", F.lit("PRB"), "ci_key", "category").alias("number"), F.concat(F.lit("Repeated "), F.col("category")).alias("short_description"), "ci_key", "category", "opened_at", F.when(uniform(seed, "open", "ci_key", "category") < 0.7, F.col("_last")).alias("resolved_at"), F.concat(F.lit("Restart "), F.col("ci_key")).alias("workaround"), "incident_numbers")
+
+
+def articles(problems_: DataFrame) -> DataFrame:
+    """An article for each resolved problem, in sections."""
+    body = F.concat(F.lit("# "), F.col("short_description"), F.lit("\n## Symptom\nUsers report "), F.col("category"), F.lit(" trouble on "), F.col("ci_key"), F.lit("\n## Cause\nKnown and described in "), F.col("number"), F.lit("\n## Fix\n"), F.col("workaround"), F.lit(" and watch it for an hour"))
+    return problems_.where("resolved_at is not null").select(F.concat(F.lit("KB-"), F.col("number")).alias("number"), F.col("number").alias("problem_number"), "category", F.col("resolved_at").alias("published_at"), body.alias("text"))

@@ -109,3 +109,53 @@ def checked(vectors: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
     if missing or spare:
         raise ValueError(f"the vectors are of another corpus: {missing} documents without one, {spare} without a document")
     return vectors
+
+
+def cells(vectors: DataFrame, count: int = 64, sample: int = 4096, rounds: int = 10) -> np.ndarray:
+    """Centres of an index's cells, by k-means on a bounded sample: the rows of least hash in each of `sample` buckets."""
+    h = F.xxhash64("id")
+    rows = vectors.where("embedding is not null").groupBy(F.pmod(h, F.lit(sample))).agg(F.min_by("embedding", h).alias("e")).select("e").collect()
+    x = np.array([r.e for r in rows], np.float64)
+    if not len(x):
+        return np.zeros((0, 0))
+    centres = x[np.linspace(0, len(x) - 1, min(count, len(x))).astype(int)]
+    for _ in range(rounds):
+        near = np.argmax(x @ centres.T, 1)
+        for k in range(len(centres)):
+            if (near == k).any():
+                mean = x[near == k].mean(0)
+                centres[k] = mean / max(np.linalg.norm(mean), 1e-9)
+    return centres
+
+
+def indexed(vectors: DataFrame, centres: np.ndarray, copies: int = 2) -> DataFrame:
+    """vectors (cell, id, embedding): every row in its `copies` nearest cells. Write it partitioned by cell."""
+    sent = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("array<int>")
+    def near(v):
+        import pandas as pd
+
+        return pd.Series(np.argsort(-(np.stack(v.to_numpy()) @ sent.value.T), axis=1, kind="stable")[:, :copies].astype(np.int32).tolist())
+
+    return vectors.where("embedding is not null").select(F.explode(near("embedding")).alias("cell"), "id", "embedding")
+
+
+def nearest_in_cells(index: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int = 16, top: int = TOP) -> DataFrame:
+    """nearest(), but over the queries' `probes` nearest cells only; recall is to be measured against nearest()."""
+    asked = indexed(queries.select(F.col("question_id").alias("id"), "embedding"), centres, probes).select("cell", F.col("id").alias("question_id"), F.col("embedding").alias("_q"))
+    pairs = index.join(F.broadcast(asked), "cell")  # the stated queries
+    scored = pairs.select("question_id", "id", F.round(dot("embedding", "_q"), 9).alias("score")).distinct()
+    return best(scored, top)
+
+
+def cached(path: str, docs: DataFrame, make: Callable[[DataFrame], DataFrame], seal: str) -> DataFrame:
+    """Vectors from a folder named by the texts' fingerprint; made and written if there are none, so vectors of other texts are never taken."""
+    from pyspark.errors import AnalysisException
+
+    place = f"{path}/{seal}"
+    try:
+        return docs.sparkSession.read.parquet(place)
+    except AnalysisException:
+        make(docs).write.parquet(place)
+        return docs.sparkSession.read.parquet(place)

@@ -667,3 +667,38 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
 def event_cube(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     return rows.cube("event_type", "day").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+@query(oracle("SELECT type_name, count(*) FILTER (WHERE parent IN (SELECT key FROM items WHERE cls = 'cmdb_ci_service')) AS as_parent, count(*) FILTER (WHERE child IN (SELECT key FROM items WHERE cls = 'cmdb_ci_service')) AS as_child FROM edges GROUP BY 1 HAVING as_parent + as_child > 0", "edges", "items"))
+def edge_directions(spark: SparkSession, d: str) -> DataFrame:
+    from opsgraph.sources.records import directions
+
+    return directions(bridge.edges(spark, d), bridge.items(spark, d), "cmdb_ci_service")
+
+
+@query(oracle(f"""WITH {side_sql('parent', 'child', 6, 'needs')}, {side_sql('child', 'parent', 6, 'dependants')}, ch AS (SELECT ci_key, array_to_string(list(number ORDER BY planned_start DESC, number DESC)[:3], ', ') AS recent FROM changes GROUP BY 1),
+x AS (SELECT 'graph_denormalised' AS strategy, greatest(1, length(concat_ws({NL} || {NL}, number || {NL} || {INCIDENT_TEXT}, name || ' belongs to ' || domain || '.', 'It needs ' || array_to_string(needs, ', ') || '.', 'What depends on it: ' || array_to_string(dependants, ', ') || '.', 'Recent changes: ' || recent || '.')) // 4) AS t FROM incidents i LEFT JOIN items ON key = i.ci_key LEFT JOIN needs USING (ci_key) LEFT JOIN dependants USING (ci_key) LEFT JOIN ch USING (ci_key)
+UNION ALL SELECT 'per_record', greatest(1, length(number || {NL} || {INCIDENT_TEXT}) // 4) FROM incidents)
+SELECT strategy, count(*) AS n, sum(t)::bigint AS total, round(avg(t), 6) AS mean, (list(t ORDER BY t)[count(*) // 2 + 1])::int AS median, max(t)::int AS largest FROM x GROUP BY 1""", "incidents", "items", "edges", "changes"))
+def ablation_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """What the graph's sentences cost in tokens, beside plain records."""
+    i = bridge.incidents(spark, d)
+    both = chunks.per_record(i).unionByName(chunks.denormalised(i, bridge.items(spark, d), bridge.edges(spark, d), bridge.changes(spark, d)))
+    return chunks.size_report(both)
+
+
+HAY = f"""{GOLD}, qs AS (SELECT vec_id AS q FROM embeddings WHERE vec_id % 50 = 0), needle AS (SELECT DISTINCT id FROM gold),
+o AS (SELECT seed, vec_id AS id, row_number() OVER (PARTITION BY seed ORDER BY (CASE WHEN label IN (SELECT label FROM embeddings WHERE vec_id = 50) THEN 0 ELSE 1 END), md5(seed || '|' || vec_id), vec_id) AS p FROM embeddings, (SELECT unnest([1, 2, 3]) AS seed)),
+h AS (SELECT seed, size, id FROM o, (SELECT unnest([100, 200, 400]) AS size) WHERE p <= size),
+sc AS (SELECT h.seed, h.size, h.id, round(list_dot_product((SELECT embedding::double[] FROM embeddings WHERE vec_id = 50), v.embedding::double[]), 9) AS score FROM h JOIN embeddings v ON v.vec_id = h.id),
+t AS (SELECT *, row_number() OVER (PARTITION BY seed, size ORDER BY score DESC, id DESC) AS place FROM sc QUALIFY place <= 40)
+SELECT size, round(avg(recall), 6) AS recall FROM (SELECT seed, size, count(*) FILTER (WHERE id IN (SELECT id FROM gold WHERE question_id = 50)) / (SELECT count(*) FROM gold WHERE question_id = 50) AS recall FROM t GROUP BY ALL) GROUP BY size"""
+
+
+@query(f"WITH {HAY}")
+def scaling(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of one question as the haystack grows, over three seeds; each haystack holds all gold and the smaller ones."""
+    v = vectors(spark, d)
+    one = v.where("id = 50")
+    marked = v.join(one.select("label", F.lit(True).alias("gold")), "label", "left").withColumn("gold", F.coalesce("gold", F.lit(False)))
+    return experiments.scaling(marked, one.select(F.col("id").alias("question_id"), "embedding"), (100, 200, 400), (1, 2, 3))

@@ -86,3 +86,57 @@ def platform_incident(incidents: DataFrame, sys_ids: DataFrame) -> DataFrame:
         F.when(done, F.lit("6")).otherwise(F.lit("2")).alias("state"),
         F.when(done, F.col("resolved_at")).alias("resolved_at"), F.when(done, F.coalesce("close_notes", F.lit("Resolved"))).alias("close_notes"), F.when(done, F.lit("Solved (Permanently)")).alias("close_code"),
     )
+
+
+def platform_change(changes: DataFrame, sys_ids: DataFrame) -> DataFrame:
+    """Changes in the platform's fields; unset actual times stay unset, and risk becomes the platform's number."""
+    risk = F.element_at(F.create_map(*(F.lit(x) for pair in (("high", "2"), ("moderate", "3"), ("low", "4")) for x in pair)), F.col("risk"))
+    rows = changes.join(sys_ids.select(F.col("key").alias("ci_key"), "sys_id"), "ci_key", "left")
+    return rows.select("number", "short_description", "description", F.coalesce("sys_id", F.lit("")).alias("cmdb_ci"), F.col("change_type").alias("type"), risk.alias("risk"), F.col("planned_start").alias("start_date"), F.col("planned_end").alias("end_date"), F.col("actual_start").alias("work_start"), F.col("actual_end").alias("work_end"), "close_code")
+
+
+def platform_problem(problems: DataFrame, sys_ids: DataFrame) -> DataFrame:
+    """Problems in the platform's fields; the related incidents go as a list."""
+    rows = problems.join(sys_ids.select(F.col("key").alias("ci_key"), "sys_id"), "ci_key", "left")
+    return rows.select("number", "short_description", F.coalesce("sys_id", F.lit("")).alias("cmdb_ci"), "category", "opened_at", F.when(F.col("resolved_at").isNotNull(), "107").otherwise("102").alias("state"), "resolved_at", F.col("workaround").alias("workaround"), F.array_join("incident_numbers", ",").alias("related_incidents"))
+
+
+def platform_article(articles: DataFrame, base: str) -> DataFrame:
+    """Articles in the platform's fields, in a knowledge base."""
+    return articles.select("number", F.split_part("text", F.lit("\n"), F.lit(1)).alias("short_description"), "text", F.lit(base).alias("kb_knowledge_base"), F.lit("published").alias("workflow_state"))
+
+
+def deleted(existing: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return existing.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def kept_rows(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:
+    """df from its copy at path; made, or made anew, if there is none or it is asked for."""
+    from pyspark.errors import AnalysisException
+
+    if not refresh:
+        try:
+            return df.sparkSession.read.parquet(path)
+        except AnalysisException:
+            pass
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def directions(edges: DataFrame, items: DataFrame, cls: str) -> DataFrame:
+    """(type_name, as_parent, as_child): at which end of its edges a class of items stands; both ends of one type show a mix-up."""
+    own = items.where(F.col("cls") == cls).select("key")
+    side = lambda c, name: edges.join(own.withColumnRenamed("key", c), c, "left_semi").groupBy("type_name").agg(F.count("*").alias(name))
+    return side("parent", "as_parent").join(side("child", "as_child"), "type_name", "full").fillna(0, ["as_parent", "as_child"])
+
+
+def settings(path: str) -> dict[str, str]:
+    """KEY=value lines of a file on the driver; quotes go, other lines are passed over."""
+    import re
+
+    found = {}
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            if m := re.match(r"\s*([A-Za-z_]\w*)\s*=\s*(.*?)\s*$", line):
+                found[m[1]] = m[2].strip("\"'")
+    return found

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsgraph.functions import text
 from opsgraph.operators import chunks, evaluate, experiments, fuse, graph, lexical, synth, tickets, vector
-from opsgraph.plans import text2sql
+from opsgraph.plans import arms, text2sql
 from opsgraph.sources import records
 from opsgraph.streaming import events
 
@@ -248,3 +248,109 @@ def test_stream_upserts(spark, sf_dir, tmp_path):
     last = spark.read.parquet(str(tmp_path / "t" / "v=1"))
     want = {r.user_id: r.m for r in rows.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
     assert {r.user_id: r.event_id for r in last.collect()} == want
+
+
+def test_index_finds_nine_in_ten(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("question_id"), "embedding")
+    centres = vector.cells(v, 16)
+    index = vector.indexed(v, centres)
+    assert index.select("id").distinct().count() == v.count()
+    exact, found = vector.nearest(v, q, 10), vector.nearest_in_cells(index, q, centres, 8, 10)
+    same = exact.join(found.select("question_id", "id"), ["question_id", "id"]).count()
+    assert same / exact.count() >= 0.9
+
+
+def test_vectors_are_kept_by_fingerprint(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "disk full"), (2, None)], "id long, text string")
+    made = []
+
+    def make(df):
+        made.append(1)
+        return vector.embedded(df, vector.hashed_embedder())
+
+    for seal in ("a", "a", "b"):
+        assert vector.cached(str(tmp_path), docs, make, seal).count() == 2
+    assert len(made) == 2
+
+
+def test_arms_are_scored_and_broken_ones_fail(spark):
+    docs = spark.createDataFrame([(i, f"note{i} about topic{i % 3}") for i in range(30)], "id long, text string")
+    asked = spark.createDataFrame([(1, "note5", "lookup", False, True, False), (2, "note7", "lookup", True, True, False), (3, "note9", "lookup", True, True, False)], "question_id long, text string, kind string, holdout boolean, gradable boolean, expect_empty boolean")
+    gold = spark.createDataFrame([(1, 5), (2, 7), (3, 9)], "question_id long, id long")
+
+    class Broken:
+        name = "broken"
+
+        def retrieve(self, questions):
+            raise RuntimeError("no model")
+
+    scores = arms.run([arms.Lexical(docs), arms.Control(docs), arms.Fused([arms.Lexical(docs), arms.Lexical(docs, stemmed=True)]), Broken()], asked, gold, docs).cache()
+    by = {r.arm: r for r in evaluate.by_arm(scores).collect()}
+    assert by["bm25"].recall == by["hybrid"].recall == 1.0 and by["broken"].failed == 3 and by["broken"].recall is None
+    assert "bm25" in arms.report(scores)
+
+
+def test_paged_source_reads_all_pages(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    from opsgraph.sources.paged import PagedSource
+
+    failed = set()
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = parse_qs(urlparse(self.path).query)
+            a, n = int(q["sysparm_offset"][0]), int(q["sysparm_limit"][0])
+            if a == 10 and a not in failed:
+                failed.add(a)
+                self.send_error(500)
+                return
+            body = json.dumps({"result": [{"number": f"INC{i}", "short_description": ""} for i in range(a, a + n)]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(PagedSource)
+    got = spark.read.format("paged").option("url", f"http://127.0.0.1:{server.server_port}/x").option("total", 25).option("page", 10).load().collect()
+    server.shutdown()
+    assert {r.number for r in got} == {f"INC{i}" for i in range(25)} and got[0].short_description is None and failed == {10}
+
+
+def test_platform_fields_are_all_set_or_none(spark):
+    rows = spark.createDataFrame([("I1", "a", "b", "k", 1, datetime(2024, 1, 1), None, None), ("I2", "a", "b", None, 1, datetime(2024, 1, 1), datetime(2024, 1, 2), None)], "number string, short_description string, description string, ci_key string, priority int, opened_at timestamp_ntz, resolved_at timestamp_ntz, close_notes string")
+    got = {r.number: r for r in records.platform_incident(rows, spark.createDataFrame([("k", "77")], "key string, sys_id string")).collect()}
+    assert (got["I1"].cmdb_ci, got["I1"].state, got["I1"].close_notes, got["I1"].close_code) == ("77", "2", None, None)
+    assert (got["I2"].cmdb_ci, got["I2"].state, got["I2"].close_notes) == ("", "6", "Resolved")
+
+
+def test_settings(tmp_path):
+    (tmp_path / "env").write_text("# x\nURL=\"http://a\"\nno line\n KEY = v\n")
+    assert records.settings(str(tmp_path / "env")) == {"URL": "http://a", "KEY": "v"}
+
+
+def test_synthetic_records_hang_together(spark):
+    inc = synth.incidents(spark, 100, 1500, 2).cache()
+    prb = synth.problems(inc, 2).cache()
+    assert prb.count() and prb.where("size(incident_numbers) < 2").count() == 0
+    kb = synth.articles(prb)
+    assert chunks.sections(kb).count() >= 2 * kb.count()
+    c = synth.changes(spark, 100, 700, 2)
+    assert 0.05 < c.where("actual_end is null").count() / 700 < 0.25 and tickets.overran(c).count() > 0
+
+
+def test_frozen_hash_sees_a_changed_question(spark):
+    kind = "question_id int, text string, kind string, holdout boolean"
+    a = evaluate.frozen_hash(spark.createDataFrame([(2, "b", "k", True), (1, "a", "k", False)], kind))
+    assert a == evaluate.frozen_hash(spark.createDataFrame([(1, "a", "k", False), (2, "b", "k", True)], kind))
+    assert a != evaluate.frozen_hash(spark.createDataFrame([(1, "a!", "k", False), (2, "b", "k", True)], kind))
+    gate = evaluate.control_gate(spark.createDataFrame([("gold", True), ("random", False)], "context string, correct boolean")).first()
+    assert gate.passes
