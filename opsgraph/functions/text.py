@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words left out of questions (never out of documents).
@@ -82,7 +82,16 @@ def paragraphs(*parts: Column) -> Column:
     return F.concat_ws("\n\n", *(F.when(p != "", p) for p in parts))
 
 
-def fingerprint(texts: Column, order: Column) -> Column:
-    """An aggregate: sha256 over all texts in order, each closed by NUL. Made of their sha256s, so no row holds all texts."""
-    digests = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.sha2(F.concat(texts, F.lit("\0")), 256).alias("d"))))
-    return F.sha2(F.array_join(F.transform(digests, lambda x: x["d"]), ""), 256)
+def fingerprint(rows: DataFrame, by: str, text: str, order: str, width: int = 1024, levels: int = 3) -> DataFrame:
+    """(by, fingerprint): a digest of each group's texts that depends on their order.
+
+    A tree: texts' sha256 (each text closed by NUL) are joined by runs of `width` order numbers, the
+    runs' digests by runs of `width` runs, and so on; no row gathers more than that until the last.
+    """
+    now = rows.select(by, F.col(order).alias("_o"), F.sha2(F.concat(F.col(text), F.lit("\0")), 256).alias("_d"))
+    for level in range(levels):
+        last = level == levels - 1
+        keys = [F.col(by)] if last else [F.col(by), F.floor(F.col("_o") / width).alias("_o")]
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_d"))), lambda x: x["_d"]), "")
+        now = now.groupBy(*keys).agg(F.sha2(joined, 256).alias("_d"))
+    return now.withColumnRenamed("_d", "fingerprint")

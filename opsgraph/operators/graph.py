@@ -72,13 +72,24 @@ def degree(edges: DataFrame, a: str = "parent", b: str = "child") -> DataFrame:
     return edges.select(F.explode(F.array(a, b)).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
 
 
+#: Names and texts meet in the last so many characters of the name.
+ENDING = 8
+
+
 def entry_points(questions: DataFrame, names: DataFrame, top: int = 3) -> DataFrame:
     """(question_id, key, name, place): the longest names that a question's text holds, letter case aside; equal lengths by key.
 
-    The questions are a stated set and are sent to the names.
+    A name's ending, the part in which names of one kind differ, is the key of an equality join with all
+    pieces of that length of a text; whether the whole name is there is looked at after.
     """
-    q = F.broadcast(questions.select("question_id", F.lower("text").alias("_text")))
-    found = names.where(F.length("name") > 0).join(q, F.contains(F.col("_text"), F.lower(F.col("name"))))
+    known = names.where(F.length("name") > 0).select("key", "name", F.lower("name").alias("_name"))
+    known = known.withColumn("_end", F.substring("_name", F.greatest(F.lit(1), F.length("_name") - ENDING + 1), F.lit(ENDING)))
+    sizes = sorted(r[0] for r in known.select(F.length("_end")).distinct().collect())  # ENDING values at most
+    text = F.col("_text")
+    pieces = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n))))
+    asked = questions.select("question_id", F.lower("text").alias("_text"))
+    every = F.array_distinct(F.concat(*(F.coalesce(pieces(n), F.array().cast("array<string>")) for n in sizes))) if sizes else F.array().cast("array<string>")
+    found = asked.select("question_id", "_text", F.explode(every).alias("_end")).join(known, "_end").where(F.contains("_text", F.col("_name")))
     by = Window.partitionBy("question_id").orderBy(F.length("name").desc(), "key")
     return found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= top).select("question_id", "key", "name", "place")
 

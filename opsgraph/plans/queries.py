@@ -459,13 +459,12 @@ def no_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return fuse.control(documents(spark, d), questions(spark, d))
 
 
-@query("SELECT lang, count(*) AS n, sha256(string_agg(sha256(text || chr(0)), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY lang")
+@query("""WITH a AS (SELECT lang, doc_id // 1024 AS b, sha256(string_agg(sha256(text || chr(0)), '' ORDER BY doc_id)) AS d FROM documents GROUP BY ALL),
+b AS (SELECT lang, b // 1024 AS c, sha256(string_agg(d, '' ORDER BY b)) AS d FROM a GROUP BY ALL) SELECT lang, sha256(string_agg(d, '' ORDER BY c)) AS fingerprint FROM b GROUP BY lang""")
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), fingerprint(F.col("text"), F.col("doc_id")).alias("fingerprint"))
+    return fingerprint(table(spark, d, "documents"), "lang", "text", "doc_id")
 
 
-NEAR = "SELECT question_id, min(id) AS m FROM vec WHERE place <= 8 GROUP BY 1"
-
 
 @query(oracle(f"WITH {VEC}, back AS (SELECT dst AS src, src AS dst FROM supports), s AS (SELECT DISTINCT question_id::varchar AS start, 'customer:' || id AS node, 0 AS hop FROM vec JOIN customer ON c_custkey = id WHERE place <= 8), {reach_sql('SELECT * FROM s', 'supports', 4, 'u')}, {reach_sql('SELECT * FROM s', 'back', 4, 'n')}, a AS (SELECT start, node, hop FROM u UNION ALL SELECT start, node, hop FROM n WHERE hop > 0), o AS (SELECT start, node, min(hop) AS hop FROM a GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hop, node) AS place FROM o) SELECT start, node, hop::int AS hop, place::int AS place FROM p WHERE place <= 80", "supports", recursive=True))
 def vector_walk(spark: SparkSession, d: str) -> DataFrame:
