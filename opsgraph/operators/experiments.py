@@ -86,3 +86,14 @@ def scaling(vectors: DataFrame, question: DataFrame, sizes: tuple[int, ...], see
     hit = stacks.withColumn("_r", F.row_number().over(Window.partitionBy("seed", "size").orderBy(F.desc("score"), F.desc("id"))))
     each = hit.groupBy("seed", "size").agg((F.count_if(F.col("gold") & (F.col("_r") <= top)) / F.count_if("gold")).alias("recall"))
     return each.groupBy("size").agg(F.round(F.avg("recall"), 6).alias("recall"))
+
+
+def peaks(by_seed: DataFrame, share: float = 0.8) -> DataFrame:
+    """One row from (seed, fraction, short): at which fraction partly wrong answers are most, and whether in at least `share` of the seeds they become fewer after.
+
+    Partly wrong answers peak in the middle: with little damage most are whole, with much most are empty.
+    """
+    w = Window.partitionBy("seed")
+    top = by_seed.withColumn("_most", F.max("short").over(w)).withColumn("_end", F.max_by("short", "fraction").over(w))
+    each = top.groupBy("seed").agg(F.min(F.when(F.col("short") == F.col("_most"), F.col("fraction"))).alias("peak"), F.first(F.col("_end") < F.col("_most")).alias("falls"))
+    return each.agg(F.round(F.avg("peak"), 6).alias("peak"), F.count_if("falls").alias("falling"), F.count("*").alias("seeds"), (F.count_if("falls") >= share * F.count("*")).alias("falls"))

@@ -354,3 +354,70 @@ def test_frozen_hash_sees_a_changed_question(spark):
     assert a != evaluate.frozen_hash(spark.createDataFrame([(1, "a!", "k", False), (2, "b", "k", True)], kind))
     gate = evaluate.control_gate(spark.createDataFrame([("gold", True), ("random", False)], "context string, correct boolean")).first()
     assert gate.passes
+
+
+class Service:
+    """Keeps rows in a folder; commits and then times out now and then; may ignore filters."""
+
+    def __init__(self, folder, phantom=False):
+        self.folder, self.phantom = str(folder), phantom
+
+    def send(self, rows):
+        import os
+
+        for r in rows:
+            with open(f"{self.folder}/{r['number']}", "a") as f:
+                f.write("x")
+        mark = f"{self.folder}/.fail-{rows[0]['number']}"
+        if not os.path.exists(mark) and len(rows) > 3:
+            open(mark, "w").close()
+            for r in rows[len(rows) // 2 :]:  # half of them did not get through
+                os.remove(f"{self.folder}/{r['number']}")
+            raise TimeoutError("committed, then timed out")
+
+    def exists(self, keys):
+        import os
+
+        return {"other"} if self.phantom else {k for k in keys if os.path.exists(f"{self.folder}/{k}")}
+
+
+def test_loading_survives_commits_that_time_out(spark, tmp_path):
+    from opsgraph.sources import loader
+
+    rows = spark.range(100).selectExpr("concat('INC', id) number", "id").repartition(3)
+    service = Service(tmp_path)
+    assert loader.load(rows, "number", service.send, service.exists, batch=20, pause=0.01) == 100
+    assert all((tmp_path / f"INC{i}").read_text() == "x" for i in range(100))
+    assert loader.load(rows, "number", service.send, service.exists) == 0
+    with pytest.raises(Exception, match="ignores the filter"):
+        loader.load(rows, "number", service.send, Service(tmp_path, phantom=True).exists)
+
+
+def test_progress_is_whole_or_as_it_was(tmp_path):
+    from opsgraph.sources import loader
+
+    path = str(tmp_path / "p")
+    assert loader.progress(path) == {}
+    loader.keep_progress(path, incidents=5)
+    loader.keep_progress(path, changes=2)
+    assert loader.progress(path) == {"incidents": 5, "changes": 2}
+
+
+def test_registered_functions(spark):
+    from opsgraph.functions.register import register
+
+    register(spark)
+    r = spark.sql("select approx_tokens('abcdefghi') a, round(bm25_idf(10, 1), 6) b, out_of_hours(timestamp_ntz'2024-01-06 12:00:00') c").first()
+    assert (r.a, r.b, r.c) == (2, 1.992430, True)
+    assert [x.term for x in spark.sql("select t.term from values ('Disk full on lnx01') v(x), lateral terms(v.x) t order by t.place").collect()] == ["disk", "full", "on", "lnx01"]
+
+
+def test_partly_wrong_answers_peak(spark):
+    rows = [(s, f, n) for s in range(5) for f, n in ((0.0, 0), (0.2, 9), (0.4, 4 if s else 12))]
+    r = experiments.peaks(spark.createDataFrame(rows, "seed int, fraction double, short long")).first()
+    assert (r.seeds, r.falling, r.falls) == (5, 4, True)
+
+
+def test_crossing_point(spark):
+    rows = [(0.0, "g", 1.0), (0.0, "b", 0.4), (0.2, "g", 0.5), (0.2, "b", 0.4), (0.4, "g", 0.4), (0.4, "b", 0.4)]
+    assert experiments.crossing(spark.createDataFrame(rows, "fraction double, arm string, recall double"), "g", "b").first().fraction == 0.4
