@@ -14,7 +14,8 @@ refined by the bucket identifiers found at later offsets: identifiers of depth Q
    of each meet, and their windows are put in buckets of depth LENGTH one by one.
 
 Each task first deals with what repeats within its own batch, so that a passage in a third of all
-documents sends a row a batch, not a row a copy.
+documents sends a row a batch, not a row a copy; and a Q-gram with very many different surroundings
+(a line that a third of all documents hold) is dealt out by these.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ RUNS = "g long, c long, doc long, at long"
 CONTEXTS = "g long, doc long, at long, bytes binary"
 #: Buckets of more than MANY different runs are refined window by window, dealt out evenly; HOT marks their runs.
 MANY, HOT = 500, 1 << 62
+#: Buckets with as many different runs in one batch are dealt out by run, not by bucket; KNOWN marks these, and
+#: TOLD the rows by which the bucket learns of it.
+MANY_HERE, KNOWN, TOLD = 100, 1 << 61, -(1 << 63)
 
 
 @lru_cache(1)
@@ -135,10 +139,11 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[new], start[new], (reach - rank)[np.append(new[1:], len(doc)) - 1]
 
 
-def _dealt(g: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+def _dealt(g: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, spread: bool = False) -> pa.RecordBatch:
     """Rows to deal out: the first of each (g, c) here, and, as intervals, what repeats it.
 
-    An interval is a negative `at`, under a bucket of its own.
+    An interval is a negative `at`, under a bucket of its own. With spread, rows of a bucket that holds
+    MANY_HERE or more different runs go by run; two rows tell the bucket that it holds different runs.
     """
     order = np.lexsort((at, doc, c, g))
     g, c, doc, at, start, end = (x[order] for x in (g, c, doc, at, start, end))
@@ -148,8 +153,17 @@ def _dealt(g: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, start:
     again = (doc != doc[head]) | (at != at[head])
     d, s, e = merged(doc[again], start[again], end[again])
     own = mix(d.astype(np.uint64) * _K[4] + s.astype(np.uint64))
-    whole = lambda a, b: pa.array(np.concatenate([a[first].view(np.int64), b]))
-    return pa.RecordBatch.from_arrays([whole(g, own.view(np.int64)), whole(c, np.zeros(len(d), np.int64)), whole(doc, d), whole(at, -(s << 31 | e) - 1)], names=["g", "c", "doc", "at"])
+    g, c, doc, at = g[first], c[first], doc[first], at[first]
+    more_g = more_c = np.zeros(0, np.int64)
+    if spread:
+        buckets, of, kinds = np.unique(g, return_inverse=True, return_counts=True)
+        known = kinds[of] >= MANY_HERE
+        g, at = np.where(known, mix(g ^ c * _K[6]), g), np.where(known, at | KNOWN, at)
+        more_g = np.repeat(buckets[kinds >= MANY_HERE].view(np.int64), 2)
+        more_c = np.tile(np.array([1, 2]), len(more_g) // 2)
+    none = np.zeros(len(more_g), np.int64)
+    whole = lambda a, b, more: pa.array(np.concatenate([a.view(np.int64), b, more]))
+    return pa.RecordBatch.from_arrays([whole(g, own.view(np.int64), more_g), whole(c, np.zeros(len(d), np.int64), more_c), whole(doc, d, none), whole(at, -(s << 31 | e) - 1, none + TOLD)], names=["g", "c", "doc", "at"])
 
 
 def _joined(columns: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
@@ -166,7 +180,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece = np.searchsorted([a for a, _ in bounds], first, "right") - 1
             found.append((g, c, docs[row[piece]], place + add[piece] << 14 | place - first << 7 | place - last, first + add[piece], last + add[piece] + LENGTH))
         if found:
-            yield _dealt(*_joined(found))
+            yield _dealt(*_joined(found), spread=True)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,10 +296,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         named = saved(own.orderBy(F.asc_nulls_last("doc"), "text").withColumn("n", F.monotonically_increasing_id()), "numbered")
         own = named.select(F.col("n").alias("doc"), "text")
 
-    dealt = _repeated(own.mapInArrow(_runs, RUNS).repartition("g"))
-    place, low, high = F.shiftright("at", 14), F.shiftright("at", 7).bitwiseAND(127), F.col("at").bitwiseAND(127)
+    # A run that went by itself may be the first there and yet repeat one that went by its bucket: both are
+    # in doubt, as the bucket knows of several kinds, and the bytes decide.
+    dealt = _repeated(own.mapInArrow(_runs, RUNS).repartition("g")).where(F.col("at") != TOLD)
+    known = F.col("at").bitwiseAND(F.lit(KNOWN)) != 0
+    run = F.col("at").bitwiseAND(F.lit(KNOWN - 1))
+    place, low, high = F.shiftright(run, 14), F.shiftright(run, 7).bitwiseAND(127), run.bitwiseAND(127)
     interval = F.when(F.col("at") < 0, -(F.col("at") + 1)).when(F.col("again"), F.shiftleft(place - low, 31).bitwiseOR(place - high + LENGTH))
-    doubt = F.when((F.col("at") >= 0) & ~F.col("again") & (F.col("kinds") > 1), F.col("at").bitwiseOR(F.when(F.col("kinds") > MANY, HOT).otherwise(0)))
+    doubt = F.when((F.col("at") >= 0) & ~F.col("again") & (known | (F.col("kinds") > 1)), run.bitwiseOR(F.when(known | (F.col("kinds") > MANY), HOT).otherwise(0)))
     told = dealt.select("doc", interval.alias("iv"), doubt.alias("doubt")).where("iv is not null or doubt is not null")
     first = saved(told.groupBy("doc").agg(F.collect_list("iv").alias("iv"), F.collect_list("doubt").alias("doubt")), "runs")
 

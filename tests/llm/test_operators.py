@@ -233,6 +233,17 @@ def test_parts_of_a_long_text_have_the_same_windows(monkeypatch):
     assert windows() == whole and len({(d, p) for d, p, *_ in whole}) == len(whole) == sum(len(t) - 99 for t in (prose(1, 3000), prose(2, 50)))
 
 
+def test_frequent_lines_go_by_their_surroundings(spark):
+    line = "this line stands in a great many documents, always with other words about it "
+    own = lambda i: "".join(random.Random(i).choices("abcdefghij ", k=150))
+    texts = {i: own(i) + line + own(1000 + i % 120) for i in range(260)}
+    assert len({t[100:] for t in texts.values()}) > 2 * suffixdedup.MANY_HERE
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(2)
+    rows = pa.Table.from_batches(suffixdedup._runs(iter([pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts.values()))], names=["doc", "text"])]))).column("at").to_numpy()
+    assert (rows == suffixdedup.TOLD).any() and ((rows > 0) & (rows & suffixdedup.KNOWN > 0)).any()
+    assert found_repeats(df) == brute_repeats(texts)
+
+
 def test_repeats_in_texts_longer_than_a_part(spark):
     long = prose(1, 210_000)
     assert len(long) > 1.01 * suffixdedup.PART
