@@ -20,20 +20,19 @@ def _grid(df: DataFrame, seeds=SEEDS, fractions=FRACTIONS) -> DataFrame:
 
 def damaged(edges: DataFrame, seeds=SEEDS, fractions=FRACTIONS) -> DataFrame:
     """(seed, fraction, src, dst): what is left when each edge is lost with that chance. The chance is a hash of seed and edge, the same in any engine, and more is lost of what was lost before."""
-    grown = _grid(edges.select("src", "dst").distinct(), seeds, fractions)
+    drawn = edges.select("src", "dst").distinct().withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("seed").cast("string"), "src", "dst")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return grown.where(draw >= F.col("fraction")).select("seed", "fraction", "src", "dst")
+    left = drawn.withColumn("_d", draw).withColumn("fraction", F.explode(F.array(*map(F.lit, fractions)))).where(F.col("_d") >= F.col("fraction"))
+    return left.select("seed", "fraction", "src", "dst")
 
 
 def damage_sweep(edges: DataFrame, starts: DataFrame, hops: int = 4, seeds=SEEDS, fractions=FRACTIONS) -> DataFrame:
     """(fraction, runs, exact, short, empty, recall): how the sets reached from the starts hold up. All seeds, fractions and starts walk at once."""
-    mark = lambda *cols: F.concat_ws("|", *cols)
-    left = damaged(edges, seeds, fractions).select(mark(F.col("seed").cast("string"), F.col("fraction").cast("string"), "src").alias("src"), mark(F.col("seed").cast("string"), F.col("fraction").cast("string"), "dst").alias("dst"))
+    world = ("seed", "fraction")
     begun = _grid(starts.select("start").distinct(), seeds, fractions)
-    keyed = begun.select("start", "seed", "fraction", mark(F.col("seed").cast("string"), F.col("fraction").cast("string"), "start").alias("walk"))
-    got = reach(left, keyed.select(F.col("walk").alias("start")), hops).groupBy(F.col("start").alias("walk")).agg(F.count("*").alias("found"))
+    got = reach(damaged(edges, seeds, fractions), begun, hops, world=world).groupBy(*world, "start").agg(F.count("*").alias("found"))
     full = reach(edges, starts, hops).groupBy("start").agg(F.count("*").alias("gold"))
-    rows = keyed.join(full, "start").join(got, "walk", "left").fillna(0, ["found"])
+    rows = begun.join(full, "start").join(got, [*world, "start"], "left").fillna(0, ["found"])
     return rows.groupBy("fraction").agg(
         F.count("*").alias("runs"), F.count_if(F.col("found") == F.col("gold")).alias("exact"), F.count_if((F.col("found") > 0) & (F.col("found") < F.col("gold"))).alias("short"), F.count_if(F.col("found") == 0).alias("empty"), F.round(F.avg(F.col("found") / F.col("gold")), 6).alias("recall")
     )
