@@ -178,6 +178,6 @@ def edited_neighbours(docs: DataFrame, words: tuple[str, ...], text: str = "text
         other = known.fingerprint(edited)
         return row[2], row[4], sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), row[5], other, likeness(row[5], other), likeness(row[5], after[5])
 
-    dealt = own.select("id", "text").mapInArrow(send, _ROWS).repartition("pid").sortWithinPartitions("pid", "extra", F.desc("id"), "tie")
+    dealt = own.select("id", "text").mapInArrow(send, _ROWS).repartitionById(len(cuts) + 1, "pid").sortWithinPartitions("pid", "extra", F.desc("id"), "tie")
     out = dealt.mapInArrow(pair, _OUT)
     return out.select(F.when(F.col("id") != least, F.col("id")).alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
