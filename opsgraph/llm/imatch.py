@@ -27,9 +27,10 @@ from opsgraph.llm.common import mix, packed, ship, unpacked
 
 #: A term is kept if its share of documents lies between these: an idf of ln 5 to ln 500.
 LEAST_SHARE, MOST_SHARE = 1 / 500, 1 / 5
-#: Subsets, by the share of the lexicon each keeps; a part of a fingerprint has 8 hex digits.
-SHARES = (1 / 2,) * 4 + (1 / 8,) * 8 + (1 / 32,) * 8 + (1 / 128,) * 4
-EMPTY = "0" * 8
+#: Subsets, by the share of the lexicon each keeps; a part of a fingerprint has DIGITS hex digits.
+SHARES = (1 / 8,) * 12 + (1 / 32,) * 24 + (1 / 128,) * 24 + (1 / 512,) * 16
+DIGITS = 4
+EMPTY = "0" * DIGITS
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -55,7 +56,7 @@ class Lexicon:
         at = at[np.argsort(self.hash[at], kind="stable")]
         hashes, member = self.hash[at], self.subset[at]
         parts = [f"{xxhash.xxh64_intdigest(hashes.tobytes()):016x}"]
-        parts += [f"{xxhash.xxh32_intdigest(hashes[m].tobytes()) or 1:08x}" if m.any() else EMPTY for m in member.T]
+        parts += [f"{xxhash.xxh64_intdigest(hashes[m].tobytes()) % 65_535 + 1:04x}" if m.any() else EMPTY for m in member.T]
         return "".join(parts)
 
 
@@ -63,7 +64,7 @@ def likeness(a: str, b: str) -> float:
     """1 for equal fingerprints; else the share of equal parts among those that aren't empty in both."""
     if a == b:
         return 1.0
-    pairs = [(a[i : i + 8], b[i : i + 8]) for i in range(16, len(a), 8)]
+    pairs = [(a[i : i + DIGITS], b[i : i + DIGITS]) for i in range(16, len(a), DIGITS)]
     some = [x == y for x, y in pairs if x != EMPTY or y != EMPTY]
     return sum(some) / len(some) if some else 0.0
 
