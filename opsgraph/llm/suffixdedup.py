@@ -275,9 +275,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(dealt: DataFrame) -> DataFrame:
-    """dealt (RUNS), dealt out by bucket, with `again`: not the first of its refined bucket, and `kinds`: how many that bucket was refined into."""
+    """dealt (RUNS), dealt out by bucket, with `again`: not the first of its refined bucket, `kinds`: how many that bucket was refined into, and `told`: whether runs of it went by themselves."""
     again = F.row_number().over(Window.partitionBy("g", "c").orderBy("doc", "at")) > 1
-    return dealt.withColumn("again", again).withColumn("kinds", F.count_if(~F.col("again")).over(Window.partitionBy("g")))
+    of = Window.partitionBy("g")
+    return dealt.withColumn("again", again).withColumns({"kinds": F.count_if(~F.col("again")).over(of), "told": F.max(F.col("at") == TOLD).over(of)})
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -297,13 +298,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         own = named.select(F.col("n").alias("doc"), "text")
 
     # A run that went by itself may be the first there and yet repeat one that went by its bucket: both are
-    # in doubt, as the bucket knows of several kinds, and the bytes decide.
+    # in doubt, as the bucket knows of several kinds, and both are HOT, so that their windows meet.
     dealt = _repeated(own.mapInArrow(_runs, RUNS).repartition("g")).where(F.col("at") != TOLD)
     known = F.col("at").bitwiseAND(F.lit(KNOWN)) != 0
     run = F.col("at").bitwiseAND(F.lit(KNOWN - 1))
     place, low, high = F.shiftright(run, 14), F.shiftright(run, 7).bitwiseAND(127), run.bitwiseAND(127)
     interval = F.when(F.col("at") < 0, -(F.col("at") + 1)).when(F.col("again"), F.shiftleft(place - low, 31).bitwiseOR(place - high + LENGTH))
-    doubt = F.when((F.col("at") >= 0) & ~F.col("again") & (known | (F.col("kinds") > 1)), run.bitwiseOR(F.when(known | (F.col("kinds") > MANY), HOT).otherwise(0)))
+    doubt = F.when((F.col("at") >= 0) & ~F.col("again") & (known | (F.col("kinds") > 1)), run.bitwiseOR(F.when(known | F.col("told") | (F.col("kinds") > MANY), HOT).otherwise(0)))
     told = dealt.select("doc", interval.alias("iv"), doubt.alias("doubt")).where("iv is not null or doubt is not null")
     first = saved(told.groupBy("doc").agg(F.collect_list("iv").alias("iv"), F.collect_list("doubt").alias("doubt")), "runs")
 

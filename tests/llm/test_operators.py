@@ -244,6 +244,19 @@ def test_frequent_lines_go_by_their_surroundings(spark):
     assert found_repeats(df) == brute_repeats(texts)
 
 
+@pytest.mark.parametrize("head", ["", "a header of sixty bytes that stands before all of the line. "])
+def test_frequent_lines_meet_where_one_batch_has_few(spark, head):
+    line = head + "this line stands in a great many documents, always with other words about it "
+    own = lambda i: "".join(random.Random(i).choices("abcdefghij ", k=150))
+    texts = {i: own(i) + line + own(1000 + i % 150) for i in range(180)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 150)
+    try:
+        assert found_repeats(df) == brute_repeats(texts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_repeats_in_texts_longer_than_a_part(spark):
     long = prose(1, 210_000)
     assert len(long) > 1.01 * suffixdedup.PART
