@@ -9,14 +9,16 @@ Work is on distinct fingerprints, so copies cost nothing. A segment value that m
 fingerprints share isn't paired: its fingerprints meet, exactly, in the values one bit away from them
 (two that differ in at most two bits have such a value in common, and at most 65 share one).
 
-For texts that are alike to a lower degree, 64 bits are too few to tell; there, prints of 2,048 bits
-meet by equal segments and are pruned by the chains that follow them on the ring.
+For texts that are alike to a lower degree, bits are too few to tell; there, texts meet by the rarest of
+their shingles (prefix filtering) and their sets of shingles decide.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import reduce
+from fractions import Fraction
+from functools import lru_cache, reduce
 from itertools import repeat
 
 import numpy as np
@@ -162,11 +164,14 @@ def grouped(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(rooted.select("_f", "_root").join(named, "_root").select("_f", "_component"), "_f")
 
 
-WIDE, PART, SIMILARITY, WORDS = 2048, 24, 0.8, 5
-#: How many rows before it in its bucket a row is held against, besides the first.
-BEFORE = 4
-#: Of the 64 bits after an equal segment, how many may differ: 0.15 x 64 within the similarity, over 30 of unlike texts.
-CHAIN = 16
+WIDE, SIMILARITY, WORDS = 2048, 0.8, 5
+#: Buckets of up to SMALL texts are compared pair by pair, larger ones in rounds, in each of which a bucket asks GROW times as many of its texts.
+SMALL, GROW = 8, 8
+#: Shingles are ordered by how many of a sample of the texts hold them, if COMMON or more do. The order only makes buckets smaller; any gives the same pairs.
+SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_ONE_IN, COMMON, ORDERED = 4_000, 32_000, 500, 3, 200_000
+#: Prints of sets of PRINTED or more shingles are trusted to tell, beyond FAR standard deviations, that two texts are not alike.
+PRINTED, FAR = 128, 6
+MET = "b long, k long, s long, asked boolean, o long"
 
 
 def wide_fingerprints(texts: list[str], size: int = WORDS) -> np.ndarray:
@@ -192,89 +197,244 @@ def wide_fingerprints(texts: list[str], size: int = WORDS) -> np.ndarray:
     return out
 
 
-def allowed(similarity: float) -> int:
-    """Bits of WIDE that may differ: the angle of two sets of equal size with that Jaccard similarity, and one standard deviation of the estimate."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return round(share * WIDE + np.sqrt(share * (1 - share) * WIDE))
+def distinct(text: str, size: int = WORDS) -> np.ndarray:
+    """XXH64 of the text's distinct shingles, in ascending order."""
+    found = set(shingles(text, size))
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
+
+
+def name(values: np.ndarray) -> int:
+    """What stands for a set of shingles: 64 bits, signed."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).view(np.int64))
 
 
 def _both(size: int) -> Column:
-    @F.pandas_udf("struct<f:long,w:binary>")
+    @F.pandas_udf("struct<f:long,k:long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         values = [t or "" for t in texts]
-        return pd.DataFrame({"f": fingerprints(values).view(np.int64), "w": [w.tobytes() for w in wide_fingerprints(values, size)]})
+        return pd.DataFrame({"f": fingerprints(values).view(np.int64), "k": np.array([name(distinct(t, size)) for t in values], np.int64)})
 
     return of("_text")
 
 
-def _segments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, root, wide print -> for each segment of PART bits: its number and value, key, root, and the 64 bits that follow on the ring."""
-    n = WIDE // PART
-    weights = 1 << np.arange(PART - 1, -1, -1, dtype=np.int64)
+def _order(own: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are frequent in a sample of own (_key, _text), ascending, and the rank of each by frequency."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [distinct(t or "", size) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["v"])
+
+    rows = own.count()
+    want = min(SAMPLE_MOST, max(SAMPLE_LEAST, rows // SAMPLE_ONE_IN))
+    some = own.where(F.pmod(F.xxhash64("_key", F.lit(SEED)), F.lit(1 << 20)) < (1 << 20) * want // max(rows, 1))
+    counts = some.select("_text").mapInArrow(of, "v long").groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    top = counts.orderBy(F.desc("n"), "v").limit(ORDERED).toArrow()
+    values, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(values)
+    return values[order], n[order]
+
+
+def _bounds(similarity: float) -> tuple[int, int]:
+    return Fraction(str(similarity)).as_integer_ratio()
+
+
+def _possible(s: np.ndarray, t: np.ndarray, up: int, down: int) -> np.ndarray:
+    """Whether texts with their first common shingle there (size << 31 | place) can be up / down alike."""
+    n, m = s >> 31, t >> 31
+    most = np.minimum(n - (s & (1 << 31) - 1), m - (t & (1 << 31) - 1))
+    return most * (up + down) >= up * (n + m)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], order: tuple[np.ndarray, np.ndarray], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """text -> for each shingle of its prefix: the shingle b, the text's name k, its number of shingles and the shingle's place s."""
+    (known, rank), (up, down) = order, _bounds(similarity)
+    for batch in batches:
+        seen, b, k, s = set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for t in batch.column(0).to_pylist():
+            v = distinct(t or "", size)
+            one, n = name(v), len(v)
+            if not n or one in seen:
+                continue
+            seen.add(one)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+                v = v[np.lexsort((v, np.where(known[at] == v, rank[at], 0)))]
+            v = v[: n + -(up * n) // down + 1]
+            b.append(v)
+            k.append(np.full(len(v), one))
+            s.append(n << 31 | np.arange(len(v)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(b).view(np.int64)), pa.array(np.concatenate(k)), pa.array(np.concatenate(s))], names=["b", "k", "s"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of whole buckets, from batches sorted by their first column."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        b = table.column(0)
+        rest = table
+        if len(b) and b[0].as_py() != b[-1].as_py():
+            cut = int(np.searchsorted(b.to_numpy(), b[-1].as_py()))
+            yield [c.to_numpy() for c in table.slice(0, cut).columns]
+            rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield [c.to_numpy() for c in rest.columns]
+
+
+def _rows(b: np.ndarray, k: np.ndarray, s: np.ndarray, asked: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """MET: rows of buckets, and (with o) distinct pairs of texts."""
+    two = np.concatenate([np.zeros((0, 2), np.int64), *(np.stack([np.minimum(x, y), np.maximum(x, y)], 1) for x, y in pairs)])
+    two = pd.DataFrame(two, columns=["k", "o"]).drop_duplicates().to_numpy()
+    n, none = len(b), np.zeros(len(two), np.int64)
+    o = np.concatenate([np.zeros(n, np.int64), two[:, 1]])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([b, none])), pa.array(np.concatenate([k, two[:, 0]])), pa.array(np.concatenate([s, none])), pa.array(np.concatenate([asked, none > 0])), pa.array(o, mask=np.arange(len(o)) < n)],
+        names=["b", "k", "s", "asked", "o"],
+    )
+
+
+def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(b, k, s), sorted -> MET: the pairs of small buckets, and the rows of large ones."""
+    up, down = _bounds(similarity)
+    for b, k, s in _by_bucket(batches):
+        new = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])
+        b, k, s = b[new], k[new], s[new]
+        start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        size = np.repeat(np.diff(np.append(start, len(b))), np.diff(np.append(start, len(b))))
+        large = size > SMALL
+        few = np.flatnonzero((size > 1) & ~large)
+        pairs = []
+        for d in range(1, SMALL):
+            x = few[few + d < len(b)]
+            x = x[(b[x] == b[x + d]) & _possible(s[x], s[np.minimum(x + d, len(b) - 1)], up, down)]
+            pairs.append((k[x], k[x + d]))
+        yield _rows(b[large], k[large], s[large], np.zeros(int(large.sum()), bool), pairs)
+
+
+def _ask(batches: Iterator[pa.RecordBatch], take: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(b, k, s, asked, r), sorted by bucket -> MET: each bucket's next `take` texts with those of other groups, and the rows of buckets not done.
+
+    Texts that joined the group of one asked before come first, so that a group found through one of its
+    texts is followed from there.
+    """
+    up, down = _bounds(similarity)
+    for b, k, s, asked, r in _by_bucket(batches):
+        start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        for i, j in zip(start, np.append(start[1:], len(b))):
+            if (r[i:j] == r[i]).all():
+                continue
+            done = asked[i:j].astype(bool)
+            joined = np.isin(r[i:j], r[i:j][done])
+            turn = np.lexsort((k[i:j], ~joined, done))[: min(take, int((~done).sum()))]
+            for from_ in range(0, len(turn), 64):
+                pairs = []
+                for x in turn[from_ : from_ + 64]:
+                    other = np.flatnonzero(~done & (r[i:j] != r[i + x]) & _possible(s[i:j], s[i + x], up, down))
+                    done[x] = True
+                    pairs.append((np.full(len(other), k[i + x]), k[i:j][other]))
+                yield _rows(b[:0], k[:0], s[:0], done[:0], pairs)
+            if not done.all():
+                yield _rows(b[i:j], k[i:j], s[i:j], done, [])
+
+
+def allowed(similarity: float) -> int:
+    """Bits of WIDE that may differ: the angle of two sets of equal size with that Jaccard similarity (the widest), and FAR standard deviations of the estimate."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return round(share * WIDE + FAR * np.sqrt(share * (1 - share) * WIDE))
+
+
+def _details(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """k, text -> k, how many shingles, wide print, compressed text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            bits = np.unpackbits(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1)
-            ring = np.concatenate([bits, bits[:, : PART + 64]], 1)
-            for i in range(n):
-                value = ring[:, i * PART : (i + 1) * PART] @ weights
-                after = np.packbits(ring[:, (i + 1) * PART : (i + 1) * PART + 64], axis=1).view(">i8").ravel().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(value + (i << PART)), part.column(0), part.column(1), pa.array(after)], names=["b", "k", "r", "after"])
-
-
-def _met(wide: DataFrame, before: int) -> DataFrame:
-    """Pairs (a, b) of keys of wide (k, r, w): a row with the first of its bucket and the `before` rows before it, of another root, whose chain is near."""
-    rows = wide.select("k", "r", "w").mapInArrow(_segments_of, "b long, k long, r long, after long")
-    by = Window.partitionBy("b").orderBy("k")
-    row = F.struct("k", "r", "after")
-    seen = F.array(F.first(row).over(by), *(F.lag(row, i).over(by) for i in range(1, before + 1)))
-    met = rows.withColumn("_o", seen).select("k", "r", "after", F.explode("_o").alias("o")).where("o is not null and o.r <> r")
-    near = F.bit_count(F.col("after").bitwiseXOR(F.col("o.after"))) <= CHAIN
-    return met.where(near).select(F.col("o.k").alias("a"), F.col("k").alias("b")).distinct()
-
-
-def _alike(pairs: DataFrame, wide: DataFrame, most: int) -> DataFrame:
-    """The pairs whose whole prints differ in at most so many bits."""
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            texts = part.column(1).to_pylist()
+            n = [len(set(shingles(t, size))) for t in texts]
+            w, z = [x.tobytes() for x in wide_fingerprints(texts, size)], [zlib.compress(t.encode("utf-8", "surrogatepass"), 3) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(w, pa.binary()), pa.array(z, pa.binary())], names=["k", "n", "w", "z"])
+
+
+def _alike(pairs: DataFrame, details: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The distinct pairs (k, o) whose sets of shingles have that Jaccard similarity, as links (a, b).
+
+    Prints of sets of PRINTED or more shingles that differ by FAR standard deviations spare the pair the comparison of its texts.
+    """
+    (up, down), most = _bounds(similarity), allowed(similarity)
 
     @F.arrow_udf("int")
     def differ(x: pa.Array, y: pa.Array) -> pa.Array:
         bits = [np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) for v in (x, y)]
         return pa.array(np.bitwise_count(bits[0] ^ bits[1]).sum(1).astype(np.int32))
 
-    one, two = wide.select(F.col("k").alias("a"), F.col("w").alias("_wa")), wide.select(F.col("k").alias("b"), F.col("w").alias("_wb"))
-    return pairs.join(one, "a").join(two, "b").where(differ("_wa", "_wb") <= most).select("a", "b")
-
-
-def similar(wide: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between keys of wide (k, w), w distinct, whose prints differ in few enough bits.
-
-    Keys meet where a whole segment is equal. To begin with, each is held against the least key that leads
-    one of its buckets, which joins most of a large group with one candidate a row. Then each is held
-    against the first of each of its buckets and the BEFORE rows before it that aren't in its group yet. Those whose chain of following segments differs too much go, and the
-    whole prints decide. Which pairs share a segment is chance: 95 in 100 at the similarity 0.8 to
-    0.85, nearly all above.
+    @F.arrow_udf("boolean")
+    def near(x: pa.Array, y: pa.Array) -> pa.Array:
+        found = lru_cache(64)(lambda z: frozenset(shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"), size)))
+        out = []
+        for v, w in zip(x.to_pylist(), y.to_pylist()):
+            v, w = found(v), found(w)
+            out.append(len(v & w) * (up + down) >= up * (len(v) + len(w)))
+        return pa.array(out, pa.bool_())
+
+    def both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        one, two = (of.select(F.col("k").alias(k), *(F.col(c).alias(c + i) for c in columns)) for k, i in (("k", "1"), ("o", "2")))
+        return pairs.join(one, "k").join(two, "o")
+
+    some = both(pairs.select("k", "o").distinct(), details, "n", "w").where((F.least("n1", "n2") < PRINTED) | (differ("w1", "w2") <= most))
+    some = saved(some.select("k", "o"), "candidates")
+    texts = details.join(some.select("k").union(some.select("o")).distinct(), "k", "left_semi").select("k", "z")
+    return both(some, saved(texts, "texts"), "z").where(near("z1", "z2")).select(F.col("k").alias("a"), F.col("o").alias("b"))
+
+
+def similar(own: DataFrame, named: DataFrame, linked: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that, with those of linked, join all texts whose Jaccard similarity reaches `similarity`.
+
+    own: (_key, _t, _text), named: (_key, _t, k) with k the name of the text's set of shingles. Two such
+    sets have a shingle in common within the first n - ceil(similarity n) + 1 of each in any one order
+    (prefix filtering), and by its places can still be similar. So texts meet in buckets by the shingles
+    of their prefixes, the rarest ones, and the sets decide. No pair is left out by chance; in a large
+    bucket only pairs that are in one group already are.
     """
-    most = allowed(similarity)
-    leads = _met(wide.withColumn("r", F.col("k")), 0).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    roots = components(_alike(leads, wide, most))
-    known = saved(wide.join(roots, wide.k == roots.node, "left").select("k", F.coalesce("root", "k").alias("r"), "w"), "wide")
-    stars = known.where("k <> r").select(F.col("r").alias("a"), F.col("k").alias("b"))
-    return stars.unionByName(_alike(_met(known, BEFORE), wide, most))
+    sent = own.sparkSession.sparkContext.broadcast(_order(own, size))
+    prefixes = own.select("_text").mapInArrow(lambda x: _prefixes(x, sent.value, size, similarity), "b long, k long, s long")
+    met = saved(prefixes.repartition("b").sortWithinPartitions("b", "k").mapInArrow(lambda x: _met(x, similarity), MET), "met")
+    taken = met.select("k").union(met.where("o is not null").select("o")).distinct()
+    least = named.join(taken, "k").groupBy("k").agg(F.min(F.struct("_key", "_t")).alias("l")).select("k", "l._key", "l._t")
+
+    texts = own.join(least, ["_key", "_t"]).select("k", "_text")
+    details = texts.mapInArrow(lambda x: _details(x, size), "k long, n long, w binary, z binary")
+    if not named.groupBy("_key", "_t").count().where("count > 1").isEmpty():
+        details = details.dropDuplicates(["k"])
+    details = saved(details, "details")
+    found = linked.unionByName(saved(_alike(met.where("o is not null"), details, size, similarity), "alike"))
+    left, take, roots = met.where("o is null"), 1, None
+    while not left.isEmpty():
+        if roots is None:
+            roots = saved(components(found), "roots")
+        rooted = left.select("b", "k", "s", "asked").join(roots, left.k == roots.node, "left").select("b", "k", "s", "asked", F.coalesce("root", "k").alias("r"))
+        asked = saved(rooted.repartition("b").sortWithinPartitions("b").mapInArrow(lambda x, take=take: _ask(x, take, similarity), MET), "asked")
+        new = saved(_alike(asked.where("o is not null"), details, size, similarity), "alike")
+        left, take = asked.where("o is null"), take * GROW
+        if not new.isEmpty():
+            found, roots = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(new), None
+    return found
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near copies, the one of least key, with the columns of docs; of rows that repeat a key, one.
+    """One document of each group of near copies, the one of least key, with the columns of docs; of equal rows, one.
 
-    Near copies are texts whose shingles of `size` words are `similarity` alike by their wide prints, or
-    whose fingerprints link as in near_duplicates. Keys are integers; rows with a null key stay.
+    Near copies are texts whose distinct shingles of `size` words have a Jaccard similarity of at least
+    `similarity`, or whose fingerprints link as in near_duplicates. Keys are integers; rows with a null key
+    stay. Rows that repeat a key with another text are documents of their own.
     """
     ship(docs.sparkSession)
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    both = saved(own.select("_key", _both(size).alias("p")).select("_key", F.col("p.f").alias("_f"), F.col("p.w").alias("w")), "keys")
-    wide = saved(both.groupBy("w").agg(F.min("_key").alias("k")), "wide")
-    named = both.join(wide, "w")
+    words = F.coalesce(F.col(text), F.lit(""))
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.xxhash64(words).alias("_t"), words.alias("_text"))
+    named = saved(own.select("_key", "_t", _both(size).alias("p")).select("_key", "_t", F.col("p.f").alias("_f"), F.col("p.k").alias("k")), "keys")
     linked = grouped(named.select(F.col("k").alias("_key"), "_f").distinct()).where("_key <> _component").select(F.col("_key").alias("a"), F.col("_component").alias("b"))
-    roots = components(linked.unionByName(similar(wide, similarity)))
-    gone = named.where("_key <> k").select(F.col("_key").alias("_gone")).union(roots.where("node <> root").select("node"))
-    kept = docs.where(F.col(key).isNotNull()).join(gone, docs[key].cast("long") == F.col("_gone"), "left_anti")
-    return kept.dropDuplicates([key]).select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    roots = components(similar(own, named, saved(linked, "linked"), size, similarity))
+    rooted = named.groupBy("k").agg(F.min(F.struct("_key", "_t")).alias("l")).join(roots, F.col("k") == roots.node, "left")
+    stay = rooted.groupBy(F.coalesce("root", "k").alias("r")).agg(F.min("l").alias("l")).select("l._key", "l._t")
+    mine = packed(docs.where(F.col(key).isNotNull()), _key=F.col(key).cast("long"), _t=F.xxhash64(words))
+    kept = unpacked(mine.join(stay, ["_key", "_t"], "left_semi").dropDuplicates(["_key", "_t"]), docs)
+    return kept.unionByName(docs.where(F.col(key).isNull()))

@@ -401,6 +401,12 @@ def test_near_copies_go_and_others_stay(spark):
     assert len(near) > 40 and kept.isdisjoint(near) and kept >= set(range(40)) | set(range(100, 110))
 
 
+def test_different_short_texts_stay(spark):
+    r = random.Random(3)
+    texts = {" ".join(f"w{r.randrange(10**9)}" for _ in range(1 + i % 5)) for i in range(10_000)}
+    assert simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts) == 10_000
+
+
 def test_wide_prints_estimate_the_angle():
     r = random.Random(4)
     a = " ".join(f"w{r.randrange(10**6)}" for _ in range(800))
