@@ -407,6 +407,26 @@ def test_different_short_texts_stay(spark):
     assert simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts) == 10_000
 
 
+def test_near_copies_within_a_template_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE_LEAST", 100)
+    r = random.Random(5)
+    fresh = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    long, short = fresh(150), fresh(90)
+    texts = [f"{fresh(60)} {short if i % 3 else long} {fresh(40)}" for i in range(120)]
+    texts += [f"{long} {fresh(16)}" for _ in range(60)]
+    texts += [worn(texts[i], 0.005 + 0.02 * r.random(), i) for i in range(0, 180, 2)]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [root[j] if x == root[i] else x for x in root]
+    want = {min(i for i, x in enumerate(root) if x == g) for g in set(root)}
+    assert 100 < len(want) < 180
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in simhash.deduplicated(df).collect()} == want
+
+
 def test_wide_prints_estimate_the_angle():
     r = random.Random(4)
     a = " ".join(f"w{r.randrange(10**6)}" for _ in range(800))
