@@ -427,6 +427,22 @@ def test_near_copies_within_a_template_equal_brute_force(spark, monkeypatch):
     assert {x.doc_id for x in simhash.deduplicated(df).collect()} == want
 
 
+def test_jaccard_decides_at_the_threshold(spark):
+    r = random.Random(6)
+    near, far = [], []
+    for i in range(300):
+        words = [f"w{r.randrange(10**9)}" for _ in range(94)]
+        for out, n in ((near, 10), (far, 11)):  # of 90 shingles, n - 1 or so are others at the end
+            mine = [f"{'n' if out is near else 'f'}{w}" for w in words]
+            out.append((" ".join(mine), " ".join(mine[:-n] + [f"x{r.randrange(10**9)}" for _ in range(n)])))
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert {jaccard(*(set(simhash.shingles(t, 5)) for t in p)) for p in near} == {80 / 100}
+    assert {jaccard(*(set(simhash.shingles(t, 5)) for t in p)) for p in far} == {79 / 101}
+    rows_ = [t for p in near + far for t in p]
+    kept = {x.doc_id for x in simhash.deduplicated(spark.createDataFrame(list(enumerate(rows_)), "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 600, 2)) | set(range(600, 1200))
+
+
 def test_wide_prints_estimate_the_angle():
     r = random.Random(4)
     a = " ".join(f"w{r.randrange(10**6)}" for _ in range(800))
