@@ -443,6 +443,13 @@ def test_jaccard_decides_at_the_threshold(spark):
     assert kept == set(range(0, 600, 2)) | set(range(600, 1200))
 
 
+def test_other_texts_of_a_repeated_key_stay(spark):
+    texts = [prose(i, 60) for i in range(4)]
+    df = spark.createDataFrame([(1, texts[0]), (2, texts[0]), (2, texts[1]), (2, texts[1]), (3, texts[2]), (3, texts[3])], "doc_id long, text string")
+    want = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3])]
+    assert sorted((x.doc_id, x.text) for x in simhash.deduplicated(df).collect()) == sorted(want)
+
+
 def test_wide_prints_estimate_the_angle():
     r = random.Random(4)
     a = " ".join(f"w{r.randrange(10**6)}" for _ in range(800))
