@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from pathlib import Path
@@ -12,6 +11,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsgraph.plans.lineage import cut as saved
+from opsgraph.plans.lineage import forget
+
+__all__ = ["forget", "saved"]
+
+#: Keys that hold more than one in so many of the rows are met by broadcast.
+HEAVY = 1000
 
 _shipped: set[str] = set()
 
@@ -34,23 +40,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where none is set (tests) does a local one stand in."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return context.getCheckpointDir()
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+def weighty(dims: DataFrame, n: str, total: int) -> Column:
+    """Whether a row of dims stands for so many (column n) of all `total` rows that it goes out by broadcast: at most HEAVY rows do."""
+    return F.col(n) > max(1000, total // HEAVY)
+
+
+def joined(rows: DataFrame, dims: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with dims (one row a key, with n, how many of rows have it; n goes) by a null-free key, no key in one task.
+
+    Keys with over one in HEAVY of all rows are at most HEAVY; they are met by a broadcast, so their
+    rows stay where they are, and only the others are shuffled.
+    """
+    hot = weighty(dims, n, total)
+    many = F.broadcast(dims.where(hot).drop(n))
+    return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(dims.where(~hot).drop(n), key))
 
 
 def fold(doc_id: str | Column, folds: int) -> Column:

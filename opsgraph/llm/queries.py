@@ -105,9 +105,9 @@ def _secrets_sql() -> str:
     letters = lambda w: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w)
     assign = "(" + "|".join(map(letters, ("password", "passwd", "secret", "token", "api_?key"))) + ")" + secretscan.ASSIGN.partition("key)")[2]
     ident = "(" + "|".join(map(letters, ("access_?key_?id", "client_?id", "username", "login"))) + ")" + secretscan.IDENT.partition("login)")[2]
-    most, cell = 1 << 30, secretscan.CELL
+    most = 1 << 30
     m = lambda *a: _matches_sql(*a)
-    near = lambda cells: f"(list_contains({cells}, x.s // {cell}) OR list_contains({cells}, x.s // {cell} - 1) OR list_contains({cells}, x.s // {cell} + 1))"
+    near = lambda parts: f"len(list_filter({parts}, lambda y: abs(y.s - x.s) <= {secretscan.SCOPE})) > 0"
     text = lambda spans: f"coalesce(array_to_string(list_transform({spans}, lambda x: ['assign','access','hex','ident','secret','endpoint'][x.k + 1] || ':' || cast(x.s AS bigint) || ':' || cast(x.e AS bigint)), ','), '')"
     clear = lambda l: f"list_filter({l}, lambda x: len(list_filter(base, lambda y: y.s < x.e AND x.s < y.e)) = 0)"
     return f"""
@@ -119,7 +119,7 @@ t1 AS (SELECT doc_id,
     {m(secretscan.ENDPOINT, 1, 0, most, 5)} AS e FROM t0),
 t2 AS (SELECT *, list_sort(list_concat(list_concat(a, k), h)) AS base FROM t1),
 t3 AS (SELECT doc_id, a, k, h, base, {clear('i')} AS i, {clear('s')} AS s, {clear('e')} AS e FROM t2),
-t4 AS (SELECT *, list_transform(list_concat(k, i), lambda x: x.s // {cell}) AS ic, list_transform(list_concat(list_concat(a, h), s), lambda x: x.s // {cell}) AS sc FROM t3),
+t4 AS (SELECT *, list_concat(k, i) AS ic, list_concat(list_concat(a, h), s) AS sc FROM t3),
 t5 AS (SELECT *, list_sort(list_concat(base, list_concat(list_filter(i, lambda x: {near('sc')}), list_concat(list_filter(s, lambda x: {near('ic')}), list_filter(e, lambda x: {near('ic')} AND {near('sc')}))))) AS spans FROM t4)
 SELECT doc_id, cast(len(a) AS bigint) AS n_assign, cast(len(k) AS bigint) AS n_access, cast(len(h) AS bigint) AS n_hex, sha256({text('base')}) AS base_sha256, {text('spans')} AS spans FROM t5"""
 
