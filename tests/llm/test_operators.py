@@ -288,13 +288,6 @@ def test_leaks_survive_substitutions(spark, hard):
     assert decontaminate.clean(hard, bench.limit(0)).count() == hard.count()
 
 
-def test_blocks_of_items_find_the_same(spark, monkeypatch):
-    bench = spark.createDataFrame([(i, prose(50 + i, 25)) for i in range(6)], "item_id long, text string")
-    docs = spark.createDataFrame([(i, prose(i, 10) + " " + prose(50 + i, 25)) for i in range(6)], "doc_id long, text string")
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 30)
-    assert {(r.doc_id, tuple(r.leaked_items)) for r in decontaminate.leaks(docs, bench).collect()} == {(i, (i,)) for i in range(6)}
-
-
 # Pieces
 
 
