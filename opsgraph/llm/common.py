@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -91,6 +92,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Odd multipliers, by place.
+FACTORS = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+
+
+@lru_cache(1)
+def _in_words() -> np.ndarray:
+    """Of each code point: whether it is a letter or digit."""
+    return np.array([chr(i).isalnum() for i in range(0x110000)])
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens (runs of letters and digits, lower case) of all texts in a row, and the bounds (one more than texts)."""
+    points, at = code_points([t.lower() for t in texts])
+    word = np.append(_in_words()[points], False)
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    begins[at[:-1]] |= word[at[:-1]]
+    stops = np.append(begins[1:], False) | ~np.append(word[1:], False)
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(word & stops) + 1
+    own, sizes = points[word[:-1]].astype(np.uint64), ends - starts
+    first = np.cumsum(sizes) - sizes
+    within = np.arange(len(own)) - np.repeat(first, sizes)
+    values = np.add.reduceat(mix(own + np.uint64(1)) * FACTORS[within & 4095], first) if len(first) else np.zeros(0, np.uint64)
+    return mix(values + sizes.astype(np.uint64)), np.searchsorted(starts, at)
+
+
 def packed(docs: DataFrame, **own: Column) -> DataFrame:
     """Each row of docs as one column `_row`, and the columns named: working names can't clash with the caller's."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in own.items()))

@@ -15,14 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgraph.llm.common import code_points, mix, packed, saved, ship, slices, unpacked
+from opsgraph.llm.common import FACTORS, mix, packed, saved, ship, slices, tokens, unpacked
 
 #: 1: compared, 0: ignored. Items of under SHORT tokens have seeds of five tokens, with and without a gap: of two
 #: neighbouring runs of copied tokens about one substitution, together five or more, one seed at least lies in them.
@@ -34,29 +33,6 @@ LEAST_TOKENS, OVERLAP, SIMILARITY = 5, 0.5, 0.8
 BITS_EACH, MOST_BITS, PROBES = 32, 1 << 28, 6
 #: Copies of each item and seed, so that what a great many texts hold is met in as many tasks.
 SALTS = 16
-_FACTORS = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
-
-
-@lru_cache(1)
-def _in_words() -> np.ndarray:
-    """Of each code point: whether it is a letter or digit."""
-    return np.array([chr(i).isalnum() for i in range(0x110000)])
-
-
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens (runs of letters and digits, lower case) of all texts in a row, and the bounds (one more than texts)."""
-    points, at = code_points([t.lower() for t in texts])
-    word = np.append(_in_words()[points], False)
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    begins[at[:-1]] |= word[at[:-1]]
-    stops = np.append(begins[1:], False) | ~np.append(word[1:], False)
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(word & stops) + 1
-    own, sizes = points[word[:-1]].astype(np.uint64), ends - starts
-    first = np.cumsum(sizes) - sizes
-    within = np.arange(len(own)) - np.repeat(first, sizes)
-    values = np.add.reduceat(mix(own + np.uint64(1)) * _FACTORS[within & 4095], first) if len(first) else np.zeros(0, np.uint64)
-    return mix(values + sizes.astype(np.uint64)), np.searchsorted(starts, at)
 
 
 def seeds(values: np.ndarray, mask: str) -> np.ndarray:
@@ -65,7 +41,7 @@ def seeds(values: np.ndarray, mask: str) -> np.ndarray:
     out = np.full(max(0, n), int(mask, 2), np.uint64)
     for j, c in enumerate(mask):
         if c == "1" and n > 0:
-            out += values[j : j + n] * _FACTORS[j]
+            out += values[j : j + n] * FACTORS[j]
     return mix(out)
 
 
@@ -75,7 +51,7 @@ def masks(size: int) -> tuple[str, ...]:
 
 def _probe(h: np.ndarray, k: int, bits: int) -> np.ndarray:
     """The k-th place of each seed in a filter of 2 ** bits bits."""
-    return (h + np.uint64(k) * (mix(h ^ _FACTORS[7]) | np.uint64(1)) if k else h) >> np.uint64(64 - bits)
+    return (h + np.uint64(k) * (mix(h ^ FACTORS[7]) | np.uint64(1)) if k else h) >> np.uint64(64 - bits)
 
 
 def passing(h: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:

@@ -4,29 +4,33 @@ Heuristic labellers vote good, bad or abstain on every text. How often each patt
 among all documents is counted (the patterns are bounded, 3 to the number of labellers); on the counts,
 expectation-maximisation estimates each labeller's accuracy in either class and the share of good
 documents. The posterior of its vote pattern labels a text, and on a bounded sample of such labels a
-linear scorer over hashed features is trained. It scores every text from its features alone.
+linear scorer is trained over hashed words, pairs of neighbouring words and character n-grams. It never
+sees what the labellers measure, and scores every whole text from its own features.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgraph.llm.common import packed, saved, ship, slices, unpacked
+from opsgraph.llm.common import FACTORS, code_points, mix, packed, saved, ship, slices, tokens, unpacked
 
-#: Rows that the scorer is trained on, the longest of them, and the hashed features.
-SAMPLE, LONGEST, BUCKETS = 4000, 20_000, 1 << 14
+#: Rows that the scorer is trained on, the longest of them, and the hashed features of each family.
+SAMPLE, LONGEST, BUCKETS = 3000, 20_000, 1 << 13
+#: Families of features: words, neighbouring words, characters' classes three by three, the text's size.
+FAMILIES = 4
 GOOD, BAD, ABSTAIN = 1, 0, 2
 WORD = re.compile(r"\w+")
 MARKS = re.compile(r"[^\w\s]")
+LONE, DOUBLED = re.compile(r"(?<!\S)[^\w\s]+(?!\S)"), re.compile(r"([^\w\s])\1")
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 #: Labeller, what it measures, bad below, bad above, good from, good to.
 LABELLERS = (
@@ -39,23 +43,26 @@ LABELLERS = (
     ("sentence ends", 6, None, 0.5, 0.01, 0.3),
     ("repeated neighbours", 7, None, 0.2, 0.0, 0.05),
     ("repeated lines", 8, None, 0.3, 0.0, 0.1),
+    ("marks by themselves", 9, None, 0.15, 0.0, 0.03),
+    ("doubled marks", 10, None, 0.2, 0.0, 0.03),
 )
 
 
-def measures(text: str) -> tuple[list[float], list[str]]:
-    """What the labellers look at, and the words (lower case). An empty text measures 0 all through."""
+def measures(text: str) -> list[float]:
+    """What the labellers look at. A text without words measures 0 but for its marks."""
     words = WORD.findall(text.lower())
     n, size = len(words), len(text)
+    marks = len(MARKS.findall(text))
     if not n:
-        return [0.0, 0.0, 0.0, 0.0, 0.0, min(1.0, len(MARKS.findall(text)) / max(1, size)), 0.0, 0.0, 0.0], words
+        return [0.0] * 5 + [marks / max(1, size)] + [0.0] * 5
     counts = Counter(words)
     lines = [x for x in text.split("\n") if x]
-    out = [
+    return [
         float(n), math.log(len(counts)) / math.log(n) if n > 1 else 1.0, max(counts.values()) / n, sum(map(len, words)) / n, len(CAPITALS.findall(text)) / size,
-        len(MARKS.findall(text)) / size, (text.count(".") + text.count("!") + text.count("?")) / n,
+        marks / size, (text.count(".") + text.count("!") + text.count("?")) / n,
         sum(map(str.__eq__, words, words[1:])) / n, 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        len(LONE.findall(text)) / n if marks else 0.0, len(DOUBLED.findall(text)) / n if marks else 0.0,
     ]
-    return out, words
 
 
 def votes(measured: np.ndarray) -> np.ndarray:
@@ -72,11 +79,11 @@ def votes(measured: np.ndarray) -> np.ndarray:
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over vote patterns and their counts: the posterior of good of each pattern, the rates P(vote | class) (2 x labellers x 3), the share of good.
 
-    Starts from the majority vote, so that "good" keeps its meaning; counts are smoothed by one.
+    Starts from patterns without a vote for bad as good, so that "good" keeps its meaning: each labeller
+    knows one kind of junk, so one vote for bad may be all there is. Counts are smoothed by one.
     """
     onehot = np.stack([patterns == v for v in range(3)], 2).astype(float)
-    lead = (patterns == GOOD).sum(1) - (patterns == BAD).sum(1)
-    q = 1 / (1 + np.exp(-(lead - 1.0)))
+    q = np.where((patterns == BAD).any(1), 0.05, 0.95)
     rates, share = np.full((2, patterns.shape[1], 3), 1 / 3), 0.5
     for _ in range(rounds):
         w = np.stack([(1 - q) * counts, q * counts])
@@ -91,60 +98,86 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
     return q, rates, float(share)
 
 
-def features(measured: list[float], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features: binned measures, and shapes of words by their share of the words."""
-    names = [f"m{k}:{min(9, int(v * s))}" for k, (v, s) in enumerate(zip(measured, (0.02, 10, 25, 1, 12, 40, 20, 25, 10)))]
-    at = np.array([zlib.crc32(n.encode()) % BUCKETS for n in names], np.int64)
-    values = np.ones(len(at))
-    if words:
-        shape = np.bincount([min(15, len(w)) for w in words], minlength=16) / len(words)
-        at = np.concatenate([at, [zlib.crc32(f"w{k}".encode()) % BUCKETS for k in range(16)]])
-        values = np.concatenate([values, shape])
-    return at, values
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """Of each code point: 1 a lower-case or other letter, 2 an upper-case one, 3 a digit, 4 a blank, 5 a line's end, 6 on others by their number."""
+    chars = [chr(i) for i in range(0x110000)]
+    return np.array([2 if c.isupper() else 1 if c.isalpha() else 3 if c.isdigit() else 5 if c == "\n" else 4 if c.isspace() else 6 + i % 58 for i, c in enumerate(chars)], np.uint64)
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, value), sorted: of each family its features' shares, which sum to 1 in a text that has any."""
+    words, at = tokens(texts)
+    points, ends = code_points(texts)
+    size, chars = np.diff(at), np.diff(ends)
+    owner, of = np.repeat(np.arange(len(texts)), size), np.repeat(np.arange(len(texts)), chars)
+    found = [(owner, words)]
+    pair = owner[1:] == owner[:-1] if len(owner) else np.zeros(0, bool)
+    found.append((owner[1:][pair], mix(words[1:][pair] * FACTORS[1] + words[:-1][pair])))
+    found.append((owner[1:][pair], np.where(words[1:][pair] == words[:-1][pair], np.uint64(1), np.uint64(2))))
+    kind = _classes()[points]
+    three = (of[2:] == of[:-2]) if len(of) > 2 else np.zeros(0, bool)
+    found.append((of[2:][three], mix(kind[2:][three] * FACTORS[2] + kind[1:-1][three] * FACTORS[3] + kind[:-2][three])))
+    rows, ids, values = [], [], []
+    for family, (row, h) in zip((0, 1, 1, 2), found):
+        rows.append(row)
+        ids.append((h % np.uint64(BUCKETS)).astype(np.int64) + family * BUCKETS)
+        values.append(1 / np.maximum(1, np.bincount(row, minlength=len(texts)))[row])
+    rows.append(np.arange(len(texts)))
+    ids.append(3 * BUCKETS + np.minimum(20, np.log2(size + 1)).astype(np.int64))
+    values.append(np.ones(len(texts)))
+    code, where = np.unique(np.concatenate(rows) * (FAMILIES * BUCKETS) + np.concatenate(ids), return_inverse=True)
+    return code // (FAMILIES * BUCKETS), code % (FAMILIES * BUCKETS), np.bincount(where, np.concatenate(values), len(code))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """Weights of the hashed features."""
+    """Weights of the hashed features, as bytes of 32-bit floats; none: every text is scored 0.5."""
 
-    weights: tuple[tuple[int, float], ...] = ()
+    weights: bytes = b""
     bias: float = 0.0
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        w = np.zeros(BUCKETS)
-        for i, x in self.weights:
-            w[i] = x
-        out = np.full(len(texts), self.bias)
-        for i, t in enumerate(texts):
-            at, values = features(*measures(t))
-            out[i] += (w[at] * values).sum()
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        w = np.frombuffer(self.weights, np.float32) if self.weights else np.zeros(FAMILIES * BUCKETS, np.float32)
+        out = [np.zeros(0)]
+        for a, b in slices([len(t) for t in texts], 1_000_000):
+            row, at, value = features(texts[a:b])
+            out.append(self.bias + np.bincount(row, w[at] * value, b - a))
+        return _sigmoid(np.concatenate(out))
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 300) -> Scorer:
+def train(texts: list[str], labels: np.ndarray, steps: int = 150) -> Scorer:
     """Logistic regression on posterior labels, by Adam."""
     if not texts:
         return Scorer()
-    found = [features(*measures(t)) for t in texts]
-    used = np.unique(np.concatenate([a for a, _ in found]))
-    x = np.zeros((len(texts), len(used)))
-    for i, (a, v) in enumerate(found):
-        np.add.at(x[i], np.searchsorted(used, a), v)
+    parts, base = [], 0
+    for a, b in slices([len(t) for t in texts], 1_000_000):
+        row, at, value = features(texts[a:b])
+        parts.append((row + base, at, value))
+        base += b - a
+    row, at, value = map(np.concatenate, zip(*parts))
+    used, at = np.unique(at, return_inverse=True)
     w, b, m, v, mb, vb = np.zeros(len(used)), 0.0, np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, steps + 1):
-        d = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - labels
-        g, gb = x.T @ d / len(d) + 1e-4 * w, float(d.mean())
+        d = _sigmoid(np.bincount(row, w[at] * value, len(texts)) + b) - labels
+        g, gb = np.bincount(at, d[row] * value, len(used)) / len(d) + 1e-5 * w, float(d.mean())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        b -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return Scorer(tuple((int(i), round(float(c), 5)) for i, c in zip(used, w)), round(float(b), 5))
+        w -= 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        b -= 0.2 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
+    all_ = np.zeros(FAMILIES * BUCKETS, np.float32)
+    all_[used] = np.round(w, 5)
+    return Scorer(all_.tobytes(), round(float(b), 5))
 
 
 def _voted(values: list[str]) -> list[str]:
     """Each text's vote pattern, as digits."""
     out: list[str] = []
     for a, b in slices([len(v) for v in values], 4_000_000):
-        out += ["".join(map(str, r)) for r in votes(np.array([measures(t)[0] for t in values[a:b]])).tolist()]
+        out += ["".join(map(str, r)) for r in votes(np.array([measures(t) for t in values[a:b]])).tolist()]
     return out
 
 
@@ -152,7 +185,8 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Scorer:
     """Fits the label model on the vote patterns of all documents, and the scorer on a sample of at most SAMPLE rows.
 
     The sample has the row of least hash in each of SAMPLE / 2 buckets of either side of the posterior,
-    texts of up to LONGEST code points. Rows with a null key are counted but not sampled.
+    texts of up to LONGEST code points. Rows with a null key are counted but not sampled; of a key with
+    several texts the least is taken, under the label that came with the key.
     """
     ship(docs.sparkSession)
 
@@ -173,8 +207,8 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Scorer:
     chosen = {r.k: r.q for r in least.collect()}
     if not chosen:
         return Scorer()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isin(list(chosen)) & (F.length("t") <= LONGEST)).collect()
-    mine = sorted({r.k: r.t for r in rows}.items())
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isin(list(chosen)) & (F.length("t") <= LONGEST))
+    mine = sorted((r.k, r.t) for r in rows.groupBy("k").agg(F.min("t").alias("t")).collect())
     return train([t for _, t in mine], np.array([chosen[k] for k, _ in mine]))
 
 

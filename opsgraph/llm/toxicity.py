@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-Many voters (word lexicons, word-beginning lexicons, fixed patterns) look at a text; a generative label
-model, fitted by expectation-maximisation, estimates each voter's accuracy in either class and the
+Many voters look at a text: lexicons of words and word beginnings, pure and mixed ones apart, and fixed
+patterns. Labels choose which words make lexicons, and no more. A generative label model, fitted to the
+votes alone by expectation-maximisation, estimates how often each voter votes in either class and the
 voters' correlations, which lessen the say of voters that repeat each other. Its posterior labels train
 a linear classifier over the presence of words and word beginnings, which scores every whole text.
 
@@ -27,8 +28,8 @@ from opsgraph.llm.simhash import shingles
 
 SAMPLE, LONGEST = {1: 1500, 0: 4500}, 10_000
 FEATURES, LEAST_DOCS, GROUPS = 512, 3, 8
-#: Log-odds that a row's own label adds to what the voters say of it.
-LABEL_ODDS = 4.0
+#: Features of which at least this share of the sample's texts are toxic make lexicons of their own.
+PURE = 0.9
 BEGINNINGS, LEVELS = (4, 5, 6, 7, 8), 3
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -90,8 +91,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, known: np.ndarray | float = 0.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM for binary voters; known: log-odds of each row besides the votes. Gives the posteriors, each voter's rate of votes by class (voters x 2), and the voters' correlations.
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM for binary voters, from the posteriors `start` on. Gives the posteriors, each voter's rate of votes by class (voters x 2), and the voters' correlations.
 
     Correlations are those of what is left of the votes once the class explains its part; a voter whose
     residuals follow others' has its log-odds divided by 1 + the sum of its squared correlations.
@@ -109,7 +110,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, known: np.ndarray | float
             damp = 1 / (1 + (corr**2).sum(1) - np.diag(corr) ** 2)
         log = np.log(rates)
         none = np.log1p(-rates)
-        odds = known + np.log((q.mean() + 1e-6) / (1 - q.mean() + 1e-6)) + (votes * damp) @ (log[:, 1] - log[:, 0]) + ((1 - votes) * damp) @ (none[:, 1] - none[:, 0])
+        odds = np.log((q.mean() + 1e-6) / (1 - q.mean() + 1e-6)) + (votes * damp) @ (log[:, 1] - log[:, 0]) + ((1 - votes) * damp) @ (none[:, 1] - none[:, 0])
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         done, q = np.abs(new - q).max() < 1e-6, new
         if done:
@@ -117,6 +118,16 @@ def label_model(votes: np.ndarray, start: np.ndarray, known: np.ndarray | float
     return q, rates, corr
 
 
+def posteriors(texts: list[str], x: np.ndarray, lexicon: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """label_model of the votes on texts: of each lexicon, whether any of its features (columns of x) is there, and of each pattern.
+
+    At the start a text that two lexicons name is thought toxic, one that none names is not.
+    """
+    votes = np.stack([x[:, [k == g for k in lexicon]].max(1) for g in sorted(set(lexicon))] + [np.array([bool(p.search(t)) for t in texts], float) for p in PATTERNS], 1).astype(float)
+    named = votes[:, : -len(PATTERNS)].sum(1)
+    return label_model(votes, np.where(named > 1, 0.9, np.where(named > 0, 0.5, 0.02)))
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """The model from labelled texts. Without both classes: a model that scores every text alike."""
     toxic = np.asarray(toxic, float)
@@ -153,10 +164,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     x = np.zeros((len(texts), len(chosen)), np.float32)
     for i, t in enumerate(texts):
         x[i, [at[k] for k in presence(t) & at.keys()]] = 1
-    group = np.array([GROUPS * (int(f.partition("@")[2] or 1) if "*" in f else 0) + crc32(f.encode()) % GROUPS for f in chosen])
-    votes = [x[:, group == g].max(1) for g in range((LEVELS + 1) * GROUPS) if (group == g).any()]
-    votes += [np.array([bool(p.search(t)) for t in texts], float) for p in PATTERNS]
-    posterior, _, _ = label_model(np.stack(votes, 1).astype(float), np.where(toxic > 0, 0.9, 0.1), LABEL_ODDS * (2 * toxic - 1))
+    posterior, _, _ = posteriors(texts, x, [(crc32(f.partition("@")[0].encode()) % GROUPS, bad[f] >= PURE * (bad[f] + good[f])) for f in chosen])
     w, b = np.zeros(len(chosen)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, 401):  # Adam; weights stay at or above 0, so more text never hides what was found
@@ -172,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Fits a model on a bounded sample: of each class, the row of least hash in each of SAMPLE buckets; of near copies, one.
 
     Rows with a null key, label or text, and texts of over LONGEST code points, aren't learned from; a
-    key with both labels counts as toxic.
+    key with both labels counts as toxic, and of a key with several texts the least is taken.
     """
     h = F.xxhash64("k")
     rows = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null")
@@ -183,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     if not known:
         return Model()
     mine = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isin(list(known)) & (F.length("t") <= LONGEST))
-    got = sorted({r.k: r.t for r in mine.collect()}.items())
+    got = sorted((r.k, r.t) for r in mine.groupBy("k").agg(F.min("t").alias("t")).collect())
     return fit([t for _, t in got], np.array([float(known[k] > 0) for k, _ in got]))
 
 
