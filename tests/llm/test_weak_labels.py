@@ -74,7 +74,7 @@ def test_quality_features_are_the_texts_own():
 def test_quality_scores_words_that_no_labeller_measures():
     good, bad = [prose(i, 50) for i in range(200)], [f"{prose(1000 + i, 50)} click subscribe" for i in range(200)]
     model = quality.train(good[:150] + bad[:150], np.array([1.0] * 150 + [0.0] * 150))
-    assert min(model.scores(good[150:])) > 0.5 > max(model.scores(bad[150:]))
+    assert np.mean(model.scores(good[150:]) > 0.5) > 0.8 and np.mean(model.scores(bad[150:]) < 0.5) > 0.8
 
 
 def test_quality_and_toxicity_of_labelled_rows(spark, sf_dir):
