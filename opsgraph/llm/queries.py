@@ -31,12 +31,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each conversation with an answer: the prompt, and each completion with the code points that count for a loss."""
+    """Of each conversation with an answer, beside one that begins alike: the prompt, and each completion with the code points that count for a loss."""
     talks = chat.conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     found = chat.preferences(chat.pairs(talks))
     text = lambda side: F.array_join(F.transform(f"{side}_segments", lambda s: s["text"]), "")
     counted = lambda side: F.aggregate(f"{side}_segments", F.lit(0), lambda a, s: a + F.length(s["text"]) * s["loss"]).cast("long")
-    return found.select("conv_id", F.col("common_turns").cast("long").alias("common_turns"), "prompt", text("chosen").alias("chosen"), text("rejected").alias("rejected"), counted("chosen").alias("chosen_loss_chars"), counted("rejected").alias("rejected_loss_chars"))
+    return found.select("conv_id", F.coalesce("other", "conv_id").alias("other_id"), F.col("common_turns").cast("long").alias("common_turns"), "prompt", text("chosen").alias("chosen"), text("rejected").alias("rejected"), counted("chosen").alias("chosen_loss_chars"), counted("rejected").alias("rejected_loss_chars"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +127,20 @@ SELECT doc_id, cast(len(a) AS bigint) AS n_assign, cast(len(k) AS bigint) AS n_a
 def _preferences_sql() -> str:
     show = lambda turns: f"coalesce(array_to_string(list_transform({turns}, lambda t: '{chat.OPEN}' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '')"
     loss = lambda turns: f"cast(coalesce(list_sum(list_transform(list_filter({turns}, lambda t: t.role = 'assistant'), lambda t: length(t.text) + {len(chat.CLOSE)})), 0) AS bigint)"
+    said = lambda turns: f"coalesce(list_sum(list_transform(list_filter({turns}, lambda t: t.role = 'assistant'), lambda t: length(t.text))), 0)"
     return f"""
-WITH t AS (SELECT conv_id, list({{'o': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM conversations GROUP BY conv_id),
+WITH t AS (SELECT conv_id, list({{'o': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 s AS (SELECT conv_id, list_transform(turns, lambda x: {{'role': x.role, 'text': x.text}}) AS turns, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS said FROM t),
-p AS (SELECT conv_id, turns[1:said[-1]] AS a, list_append(turns[1:said[-1] - 1], {{'role': 'assistant', 'text': CASE WHEN len(said) > 1 THEN turns[said[-2]].text ELSE '' END}}) AS b FROM s WHERE len(said) > 0),
-n AS (SELECT *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) - 1, len(a)) AS n FROM p)
-SELECT conv_id, cast(n AS bigint) AS common_turns, {show('a[1:n]')} AS prompt, {show('a[n + 1:]')} AS chosen, {show('b[n + 1:]')} AS rejected,
+c AS (SELECT conv_id, turns[1:said[-1]] AS turns, said FROM s WHERE len(said) > 0),
+f AS (SELECT conv_id, turns, d, turns[1:d] AS p FROM (SELECT *, unnest(range(1, len(turns) + 1)) AS d FROM c)),
+g AS (SELECT d, p, min(m) AS a, max(m) AS b FROM (SELECT d, p, turns, min(conv_id) AS m FROM f GROUP BY ALL) GROUP BY d, p HAVING min(m) <> max(m)),
+m AS (SELECT f.conv_id, max_by({{'a': a, 'b': b}}, f.d) AS g FROM f JOIN g ON f.d = g.d AND f.p = g.p GROUP BY f.conv_id),
+o AS (SELECT m.conv_id, CASE WHEN c.turns = l.turns THEN m.g.b ELSE m.g.a END AS other FROM m JOIN c USING (conv_id) JOIN c l ON l.conv_id = m.g.a),
+w AS (SELECT c.conv_id, o.other, c.turns, c.said, x.turns AS theirs, {said('c.turns')} AS i, {said('x.turns')} AS j, cast(list_sum(list_transform(c.turns, lambda t: length(t.text))) % len(c.said) AS bigint) AS br FROM c LEFT JOIN o USING (conv_id) LEFT JOIN c x ON x.conv_id = o.other),
+p AS (SELECT conv_id, other, CASE WHEN other IS NULL OR i > j OR (i = j AND conv_id < other) THEN turns ELSE theirs END AS a,
+    CASE WHEN other IS NULL THEN list_append(turns[1:said[br + 1] - 1], {{'role': 'assistant', 'text': CASE WHEN br > 0 THEN turns[said[br]].text ELSE '' END}}) WHEN i > j OR (i = j AND conv_id < other) THEN theirs ELSE turns END AS b FROM w),
+n AS (SELECT *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] IS DISTINCT FROM b[i])) - 1, len(a)) AS n FROM p)
+SELECT conv_id, coalesce(other, conv_id) AS other_id, cast(n AS bigint) AS common_turns, {show('a[1:n]')} AS prompt, {show('a[n + 1:]')} AS chosen, {show('b[n + 1:]')} AS rejected,
     {loss('a[n + 1:]')} AS chosen_loss_chars, {loss('b[n + 1:]')} AS rejected_loss_chars FROM n"""
 
 

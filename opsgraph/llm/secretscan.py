@@ -10,12 +10,10 @@ their number, so a text with very many matches never costs their square.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsgraph.llm.common import packed, unpacked
+from opsgraph.llm.common import chunks, let, packed, running, unpacked
 
 # The base kinds, in the order in which spans of equal start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,24 +34,6 @@ MARK = "[REDACTED]"
 _FAR = 1 << 30
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _chunks(values: Column) -> Column:
-    """An array cut into arrays of the square root of its size."""
-    wide = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values))).cast("int"))
-    return _let(wide, lambda w: F.transform(F.filter(F.sequence(F.lit(0), w), lambda k: k * w < F.size(values)), lambda k: F.slice(values, k * w + 1, w)))
-
-
-def _running(values: Column, neutral: Column, both: Callable[[Column, Column], Column]) -> Column:
-    """Of each value, the fold of all up to it; both is associative."""
-    within = F.transform(_chunks(values), lambda c: F.transform(c, lambda _, j: F.aggregate(F.slice(c, F.lit(1), j + 1), neutral, both)))
-    before = lambda w: F.transform(w, lambda _, k: F.aggregate(F.slice(w, F.lit(1), k), neutral, lambda a, x: both(a, F.element_at(x, -1))))
-    return _let(within, lambda w: F.flatten(F.zip_with(before(w), w, lambda b, own: F.transform(own, lambda x: both(b, x)))))
-
-
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """All leftmost non-overlapping matches, as array<struct<start,size,end>> in code points; size is that of the group.
 
@@ -62,9 +42,9 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
     """
     p = F.lit(pattern)
     sizes = F.zip_with(F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group)), lambda m, v: F.struct(F.length(m).alias("n"), F.length(v).alias("v")))
-    steps = _let(sizes, lambda z: F.zip_with(z, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(z)), lambda s, g: F.struct((F.length(g) + s["n"]).alias("step"), s["n"].alias("n"), s["v"].alias("v"))))
-    ends = lambda s: _running(F.transform(s, lambda x: x["step"]), F.lit(0), lambda a, x: a + x)
-    found = _let(steps, lambda s: F.zip_with(ends(s), s, lambda e, x: F.struct((e - x["n"]).alias("start"), x["v"].alias("size"), e.alias("end"))))
+    steps = let(sizes, lambda z: F.zip_with(z, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(z)), lambda s, g: F.struct((F.length(g) + s["n"]).alias("step"), s["n"].alias("n"), s["v"].alias("v"))))
+    ends = lambda s: running(F.transform(s, lambda x: x["step"]), F.lit(0), lambda a, x: a + x)
+    found = let(steps, lambda s: F.zip_with(ends(s), s, lambda e, x: F.struct((e - x["n"]).alias("start"), x["v"].alias("size"), e.alias("end"))))
     kind = "array<struct<start:int,size:int,end:int>>"
     return F.when(F.rlike(text, p), found.cast(kind)).otherwise(F.array().cast(kind))
 
@@ -78,8 +58,8 @@ def _clear(weak: Column, base: Column) -> Column:
     """The weak spans that overlap no span of base: along all starts of base and ends of weak, the furthest end of base so far is looked at."""
     event = lambda at, own, start, kind: F.struct(at.alias("at"), F.lit(own).alias("own"), start.alias("x"), kind.alias("kind"))
     events = F.array_sort(F.concat(F.transform(weak, lambda w: event(w["end"], 0, w["start"], w["kind"])), F.transform(base, lambda b: event(b["start"], 1, b["end"], b["kind"]))))
-    furthest = lambda e: _running(F.transform(e, lambda x: F.when(x["own"] == 1, x["x"]).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
-    told = _let(events, lambda e: F.zip_with(e, furthest(e), lambda x, end: F.struct(x.alias("e"), ((x["own"] == 0) & (end <= x["x"])).alias("keep"))))
+    furthest = lambda e: running(F.transform(e, lambda x: F.when(x["own"] == 1, x["x"]).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+    told = let(events, lambda e: F.zip_with(e, furthest(e), lambda x, end: F.struct(x.alias("e"), ((x["own"] == 0) & (end <= x["x"])).alias("keep"))))
     return F.transform(F.filter(told, lambda x: x["keep"]), lambda x: F.struct(x["e"]["x"].alias("start"), x["e"]["kind"].alias("kind"), x["e"]["at"].alias("end"))).cast(SPANS)
 
 
@@ -87,7 +67,7 @@ def _linked(spans: Column) -> Column:
     """Of sorted spans, the strong ones and those weak ones whose complement starts within SCOPE, before or after."""
     strong, named = len(KINDS) - 3, lambda x, *kinds: x["kind"].isin([KINDS.index(k) for k in kinds])
     places = lambda s, none: F.transform(s, lambda x: F.struct(F.when(named(x, "access", "ident"), x["start"]).otherwise(none).alias("i"), F.when(named(x, "assign", "hex", "secret"), x["start"]).otherwise(none).alias("s")))
-    nearest = lambda p, none, pick: _running(p, F.struct(F.lit(none).alias("i"), F.lit(none).alias("s")), lambda a, x: F.struct(pick(a["i"], x["i"]).alias("i"), pick(a["s"], x["s"]).alias("s")))
+    nearest = lambda p, none, pick: running(p, F.struct(F.lit(none).alias("i"), F.lit(none).alias("s")), lambda a, x: F.struct(pick(a["i"], x["i"]).alias("i"), pick(a["s"], x["s"]).alias("s")))
     back = lambda s: nearest(places(s, -_FAR), -_FAR, F.greatest)
     on = lambda s: F.reverse(nearest(places(F.reverse(s), _FAR), _FAR, F.least))
 
@@ -119,8 +99,8 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         _spans(F.col("_endpoint"), "endpoint", 0).alias("_e"),
     )
     base = strong.select("_row", F.array_sort(F.concat("_a", "_k", "_h")).alias("_base"), F.concat("_i", "_s", "_e").alias("_weak"))
-    linked = lambda b: _let(F.array_sort(F.concat(b, _let(F.col("_weak"), lambda w: _clear(w, b)))), _linked)
-    return unpacked(base, docs, secret_base="_base", secret_spans=F.when(F.size("_weak") > 0, _let(F.col("_base"), linked)).otherwise(F.col("_base")))
+    linked = lambda b: let(F.array_sort(F.concat(b, let(F.col("_weak"), lambda w: _clear(w, b)))), _linked)
+    return unpacked(base, docs, secret_base="_base", secret_spans=F.when(F.size("_weak") > 0, let(F.col("_base"), linked)).otherwise(F.col("_base")))
 
 
 def listed(spans: str | Column) -> Column:
@@ -136,16 +116,16 @@ def counted(spans: str | Column, kind: str) -> Column:
 def redact(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
     """docs with MARK in place of each run of found spans; size, if it is a column, is counted anew where a text changed."""
     found = find(packed(docs, _text=F.col(text)), "_text")
-    reach = lambda s: _running(F.transform(s, lambda x: x["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+    reach = lambda s: running(F.transform(s, lambda x: x["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
     first = lambda s, r: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] > F.get(r, i - 1)))
     run = lambda s, r, h: F.transform(h, lambda i, k: F.struct(F.get(s, i)["start"].alias("start"), F.get(r, F.coalesce(F.get(h, k + 1), F.size(s)) - 1).alias("end")))
-    merged = _let(F.col("secret_spans"), lambda s: _let(reach(s), lambda r: _let(first(s, r), lambda h: run(s, r, h))))
+    merged = let(F.col("secret_spans"), lambda s: let(reach(s), lambda r: let(first(s, r), lambda h: run(s, r, h))))
     runs = found.select("_row", "_text", F.when(F.size("secret_spans") > 0, merged).alias("_runs"))
     begins = lambda r: F.concat(F.array(F.lit(0)), F.transform(r, lambda x: x["end"]))
     ends = lambda r: F.concat(F.transform(r, lambda x: x["start"]), F.array(F.length("_text")))
-    kept = _let(F.col("_runs"), lambda r: F.zip_with(begins(r), ends(r), lambda b, e: F.struct(b.alias("b"), e.alias("e"))))
-    part = lambda c: _let(F.get(c, F.lit(0))["b"], lambda at: _let(F.substring(F.col("_text"), at + 1, F.element_at(c, -1)["e"] - at), lambda own: F.transform(c, lambda x: F.substring(own, x["b"] - at + 1, x["e"] - x["b"]))))
-    pieces = F.flatten(F.transform(_let(kept, _chunks), part))  # a place is searched for from the start of its chunk, not of the text
+    kept = let(F.col("_runs"), lambda r: F.zip_with(begins(r), ends(r), lambda b, e: F.struct(b.alias("b"), e.alias("e"))))
+    part = lambda c: let(F.get(c, F.lit(0))["b"], lambda at: let(F.substring(F.col("_text"), at + 1, F.element_at(c, -1)["e"] - at), lambda own: F.transform(c, lambda x: F.substring(own, x["b"] - at + 1, x["e"] - x["b"]))))
+    pieces = F.flatten(F.transform(let(kept, chunks), part))  # a place is searched for from the start of its chunk, not of the text
     clean = runs.select("_row", F.col("_runs").isNotNull().alias("_changed"), F.when(F.col("_runs").isNotNull(), F.array_join(pieces, MARK)).otherwise(F.col("_text")).alias("_text"))
     results = {text: F.col("_text")}
     if size and size in docs.columns:

@@ -171,12 +171,6 @@ def test_common_prefix_is_rendered_once(spark):
     assert [(s.text, s.loss) for s in got[1].chosen_segments] == [("<|assistant|>\n", 0), ("good<|end|>\n", 1)]
 
 
-def test_conversations_without_answers_make_no_pair(spark):
-    df = spark.createDataFrame([(1, 0, "user", "q"), (2, 1, "assistant", "late"), (2, 0, "user", "q"), (3, None, None, None)], "conv_id long, turn long, role string, text string")
-    got = chat.pairs(chat.conversations(df)).collect()
-    assert [(r.conv_id, r.chosen[-1].text, r.rejected[-1].text) for r in got] == [(2, "late", "")]
-
-
 # Repeated bytes
 
 
