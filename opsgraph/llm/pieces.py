@@ -7,11 +7,14 @@ doesn't depend on its partition, its neighbours or a retry. Decoding gives back
 no piece covers goes as bytes, and so does a literal U+2581, which otherwise stands for a space.
 
 No piece goes on from a letter to a space, so the lattice falls into units (spaces and what follows
-them) that are filtered once each; all steps are numpy operations over all units of a batch.
+them) that are filtered once each; all steps are numpy operations over all units of a batch. Long units
+are filtered one by one, keeping only the sum at each place, from which the shares of the pieces that
+end there are made again, a stretch at a time, as the draws come to them. Nothing is cut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,8 +29,8 @@ from opsgraph.llm.common import code_points, mix, packed, ship, slices, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000
-#: Units and texts are cut at these many code points; a cut is a place every segmentation has.
-LONGEST_UNIT, LONGEST_PART = 256, 100_000
+#: Units of more code points are filtered one by one. Texts are looked at in parts of about so many, which end between units.
+LONG_UNIT, PART = 1024, 100_000
 #: Log-probability of a byte of what no piece covers, besides that of the rarest piece.
 BYTE_COST = -2.0
 _ODD = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
@@ -60,6 +63,18 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(tuple(model.id_to_piece(i) if plain[i] else "" for i in range(n)), tuple(score.tolist()), tuple(table[f"<0x{b:02X}>"] for b in range(256)))
 
 
+def _parts(text: str) -> Iterator[tuple[int, int]]:
+    """Where the parts of a text begin and end: at the first unit's end after PART code points."""
+    a = 0
+    while a < len(text):
+        b = text.find(" ", a + PART)
+        while b > 0 and text[b - 1] == " ":  # units begin with all of their spaces
+            b = text.find(" ", b + 1)
+        b = len(text) if b < 0 else b
+        yield a, b
+        a = b
+
+
 class Lattice:
     """The vocabulary as arrays, for one worker."""
 
@@ -107,11 +122,11 @@ class Lattice:
 
     def encode(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Piece ids of each text; keys are 64-bit numbers that seed the draws."""
-        parts = [(i, a) for i, t in enumerate(texts) for a in range(0, len(t), LONGEST_PART)]
+        parts = [(i, a, b) for i, t in enumerate(texts) for a, b in _parts(t)]
         found: list[list[np.ndarray]] = [[] for _ in texts]
-        for a, b in slices([min(LONGEST_PART, len(texts[i]) - at) for i, at in parts], LONGEST_PART):
+        for a, b in slices([y - x for _, x, y in parts], PART):
             mine = parts[a:b]
-            for (i, _), ids in zip(mine, self._encode([texts[i][at : at + LONGEST_PART] for i, at in mine], np.array([keys[i] for i, _ in mine], np.uint64), np.array([at for _, at in mine]))):
+            for (i, _, _), ids in zip(mine, self._encode([texts[i][x:y] for i, x, y in mine], np.array([keys[i] for i, _, _ in mine], np.uint64), np.array([x for _, x, _ in mine]))):
                 found[i].append(ids)
         return [np.concatenate(f) if f else np.zeros(0, np.int32) for f in found]
 
@@ -127,18 +142,88 @@ class Lattice:
         begin[bounds[:-1]] = True
         starts = np.flatnonzero(begin)
         sizes = np.diff(np.append(starts, n))
-        if (sizes > LONGEST_UNIT).any():
-            k = -(-sizes // LONGEST_UNIT)
-            starts = np.repeat(starts, k) + (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)) * LONGEST_UNIT
-            sizes = np.diff(np.append(starts, n))
 
+        out = np.full(n, -2, np.int32)  # at each piece's last code point: its id, -1 for bytes
+        row = np.searchsorted(bounds, starts, "right") - 1
+        seed, place = keys[row], starts - bounds[row] + base[row]
+        for i in np.flatnonzero(sizes > LONG_UNIT):
+            self._long(chars[starts[i] : starts[i] + sizes[i]], seed[i], place[i], out[starts[i] : starts[i] + sizes[i]])
+        few = sizes <= LONG_UNIT
+        if few.any():
+            self._short(chars, starts[few], sizes[few], seed[few], place[few], out)
+
+        where = np.flatnonzero(out > -2)
+        ids, code = out[where], points[where]
+        counts = np.where(ids >= 0, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+        ends = np.cumsum(counts)
+        flat = np.repeat(ids, counts)
+        raw, first, c = np.flatnonzero(ids < 0), (ends - counts), code
+        for m in raw if len(raw) < 64 else ():
+            flat[first[m] : ends[m]] = self.bytes_[list(chr(c[m]).encode("utf-8", "surrogatepass"))]
+        if len(raw) >= 64:
+            joined = np.frombuffer(b"".join(chr(x).encode("utf-8", "surrogatepass") for x in c[raw].tolist()), np.uint8)
+            flat[flat < 0] = self.bytes_[joined]
+        cuts = np.concatenate([[0], ends])[np.searchsorted(where, bounds)]
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    @staticmethod
+    def _draws(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """A number in [0, 1) for each place of a row, of 53 bits."""
+        return (mix(seed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) * 2.0**-53
+
+    def _lone(self, code: np.ndarray) -> np.ndarray:
+        """Log-probability of the bytes of code points that no piece stands for."""
+        return self.byte_logp * (1 + (code > 0x7F) + (code > 0x7FF) + ((code > 0xFFFF) & (code != LITERAL)))
+
+    def _ending(self, chars: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places a to b of one unit: ids of the pieces that end there, by length, and their log-probabilities."""
+        ids = np.full((b - a, self.most), -1, np.int32)
+        h = np.zeros(b - a, np.uint64)
+        for k in range(min(self.most, b)):
+            low = max(a, k)
+            h[low - a :] += self.value(chars[low - k : b - k]) * _ODD[k]
+            ids[low - a :, k] = self._find(h[low - a :])
+        log = self.logp[ids]
+        lone = ids[:, 0] < 0
+        log[lone, 0] = self._lone(chars[a:b][lone])
+        return ids, log
+
+    def _long(self, chars: np.ndarray, seed: np.uint64, place: int, out: np.ndarray) -> None:
+        """One unit of any length: forward, keeping the sums; then backward from its end."""
+        n, step = len(chars), 4096
+        reach = np.zeros(n + 1)  # of the place before each code point
+        for a in range(0, n, step):
+            log = self._ending(chars, a, min(n, a + step))[1]
+            for d in range(a, min(n, a + step)):
+                k = min(d + 1, self.most)
+                s = log[d - a, :k] + reach[d - k + 1 : d + 1][::-1]
+                top = s.max()
+                reach[d + 1] = top + np.log(np.exp(s - top).sum())
+        depth = n
+        while depth > 0:
+            a, b = max(0, depth - step), depth
+            ids, log = self._ending(chars, a, b)
+            before = np.arange(a, b)[:, None] - np.arange(self.most)
+            share = np.exp(log + np.where(before >= 0, reach[np.maximum(0, before)], -np.inf) - reach[a + 1 : b + 1, None])
+            upto = np.cumsum(share, 1)
+            u = self._draws(np.full(b - a, seed), place + np.arange(a, b) + 1) * upto[:, -1]
+            took = np.minimum((upto <= u[:, None]).sum(1), self.most - 1 - np.argmax(share[:, ::-1] > 0, 1))
+            while depth > a:
+                k = int(took[depth - 1 - a])
+                out[depth - 1] = ids[depth - 1 - a, k]
+                depth -= k + 1
+
+    def _short(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: np.ndarray, place: np.ndarray, out: np.ndarray) -> None:
+        """All units of some thousand code points at most, each kind filtered once."""
         value, salt = self.value(chars), 0
-        within = np.arange(n) - np.repeat(starts, sizes)
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        mine = np.repeat(starts, sizes) + within
         while True:  # units by hash and size; a clash of hashes is seen, and then another factor is taken
-            part = np.concatenate([[np.uint64(0)], np.cumsum(value * _ODD[(within + salt) % len(_ODD)], dtype=np.uint64)])
-            _, head, unit = np.unique(mix((part[starts + sizes] - part[starts]) + sizes.astype(np.uint64)), return_index=True, return_inverse=True)
+            part = np.concatenate([[np.uint64(0)], np.cumsum(value[mine] * _ODD[(within + salt) % len(_ODD)], dtype=np.uint64)])
+            ends = np.cumsum(sizes)
+            _, head, unit = np.unique(mix((part[ends] - part[ends - sizes]) + sizes.astype(np.uint64)), return_index=True, return_inverse=True)
             same = np.repeat(starts[head][unit], sizes) + within
-            if (sizes == sizes[head][unit]).all() and (chars[same] == chars).all():
+            if (sizes == sizes[head][unit]).all() and (chars[same] == chars[mine]).all():
                 break
             salt += 7
         at, size = starts[head], sizes[head]
@@ -148,33 +233,15 @@ class Lattice:
         piece, upto, begin = self._filter(chars, value, at, size)
         ids_at = np.cumsum([0, *map(len, piece)])[:-1] - begin[: len(piece)]
         all_ids = np.concatenate([np.zeros(0, np.int32), *piece])
-        out = np.full(n, -2, np.int32)  # at each piece's last code point: its id, -1 for bytes
-        row = np.searchsorted(bounds, starts, "right") - 1
         lane, depth = np.arange(len(starts)), sizes.copy()
-        seed, place = keys[row], starts - bounds[row] + base[row]
         while len(lane):
             k = begin[depth - 1] + unit[lane]
-            u = (mix(seed[lane] + (place[lane] + depth).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-            step = (upto[k] <= u[:, None]).sum(1)
+            step = (upto[k] <= self._draws(seed[lane], place[lane] + depth)[:, None]).sum(1)
             out[starts[lane] + depth - 1] = all_ids[ids_at[step] + k]
             depth = depth - step - 1
             on = depth > 0
             lane, depth = lane[on], depth[on]
 
-        where = np.flatnonzero(out > -2)
-        ids, code = out[where], points[where]
-        counts = np.where(ids >= 0, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
-        ends = np.cumsum(counts)
-        flat = np.repeat(ids, counts)
-        raw, first, c = np.flatnonzero(ids < 0), (ends - counts), code
-        for m in raw if len(raw) < 64 else ():
-            flat[first[m] : ends[m]] = self.bytes_[list(chr(c[m]).encode("utf-8", "surrogatepass"))]
-        if len(raw) >= 64:
-            joined = np.frombuffer(b"".join(chr(x).encode("utf-8", "surrogatepass") for x in c[raw].tolist()), np.uint8)
-            flat[flat < 0] = self.bytes_[joined]
-        cuts = np.concatenate([[0], ends])[np.searchsorted(where, bounds)]
-        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-
     def _filter(self, chars: np.ndarray, value: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Of each place of each unit (longest first): the pieces that end there, by length, and their cumulative probabilities.
 
@@ -200,9 +267,9 @@ class Lattice:
         lone = np.flatnonzero(piece[0] < 0) if total else np.zeros(0, np.int64)
         code = chars[char[lone]]
         if total:
-            log[0][lone] = self.byte_logp * (1 + (code > 0x7F) + (code > 0x7FF) + ((code > 0xFFFF) & (code != LITERAL)))
+            log[0][lone] = self._lone(code)
         reach = np.zeros(total)
-        upto = np.full((total, widest), np.float32(2), np.float32)
+        upto = np.full((total, widest), 2.0)
         for d in range(deepest):
             units, here = int(wide[d]), slice(begin[d], begin[d + 1])
             width = min(d + 1, widest)
@@ -216,10 +283,9 @@ class Lattice:
             cum = np.cumsum(s, 0)
             reach[here] = top + np.log(cum[-1])
             cum /= cum[-1]
-            share = cum.astype(np.float32)
             last = width - 1 - np.argmax(s[::-1] > 0, 0)
-            share[np.arange(width)[:, None] >= last] = 2
-            upto[here, :width] = share.T
+            cum[np.arange(width)[:, None] >= last] = 2
+            upto[here, :width] = cum.T
         return piece, upto, begin
 
 
