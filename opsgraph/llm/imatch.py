@@ -10,6 +10,7 @@ texts have terms in them, of others few, so that long texts that differ in part
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgraph.llm.common import mix, packed, ship, unpacked
+from opsgraph.llm.common import FACTORS, mix, packed, saved, ship, unpacked
 
 #: A term is kept if its share of documents lies between these: an idf of ln 5 to ln 500.
 LEAST_SHARE, MOST_SHARE = 1 / 500, 1 / 5
@@ -42,9 +43,9 @@ class Lexicon:
     """Terms with their hashes and the subsets each is in."""
 
     def __init__(self, words: list[str], seed: int = 0):
-        self.at = {w: i for i, w in enumerate(words)}
+        self.at = {w: i for i, w in enumerate(sorted(words))}
         self.known = frozenset(words)
-        self.hash = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+        self.hash = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.at], np.uint64)
         self.subset = np.stack([(mix(self.hash ^ np.uint64(7919 * k + 1)) >> np.uint64(11)).astype(float) * 2.0**-53 < s for k, s in enumerate(SHARES)], 1) if words else np.zeros((0, len(SHARES)), bool)
 
     def fingerprint(self, text: str) -> str:
@@ -52,21 +53,22 @@ class Lexicon:
         found = terms(text) & self.known
         if not found:
             return f"{xxhash.xxh64_intdigest(text.encode('utf-8', 'surrogatepass')):016x}" + EMPTY * len(SHARES)
-        at = np.fromiter(map(self.at.__getitem__, found), np.int64, len(found))
-        at = at[np.argsort(self.hash[at], kind="stable")]
+        at = np.sort(np.fromiter(map(self.at.__getitem__, found), np.int64, len(found)))
         hashes, member = self.hash[at], self.subset[at]
-        parts = [f"{xxhash.xxh64_intdigest(hashes.tobytes()):016x}"]
-        parts += [f"{xxhash.xxh64_intdigest(hashes[m].tobytes()) % 65_535 + 1:04x}" if m.any() else EMPTY for m in member.T]
-        return "".join(parts)
+        # The terms of each subset in their order: a term counts by its place there.
+        places = np.cumsum(member, 0, dtype=np.int64)
+        sums = mix((hashes[:, None] * FACTORS[np.minimum(places, len(FACTORS) - 1)] * member).sum(0, dtype=np.uint64))
+        parts = np.where(places[-1] > 0, sums % np.uint64(65_535) + np.uint64(1), np.uint64(0)).astype(">u2").tobytes().hex()
+        return f"{xxhash.xxh64_intdigest(hashes.tobytes()):016x}{parts}"
 
 
 def likeness(a: str, b: str) -> float:
     """1 for equal fingerprints; else the share of equal parts among those that aren't empty in both."""
     if a == b:
         return 1.0
-    pairs = [(a[i : i + DIGITS], b[i : i + DIGITS]) for i in range(16, len(a), DIGITS)]
-    some = [x == y for x, y in pairs if x != EMPTY or y != EMPTY]
-    return sum(some) / len(some) if some else 0.0
+    x, y = (np.frombuffer(bytes.fromhex(f[16:]), ">u2") for f in (a, b))
+    some = (x > 0) | (y > 0)
+    return float((x == y)[some].mean()) if some.any() else 0.0
 
 
 def lexicon(docs: DataFrame, text: str = "text") -> tuple[str, ...]:
@@ -107,37 +109,60 @@ def fingerprints(docs: DataFrame, words: tuple[str, ...], text: str = "text") ->
     return unpacked(packed(docs, _text=F.col(text)).withColumn("_f", of("_text")), docs, fingerprint="_f")
 
 
-_ROWS = "pid int, extra int, id long, tie long, n_chars long, fingerprint string, body binary"
-_OUT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_ROWS = "pid int, extra int, none boolean, id long, tie long, n_chars long, copies long, fingerprint string, body binary"
+_OUT = "none boolean, id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, copies long"
+#: Rows that are looked at, for each range, to place the ranges' bounds; what they are changes no result.
+LOOKED_AT, TIMES = 200, 2
+#: Equal rows are told of as one for so many.
+TOLD = 10_000
+
+
+def _bounds(own: DataFrame, ranges: int) -> list[tuple]:
+    """Where ranges of the order (null keys last, greatest key first, tie) begin, of about equal numbers of rows, by a bounded sample."""
+    rows = max(1, own.count())
+    want = LOOKED_AT * ranges
+    some = own.select("none", "id", "tie").where(F.pmod(F.xxhash64("none", "id", "tie", F.lit(7)), F.lit(1 << 20)) <= (1 << 20) * want // rows)
+    keys = sorted((r.none, ~r.id, r.tie) for r in some.limit(4 * want).collect())
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
 
 def edited_neighbours(docs: DataFrame, words: tuple[str, ...], text: str = "text", key: str = "doc_id") -> DataFrame:
     """Each text beside an edited one, whose last half is replaced by the next text's beginning.
 
     The next text is that of the next smaller key, after the least that of the greatest. Rows of equal
-    keys follow each other in the order of a hash of their texts; null keys come last; a null text is
-    an empty one; a lone row is its own next. Gives key, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited and near_next.
+    keys follow each other in the order of a hash of their texts, null keys come last; equal rows follow
+    each other; a null text is an empty one; a lone row is its own next. Gives key, n_chars,
+    edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     Keys are dealt out in ranges. The first row of each range is sent to the range before as well, so
-    neighbours meet without a sort of all rows in one place. Texts travel compressed, once.
+    neighbours meet without a sort of all rows in one place. Equal rows travel as one, and the rows of
+    a key that repeats are dealt out too. Texts travel compressed, once.
     """
     spark = docs.sparkSession
     ship(spark)
-    least = -(1 << 63)
-    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(least)).alias("id"), F.col(key).isNull().alias("none"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = docs.select(F.col(key).isNull().alias("none"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    single = docs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).isEmpty()
+    if single:
+        own = own.select("none", "id", F.lit(0).cast("long").alias("tie"), "text", F.lit(1).cast("long").alias("copies"))
+    else:
+        own = saved(own.withColumn("tie", F.xxhash64("text")).groupBy("none", "id", "tie").agg(F.min("text").alias("text"), F.count("*").alias("copies")), "kinds")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.unique(np.array(docs.select(F.col(key).cast("long").alias("id")).approxQuantile("id", [i / (2 * partitions) for i in range(1, 2 * partitions)], min(0.002, 1 / (4 * partitions))), np.int64))[::-1]
-    range_of = lambda ids: len(cuts) - np.searchsorted(cuts[::-1], ids, "right")  # noqa: E731  0 has the greatest keys
+    cuts = _bounds(own, TIMES * partitions)
+
+    def range_of(none: list, ids: list, ties: list) -> np.ndarray:
+        return np.array([bisect_right(cuts, (a, ~b, c)) for a, b, c in zip(none, ids, ties)], np.int32)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            if len(ids):
-                best = pd.Series(ids).groupby(range_of(ids)).max()
-                yield pa.RecordBatch.from_arrays([pa.array(best.index.to_numpy(np.int32)), pa.array(best.to_numpy(np.int64))], names=["pid", "id"])
-
-    heads = sorted((r.pid, r.id) for r in own.select("id").mapInArrow(tops, "pid int, id long").groupBy("pid").agg(F.max("id").alias("id")).collect())
+            columns = [c.to_pylist() for c in batch.columns]
+            best: dict[int, tuple] = {}
+            for pid, x in zip(range_of(*columns).tolist(), zip(*columns)):
+                order = (x[0], ~x[1], x[2])
+                best[pid] = min(order, best.get(pid, order))
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([b[0] for b in best.values()], pa.bool_()), pa.array([b[1] for b in best.values()], pa.int64()), pa.array([b[2] for b in best.values()], pa.int64())], names=["pid", "none", "id", "tie"])
+
+    found = own.select("none", "id", "tie").mapInArrow(tops, "pid int, none boolean, id long, tie long").groupBy("pid").agg(F.min(F.struct("none", "id", "tie")).alias("m")).select("pid", "m.*")
+    heads = sorted((r.pid, (r.none, r.id, r.tie)) for r in found.collect())
     before = {pid: heads[i - 1][0] for i, (pid, _) in enumerate(heads)}  # of the first range: the last
     head = dict(heads)
     sent = spark.sparkContext.broadcast(words)
@@ -145,40 +170,42 @@ def edited_neighbours(docs: DataFrame, words: tuple[str, ...], text: str = "text
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, packer = _built(sent.value), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            pids = range_of(ids).astype(np.int32)
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            rows = [pids, np.zeros(len(ids), np.int32), ids, np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64), np.array([len(t) for t in texts], np.int64)]
-            prints, bodies = [known.fingerprint(t) for t in texts], [packer.compress(r) for r in raw]
-            again = [i for i, (p, d) in enumerate(zip(pids.tolist(), ids.tolist())) if head[p] == d]
-            take = np.concatenate([np.arange(len(ids)), np.array(again, np.int64)])
-            cols = [c[take] for c in rows]
-            for i, a in enumerate(again, len(ids)):
-                first = before[int(pids[a])]
-                cols[0][i], cols[1][i] = first, 1
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([prints[i] for i in take], pa.string()), pa.array([bodies[i] for i in take], pa.binary())], names=["pid", "extra", "id", "tie", "n_chars", "fingerprint", "body"])
+            none, ids, ties, texts, copies = (c.to_pylist() for c in batch.columns)
+            pids = range_of(none, ids, ties).tolist()
+            prints, bodies = [known.fingerprint(t) for t in texts], [packer.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
+            again = [i for i, p in enumerate(pids) if head[p] == (none[i], ~ids[i], ties[i])]
+            take = [*range(len(ids)), *again]
+            to = pids + [before[pids[i]] for i in again]
+            extra = [0] * len(ids) + [1] * len(again)
+            columns = [to, extra, *([c[i] for i in take] for c in (none, ids, ties, [len(t) for t in texts], copies, prints, bodies))]
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), *[pa.int64()] * 4, pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in _ROWS.split(", ")])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unpacker = _built(sent.value), zstandard.ZstdDecompressor()
-        text_of = lambda body: unpacker.decompress(body).decode("utf-8", "surrogatepass")
         last = None
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                body = text_of(row[6])
+                body = unpacker.decompress(row[8]).decode("utf-8", "surrogatepass")
                 if last and last[0] == row[0] and last[1] == 0:
-                    out.append(told(last, row, body, known))
-                last = (*row[:6], body)
+                    if last[6] > 1:
+                        own = told(last, last[7], last[8], known)
+                        out += [(*own, min(TOLD, last[6] - 1 - n)) for n in range(0, last[6] - 1, TOLD)]
+                    out.append((*told(last, row[7], body, known), 1))
+                last = (*row[:8], body)
             if out:
-                cols = [list(c) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out)], names=[f.split()[0] for f in _OUT.split(", ")])
 
-    def told(row: tuple, after: tuple, next_text: str, known: Lexicon) -> tuple:
-        body, half = row[6], row[4] // 2
+    def told(row: tuple, next_print: str, next_text: str, known: Lexicon) -> tuple:
+        body, half = row[8], row[5] // 2
         edited = body[: len(body) - half] + next_text[:half]
-        other = known.fingerprint(edited)
-        return row[2], row[4], sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), row[5], other, likeness(row[5], other), likeness(row[5], after[5])
+        other = row[7] if edited == body else known.fingerprint(edited)
+        return row[2], row[3], row[5], sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), row[7], other, likeness(row[7], other), likeness(row[7], next_print)
 
-    dealt = own.select("id", "text").mapInArrow(send, _ROWS).repartitionById(len(cuts) + 1, "pid").sortWithinPartitions("pid", "extra", F.desc("id"), "tie")
+    dealt = own.select("none", "id", "tie", "text", "copies").mapInArrow(send, _ROWS).repartitionById(len(cuts) + 1, "pid").sortWithinPartitions("pid", "extra", "none", F.desc("id"), "tie")
     out = dealt.mapInArrow(pair, _OUT)
-    return out.select(F.when(F.col("id") != least, F.col("id")).alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    columns = [F.when(~F.col("none"), F.col("id")).alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    if single:
+        return out.select(*columns)
+    return out.repartition(partitions).select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
