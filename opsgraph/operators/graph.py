@@ -7,7 +7,7 @@ node), so many starts walk at once and a node with very many neighbours costs as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsgraph.plans.lineage import cut
@@ -59,11 +59,11 @@ def oldest_evidence(edges: DataFrame, starts: DataFrame, hops: int, seen: str =
     Grouped by node and date after every hop, so the rows kept grow with distinct dates, not with paths.
     A null date counts as no evidence; a path of nulls alone has a null date.
     """
-    step = edges.select(F.col("src").alias("node"), "dst", F.col(seen).alias("_seen"))
+    step = cut(edges.select(F.col("src").alias("node"), "dst", F.col(seen).alias("_seen")))
     frontier = starts.select("start", F.col("start").alias("node"), F.lit(None).cast(edges.schema[seen].dataType).alias("oldest"))
     found = None
     for hop in range(1, hops + 1):
-        frontier = frontier.join(step, "node").select("start", F.col("dst").alias("node"), F.least("oldest", "_seen").alias("oldest")).distinct()
+        frontier = cut(frontier.join(step, "node").select("start", F.col("dst").alias("node"), F.least("oldest", "_seen").alias("oldest")).distinct())
         now = frontier.withColumn("hops", F.lit(hop))
         found = now if found is None else found.unionByName(now)
     return found.groupBy("start", "node", "oldest").agg(F.min("hops").alias("hops"))
@@ -76,24 +76,40 @@ def degree(edges: DataFrame, a: str = "parent", b: str = "child") -> DataFrame:
 
 #: Names and texts meet in the last so many characters of the name.
 ENDING = 8
+#: If they end in no more different characters than these, only such places of a text are looked at.
+LAST = 64
 
 
-def entry_points(questions: DataFrame, names: DataFrame, top: int = 3) -> DataFrame:
-    """(question_id, key, name, place): the longest names that a question's text holds, letter case aside; equal lengths by key.
+def named_in(questions: DataFrame, names: DataFrame, folded: bool = True) -> DataFrame:
+    """(question_id, key, name): every name (not empty) that a question's text holds; folded: letter case aside.
 
-    A name's ending, the part in which names of one kind differ, is the key of an equality join with all
-    pieces of that length of a text; whether the whole name is there is looked at after.
+    A name's ending, the part in which names of one kind differ, is the key of an equality join with the
+    pieces of that length of a text; whether the whole name is there is looked at after. Pieces that no
+    name can end in, for their last character or their length, are left out before the join.
     """
-    known = names.where(F.length("name") > 0).select("key", "name", F.lower("name").alias("_name"))
+    fold = F.lower if folded else F.col
+    known = names.where(F.length("name") > 0).select("key", "name", fold("name").alias("_name"))
     known = known.withColumn("_end", F.substring("_name", F.greatest(F.lit(1), F.length("_name") - ENDING + 1), F.lit(ENDING)))
-    sizes = sorted(r[0] for r in known.select(F.length("_end")).distinct().collect())  # ENDING values at most
+    kinds = known.select(F.length("_end").alias("n"), F.substring("_end", -1, 1).alias("c")).distinct().groupBy("n").agg(F.slice(F.array_sort(F.collect_set("c")), 1, LAST + 1).alias("c")).collect()  # ENDING rows at most
     text = F.col("_text")
-    pieces = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n))))
-    asked = questions.select("question_id", F.lower("text").alias("_text"))
-    every = F.array_distinct(F.concat(*(F.coalesce(pieces(n), F.array().cast("array<string>")) for n in sizes))) if sizes else F.array().cast("array<string>")
+
+    def pieces(n: int, last: list[str]) -> Column:
+        ends = F.sequence(F.lit(n), F.greatest(F.lit(n), F.length(text)))
+        if len(last) <= LAST:
+            ends = F.filter(ends, lambda i: F.substring(text, i, F.lit(1)).isin(last))
+        return F.when(F.length(text) >= n, F.transform(ends, lambda i: F.substring(text, i - n + 1, F.lit(n))))
+
+    asked = questions.select("question_id", fold("text").alias("_text"))
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(*(F.coalesce(pieces(r.n, r.c), none) for r in kinds))) if kinds else none
     found = asked.select("question_id", "_text", F.explode(every).alias("_end")).join(known, "_end").where(F.contains("_text", F.col("_name")))
+    return found.select("question_id", "key", "name").distinct()
+
+
+def entry_points(questions: DataFrame, names: DataFrame, top: int = 3) -> DataFrame:
+    """(question_id, key, name, place): the longest names that a question's text holds, letter case aside; equal lengths by key."""
     by = Window.partitionBy("question_id").orderBy(F.length("name").desc(), "key")
-    return found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= top).select("question_id", "key", "name", "place")
+    return named_in(questions, names).withColumn("place", F.row_number().over(by)).where(F.col("place") <= top).select("question_id", "key", "name", "place")
 
 
 def seeds(mentions: DataFrame, items: DataFrame, incidents: DataFrame, changes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsgraph.functions.times import out_of_hours
+from opsgraph.operators.graph import named_in, reach
 
 
 def latest(rows: DataFrame, by: str, at: str, number: str = "number", n: int = 1) -> DataFrame:
@@ -30,37 +31,56 @@ def overran(changes: DataFrame, factor: float = 1.3) -> DataFrame:
     return changes.where(F.col("actual_start").isNotNull() & F.col("actual_end").isNotNull() & (seconds("actual_start", "actual_end") > factor * seconds("planned_start", "planned_end")))
 
 
+def _cell(at: str | Column, hours: int) -> Column:
+    """The stretch of so many hours that a time lies in."""
+    return F.floor(F.unix_micros((F.col(at) if isinstance(at, str) else at).cast("timestamp")) / (hours * 3_600_000_000))
+
+
 def followed(changes: DataFrame, incidents: DataFrame, days: int = 2) -> DataFrame:
-    """Changes with an incident on the same item after their actual end and within the days: an interval semi-join."""
-    i = incidents.select(F.col("ci_key").alias("_ci"), F.col("opened_at").alias("_at")).where("_ci is not null")
-    return changes.join(i, (F.col("ci_key") == F.col("_ci")) & (F.col("_at") > F.col("actual_end")) & (F.col("_at") < F.col("actual_end") + F.expr(f"interval '{days}' day")), "left_semi")
+    """Changes with an incident on the same item after their actual end and within the days: an interval semi-join.
+
+    The join's key is item and stretch of time, each change standing in two stretches, so a busy item spreads out.
+    """
+    hours = 24 * days
+    i = incidents.select(F.col("ci_key").alias("_ci"), F.col("opened_at").alias("_at"), _cell("opened_at", hours).alias("_cell")).where("_ci is not null")
+    c = changes.where("actual_end is not null").select("number", "ci_key", "actual_end", F.explode(F.array(_cell("actual_end", hours), _cell("actual_end", hours) + 1)).alias("cell"))
+    on = (F.col("ci_key") == F.col("_ci")) & (F.col("cell") == F.col("_cell")) & (F.col("_at") > F.col("actual_end")) & (F.col("_at") < F.col("actual_end") + F.expr(f"interval '{days}' day"))
+    return changes.join(c.join(i, on, "left_semi").select("number").distinct(), "number", "left_semi")
 
 
-def preceding_changes(incidents: DataFrame, changes: DataFrame, hours: int = 24, reactive: bool = False) -> DataFrame:
-    """(incident, change, minutes): changes on the item that ended within the hours before an incident opened.
+def preceding_changes(incidents: DataFrame, changes: DataFrame, hours: int = 24, reactive: bool = False, edges: DataFrame | None = None, near: int = 2) -> DataFrame:
+    """(incident, change, minutes): changes that ended within the hours before an incident opened, on its item or, with edges (src, dst), on one that supports it in at most `near` steps.
 
     Changes raised after an incident follow it rather than cause it and are left out, unless asked for.
-    Both sides are cut into stretches of the window's length, each change standing in its own and the
-    next, so that the join's key is item and stretch, and an item with very many records spreads out.
+    A change that is near in several ways is one row. Both sides are cut into stretches of the window's
+    length, each change standing in its own and the next, so that the join's key is item and stretch, and
+    an item with very many records spreads out.
     """
     own = changes.where("actual_end is not null" + ("" if reactive else " and raised_after_incident is null"))
-    cell = lambda at: F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (hours * 3_600_000_000))
-    c = own.select("ci_key", F.col("number").alias("change"), "actual_end", F.explode(F.array(cell("actual_end"), cell("actual_end") + 1)).alias("cell"))
-    i = incidents.where("ci_key is not null").select("ci_key", F.col("number").alias("incident"), "opened_at", cell("opened_at").alias("cell"))
+    c = own.select("ci_key", F.col("number").alias("change"), "actual_end", F.explode(F.array(_cell("actual_end", hours), _cell("actual_end", hours) + 1)).alias("cell"))
+    i = incidents.where("ci_key is not null").select("ci_key", F.col("number").alias("incident"), "opened_at", _cell("opened_at", hours).alias("cell"))
+    if edges is not None:
+        # Changed items walk up to what they support: there are fewer of them than of all that an item needs.
+        back = reach(edges, own.select(F.col("ci_key").alias("start")).where("start is not null").distinct(), near, include_start=True)
+        c = c.join(back.select(F.col("start").alias("ci_key"), "node"), "ci_key").drop("ci_key").withColumnRenamed("node", "ci_key").distinct()
     found = i.join(c, ["ci_key", "cell"]).where((F.col("actual_end") < F.col("opened_at")) & (F.col("actual_end") > F.col("opened_at") - F.expr(f"interval '{hours}' hour")))
     return found.select("incident", "change", F.floor(F.timestamp_diff("SECOND", F.col("actual_end"), F.col("opened_at")) / 60).alias("minutes"))
 
 
-def seen_before(incidents: DataFrame, problems: DataFrame) -> DataFrame:
-    """(number, earlier, problem, workaround): a repeat, what it repeats, and the problem that groups that; no problem: not listed."""
+def seen_before(incidents: DataFrame, problems: DataFrame, articles: DataFrame | None = None) -> DataFrame:
+    """(number, earlier, problem, workaround): a repeat, what it repeats, and the problem that groups that; no problem: not listed.
+
+    With articles also article: one row for each that documents the problem, null if none does.
+    """
     grouped = problems.select(F.col("number").alias("problem"), "workaround", F.explode("incident_numbers").alias("earlier"))
-    return incidents.where("duplicate_of is not null").select("number", F.col("duplicate_of").alias("earlier")).join(grouped, "earlier")
+    found = incidents.where("duplicate_of is not null").select("number", F.col("duplicate_of").alias("earlier")).join(grouped, "earlier")
+    return found if articles is None else found.join(articles.select(F.col("problem_number").alias("problem"), F.col("number").alias("article")), "problem", "left")
 
 
 def misrouted(incidents: DataFrame, items: DataFrame) -> DataFrame:
-    """Incidents whose group's name isn't in their item's key or domain: (number, assignment_group)."""
+    """Incidents whose item's domain isn't in their group's name, letter case aside: (number, assignment_group). Unlinked ones aren't judged."""
     owned = incidents.join(items.select(F.col("key").alias("ci_key"), "domain"), "ci_key")
-    return owned.where(~F.contains(F.col("domain"), F.substring("assignment_group", 6, 1))).select("number", "assignment_group")
+    return owned.where(~F.contains(F.lower("assignment_group"), F.lower("domain"))).select("number", "assignment_group")
 
 
 def names_another(tickets: DataFrame, prefix: str = "INC") -> DataFrame:
@@ -79,10 +99,10 @@ def outside_hours(rows: DataFrame, at: str, from_: Column, to: Column) -> DataFr
     return rows.where((F.col(at) >= from_) & (F.col(at) < to) & out_of_hours(at))
 
 
-def rates(incidents: DataFrame) -> DataFrame:
-    """One row of measured rates, to four places."""
+def rates(incidents: DataFrame, edges: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """One row of measured rates, to four places; with edges and items also how many linked incidents' notes name a neighbour."""
     share = lambda c: F.round(F.avg(c.cast("double")), 4)
-    return incidents.agg(
+    found = incidents.agg(
         F.count("*").alias("incidents"),
         share(F.col("ci_key").isNull()).alias("unlinked"),
         share(F.col("resolved_at").isNull()).alias("open"),
@@ -91,15 +111,24 @@ def rates(incidents: DataFrame) -> DataFrame:
         share(F.col("priority") == 1).alias("p1"),
         share(F.hour("opened_at").between(8, 17)).alias("by_day"),
         F.countDistinct("caller").alias("callers"),
+        F.count("ci_key").alias("_linked"),
     )
+    if edges is None or items is None:
+        return found.drop("_linked")
+    named = notes_naming_neighbour(incidents, edges, items).agg(F.count("*").alias("_named"))
+    return found.join(named).withColumn("names_neighbour", F.round(F.col("_named") / F.nullif("_linked", F.lit(0)), 4)).drop("_linked", "_named")  # two single rows
 
 
 def notes_naming_neighbour(incidents: DataFrame, edges: DataFrame, items: DataFrame) -> DataFrame:
-    """Incidents whose notes name an item next to their own: (number)."""
-    near = edges.select(F.col("parent").alias("ci_key"), F.col("child").alias("other")).union(edges.select(F.col("child").alias("ci_key"), F.col("parent").alias("other")))
-    notes = F.array_join(F.transform("work_notes", lambda n: n["text"]), " ")
-    named = near.join(items.select(F.col("key").alias("other"), F.col("name").alias("other_name")), "other")
-    return incidents.where("ci_key is not null").select("number", "ci_key", notes.alias("notes")).join(named, "ci_key").where(F.contains("notes", F.col("other_name"))).select("number").distinct()
+    """Incidents whose notes name an item next to their own: (number).
+
+    What the notes name is found first, by name; being neighbours is then an equality join, so an
+    item with very many neighbours costs no row an incident.
+    """
+    near = edges.select(F.col("parent").alias("ci_key"), F.col("child").alias("key")).union(edges.select(F.col("child").alias("ci_key"), F.col("parent").alias("key"))).distinct()
+    own = incidents.where("ci_key is not null").select("number", "ci_key", F.array_join(F.transform("work_notes", lambda n: n["text"]), " ").alias("text"))
+    named = named_in(own.select(F.col("number").alias("question_id"), "text"), items.select("key", "name"), folded=False)
+    return own.select("number", "ci_key").join(named.select(F.col("question_id").alias("number"), "key"), "number").join(near, ["ci_key", "key"], "left_semi").select("number").distinct()
 
 
 def state_word(code: Column) -> Column:

@@ -263,7 +263,7 @@ def out_of_hours_last_month(spark: SparkSession, d: str) -> DataFrame:
     return tickets.outside_hours(i, "opened_at", stamp("1970-01-01 00:00:00"), stamp(AS_OF)).select("number", "opened_at")
 
 
-MISROUTED = "SELECT number, assignment_group FROM incidents JOIN items ON key = ci_key WHERE NOT contains(domain, substring(assignment_group, 6, 1))"
+MISROUTED = "SELECT number, assignment_group FROM incidents JOIN items ON key = ci_key WHERE NOT contains(lower(assignment_group), lower(domain))"
 
 
 @query(oracle(f"WITH m AS ({MISROUTED}) SELECT number, assignment_group FROM m WHERE assignment_group = (SELECT assignment_group FROM m GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)", "incidents", "items"))
@@ -306,15 +306,39 @@ def reactive_trap(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(c.select(F.col("number").alias("change"), "raised_after_incident"), "change").agg(F.count("*").alias("all_pairs"), F.count("raised_after_incident").alias("reactive"))
 
 
-@query(oracle("SELECT i.number, i.duplicate_of AS earlier, p.number AS problem, p.workaround FROM incidents i JOIN (SELECT number, workaround, unnest(incident_numbers) AS earlier FROM problems) p ON p.earlier = i.duplicate_of", "incidents", "problems"))
+@query(oracle("SELECT i.number, i.duplicate_of AS earlier, p.number AS problem, p.workaround, coalesce(a.number, '') AS article FROM incidents i JOIN (SELECT number, workaround, unnest(incident_numbers) AS earlier FROM problems) p ON p.earlier = i.duplicate_of LEFT JOIN articles a ON a.problem_number = p.number", "incidents", "problems", "articles"))
 def seen_before(spark: SparkSession, d: str) -> DataFrame:
-    return tickets.seen_before(bridge.incidents(spark, d), bridge.problems(spark, d))
+    """What a repeat repeats, the problem behind it, and the articles on that."""
+    return tickets.seen_before(bridge.incidents(spark, d), bridge.problems(spark, d), bridge.articles(spark, d)).fillna("", ["article"])
+
+
+NEAR = "SELECT ci_key AS start, ci_key AS node, 0 AS hop FROM changes"
+
+
+@query(oracle(f"WITH every AS (SELECT child AS src, parent AS dst FROM edges), {reach_sql(NEAR, 'every', 2)} SELECT DISTINCT i.number AS incident, c.number AS change, (epoch_us(i.opened_at) - epoch_us(c.actual_end)) // 60000000 AS minutes FROM incidents i JOIN r ON r.node = i.ci_key JOIN changes c ON c.ci_key = r.start AND c.actual_end < i.opened_at AND c.actual_end > i.opened_at - INTERVAL 24 HOUR WHERE c.raised_after_incident IS NULL", "incidents", "changes", "edges", recursive=True))
+def change_correlation_near(spark: SparkSession, d: str) -> DataFrame:
+    """Changes before an incident on its item, or on what supports it in at most two steps over edges of any type."""
+    e = bridge.edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    return tickets.preceding_changes(bridge.incidents(spark, d), bridge.changes(spark, d), edges=e)
+
+
+@query(oracle(f"WITH {reach_sql(REGIONS, 'supports', 4)} SELECT start, domain, count(*) AS n FROM r JOIN items ON key = node WHERE hop > 0 GROUP BY ALL", "supports", "items", recursive=True))
+def owners_of_blast_radius(spark: SparkSession, d: str) -> DataFrame:
+    """Which domains own what stands on each region."""
+    found = graph.reach(bridge.supports(spark, d), table(spark, d, "region").select(bridge.key("region", "r_regionkey").alias("start")), 4)
+    return found.join(bridge.items(spark, d).select(F.col("key").alias("node"), "domain"), "node").groupBy("start", "domain").agg(F.count("*").alias("n"))
+
+
+@query(oracle("SELECT number, CASE CASE WHEN resolved_at IS NULL THEN 2 ELSE 6 END WHEN 2 THEN 'In Progress' ELSE 'Resolved' END AS state FROM incidents", "incidents"))
+def state_words(spark: SparkSession, d: str) -> DataFrame:
+    return bridge.incidents(spark, d).select("number", tickets.state_word(F.when(F.col("resolved_at").isNull(), 2).otherwise(6)).alias("state"))
 
 
 @query(oracle("""SELECT count(*) AS incidents, round(avg((ci_key IS NULL)::int), 4) AS unlinked, round(avg((resolved_at IS NULL)::int), 4) AS open, round(avg((duplicate_of IS NOT NULL)::int), 4) AS repeats,
-round(avg(contains(replace(description, number, ''), 'INC')::int), 4) AS cross_referenced, round(avg((priority = 1)::int), 4) AS p1, round(avg((hour(opened_at) BETWEEN 8 AND 17)::int), 4) AS by_day, count(DISTINCT caller) AS callers FROM incidents""", "incidents"))
+round(avg(contains(replace(description, number, ''), 'INC')::int), 4) AS cross_referenced, round(avg((priority = 1)::int), 4) AS p1, round(avg((hour(opened_at) BETWEEN 8 AND 17)::int), 4) AS by_day, count(DISTINCT caller) AS callers,
+round((SELECT count(DISTINCT i.number) FROM incidents i JOIN (SELECT parent AS ci_key, child AS other FROM edges UNION SELECT child, parent FROM edges) e ON e.ci_key = i.ci_key JOIN items t ON t.key = e.other WHERE contains(array_to_string(i.notes, ' '), t.name)) / count(ci_key), 4) AS names_neighbour FROM incidents""", "incidents", "edges", "items"))
 def manifest_rates(spark: SparkSession, d: str) -> DataFrame:
-    return tickets.rates(bridge.incidents(spark, d))
+    return tickets.rates(bridge.incidents(spark, d), bridge.edges(spark, d), bridge.items(spark, d))
 
 
 @query(oracle("""SELECT DISTINCT i.number FROM incidents i JOIN (SELECT parent AS ci_key, child AS other FROM edges UNION SELECT child, parent FROM edges) e ON e.ci_key = i.ci_key JOIN items t ON t.key = e.other WHERE contains(array_to_string(i.notes, ' '), t.name)""", "incidents", "edges", "items"))

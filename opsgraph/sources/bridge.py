@@ -14,6 +14,7 @@ AS_OF = "2024-02-01 00:00:00"
 EDGES_AS_OF = "2002-01-01 00:00:00"
 # The relationship types that carry impact, by the name of their parent's side.
 IMPACT = ("Depends on", "Runs on", "Hosted on")
+GROUPS = ("Automobile Support", "Building Support", "Furniture Support", "Household Support", "Machinery Support")
 CATEGORIES = ("capacity", "latency", "replication", "certificate", "access")
 
 
@@ -71,8 +72,9 @@ def incidents(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("event_type = 'error'").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), F.floor("value").cast("int"), F.lit(0))
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("event_id") % 5 + 1).cast("int"))
-    near = Window.partitionBy("user_id", F.col("event_id") % 5).orderBy("ts", "event_id")
-    group = F.concat(F.lit("group"), (F.col("user_id") % 7).cast("string"))
+    alike = Window.partitionBy("user_id", F.col("event_id") % 5).orderBy("ts", "event_id")
+    group = F.element_at(F.array(*map(F.lit, GROUPS)), (F.col("user_id") % 5 + 1).cast("int"))
+    near = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(", near NATION_"), (F.col("event_id") % 25).cast("string"))).otherwise(F.lit(""))
     return e.select(
         _numbered("INC").alias("number"),
         F.concat(category, F.lit(" trouble on item "), F.col("user_id").cast("string")).alias("short_description"),
@@ -82,11 +84,11 @@ def incidents(spark: SparkSession, d: str) -> DataFrame:
         (F.col("event_id") % 4 + 1).cast("int").alias("priority"),
         F.col("ts").alias("opened_at"),
         F.when(F.col("k") % 5 != 0, F.col("ts") + minutes).alias("resolved_at"),
-        F.when(F.col("k") % 4 == 0, F.lit("group0")).otherwise(group).alias("assignment_group"),
+        F.when(F.col("k") % 4 == 0, F.lit("Service Desk")).otherwise(group).alias("assignment_group"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("caller"),
         F.when(F.col("k") % 5 != 0, F.concat(F.lit("fixed by restart after "), F.floor("value").cast("string"), F.lit(" minutes"))).alias("close_notes"),
-        F.array(F.struct(F.col("ts").alias("at"), group.alias("author"), F.concat(F.lit("seen on "), key("customer", "user_id")).alias("text")), F.struct((F.col("ts") + minutes).alias("at"), F.lit("desk").alias("author"), F.when(F.col("k") % 3 == 0, "").otherwise("watched, no change").alias("text"))).alias("work_notes"),
-        F.lag(_numbered("INC")).over(near).alias("duplicate_of"),
+        F.array(F.struct(F.col("ts").alias("at"), group.alias("author"), F.concat(F.lit("seen on "), key("customer", "user_id"), near).alias("text")), F.struct((F.col("ts") + minutes).alias("at"), F.lit("desk").alias("author"), F.when(F.col("k") % 3 == 0, "").otherwise("watched, no change").alias("text"))).alias("work_notes"),
+        F.lag(_numbered("INC")).over(alike).alias("duplicate_of"),
     )
 
 
@@ -98,7 +100,7 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
         _numbered("CHG").alias("number"),
         F.concat(F.lit("Change to item "), F.col("user_id").cast("string")).alias("short_description"),
         F.concat(F.lit("Planned work, step "), F.col("k").cast("string")).alias("description"),
-        key("customer", "user_id").alias("ci_key"),
+        F.when(F.col("k") % 8 == 1, F.concat(F.lit("nation:"), (F.col("event_id") % 25).cast("string"))).when(F.col("k") % 8 == 2, F.concat(F.lit("order:"), (F.col("event_id") % 1000).cast("string"))).otherwise(key("customer", "user_id")).alias("ci_key"),
         F.when(F.col("k") % 10 == 0, "emergency").otherwise("normal").alias("change_type"),
         F.element_at(F.array(F.lit("low"), F.lit("moderate"), F.lit("high")), (F.col("k") % 3 + 1).cast("int")).alias("risk"),
         F.col("ts").alias("planned_start"),
@@ -125,9 +127,10 @@ def problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
-    """A knowledge article for each page: its id, and its text in sections."""
+    """A knowledge article for each page: its id, the problem it documents (which need not exist), and its text in sections."""
     p = table(spark, d, "pages")
-    return p.select(F.concat(F.lit("KB"), F.lpad(F.col("page_id").cast("string"), 6, "0")).alias("number"), "url", F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit("\n## Symptom\nSeen at "), F.col("url"), F.lit("\n## Fix\nok\n## Background\n"), F.substring("html", 1, 200)).alias("text"))
+    about = F.concat(F.lit("PRB-customer:"), (F.col("page_id") % 150).cast("string"), F.lit("-"), F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("page_id") % 5 + 1).cast("int")))
+    return p.select(F.concat(F.lit("KB"), F.lpad(F.col("page_id").cast("string"), 6, "0")).alias("number"), about.alias("problem_number"), "url", F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit("\n## Symptom\nSeen at "), F.col("url"), F.lit("\n## Fix\nok\n## Background\n"), F.substring("html", 1, 200)).alias("text"))
 
 
 #: The same views for DuckDB, by name; a view may use those before it.
@@ -148,12 +151,12 @@ VIEWS = {
         'Customer#' || lpad(user_id::varchar, 9, '0') || ' reports ' || category || CASE WHEN event_id % 9 = 0 THEN ', as in INC' || lpad((event_id // 2)::varchar, 7, '0') ELSE '' END AS description,
         CASE WHEN k % 6 <> 0 THEN 'customer:' || user_id END AS ci_key, category, (event_id % 4 + 1)::int AS priority, ts AS opened_at,
         CASE WHEN k % 5 <> 0 THEN ts + to_minutes(floor(value)::bigint) END AS resolved_at,
-        CASE WHEN k % 4 = 0 THEN 'group0' ELSE 'group' || (user_id % 7) END AS assignment_group, 'user' || user_id AS caller,
+        CASE WHEN k % 4 = 0 THEN 'Service Desk' ELSE ['Automobile', 'Building', 'Furniture', 'Household', 'Machinery'][user_id % 5 + 1] || ' Support' END AS assignment_group, 'user' || user_id AS caller,
         CASE WHEN k % 5 <> 0 THEN 'fixed by restart after ' || floor(value)::bigint || ' minutes' END AS close_notes,
-        ['seen on customer:' || user_id, CASE WHEN k % 3 = 0 THEN '' ELSE 'watched, no change' END] AS notes,
+        ['seen on customer:' || user_id || CASE WHEN event_id % 4 = 0 THEN ', near NATION_' || (event_id % 25) ELSE '' END, CASE WHEN k % 3 = 0 THEN '' ELSE 'watched, no change' END] AS notes,
         lag('INC' || lpad(event_id::varchar, 7, '0')) OVER (PARTITION BY user_id, event_id % 5 ORDER BY ts, event_id) AS duplicate_of
         FROM (SELECT *, json_extract(props, '$.k')::int AS k, ['capacity', 'latency', 'replication', 'certificate', 'access'][event_id % 5 + 1] AS category FROM events WHERE event_type = 'error')""",
-    "changes": """SELECT 'CHG' || lpad(event_id::varchar, 7, '0') AS number, 'Change to item ' || user_id AS short_description, 'Planned work, step ' || k AS description, 'customer:' || user_id AS ci_key,
+    "changes": """SELECT 'CHG' || lpad(event_id::varchar, 7, '0') AS number, 'Change to item ' || user_id AS short_description, 'Planned work, step ' || k AS description, CASE WHEN k % 8 = 1 THEN 'nation:' || (event_id % 25) WHEN k % 8 = 2 THEN 'order:' || (event_id % 1000) ELSE 'customer:' || user_id END AS ci_key,
         CASE WHEN k % 10 = 0 THEN 'emergency' ELSE 'normal' END AS change_type, ['low', 'moderate', 'high'][k % 3 + 1] AS risk, ts AS planned_start,
         ts + to_minutes((floor(value) + 10)::bigint) AS planned_end, CASE WHEN k % 7 <> 0 THEN ts END AS actual_start,
         CASE WHEN k % 7 <> 0 THEN ts + to_minutes(floor((floor(value) + 10) * (k % 5) / 2)::bigint) END AS actual_end,
@@ -162,7 +165,7 @@ VIEWS = {
     "problems": """SELECT 'PRB-' || ci_key || '-' || category AS number, 'Repeated ' || category || ' on ' || ci_key AS short_description, ci_key, category, opened_at,
         CASE WHEN n % 3 <> 0 THEN last_resolved END AS resolved_at, 'restart ' || ci_key AS workaround, incident_numbers
         FROM (SELECT ci_key, category, count(*) AS n, min(opened_at) AS opened_at, max(resolved_at) AS last_resolved, list(number ORDER BY number) AS incident_numbers FROM incidents WHERE ci_key IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)""",
-    "articles": """SELECT 'KB' || lpad(page_id::varchar, 6, '0') AS number, url, 'Page ' || page_id || chr(10) || '## Symptom' || chr(10) || 'Seen at ' || url || chr(10) || '## Fix' || chr(10) || 'ok' || chr(10) || '## Background' || chr(10) || substring(html, 1, 200) AS text FROM pages""",
+    "articles": """SELECT 'KB' || lpad(page_id::varchar, 6, '0') AS number, 'PRB-customer:' || (page_id % 150) || '-' || ['capacity', 'latency', 'replication', 'certificate', 'access'][page_id % 5 + 1] AS problem_number, url, 'Page ' || page_id || chr(10) || '## Symptom' || chr(10) || 'Seen at ' || url || chr(10) || '## Fix' || chr(10) || 'ok' || chr(10) || '## Background' || chr(10) || substring(html, 1, 200) AS text FROM pages""",
 }
 
 
