@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsgraph.functions.text import approx_tokens
-from opsgraph.operators import evaluate, fuse, lexical, vector
+from opsgraph.operators import evaluate, fuse, graph, lexical, vector
 
 
 class Arm(Protocol):
@@ -60,9 +60,68 @@ class Fused:
         return fuse.reciprocal_ranks([a.retrieve(questions) for a in self.arms]).select("question_id", "id", "place")
 
 
+def sentences(items: DataFrame, reached_from: str | None = None) -> F.Column:
+    """What is said of a reached item of items (key, name, cls, environment)."""
+    said = [F.col("key"), F.lit(" "), F.col("name"), F.lit(" is a "), F.col("cls"), F.lit(" in the "), F.col("environment"), F.lit(" environment")]
+    return F.concat(*said, *([F.lit(", reached from "), F.col(reached_from)] if reached_from else []), F.lit("."))
+
+
+@dataclass
+class Named:
+    """The graph alone: from the items that a question names, both ways over edges (src, dst), the items themselves left out.
+
+    Each named item walks once, however many questions name it; the nearest `limit` of each are taken,
+    those of the longest name first. What is reached comes with its sentence.
+    """
+
+    edges: DataFrame
+    items: DataFrame
+    names: DataFrame | None = None
+    limit: int = 60
+    hops: int = 4
+    name: str = "graph_only"
+
+    def retrieve(self, questions: DataFrame) -> DataFrame:
+        entries = graph.entry_points(questions, (self.names if self.names is not None else self.items).select("key", "name")).select("question_id", F.col("key").alias("start"), F.col("place").alias("_entry"))
+        reached = graph.walk(self.edges, entries.select("start").distinct(), self.hops, self.limit + 1).where("hop > 0").where(F.col("place") <= self.limit + 1)
+        once = entries.join(reached, "start").groupBy("question_id", "node").agg(F.min(F.struct("_entry", "place", "start")).alias("_m"))
+        by = Window.partitionBy("question_id").orderBy("_m._entry", "_m.place")
+        placed = once.select("question_id", F.col("node").alias("id"), F.col("_m.start").alias("_from"), F.row_number().over(by).alias("place"))
+        return placed.join(self.items.withColumn("id", F.col("key")), "id").select("question_id", "id", "place", sentences(self.items, "_from").alias("text"))
+
+
+@dataclass
+class Walked:
+    """A walk from the items that another arm's first records stand for: items are themselves, incidents and changes their item, others none."""
+
+    seeds: Arm
+    edges: DataFrame
+    items: DataFrame
+    incidents: DataFrame
+    changes: DataFrame
+    first: int = 8
+    limit: int = 80
+    top: int = 40
+    name: str = "vector_walk"
+
+    def retrieve(self, questions: DataFrame) -> DataFrame:
+        ranked = self.seeds.retrieve(questions).where(F.col("place") <= self.first).select("question_id", F.col("id").cast("string").alias("record_id"))
+        found = walked(ranked, self.edges, self.items, self.incidents, self.changes, self.limit, self.top)
+        return found.join(self.items.withColumn("id", F.col("key")), "id").select("question_id", "id", "place", sentences(self.items).alias("text"))
+
+
+def walked(ranked: DataFrame, edges: DataFrame, items: DataFrame, incidents: DataFrame, changes: DataFrame, limit: int = 80, top: int = 40) -> DataFrame:
+    """(question_id, id, hop, place): around the items that the records of ranked (question_id, record_id) stand for, these included, the nearest `limit` of all and of them the first `top`."""
+    stand = graph.seeds(ranked.select("record_id").distinct(), items, incidents, changes).withColumnRenamed("start", "record_id")
+    begin = ranked.join(stand, "record_id").select(F.col("question_id").alias("start"), "node").distinct()
+    found = graph.walk(edges, begin, limit=limit).where(F.col("place") <= top)
+    return found.select(F.col("start").alias("question_id"), F.col("node").alias("id"), "hop", "place")
+
+
 def contexts(ranking: DataFrame, docs: DataFrame, budget: int = fuse.BUDGET) -> DataFrame:
-    """(question_id, id, place, tokens): what of a ranking fits into the budget, placed anew; tokens are the whole context's."""
-    sized = ranking.join(docs.select("id", approx_tokens("text").alias("tokens")), "id")
+    """(question_id, id, place, tokens): what of a ranking fits into the budget, placed anew; tokens are the whole context's. Texts are those of docs, unless the ranking has its own."""
+    texts = ranking if "text" in ranking.columns else ranking.join(docs.select("id", "text"), "id")
+    sized = texts.select("question_id", "id", "place", approx_tokens("text").alias("tokens"))
     packed = fuse.packed(sized, "question_id", budget)
     return packed.select("question_id", "tokens", F.posexplode("pieces").alias("place", "id")).withColumn("place", F.col("place") + 1)
 

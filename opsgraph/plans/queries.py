@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opsgraph.functions.text import STOPWORDS, approx_tokens, fingerprint, query_terms, stem, tokens
 from opsgraph.functions.times import month_before
+from opsgraph.plans import arms
 from opsgraph.operators import chunks, evaluate, experiments, fuse, graph, lexical, tickets, vector
 from opsgraph.sources import bridge
 from opsgraph.sources.bridge import AS_OF, EDGES_AS_OF, oracle, table
@@ -378,12 +380,19 @@ def stem_sql(t: str) -> str:
     return f"CASE WHEN regexp_matches({t}, '[0-9]') OR length({t}) <= 3 THEN {t} ELSE (SELECT CASE WHEN z = '' THEN 'x' ELSE z END FROM (SELECT CASE {past('y')} ELSE y END AS z FROM (SELECT {plural} AS y))) END"
 
 
-def bm25_sql(tokens_sql: str, asked_sql: str, top: int = 40) -> str:
-    return f"""d AS ({DOCS}), t AS (SELECT id, {tokens_sql} AS w FROM d), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
+def bm25_sql(tokens_sql: str, asked_sql: str, top: int = 40, docs: str = DOCS, x: str = "") -> str:
+    """BM25 as the table {x}lex over docs (id, text)."""
+    made = f"""d AS ({docs}), t AS (SELECT id, {tokens_sql} AS w FROM d), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
 p AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 q AS (SELECT question_id, term, count(*) AS times FROM (SELECT question_id, unnest(terms) AS term FROM ({asked_sql})) GROUP BY ALL),
 sc AS (SELECT question_id, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 9) AS score FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL HAVING score > 0),
 lex AS (SELECT question_id, id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id DESC) AS place FROM sc QUALIFY place <= {top})"""
+    if x:
+        for name in ("d", "t", "s", "p", "f", "q", "sc", "lex"):
+            made = re.sub(rf"(?<![\w.']){name} AS \(", f"{x}{name} AS (", made)
+            made = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {x}{name}", made)
+            made = re.sub(rf", {name} GROUP", f", {x}{name} GROUP", made)
+    return made
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -490,21 +499,57 @@ def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query(oracle(f"WITH {VEC}, back AS (SELECT dst AS src, src AS dst FROM supports), s AS (SELECT DISTINCT question_id::varchar AS start, 'customer:' || id AS node, 0 AS hop FROM vec JOIN customer ON c_custkey = id WHERE place <= 8), {reach_sql('SELECT * FROM s', 'supports', 4, 'u')}, {reach_sql('SELECT * FROM s', 'back', 4, 'n')}, a AS (SELECT start, node, hop FROM u UNION ALL SELECT start, node, hop FROM n WHERE hop > 0), o AS (SELECT start, node, min(hop) AS hop FROM a GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hop, node) AS place FROM o) SELECT start, node, hop::int AS hop, place::int AS place FROM p WHERE place <= 80", "supports", recursive=True))
+def record_sql(ranking: str) -> str:
+    """What the first eight of a ranking stand for, as seeds of a walk."""
+    return f"""rec AS (SELECT DISTINCT question_id, CASE id % 3 WHEN 0 THEN 'customer:' || id WHEN 1 THEN 'INC' || lpad(id::varchar, 7, '0') ELSE 'CHG' || lpad(id::varchar, 7, '0') END AS record_id FROM {ranking} WHERE place <= 8),
+stand AS (SELECT key AS record_id, key AS node FROM items UNION SELECT number, ci_key FROM incidents WHERE ci_key IS NOT NULL UNION SELECT number, ci_key FROM changes WHERE ci_key IS NOT NULL),
+sd AS (SELECT DISTINCT question_id AS start, node, 0 AS hop FROM rec JOIN stand USING (record_id))"""
+
+
+def walked_sql(head: str, ranking: str) -> str:
+    both = f"{reach_sql('SELECT * FROM sd', 'supports', 4, 'u')}, {reach_sql('SELECT * FROM sd', 'back', 4, 'n')}, a AS (SELECT start, node, hop FROM u UNION ALL SELECT start, node, hop FROM n WHERE hop > 0), o AS (SELECT start, node, min(hop) AS hop FROM a GROUP BY ALL)"
+    body = f"WITH {head}, back AS (SELECT dst AS src, src AS dst FROM supports), {record_sql(ranking)}, {both}, pl AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hop, node) AS place FROM o) SELECT start AS question_id, node AS id, hop::int AS hop, place::int AS place FROM pl WHERE place <= 40"
+    return oracle(body, "supports", "items", "incidents", "changes", recursive=True)
+
+
+def record_of(column: str) -> F.Column:
+    """The record that a document or vector is a chunk of: a customer, an incident or a change, which need not exist."""
+    number = F.lpad(F.col(column).cast("string"), 7, "0")
+    return F.when(F.col(column) % 3 == 0, bridge.key("customer", column)).when(F.col(column) % 3 == 1, F.concat(F.lit("INC"), number)).otherwise(F.concat(F.lit("CHG"), number))
+
+
+def _walked(spark: SparkSession, d: str, ranking: DataFrame) -> DataFrame:
+    first = ranking.where("place <= 8").select("question_id", record_of("id").alias("record_id")).distinct()
+    return arms.walked(first, bridge.supports(spark, d), bridge.items(spark, d), bridge.incidents(spark, d), bridge.changes(spark, d))
+
+
+@query(walked_sql(VEC, "vec"))
 def vector_walk(spark: SparkSession, d: str) -> DataFrame:
-    """The neighbourhoods of the items that the eight nearest vectors stand for."""
-    return _walk_from(spark, d, vector_ranking(spark, d))
+    """The neighbourhoods of the items that the records of the eight nearest vectors stand for."""
+    return _walked(spark, d, vector_ranking(spark, d))
 
 
-@query(oracle(f"WITH {bm25_sql(TOKENS, ASKED)}, {VEC}, {FUSED}, back AS (SELECT dst AS src, src AS dst FROM supports), sd AS (SELECT DISTINCT question_id::varchar AS start, 'customer:' || id AS node, 0 AS hop FROM fused JOIN customer ON c_custkey = id WHERE place <= 8), {reach_sql('SELECT * FROM sd', 'supports', 4, 'u')}, {reach_sql('SELECT * FROM sd', 'back', 4, 'n')}, a AS (SELECT start, node, hop FROM u UNION ALL SELECT start, node, hop FROM n WHERE hop > 0), o AS (SELECT start, node, min(hop) AS hop FROM a GROUP BY ALL), pl AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hop, node) AS place FROM o) SELECT start, node, hop::int AS hop, place::int AS place FROM pl WHERE place <= 80", "supports", recursive=True))
+@query(walked_sql(f"{bm25_sql(TOKENS, ASKED)}, {VEC}, {FUSED}", "fused"))
 def hybrid_walk(spark: SparkSession, d: str) -> DataFrame:
-    return _walk_from(spark, d, fused_ranking(spark, d))
+    return _walked(spark, d, fused_ranking(spark, d))
+
+
+NAMED = f"""e AS (SELECT number AS question_id, key AS start, place FROM (SELECT i.number, it.key, row_number() OVER (PARTITION BY i.number ORDER BY length(it.name) DESC, it.key) AS place FROM incidents i JOIN items it ON it.key LIKE 'customer:%' AND contains(lower(i.description), lower(it.name))) WHERE place <= 3),
+st AS (SELECT DISTINCT start, start AS node, 0 AS hop FROM e), back AS (SELECT dst AS src, src AS dst FROM supports), {reach_sql('SELECT * FROM st', 'supports', 4, 'u')}, {reach_sql('SELECT * FROM st', 'back', 4, 'n')},
+a AS (SELECT start, node, hop FROM u UNION ALL SELECT start, node, hop FROM n WHERE hop > 0), o AS (SELECT start, node, min(hop) AS hop FROM a GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hop, node) AS p FROM o QUALIFY p <= 61),
+m AS (SELECT question_id, node, min({{'e': place, 'p': p, 'start': start}}) AS m FROM e JOIN w USING (start) WHERE hop > 0 GROUP BY ALL),
+g AS (SELECT question_id, node AS id, row_number() OVER (PARTITION BY question_id ORDER BY m.e, m.p) AS place, greatest(1, length(key || ' ' || name || ' is a ' || cls || ' in the ' || environment || ' environment, reached from ' || m.start || '.') // 4) AS t FROM m JOIN items ON key = node),
+k(question_id, place, used, ids) AS (SELECT question_id, 0, 0::bigint, []::varchar[] FROM g GROUP BY 1 UNION ALL SELECT k.question_id, k.place + 1, CASE WHEN used + t <= 3000 THEN used + t ELSE used END, CASE WHEN used + t <= 3000 THEN list_append(ids, g.id) ELSE ids END FROM k JOIN g ON g.question_id = k.question_id AND g.place = k.place + 1)"""
 
 
-def _walk_from(spark: SparkSession, d: str, ranking: DataFrame) -> DataFrame:
-    known = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    begin = ranking.where("place <= 8").join(known, "id", "left_semi").select(F.col("question_id").cast("string").alias("start"), bridge.key("customer", "id").alias("node"))
-    return graph.walk(bridge.supports(spark, d), begin).select("start", "node", "hop", "place")
+@query(oracle(f"WITH {NAMED} SELECT question_id, array_to_string(ids, ',') AS ids, used AS tokens FROM k QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY place DESC) = 1", "incidents", "items", "supports", recursive=True))
+def graph_only(spark: SparkSession, d: str) -> DataFrame:
+    """What the graph alone finds for incidents' texts, walked from the customers they name, in 3,000 tokens."""
+    asked = bridge.incidents(spark, d).select(F.col("number").alias("question_id"), F.col("description").alias("text"))
+    every = bridge.items(spark, d)
+    arm = arms.Named(bridge.supports(spark, d), every, every.where(F.startswith("key", F.lit("customer:"))))
+    found = arms.contexts(arm.retrieve(asked), every)
+    return found.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]), ",").alias("ids"), F.max("tokens").alias("tokens"))
 
 
 # Chunks.
