@@ -13,7 +13,11 @@ CEILING = 60
 
 def hits(retrieved: DataFrame, gold: DataFrame) -> DataFrame:
     """(arm, question_id, retrieved, distinct_hits, first_hit): of retrieved (arm, question_id, id, place) against gold (question_id, id)."""
-    marked = retrieved.join(gold.select("question_id", "id", F.lit(True).alias("hit")).distinct(), ["question_id", "id"], "left")
+    return counted(retrieved.join(gold.select("question_id", "id", F.lit(True).alias("hit")).distinct(), ["question_id", "id"], "left"))
+
+
+def counted(marked: DataFrame) -> DataFrame:
+    """hits() of retrieved rows that are marked: hit is true, or not."""
     return marked.groupBy("arm", "question_id").agg(F.count("*").alias("retrieved"), F.countDistinct(F.when(F.col("hit"), F.col("id"))).alias("distinct_hits"), F.min(F.when(F.col("hit"), F.col("place"))).alias("first_hit"))
 
 
@@ -26,7 +30,22 @@ def scored(asked: DataFrame, retrieved: DataFrame, gold: DataFrame, corpus_size:
     included. A gradable question without gold that isn't expected to be empty is an error.
     """
     sizes = gold.select("question_id", "id").distinct().groupBy("question_id").agg(F.count("*").alias("gold"))
-    rows = asked.join(hits(retrieved, gold), ["arm", "question_id"], "left").join(sizes, "question_id", "left").fillna(0, ["retrieved", "distinct_hits", "gold"])
+    return _scored(asked, hits(retrieved, gold), sizes, corpus_size)
+
+
+def scored_by_class(asked: DataFrame, retrieved: DataFrame, classes: DataFrame, corpus_size: int | Column) -> DataFrame:
+    """scored() where a question's gold is all of its class: asked also has `label`, classes (id, label) a row for each id.
+
+    Gold is never listed, as it would be the square of a class: its sizes are counts, and hits are retrieved rows of the label.
+    """
+    questions = asked.select("question_id", F.col("label").alias("_asked")).distinct()
+    marked = retrieved.join(classes, "id", "left").join(questions, "question_id", "left").withColumn("hit", F.col("label") == F.col("_asked"))
+    sizes = questions.join(classes.groupBy(F.col("label").alias("_asked")).agg(F.count("*").alias("gold")), "_asked").select("question_id", "gold")
+    return _scored(asked, counted(marked), sizes, corpus_size)
+
+
+def _scored(asked: DataFrame, found: DataFrame, sizes: DataFrame, corpus_size: int | Column) -> DataFrame:
+    rows = asked.join(found, ["arm", "question_id"], "left").join(sizes, "question_id", "left").fillna(0, ["retrieved", "distinct_hits", "gold"])
     failed = F.col("error").isNotNull() & (F.col("error") != "")
     graded = ~failed & F.col("gradable")
     ranked = graded & ~F.col("expect_empty")
@@ -90,17 +109,35 @@ def compared(scores: DataFrame, measure: str = "recall", least: int = 3, level:
     return rows.withColumn("p", F.round(p, 6)).withColumn("real", (F.col("wins") + F.col("losses") >= least) & (F.col("p") < level) & (F.col("wins") > F.col("losses")))
 
 
+#: Ranges that values are counted in to find the one with an index.
+RANGES = 1024
+
+
 def percentile_at(rows: DataFrame, by: str, value: str, share: float = 0.95) -> DataFrame:
-    """(by, value): the element at index floor(n x share) of the sorted values, by rank; no interpolation."""
-    w = Window.partitionBy(by)
-    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_i") == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)).select(by, F.col(value).alias("value"))
+    """(by, value): the element at index floor(n x share) of the sorted values, by rank; no interpolation. Nulls don't count.
+
+    Values are counted by range; only those of the range that holds the index are ranked, different
+    values with their counts, so a group of any size is never sorted in one place.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("_v"))
+    ends = own.groupBy(by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    at = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1).alias("_at")
+    wide = F.col("_high") - F.col("_low")
+    range_ = F.when(wide > 0, F.floor((F.col("_v") - F.col("_low")) / wide * (RANGES - 1))).otherwise(0).alias("_r")
+    ranged = own.join(ends, by).select(by, "_v", range_, at)
+    before = F.sum("_c").over(Window.partitionBy(by).orderBy("_r")) - F.col("_c")
+    counts = ranged.groupBy(by, "_r", "_at").agg(F.count("*").alias("_c")).withColumn("_before", before)
+    here = counts.where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_c"))).select(by, "_r", "_before")
+    kinds = ranged.join(here, [by, "_r"]).groupBy(by, "_v", "_at", "_before").agg(F.count("*").alias("_c"))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(by).orderBy("_v"))
+    return kinds.withColumn("_upto", upto).where(F.col("_upto") > F.col("_at")).groupBy(by).agg(F.min("_v").alias("value"))
 
 
 def verdicts(graded: DataFrame) -> DataFrame:
     """Of (arm, question_id, reply, again, recall): a row an arm with counts of verdicts, of replies that changed, and of agreement with full recall.
 
-    The words are looked for in the order CORRECT, WRONG, REFUSED.
+    The words are looked for in the order CORRECT, WRONG, REFUSED, in either case. INCORRECT doesn't count
+    as CORRECT, which it contains: it is none of the words a judge may say, and so unparsed.
     """
     word = lambda c: F.when(F.contains(F.upper(c), F.lit("CORRECT")) & ~F.contains(F.upper(c), F.lit("INCORRECT")), "CORRECT").when(F.contains(F.upper(c), F.lit("WRONG")), "WRONG").when(F.contains(F.upper(c), F.lit("REFUSED")), "REFUSED").otherwise("UNPARSED")
     rows = graded.withColumns({"v": word(F.col("reply")), "w": word(F.col("again"))})

@@ -5,13 +5,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsgraph.operators.lexical import best
+from opsgraph.plans.lineage import cut
 
 TOP, QUERY_BLOCK = 40, 4096
 
@@ -30,20 +33,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame
     """(question_id, id, score, place): the `top` greatest dot products; equal scores: the greater id.
 
     vectors (id, embedding), queries (question_id, embedding), ids long. The queries are the stated set:
-    in blocks, each is sent to the vectors, every task keeps its own best `top` of each query by one
-    matrix product, and only those are compared in the end. Null vectors are skipped.
+    the driver takes them block by block, QUERY_BLOCK at a time; each block is sent to the vectors, every
+    task keeps its own best `top` of each query by one matrix product, and only those are written down
+    and compared in the end, before the next block is taken. Null vectors are skipped.
     """
-    rows = [(r.question_id, r.embedding) for r in queries.where("embedding is not null").toLocalIterator()]
-    found = None
-    for at in range(0, len(rows), QUERY_BLOCK):
-        part = _local_best(vectors, rows[at : at + QUERY_BLOCK], top)
-        found = part if found is None else found.unionByName(part)
+    found, rows = None, []
+    left = iter(queries.where("embedding is not null").select("question_id", "embedding").toLocalIterator())
+    more = True
+    while more:
+        rows = [(r.question_id, r.embedding) for r in islice(left, QUERY_BLOCK)]
+        more = len(rows) == QUERY_BLOCK
+        if rows:
+            part, sent = _local_best(vectors, rows, top)
+            if found is not None or more:  # a single block needs no writing down
+                part = cut(best(part, top))
+                sent.destroy()
+            found = part if found is None else found.unionByName(part, allowMissingColumns=True)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "question_id long, id long, score double")
-    return best(found, top)
+    return best(found.select("question_id", "id", "score"), top)
 
 
-def _local_best(vectors: DataFrame, rows: list, top: int) -> DataFrame:
+def _local_best(vectors: DataFrame, rows: list, top: int) -> tuple[DataFrame, Broadcast]:
     ids = np.array([i for i, _ in rows], np.int64)
     matrix = vectors.sparkSession.sparkContext.broadcast(np.array([v for _, v in rows], np.float64))
 
@@ -65,7 +76,7 @@ def _local_best(vectors: DataFrame, rows: list, top: int) -> DataFrame:
             n = kept[0].shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(kept[0].ravel()), pa.array(kept[1].ravel())], names=["question_id", "id", "score"])
 
-    return vectors.select(F.col("id").cast("long").alias("id"), "embedding").where("id is not null and embedding is not null").mapInArrow(scan, "question_id long, id long, score double")
+    return vectors.select(F.col("id").cast("long").alias("id"), "embedding").where("id is not null and embedding is not null").mapInArrow(scan, "question_id long, id long, score double"), matrix
 
 
 def hashed_embedder(size: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -143,8 +154,8 @@ def indexed(vectors: DataFrame, centres: np.ndarray, copies: int = 2) -> DataFra
 
 def nearest_in_cells(index: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int = 16, top: int = TOP) -> DataFrame:
     """nearest(), but over the queries' `probes` nearest cells only; recall is to be measured against nearest()."""
-    asked = indexed(queries.select(F.col("question_id").alias("id"), "embedding"), centres, probes).select("cell", F.col("id").alias("question_id"), F.col("embedding").alias("_q"))
-    pairs = index.join(F.broadcast(asked), "cell")  # the stated queries
+    asked = cut(indexed(queries.select(F.col("question_id").alias("id"), "embedding"), centres, probes).select("cell", F.col("id").alias("question_id"), F.col("embedding").alias("_q")))
+    pairs = index.join(asked, "cell")  # by a broadcast only where the written size of the queries allows
     scored = pairs.select("question_id", "id", F.round(dot("embedding", "_q"), 9).alias("score")).distinct()
     return best(scored, top)
 

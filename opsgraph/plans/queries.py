@@ -631,11 +631,10 @@ def arm_scores(spark: SparkSession, d: str) -> DataFrame:
     asked_ids = v.where("id % 50 = 0").select(F.col("id").alias("question_id"), "label")
     near = vector_ranking(spark, d).select(F.lit("vector").alias("arm"), "question_id", "id", "place")
     retrieved = near.unionByName(fuse.control(v, asked_ids).select(F.lit("control").alias("arm"), "question_id", "id", "place"))
-    gold = asked_ids.join(v.select("id", "label"), "label").select("question_id", "id")
-    arms = F.explode(F.array(F.lit("vector"), F.lit("control")))
-    asked = asked_ids.select(arms.alias("arm"), "question_id", F.concat(F.lit("label"), F.col("label").cast("string")).alias("kind"), (F.col("question_id") % 100 == 0).alias("holdout"), F.lit(True).alias("gradable"), F.lit(False).alias("expect_empty"), F.lit(40).cast("long").alias("tokens"))
+    both = F.explode(F.array(F.lit("vector"), F.lit("control")))
+    asked = asked_ids.select(both.alias("arm"), "question_id", "label", F.concat(F.lit("label"), F.col("label").cast("string")).alias("kind"), (F.col("question_id") % 100 == 0).alias("holdout"), F.lit(True).alias("gradable"), F.lit(False).alias("expect_empty"), F.lit(40).cast("long").alias("tokens"))
     broken = F.when((F.col("question_id") % 150 == 50) & (F.col("arm") == "control"), "timeout")
-    return evaluate.scored(asked.withColumn("error", broken), retrieved, gold, v.count())
+    return evaluate.scored_by_class(asked.withColumn("error", broken), retrieved, v.select("id", "label"), v.count())
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -671,13 +670,13 @@ def p95_by_index(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.percentile_at(table(spark, d, "events"), "event_type", "value")
 
 
-VERDICTS = "SELECT source AS arm, doc_id AS question_id, CASE doc_id % 4 WHEN 0 THEN 'Correct.' WHEN 1 THEN 'verdict: WRONG' WHEN 2 THEN 'refused' ELSE '?' END AS reply, CASE WHEN doc_id % 10 = 0 THEN 'WRONG' ELSE CASE doc_id % 4 WHEN 0 THEN 'Correct.' WHEN 1 THEN 'verdict: WRONG' WHEN 2 THEN 'refused' ELSE '?' END END AS again, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.5 END AS recall FROM documents"
+VERDICTS = "SELECT source AS arm, doc_id AS question_id, CASE doc_id % 4 WHEN 0 THEN 'Correct.' WHEN 1 THEN 'verdict: WRONG' WHEN 2 THEN 'refused' ELSE 'Incorrect' END AS reply, CASE WHEN doc_id % 10 = 0 THEN 'WRONG' ELSE CASE doc_id % 4 WHEN 0 THEN 'Correct.' WHEN 1 THEN 'verdict: WRONG' WHEN 2 THEN 'refused' ELSE 'Incorrect' END END AS again, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.5 END AS recall FROM documents"
 
 
-@query(f"WITH g AS ({VERDICTS}), v AS (SELECT *, CASE WHEN contains(upper(reply), 'CORRECT') THEN 'CORRECT' WHEN contains(upper(reply), 'WRONG') THEN 'WRONG' WHEN contains(upper(reply), 'REFUSED') THEN 'REFUSED' ELSE 'UNPARSED' END AS v, CASE WHEN contains(upper(again), 'CORRECT') THEN 'CORRECT' WHEN contains(upper(again), 'WRONG') THEN 'WRONG' WHEN contains(upper(again), 'REFUSED') THEN 'REFUSED' ELSE 'UNPARSED' END AS w FROM g) SELECT arm, count(*) AS graded, count(*) FILTER (WHERE v = 'CORRECT') AS correct, count(*) FILTER (WHERE v = 'WRONG') AS wrong, count(*) FILTER (WHERE v = 'REFUSED') AS refused, count(*) FILTER (WHERE v = 'UNPARSED') AS unparsed, count(*) FILTER (WHERE v <> w) AS flipped, count(*) FILTER (WHERE (v = 'CORRECT') = (recall >= 0.999)) AS agrees FROM v GROUP BY arm")
+@query(f"WITH g AS ({VERDICTS}), v AS (SELECT *, CASE WHEN contains(upper(reply), 'CORRECT') AND NOT contains(upper(reply), 'INCORRECT') THEN 'CORRECT' WHEN contains(upper(reply), 'WRONG') THEN 'WRONG' WHEN contains(upper(reply), 'REFUSED') THEN 'REFUSED' ELSE 'UNPARSED' END AS v, CASE WHEN contains(upper(again), 'CORRECT') AND NOT contains(upper(again), 'INCORRECT') THEN 'CORRECT' WHEN contains(upper(again), 'WRONG') THEN 'WRONG' WHEN contains(upper(again), 'REFUSED') THEN 'REFUSED' ELSE 'UNPARSED' END AS w FROM g) SELECT arm, count(*) AS graded, count(*) FILTER (WHERE v = 'CORRECT') AS correct, count(*) FILTER (WHERE v = 'WRONG') AS wrong, count(*) FILTER (WHERE v = 'REFUSED') AS refused, count(*) FILTER (WHERE v = 'UNPARSED') AS unparsed, count(*) FILTER (WHERE v <> w) AS flipped, count(*) FILTER (WHERE (v = 'CORRECT') = (recall >= 0.999)) AS agrees FROM v GROUP BY arm")
 def judge_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Replies of a judge, here made from document ids, counted by arm."""
-    word = lambda n: F.when(n == 0, "Correct.").when(n == 1, "verdict: WRONG").when(n == 2, "refused").otherwise("?")
+    word = lambda n: F.when(n == 0, "Correct.").when(n == 1, "verdict: WRONG").when(n == 2, "refused").otherwise("Incorrect")
     four = word(F.col("doc_id") % 4)
     graded = table(spark, d, "documents").select(F.col("source").alias("arm"), F.col("doc_id").alias("question_id"), four.alias("reply"), F.when(F.col("doc_id") % 10 == 0, "WRONG").otherwise(four).alias("again"), F.when(F.col("doc_id") % 3 == 0, 1.0).otherwise(0.5).alias("recall"))
     return evaluate.verdicts(graded)

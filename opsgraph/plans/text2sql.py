@@ -20,6 +20,11 @@ _START = re.compile(r"\b(?:select|with)\b.*", re.S | re.I)
 #: A statement that begins so, or calls one of these, does more than read.
 _WRITES = re.compile(r"\b(?:insert|update|delete|merge|drop|alter|create|truncate|replace\s+table|refresh|set|reset|add|cache|uncache|load|msck|analyze|grant|revoke|use|reflect|java_method|try_reflect)\b", re.I)
 _STRINGS = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+#: A file read by its path, as parquet.`/x`.
+_FILES = re.compile(r"\b(?:parquet|json|csv|orc|text|avro|xml|binaryfile|delta)\s*\.\s*`", re.I)
+_COMMENTS = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
+#: A recursive query says how deep it goes at most, and that isn't deeper than LEVELS.
+_BOUND, LEVELS = re.compile(r"\bmax\s+recursion\s+level\s+(\d+)", re.I), 10
 
 
 class Refused(ValueError):
@@ -34,6 +39,7 @@ def extracted(reply: str) -> str:
 
 
 def guarded(query: str) -> str:
+    """The query, if it is one statement that only reads tables, and recursion is bounded; else an error that says why."""
     bare = _STRINGS.sub(" ", query)
     if not _START.match(bare.strip()):
         raise Refused("only SELECT queries are run")
@@ -41,6 +47,10 @@ def guarded(query: str) -> str:
         raise Refused("one statement only")
     if m := _WRITES.search(bare):
         raise Refused(f"{m[0]} isn't allowed: queries only read")
+    if _FILES.search(_COMMENTS.sub(" ", query)):
+        raise Refused("files can't be read by their path")
+    if re.search(r"\brecursive\b", bare, re.I) and not all(int(n) <= LEVELS for n in _BOUND.findall(bare) or [LEVELS + 1]):
+        raise Refused(f"a recursive query must say MAX RECURSION LEVEL n, with n up to {LEVELS}")
     return query
 
 

@@ -1,4 +1,4 @@
-"""A Python data source over a paged service: pages are partitions, a page that keeps failing is skipped or ends the read."""
+"""A Python data source over a paged service: pages are partitions, filters go to the service, and a page that keeps failing is an error or a row that says so."""
 
 from __future__ import annotations
 
@@ -6,8 +6,12 @@ import json
 import time
 import urllib.parse
 import urllib.request
+from collections.abc import Iterable
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+
+#: The column that takes the message of a page that couldn't be read.
+ERROR = "_error"
 
 
 class Page(InputPartition):
@@ -16,35 +20,78 @@ class Page(InputPartition):
         self.start, self.size = start, size
 
 
+def _get(url: str, attempts: int, **asked: object):
+    """(rows, rows in all if the service says so) of a request, tried again after a pause that doubles."""
+    for left in reversed(range(attempts)):
+        try:
+            with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(asked)}", timeout=60) as reply:
+                return json.load(reply)["result"], reply.headers.get("X-Total-Count")
+        except (OSError, ValueError, KeyError):
+            if not left:
+                raise
+            time.sleep(0.1 * 2 ** (attempts - left))
+
+
+def count(url: str, query: str = "", attempts: int = 4) -> int:
+    """How many rows the service has for a query, by its own count: no row is read."""
+    total = _get(url, attempts, sysparm_offset=0, sysparm_limit=1, sysparm_fields="sys_id", sysparm_query=query)[1]
+    if total is None:
+        raise ValueError("the service doesn't say how many rows it has; give the option total")
+    return int(total)
+
+
 class PagedReader(DataSourceReader):
+    """Options: url, total (else the service is asked), page, attempts, query, start (rows before it were read by an earlier run).
+
+    A page that fails every attempt ends the read, unless the schema has a column _error: then it is one
+    row of nulls with the page's first row and the message there, so that it can be counted and read anew.
+    """
+
     def __init__(self, options, fields: list[str]):
         self.url, self.fields = options["url"], fields
-        self.total, self.size = int(options["total"]), int(options.get("page", "1000"))
-        self.attempts, self.strict = int(options.get("attempts", "4")), options.get("mode", "permissive") == "failfast"
-        self.query = options.get("query", "")
+        self.size, self.begin = int(options.get("page", "1000")), int(options.get("start", "0"))
+        self.attempts, self.total = int(options.get("attempts", "4")), options.get("total")
+        self.query, self.pushed = options.get("query", ""), []
+
+    def _query(self) -> str:
+        return "^".join([q for q in (self.query, *self.pushed) if q])
 
     def partitions(self):
-        return [Page(a, min(self.size, self.total - a)) for a in range(0, self.total, self.size)]
+        total = int(self.total) if self.total is not None and not self.pushed else count(self.url, self._query(), self.attempts)
+        return [Page(a, min(self.size, total - a)) for a in range(self.begin, total, self.size)]
 
     def read(self, partition: Page):
-        asked = urllib.parse.urlencode({"sysparm_offset": partition.start, "sysparm_limit": partition.size, "sysparm_fields": ",".join(self.fields), "sysparm_query": self.query})
-        for left in reversed(range(self.attempts)):
-            try:
-                with urllib.request.urlopen(f"{self.url}?{asked}", timeout=60) as reply:
-                    rows = json.load(reply)["result"]
-                break
-            except (OSError, ValueError, KeyError):
-                if not left:
-                    if self.strict:
-                        raise
-                    return
-                time.sleep(0.1 * 2 ** (self.attempts - left))
+        own = [f for f in self.fields if f != ERROR]
+        try:
+            rows, _ = _get(self.url, self.attempts, sysparm_offset=partition.start, sysparm_limit=partition.size, sysparm_fields=",".join(own), sysparm_query=self._query())
+        except (OSError, ValueError, KeyError) as wrong:
+            if ERROR not in self.fields:
+                raise
+            yield tuple(f"{partition.start}: {wrong}" if f == ERROR else None for f in self.fields)
+            return
         for row in rows:
-            yield tuple(None if row.get(f) in (None, "") else str(row[f]) for f in self.fields)
+            yield tuple(None if f == ERROR or row.get(f) in (None, "") else str(row[f]) for f in self.fields)
+
+
+class FilteredReader(PagedReader):
+    """PagedReader whose filters go to the service."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802  the interface's name
+        """Equality and membership of plain values go to the service; the others stay with Spark."""
+        for f in filters:
+            values = (f.value,) if isinstance(f, EqualTo) else f.value if isinstance(f, In) else None
+            plain = values is not None and len(f.attribute) == 1 and f.attribute[0] != ERROR and all(isinstance(v, str) and v and not set(v) & set(",^") for v in values)
+            if plain:
+                self.pushed.append(f"{f.attribute[0]}IN{','.join(sorted(values))}")
+            else:
+                yield f
 
 
 class PagedSource(DataSource):
-    """spark.dataSource.register(PagedSource); spark.read.format("paged").schema("a string, ...").option("url", ...).option("total", n).load()"""
+    """spark.dataSource.register(PagedSource); spark.read.format("paged").schema("a string, ...").option("url", ...).load()
+
+    With the option pushdown, filters go to the service; spark.sql.python.filterPushdown.enabled must then be true.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -54,4 +101,5 @@ class PagedSource(DataSource):
         return "number string, short_description string"
 
     def reader(self, schema) -> PagedReader:
-        return PagedReader(self.options, schema.fieldNames())
+        kind = FilteredReader if self.options.get("pushdown", "false") == "true" else PagedReader
+        return kind(self.options, schema.fieldNames())

@@ -16,14 +16,27 @@ SCHEMAS = {
 }
 
 
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A record table; lines that aren't JSON are dropped, blank lines skipped, times without an offset taken as UTC."""
-    df = spark.read.schema(SCHEMAS[name]).option("mode", "DROPMALFORMED").json(f"{folder}/{name}.jsonl")
+def read(spark: SparkSession, folder: str, name: str, mode: str = "FAILFAST") -> DataFrame:
+    """A record table; blank lines are skipped, times without an offset taken as UTC. A line that isn't JSON is an error, or with PERMISSIVE a row of nulls (see bad_lines); none is dropped unseen."""
+    df = spark.read.schema(SCHEMAS[name]).option("mode", mode).json(f"{folder}/{name}.jsonl")
     if name == "incidents":
         df = df.withColumn("work_notes", F.transform("work_notes", lambda n: F.struct(F.to_timestamp(F.get(n, 0)).alias("at"), F.get(n, 1).alias("author"), F.get(n, 2).alias("text"))))
     return df
 
 
+def bad_lines(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """(line): lines of a record table that aren't JSON of its schema, blank ones apart."""
+    lines = spark.read.text(f"{folder}/{name}.jsonl").where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{SCHEMAS[name]}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.select(F.col("value").alias("line"), parsed.alias("p")).where("p._bad is not null").select("line")
+
+
+def dictionary(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(table, place, column, type, nullable): the columns of the tables, without reading a row."""
+    rows = [(n, i, f.name, f.dataType.simpleString(), f.nullable) for n in names for i, f in enumerate(spark.table(n).schema, 1)]
+    return spark.createDataFrame(rows, "table string, place int, column string, type string, nullable boolean")
+
+
 def digest(df: DataFrame) -> tuple[int, str]:
     """Rows, and 16 hex digits that don't depend on their order: sums of hashes, so nothing is sorted."""
     h = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
@@ -39,8 +52,9 @@ def write(df: DataFrame, path: str) -> tuple[int, str]:
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """existing with incoming's rows by key: a known key's row is replaced, others are added. Of several incoming rows the greatest `order` wins."""
-    one = incoming.dropDuplicates([key]) if order is None else incoming.groupBy(key).agg(F.max_by(F.struct(*incoming.columns), order).alias("r")).select("r.*")
+    """existing with incoming's rows by key: a known key's row is replaced, others are added. Of several incoming rows the one of greatest `order` wins, among equals and without an order the greatest by its columns."""
+    row = F.struct(*incoming.columns)
+    one = incoming.groupBy(key).agg((F.max(row) if order is None else F.max(F.struct(F.col(order).alias("_o"), row.alias("_r")))["_r"]).alias("r")).select("r.*")
     return existing.join(one.select(key), key, "left_anti").unionByName(one.select(existing.columns))
 
 
@@ -71,6 +85,33 @@ def closed(edges: DataFrame, items: DataFrame, a: str = "parent_key", b: str = "
     return edges.join(known.withColumnRenamed(key, a), a, "left_semi").join(known.withColumnRenamed(key, b), b, "left_semi").select(edges.columns)
 
 
+def linked(rels: DataFrame, types: DataFrame, sys_ids: DataFrame) -> DataFrame:
+    """Edges as the platform takes them: (parent, child, type), by their ids. An unknown type is an error; an edge with an end that has no id is left out."""
+    known = resolved(rels, types.select("name", F.col("sys_id").alias("type")), "type_name")
+    side = lambda c: sys_ids.select(F.col("key").alias(f"{c}_key"), F.col("sys_id").alias(c))
+    return known.join(side("parent"), "parent_key").join(side("child"), "child_key").select("parent", "child", "type").distinct()
+
+
+def reconciled(items: DataFrame, existing: DataFrame) -> DataFrame:
+    """(key, sys_id, is_new) of each item (key, name, sys_class_name): an existing row (sys_id, key, name, sys_class_name) of its key, else of its name and class, lends its id; new ones have one made of the key.
+
+    Of several existing rows the least id counts; one existing row may stand for several items of a name, as the platform would have it.
+    """
+    by_key = existing.where("key is not null").groupBy("key").agg(F.min("sys_id").alias("_a"))
+    by_name = existing.groupBy("name", "sys_class_name").agg(F.min("sys_id").alias("_b"))
+    rows = items.select("key", "name", "sys_class_name").join(by_key, "key", "left").join(by_name, ["name", "sys_class_name"], "left")
+    return rows.select("key", F.coalesce("_a", "_b", F.md5("key")).alias("sys_id"), (F.col("_a").isNull() & F.col("_b").isNull()).alias("is_new"))
+
+
+def platform_graph(cis: DataFrame, rels: DataFrame, incidents: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
+    """The smaller graph that platform rows make: items by their ids, SUPPORTS edges between known items (without dates, which the platform hasn't), and AFFECTS and CHANGES of tickets whose item is known. Fields are dual-valued."""
+    items = cis.select(F.col("sys_id").alias("key"), stored("name", "display_value").alias("name"), stored("sys_class_name").alias("sys_class_name")).dropDuplicates(["key"])
+    ends = rels.select(stored("child").alias("child_key"), stored("parent").alias("parent_key"), stored("type", "display_value").alias("type_name"))
+    known = items.select("key")
+    ticket = lambda df: df.select(stored("number", "display_value").alias("number"), stored("cmdb_ci").alias("key")).join(known, "key", "left_semi").dropDuplicates(["number", "key"])
+    return {"items": items, "supports": closed(ends, items).distinct(), "affects": ticket(incidents), "changes": ticket(changes)}
+
+
 def stored(column: str, half: str = "value") -> F.Column:
     """One half of a dual-valued field: `value` is what joins are on, `display_value` what people read. Blank is null."""
     c = F.col(f"{column}.{half}")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from opsgraph.plans.lineage import cut
+
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -34,12 +36,27 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n")
 
 
-def upsert_to(rows: DataFrame, table: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the greatest `order` of each key in a parquet folder: each batch is merged into a new version, named by the batch."""
+def upsert_to(rows: DataFrame, table: str, key: str, order: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
+    """Keeps the row of greatest `order` of each key in a parquet folder, in `parts` partitions by the key's hash; a batch rewrites those its keys are in.
+
+    A batch that is run again after a failure finds its own rows and changes nothing. Read it without the column _part.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now = batch if not number else spark.read.parquet(f"{table}/v={number - 1}").unionByName(batch)
-        now.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{table}/v={number}")
+        own = batch.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        touched = [r[0] for r in own.select("_part").distinct().collect()]  # `parts` at most
+        if not touched:
+            return
+        now = own
+        if number or _exists(spark, table):
+            now = spark.read.schema(own.schema).parquet(table).where(F.col("_part").isin(touched)).unionByName(own)
+        latest = now.groupBy("_part", key).agg(F.max(F.struct(F.col(order).alias("_o"), F.struct(*batch.columns).alias("_r")))["_r"].alias("r")).select("r.*", "_part")
+        cut(latest, "upsert").repartition("_part").write.partitionBy("_part").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(table)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)

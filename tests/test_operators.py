@@ -187,12 +187,61 @@ def test_upsert_is_idempotent_and_last_wins(spark):
 
 
 def test_records_round_trip(spark, tmp_path):
-    (tmp_path / "incidents.jsonl").write_text('{"number":"INC1","priority":2,"opened_at":"2026-08-01T10:00:00+00:00","work_notes":[["2026-08-01T11:00:00+00:00","bo","looked"]]}\n\nnot json\n')
+    good = '{"number":"INC1","priority":2,"opened_at":"2026-08-01T10:00:00+00:00","work_notes":[["2026-08-01T11:00:00+00:00","bo","looked"]]}\n\n'
+    (tmp_path / "incidents.jsonl").write_text(good)
     df = records.read(spark, str(tmp_path), "incidents")
     r = df.first()
     assert df.count() == 1 and r.work_notes[0].text == "looked" and r.ci_key is None
     n, seal = records.write(df, str(tmp_path / "out"))
     assert n == 1 and records.digest(df)[1] == seal
+    assert records.bad_lines(spark, str(tmp_path), "incidents").count() == 0
+
+
+def test_lines_that_are_not_json_are_seen(spark, tmp_path):
+    (tmp_path / "problems.jsonl").write_text('{"number":"P1"}\n\nnot json\n{"number":"P2"}\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        records.read(spark, str(tmp_path), "problems").collect()
+    assert [r.line for r in records.bad_lines(spark, str(tmp_path), "problems").collect()] == ["not json"]
+    assert sorted(str(r.number) for r in records.read(spark, str(tmp_path), "problems", "PERMISSIVE").collect()) == ["None", "P1", "P2"]
+
+
+def test_upsert_without_an_order_takes_the_greatest_row(spark):
+    old = spark.createDataFrame([("a", 1, "x")], "k string, v int, t string")
+    new = spark.createDataFrame([("a", 2, "b"), ("a", 2, "c"), ("a", 1, "z")], "k string, v int, t string")
+    assert [tuple(r) for r in records.upserted(old, new.repartition(3), "k").collect()] == [("a", 2, "c")]
+
+
+def test_items_are_reconciled_by_key_then_name(spark):
+    items = spark.createDataFrame([("a", "A", "c"), ("b", "B", "c"), ("d", "D", "c")], "key string, name string, sys_class_name string")
+    there = spark.createDataFrame([("1", "a", "old name", "c"), ("2", None, "B", "c"), ("3", None, "B", "c"), ("4", None, "D", "other")], "sys_id string, key string, name string, sys_class_name string")
+    got = {r.key: r for r in records.reconciled(items, there).collect()}
+    assert (got["a"].sys_id, got["a"].is_new, got["b"].sys_id, got["b"].is_new, got["d"].is_new) == ("1", False, "2", False, True)
+    again = records.reconciled(items, items.join(records.reconciled(items, there), "key").select("sys_id", "key", "name", "sys_class_name"))
+    assert {r.key: r.sys_id for r in again.collect()} == {k: r.sys_id for k, r in got.items()} and again.where("is_new").count() == 0
+
+
+def test_edges_are_linked_by_type_and_known_ends(spark):
+    rels = spark.createDataFrame([("a", "b", "Runs on"), ("a", "b", "Runs on"), ("a", "gone", "Runs on")], "parent_key string, child_key string, type_name string")
+    types = spark.createDataFrame([("Runs on", "t1")], "name string, sys_id string")
+    ids = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, sys_id string")
+    assert [tuple(r) for r in records.linked(rels, types, ids).collect()] == [("1", "2", "t1")]
+    with pytest.raises(ValueError, match="Runs on"):
+        records.linked(rels, types.limit(0), ids)
+
+
+def test_platform_rows_make_the_smaller_graph(spark):
+    two = "struct<value:string,display_value:string>"
+    cis = spark.createDataFrame([("1", ("web", "web"), ("c", "C")), ("2", ("db", "db"), ("c", "C"))], f"sys_id string, name {two}, sys_class_name {two}")
+    rels = spark.createDataFrame([(("1", "web"), ("2", "db"), ("x", "Runs on")), (("1", "web"), ("9", "gone"), ("x", "Runs on"))], f"parent {two}, child {two}, type {two}")
+    tickets_ = spark.createDataFrame([(("n1", "INC1"), ("1", "web")), (("n2", "INC2"), ("", "")), (("n3", "INC3"), ("9", "gone"))], f"number {two}, cmdb_ci {two}")
+    g = records.platform_graph(cis, rels, tickets_, tickets_)
+    assert {k: v.count() for k, v in g.items()} == {"items": 2, "supports": 1, "affects": 1, "changes": 1}
+    assert tuple(g["supports"].first()) == ("2", "1", "Runs on")
+
+
+def test_column_dictionary(spark):
+    spark.createDataFrame([(1, "x")], "a int, b string").createOrReplaceTempView("dict_t")
+    assert [tuple(r) for r in records.dictionary(spark, ["dict_t"]).collect()] == [("dict_t", 1, "a", "int", True), ("dict_t", 2, "b", "string", True)]
 
 
 def test_unknown_names_are_refused(spark):
@@ -202,12 +251,17 @@ def test_unknown_names_are_refused(spark):
         records.resolved(rows, dim, "type_name")
 
 
-@pytest.mark.parametrize("bad", ["drop table x", "select 1; select 2", "with a as (select 1) insert into t select * from a", "explain select 1"])
+@pytest.mark.parametrize("bad", ["drop table x", "select 1; select 2", "with a as (select 1) insert into t select * from a", "explain select 1", "select * from parquet.`/x`", "select * from json . `/x`", "with recursive r as (select 1 as n union all select n + 1 from r) select * from r", "with recursive r max recursion level 500 as (select 1 as n union all select n + 1 from r) select n from r"])
 def test_generated_queries_only_read(bad):
     with pytest.raises(text2sql.Refused):
         text2sql.guarded(bad)
 
 
+def test_bounded_recursion_is_run(spark):
+    q = "with recursive r(n) max recursion level 5 as (select 1 union all select n + 1 from r where n < 4) select n from r"
+    assert sorted(r.n for r in text2sql.run(text2sql.planned(spark, q), 30)) == [1, 2, 3, 4]
+
+
 def test_generated_query_tries_again_with_the_error(spark):
     spark.range(3).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name")).createOrReplaceTempView("things_t")
     asked = []
@@ -245,9 +299,15 @@ def test_stream_upserts(spark, sf_dir, tmp_path):
     rows.repartition(2).write.parquet(str(tmp_path / "in"))
     q = events.upsert_to(events.stream(spark, str(tmp_path / "in")), str(tmp_path / "t"), "user_id", "event_id", str(tmp_path / "ck"))
     q.awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "t" / "v=1"))
+    last = spark.read.parquet(str(tmp_path / "t"))
     want = {r.user_id: r.m for r in rows.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
-    assert {r.user_id: r.event_id for r in last.collect()} == want
+    assert {r.user_id: r.event_id for r in last.collect()} == want and last.count() == len(want)
+    part = last.first()._part
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").glob("_part=*/*.parquet")}
+    rows.where(F.pmod(F.xxhash64("user_id"), F.lit(64)) == part).withColumn("event_id", F.col("event_id") + 10**6).coalesce(1).write.parquet(str(tmp_path / "in2"))
+    events.upsert_to(events.stream(spark, str(tmp_path / "in2")), str(tmp_path / "t"), "user_id", "event_id", str(tmp_path / "ck2")).awaitTermination()
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").glob("_part=*/*.parquet")}
+    assert 0 < len(before.keys() - after.keys()) < len(before) and spark.read.parquet(str(tmp_path / "t")).where("event_id >= 1000000").count() > 0
 
 
 def test_index_finds_nine_in_ten(spark, sf_dir):
@@ -291,7 +351,8 @@ def test_arms_are_scored_and_broken_ones_fail(spark):
     assert "bm25" in arms.report(scores)
 
 
-def test_paged_source_reads_all_pages(spark):
+def paged(spark, fails, schema=None, where=None, **options):
+    """Rows of a service of 25 records whose pages fail as `fails` has it (offset: times), and what it was asked."""
     import json
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -299,20 +360,24 @@ def test_paged_source_reads_all_pages(spark):
 
     from opsgraph.sources.paged import PagedSource
 
-    failed = set()
+    asked, fails = [], dict(fails)
 
     class Pages(BaseHTTPRequestHandler):
         def do_GET(self):
-            q = parse_qs(urlparse(self.path).query)
-            a, n = int(q["sysparm_offset"][0]), int(q["sysparm_limit"][0])
-            if a == 10 and a not in failed:
-                failed.add(a)
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            a, n, query = int(q["sysparm_offset"]), int(q["sysparm_limit"]), q.get("sysparm_query", "")
+            asked.append((a, n, query))
+            if fails.get(a, 0) > 0 and n > 1:
+                fails[a] -= 1
                 self.send_error(500)
                 return
-            body = json.dumps({"result": [{"number": f"INC{i}", "short_description": ""} for i in range(a, a + n)]}).encode()
+            rows = [f"INC{i}" for i in range(25)]
+            if "numberIN" in query:
+                rows = [r for r in rows if r in query.partition("numberIN")[2].split(",")]
             self.send_response(200)
+            self.send_header("X-Total-Count", str(len(rows)))
             self.end_headers()
-            self.wfile.write(body)
+            self.wfile.write(json.dumps({"result": [{"number": r, "short_description": ""} for r in rows[a : a + n]]}).encode())
 
         def log_message(self, *a):
             pass
@@ -320,9 +385,147 @@ def test_paged_source_reads_all_pages(spark):
     server = HTTPServer(("127.0.0.1", 0), Pages)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     spark.dataSource.register(PagedSource)
-    got = spark.read.format("paged").option("url", f"http://127.0.0.1:{server.server_port}/x").option("total", 25).option("page", 10).load().collect()
-    server.shutdown()
-    assert {r.number for r in got} == {f"INC{i}" for i in range(25)} and got[0].short_description is None and failed == {10}
+    try:
+        df = spark.read.format("paged").options(url=f"http://127.0.0.1:{server.server_port}/x", page="10", **options)
+        df = (df.schema(schema) if schema else df).load()
+        return (df.where(where) if where else df).collect(), asked
+    finally:
+        server.shutdown()
+
+
+def test_paged_source_reads_all_pages(spark):
+    got, asked = paged(spark, {10: 1}, total="25")
+    assert {r.number for r in got} == {f"INC{i}" for i in range(25)} and got[0].short_description is None and len(asked) == 4
+
+
+def test_paged_source_goes_on_where_it_was(spark):
+    got, asked = paged(spark, {}, start="20")
+    assert {r.number for r in got} == {f"INC{i}" for i in range(20, 25)} and asked[0][1] == 1
+
+
+def test_a_failing_page_is_never_lost_unseen(spark):
+    with pytest.raises(Exception, match="500"):
+        paged(spark, {10: 9}, attempts="2")
+    got, _ = paged(spark, {10: 9}, "number string, _error string", attempts="2")
+    assert len(got) == 16 and [r._error[:3] for r in got if r._error] == ["10:"]
+
+
+def test_paged_source_pushes_filters(spark):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got, asked = paged(spark, {}, where="number in ('INC3', 'INC24', 'INC99')", pushdown="true")
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert {r.number for r in got} == {"INC3", "INC24"} and all("numberININC24,INC3,INC99" in q for *_, q in asked)
+
+
+def test_counting_reads_no_page(spark):
+    from opsgraph.sources import paged as source
+
+    seen = []
+    source_get = source._get
+    source._get = lambda url, attempts, **asked: (seen.append(asked), ([], "41"))[1]
+    try:
+        assert source.count("x", "a=1") == 41 and seen[0]["sysparm_limit"] == 1
+    finally:
+        source._get = source_get
+
+
+def test_a_misrouted_incident_is_one_whose_group_lacks_the_domain(spark):
+    incidents = spark.createDataFrame([("I1", "c1", "Network Team"), ("I2", "c1", "Storage"), ("I3", "c2", "STORAGE desk"), ("I4", None, "x"), ("I5", "gone", "x")], "number string, ci_key string, assignment_group string")
+    items = spark.createDataFrame([("c1", "network"), ("c2", "storage")], "key string, domain string")
+    assert {tuple(r) for r in tickets.misrouted(incidents, items).collect()} == {("I2", "Storage")}
+
+
+def test_changes_on_what_an_item_needs_are_near(spark):
+    at = lambda h: datetime(2024, 1, 2, h)
+    incidents = spark.createDataFrame([("I1", "svc", at(12))], "number string, ci_key string, opened_at timestamp_ntz")
+    changes = spark.createDataFrame([("own", "svc", at(11), None), ("host", "host", at(10), None), ("san", "san", at(9), None), ("far", "rack", at(9), None), ("above", "user", at(9), None), ("late", "host", at(13), None), ("fix", "host", at(9), "I0")], "number string, ci_key string, actual_end timestamp_ntz, raised_after_incident string")
+    e = edges(spark, ("host", "svc"), ("san", "host"), ("db", "svc"), ("san", "db"), ("rack", "san"), ("svc", "user"))
+    got = {(r.change, r.minutes) for r in tickets.preceding_changes(incidents, changes, edges=e).collect()}
+    assert got == {("own", 60), ("host", 120), ("san", 180)}
+    assert {r.change for r in tickets.preceding_changes(incidents, changes).collect()} == {"own"}
+
+
+def test_repeats_come_with_their_articles(spark):
+    incidents = spark.createDataFrame([("I2", "I1"), ("I4", "I3"), ("I5", None)], "number string, duplicate_of string")
+    problems = spark.createDataFrame([("P1", "restart", ["I1", "I9"]), ("P2", "wait", ["I3"])], "number string, workaround string, incident_numbers array<string>")
+    articles = spark.createDataFrame([("K1", "P1"), ("K2", "P1")], "number string, problem_number string")
+    got = {(r.number, r.problem, r.article) for r in tickets.seen_before(incidents, problems, articles).collect()}
+    assert got == {("I2", "P1", "K1"), ("I2", "P1", "K2"), ("I4", "P2", None)}
+
+
+def test_notes_that_name_a_neighbour(spark):
+    notes = "array<struct<text:string>>"
+    incidents = spark.createDataFrame([("I1", "a", [("saw BETA down",)]), ("I2", "a", [("saw GAMMA",)]), ("I3", None, [("BETA",)]), ("I4", "b", [("x",), ("ALPHA",)]), ("I5", "a", None)], f"number string, ci_key string, work_notes {notes}")
+    items = spark.createDataFrame([("a", "ALPHA"), ("b", "BETA"), ("c", "GAMMA")], "key string, name string")
+    e = spark.createDataFrame([("a", "b")], "parent string, child string")
+    assert {r.number for r in tickets.notes_naming_neighbour(incidents, e, items).collect()} == {"I1", "I4"}
+
+
+def test_the_graph_arm_returns_what_it_reached(spark):
+    e = edges(spark, ("db", "web"), ("web", "shop"), ("san", "db"), ("shop", "web"))
+    items = spark.createDataFrame([(k, k, "c", "prd") for k in ("db", "web", "shop", "san")], "key string, name string, cls string, environment string")
+    asked = spark.createDataFrame([(1, "what needs WEB"), (2, "nothing named")], "question_id long, text string")
+    got = arms.Named(e, items).retrieve(asked).orderBy("place").collect()
+    assert [(r.question_id, r.id) for r in got] == [(1, "db"), (1, "shop"), (1, "san")]
+    assert got[0].text == "db db is a c in the prd environment, reached from web."
+
+
+def test_walks_begin_at_what_records_stand_for(spark):
+    e = edges(spark, ("db", "web"), ("web", "shop"))
+    items = spark.createDataFrame([(k, k, "c", "prd") for k in ("db", "web", "shop")], "key string, name string, cls string, environment string")
+    incidents = spark.createDataFrame([("I1", "web"), ("I2", None)], "number string, ci_key string")
+    changes = spark.createDataFrame([("C1", "db")], "number string, ci_key string")
+    ranked = spark.createDataFrame([(1, "I1"), (1, "P1"), (2, "P1"), (3, "C1"), (3, "I2")], "question_id long, record_id string")
+    got = {(r.question_id, r.id, r.hop) for r in arms.walked(ranked, e, items, incidents, changes).collect()}
+    assert got == {(1, "web", 0), (1, "db", 1), (1, "shop", 1), (3, "db", 0), (3, "web", 1), (3, "shop", 2)}
+    assert arms.walked(ranked, e, items, incidents, changes, top=1).where("question_id = 1").first().id == "web"
+
+
+def test_percentile_is_the_element_at_the_index(spark):
+    import random
+
+    r = random.Random(1)
+    data = [(g, v) for g in "abc" for v in ([r.choice((1.0, 2.0, 5.5, r.random() * 100)) for _ in range(200)] if g != "c" else [7.0])] + [("a", None)]
+    got = {x.g: x.value for x in evaluate.percentile_at(spark.createDataFrame(data, "g string, v double"), "g", "v").collect()}
+    for g in "abc":
+        v = sorted(x for k, x in data if k == g and x is not None)
+        assert got[g] == v[min(int(len(v) * 0.95), len(v) - 1)]
+
+
+def test_classes_score_like_listed_gold(spark):
+    classes = spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, label int")
+    asked = spark.createDataFrame([("x", q, "k", False, True, False, None, 1, q % 3) for q in range(4)], "arm string, question_id long, kind string, holdout boolean, gradable boolean, expect_empty boolean, error string, tokens long, label int")
+    retrieved = spark.createDataFrame([("x", q, (7 * q + 2 * p) % 30, p) for q in range(4) for p in range(1, 9)], "arm string, question_id long, id long, place int")
+    gold = asked.join(classes, "label").select("question_id", "id")
+    a, b = evaluate.scored(asked, retrieved, gold, 30), evaluate.scored_by_class(asked, retrieved, classes, 30)
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_incorrect_is_not_correct(spark):
+    rows = spark.createDataFrame([("a", 1, "Incorrect", "INCORRECT.", 1.0), ("a", 2, "correct", "It is CORRECT", 1.0)], "arm string, question_id long, reply string, again string, recall double")
+    r = evaluate.verdicts(rows).first()
+    assert (r.correct, r.unparsed, r.flipped, r.agrees) == (1, 1, 0, 1)
+
+
+def test_blocks_of_queries_find_the_same(spark, sf_dir, monkeypatch):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("question_id"), "embedding")
+    want = sorted(map(tuple, vector.nearest(v, q, 5).collect()))
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    assert sorted(map(tuple, vector.nearest(v, q, 5).collect())) == want and len(want) == 50
+
+
+def test_entry_holds_the_engine_without_the_text_operators():
+    """A package that the text operators need is missing: their queries go, the engine's stay."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['sentencepiece'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op1') or n == 'pipeline' for n in q), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= 79 and out[1] == "False" and out[0] == out[2]
 
 
 def test_platform_fields_are_all_set_or_none(spark):
