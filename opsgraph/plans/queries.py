@@ -697,6 +697,75 @@ def damage_sweep(spark: SparkSession, d: str) -> DataFrame:
     return experiments.damage_sweep(bridge.supports(spark, d), table(spark, d, "nation").select(bridge.key("nation", "n_nationkey").alias("start")))
 
 
+MANY_SEEDS, MANY_FRACTIONS = tuple(range(1, 26)), (0.0, 0.05, 0.1, 0.2, 0.3, 0.5)
+LAYER = "SELECT DISTINCT child AS src, parent AS dst FROM edges WHERE impact AND parent NOT LIKE 'order:%'"
+RUNS = f"""grid AS (SELECT seed, fraction FROM (SELECT unnest({list(MANY_SEEDS)}) AS seed), (SELECT unnest({list(MANY_FRACTIONS)}::double[]) AS fraction)), layer AS ({LAYER}),
+left_ AS (SELECT seed, fraction, src, dst FROM layer, grid WHERE {DRAW} >= fraction), st AS (SELECT DISTINCT src AS start FROM layer),
+w(seed, fraction, start, node, hop) AS (SELECT seed, fraction, start, start, 0 FROM grid, st UNION SELECT w.seed, w.fraction, w.start, l.dst, hop + 1 FROM w JOIN left_ l ON l.seed = w.seed AND l.fraction = w.fraction AND l.src = w.node WHERE hop < 4),
+got AS (SELECT seed, fraction, start, count(DISTINCT node) - 1 AS found FROM w GROUP BY ALL), g AS (SELECT start, max(found) AS gold FROM got WHERE fraction = 0 GROUP BY start HAVING max(found) > 0)"""
+
+
+def layer(spark: SparkSession, d: str) -> DataFrame:
+    """The estate without its orders: what everything stands on."""
+    return bridge.edges(spark, d).where("impact and not startswith(parent, 'order:')").select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct()
+
+
+def many_runs(spark: SparkSession, d: str) -> DataFrame:
+    e = layer(spark, d)
+    return experiments.damage_runs(e, e.select(F.col("src").alias("start")).distinct(), seeds=MANY_SEEDS, fractions=MANY_FRACTIONS)
+
+
+@query(oracle(f"WITH {RUNS} SELECT fraction, count(*) AS runs, count(*) FILTER (WHERE found = gold) AS exact, count(*) FILTER (WHERE found > 0 AND found < gold) AS short, count(*) FILTER (WHERE found = 0) AS empty, round(avg(found / gold), 6) AS recall FROM got JOIN g USING (start) GROUP BY fraction", "edges", recursive=True))
+def damage_degraded(spark: SparkSession, d: str) -> DataFrame:
+    """Damage to the estate's lower layers: 25 seeds and six fractions."""
+    return many_runs(spark, d).groupBy("fraction").agg(*experiments._outcomes())
+
+
+@query(oracle(f"""WITH {RUNS}, s AS (SELECT seed, fraction, count(*) FILTER (WHERE found > 0 AND found < gold) AS short FROM got JOIN g USING (start) GROUP BY ALL),
+e AS (SELECT seed, (SELECT min(fraction) FROM s x WHERE x.seed = s.seed AND x.short = max(s.short)) AS peak, max_by(short, fraction) < max(short) AS falls FROM s GROUP BY seed)
+SELECT round(avg(peak), 6) AS peak, count(*) FILTER (WHERE falls) AS falling, count(*) AS seeds, count(*) FILTER (WHERE falls) >= 0.8 * count(*) AS falls FROM e""", "edges", recursive=True))
+def damage_peak(spark: SparkSession, d: str) -> DataFrame:
+    """Where partly wrong answers are most, and whether they become fewer after."""
+    found, gold = F.col("found"), F.col("gold")
+    return experiments.peaks(many_runs(spark, d).groupBy("seed", "fraction").agg(F.count_if((found > 0) & (found < gold)).alias("short")))
+
+
+NEEDS = "SELECT parent AS id, p.name || ' needs ' || string_agg(c.name, ', ' ORDER BY child) AS text FROM (SELECT DISTINCT parent, child FROM edges WHERE impact) JOIN items p ON p.key = parent JOIN items c ON c.key = child GROUP BY parent, p.name"
+NATIONS = f"SELECT 'nation:' || n_nationkey AS question_id, {TOKENS.replace('text', 'n_name')} AS terms FROM nation"
+
+
+def needs(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text): of each item a sentence that names what it directly needs."""
+    i = bridge.items(spark, d)
+    named = lambda c: i.select(F.col("key").alias(c), F.col("name").alias(f"{c}_name"))
+    rows = bridge.edges(spark, d).where("impact").select("parent", "child").distinct().join(named("parent"), "parent").join(named("child"), "child")
+    found = rows.groupBy("parent", "parent_name").agg(F.array_sort(F.collect_list(F.struct("child", "child_name"))).alias("x"))  # an item needs few
+    return found.select(F.col("parent").alias("id"), F.concat("parent_name", F.lit(" needs "), F.array_join(F.transform("x", lambda c: c["child_name"]), ", ")).alias("text"))
+
+
+def nation_questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select(bridge.key("nation", "n_nationkey").alias("question_id"), F.col("n_name").alias("text"))
+
+
+@query(oracle(f"""WITH {GRID}, left_ AS (SELECT seed, fraction, src, dst FROM (SELECT DISTINCT src, dst FROM supports), grid WHERE {DRAW} >= fraction), st AS (SELECT 'nation:' || n_nationkey AS start FROM nation),
+w(seed, fraction, start, node, hop) AS (SELECT seed, fraction, start, start, 0 FROM grid, st UNION SELECT w.seed, w.fraction, w.start, l.dst, hop + 1 FROM w JOIN left_ l ON l.seed = w.seed AND l.fraction = w.fraction AND l.src = w.node WHERE hop < 4),
+o AS (SELECT seed, fraction, start, node, min(hop) AS hop FROM w GROUP BY ALL), gold AS (SELECT DISTINCT start, node FROM o WHERE fraction = 0 AND hop > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY seed, fraction, start ORDER BY hop, node) AS p FROM o WHERE hop > 0 QUALIFY p <= 60),
+h AS (SELECT seed, fraction, start, count(*) AS hits FROM f JOIN gold USING (start, node) GROUP BY ALL), gs AS (SELECT start, count(*) AS gold FROM gold GROUP BY 1),
+{bm25_sql(TOKENS, NATIONS, docs=NEEDS, x="k_")}, kh AS (SELECT question_id AS start, count(*) AS hits FROM k_lex JOIN gold ON gold.start = question_id AND gold.node = id GROUP BY 1)
+SELECT 'graph_only' AS arm, fraction, round(avg(coalesce(hits, 0) / gold), 6) AS recall FROM grid CROSS JOIN gs LEFT JOIN h USING (seed, fraction, start) GROUP BY fraction
+UNION ALL SELECT 'bm25', fraction, (SELECT round(avg(coalesce(hits, 0) / gold), 6) FROM gs LEFT JOIN kh USING (start)) FROM (SELECT DISTINCT fraction FROM grid)""", "edges", "supports", "items", recursive=True))
+def damaged_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of nations' blast radii by a walk along damaged edges, beside keyword search, which damage doesn't touch."""
+    e, asked = bridge.supports(spark, d), nation_questions(spark, d)
+    begin = asked.select(F.col("question_id").alias("start"))
+    gold = graph.reach(e, begin, 4).select("start", F.col("node").alias("id"))
+    walks = experiments.damaged_walks(e, begin, gold).select(F.lit("graph_only").alias("arm"), "fraction", "recall")
+    keyword = lexical.search(lexical.index(needs(spark, d)), asked)
+    once = experiments.recalls(keyword, gold.withColumnRenamed("start", "question_id")).agg(F.round(F.avg("recall"), 6).alias("recall"))
+    return walks.unionByName(walks.select(F.lit("bm25").alias("arm"), "fraction").join(once).select("arm", "fraction", "recall"))  # one row
+
+
 @query(oracle("WITH e AS (SELECT DISTINCT src, dst FROM supports), r AS (SELECT *, row_number() OVER (ORDER BY md5('7|' || src || '|' || dst), src, dst) AS i, count(*) OVER () AS n FROM e) SELECT src, dst FROM r WHERE i > floor(n * 0.4::double)", "supports"))
 def dropped_exactly(spark: SparkSession, d: str) -> DataFrame:
     return experiments.dropped_exactly(bridge.supports(spark, d), 7, 0.4)
@@ -716,6 +785,66 @@ def moved_questions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(experiments.moved(side("control"), side("vector")))
 
 
+HEADS = "SELECT item_id AS question_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40)) WHERE b.text <> ''"
+
+
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    """(question_id, id): documents that hold the first 40 characters of a benchmark item, as gold."""
+    heads = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.left("text", F.lit(40)).alias("name"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), "text")
+    return graph.named_in(texts, heads, folded=False).select(F.col("key").alias("question_id"), F.col("question_id").alias("id"))
+
+
+def recall_sql(name: str, lex: str) -> str:
+    return f"{name} AS (SELECT question_id, count(l.id) / count(*) AS recall FROM gold LEFT JOIN {lex} l USING (question_id, id) GROUP BY question_id)"
+
+
+@query(f"""WITH {STEM_TABLE}, {bm25_sql(TOKENS, ASKED, x="p_")}, {bm25_sql(STEMMED, STEMMED_ASKED, x="s_")}, gold AS ({HEADS}), {recall_sql('a', 'p_lex')}, {recall_sql('b', 's_lex')}
+SELECT question_id, round(a.recall, 6) AS before, round(b.recall, 6) AS after, CASE WHEN a.recall = 0 THEN 'rescued' WHEN b.recall > a.recall THEN 'better' ELSE 'worse' END AS change FROM a JOIN b USING (question_id) WHERE a.recall <> b.recall""")
+def stemming_moved(spark: SparkSession, d: str) -> DataFrame:
+    """Questions whose recall stems change, by keyword search without and with them."""
+    gold, asked, docs = passages(spark, d), questions(spark, d), documents(spark, d)
+    plain, stemmed = lexical.search(lexical.index(docs), asked), lexical.search_stemmed(docs, asked)
+    return rounded(experiments.moved(experiments.recalls(plain, gold), experiments.recalls(stemmed, gold)))
+
+
+DENORMALISED = f"""{side_sql('parent', 'child', 6, 'needs')}, {side_sql('child', 'parent', 6, 'dependants')}, ch AS (SELECT ci_key, array_to_string(list(number ORDER BY planned_start DESC, number DESC)[:3], ', ') AS recent FROM changes GROUP BY 1)"""
+WITH_GRAPH = f"SELECT number AS id, concat_ws({NL} || {NL}, number || {NL} || {INCIDENT_TEXT}, name || ' belongs to ' || domain || '.', 'It needs ' || array_to_string(needs, ', ') || '.', 'What depends on it: ' || array_to_string(dependants, ', ') || '.', 'Recent changes: ' || recent || '.') AS text FROM incidents i LEFT JOIN items ON key = i.ci_key LEFT JOIN needs USING (ci_key) LEFT JOIN dependants USING (ci_key) LEFT JOIN ch USING (ci_key)"
+PLAIN = f"SELECT number AS id, number || {NL} || {INCIDENT_TEXT} AS text FROM incidents i"
+
+
+@query(oracle(f"""WITH {DENORMALISED}, {bm25_sql(TOKENS, NATIONS, docs=PLAIN, x="p_")}, {bm25_sql(TOKENS, NATIONS, docs=WITH_GRAPH, x="g_")},
+gold AS (SELECT DISTINCT e.child AS question_id, i.number AS id FROM incidents i JOIN edges e ON e.parent = i.ci_key AND e.child LIKE 'nation:%' AND e.impact), {recall_sql('a', 'p_lex')}, {recall_sql('b', 'g_lex')}
+SELECT 'per_record' AS strategy, count(*) AS asked, round(avg(recall), 6) AS recall FROM a UNION ALL SELECT 'graph_denormalised', count(*), round(avg(recall), 6) FROM b""", "incidents", "items", "edges", "changes"))
+def ablation_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Incidents on what runs on a nation, by the nation's name: records as they are, and with the graph written into them."""
+    i, e, asked = bridge.incidents(spark, d), bridge.edges(spark, d), nation_questions(spark, d)
+    on = e.where("impact and startswith(child, 'nation:')").select(F.col("parent").alias("ci_key"), F.col("child").alias("question_id"))
+    gold = i.join(on, "ci_key").select("question_id", F.col("number").alias("id")).distinct()
+    found = None
+    for made in (chunks.per_record(i), chunks.denormalised(i, bridge.items(spark, d), e, bridge.changes(spark, d))):
+        ranking = lexical.search(lexical.index(made.select(F.col("source_id").alias("id"), "text")), asked)
+        strategy = made.select("strategy").limit(1)
+        one = experiments.recalls(ranking, gold).agg(F.count("*").alias("asked"), F.round(F.avg("recall"), 6).alias("recall")).join(strategy)  # two single rows
+        found = one if found is None else found.unionByName(one)
+    return found.select("strategy", "asked", "recall")
+
+
+SIX = (50, 100, 150, 300, 600, 900)
+
+
+@query(f"""WITH gold AS ({HEADS}), o AS (SELECT seed, doc_id AS id, text, row_number() OVER (PARTITION BY seed ORDER BY (CASE WHEN doc_id IN (SELECT id FROM gold) THEN 0 ELSE 1 END), md5(seed || '|' || doc_id), doc_id) AS pl FROM documents, (SELECT unnest([1, 2, 3]) AS seed)),
+t AS (SELECT seed, size, id, {TOKENS} AS w FROM o, (SELECT unnest({list(SIX)}) AS size) WHERE pl <= size), s AS (SELECT seed, size, count(*) AS n, avg(len(w)) AS mean FROM t GROUP BY ALL),
+p AS (SELECT seed, size, id, len, term, count(*) AS tf FROM (SELECT seed, size, id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL), f AS (SELECT seed, size, term, count(*) AS df FROM p GROUP BY ALL),
+q AS (SELECT question_id, term, count(*) AS times FROM (SELECT question_id, unnest(terms) AS term FROM ({ASKED})) GROUP BY ALL),
+sc AS (SELECT seed, size, question_id, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 9) AS score FROM q JOIN p USING (term) JOIN f USING (seed, size, term) JOIN s USING (seed, size) GROUP BY ALL HAVING score > 0),
+l AS (SELECT *, row_number() OVER (PARTITION BY seed, size, question_id ORDER BY score DESC, id DESC) AS r FROM sc QUALIFY r <= 40), gs AS (SELECT question_id, count(*) AS gold FROM gold GROUP BY 1), h AS (SELECT seed, size, question_id, count(*) AS hits FROM l JOIN gold USING (question_id, id) GROUP BY ALL)
+SELECT size, round(avg(coalesce(hits, 0) / gold), 6) AS recall FROM s CROSS JOIN gs LEFT JOIN h USING (seed, size, question_id) GROUP BY size""")
+def scaling_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of benchmark items by keyword search over haystacks of six sizes and three seeds."""
+    return experiments.scaling_lexical(documents(spark, d), questions(spark, d), passages(spark, d), SIX, (1, 2, 3))
+
+
 # Extensions over events.
 
 
