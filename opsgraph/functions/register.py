@@ -1,11 +1,11 @@
-"""Functions for SQL: approx_tokens, bm25_idf, out_of_hours, and the table function terms."""
+"""Functions for SQL: approx_tokens, bm25_idf, out_of_hours, stem, and the table function terms."""
 
 from __future__ import annotations
 
 import re
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import udf, udtf
 
 SQL = {
     "approx_tokens": ("t STRING", "INT", "greatest(1, cast(length(t) div 4 AS INT))"),
@@ -22,8 +22,25 @@ class Terms:
         yield from enumerate(re.findall("[a-z0-9_]+", (text or "").lower()))
 
 
+@udf(returnType="string", useArrow=True)
+def _stem(term: str) -> str:
+    """functions.text.stem, for SQL; in a DataFrame the expression is better."""
+    if term is None or len(term) <= 3 or re.search("[0-9]", term):
+        return term
+    for ending, less in (("sses", 2), ("ies", 2), ("ss", 0), ("s", 1)):
+        if term.endswith(ending):
+            term = term[: len(term) - less]
+            break
+    for ending, more in (("eed", "e"), ("ed", ""), ("ing", "")):
+        left = term[: -len(ending)]
+        if term.endswith(ending) and len(left) >= 3 and re.search("[aeiou]", left):
+            return left + more
+    return term or "x"
+
+
 def register(spark: SparkSession) -> None:
     """Makes them known to a session, until it ends."""
     for name, (arguments, kind, body) in SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
     spark.udtf.register("terms", Terms)
+    spark.udf.register("stem", _stem)

@@ -133,14 +133,19 @@ def percentile_at(rows: DataFrame, by: str, value: str, share: float = 0.95) ->
     return kinds.withColumn("_upto", upto).where(F.col("_upto") > F.col("_at")).groupBy(by).agg(F.min("_v").alias("value"))
 
 
-def verdicts(graded: DataFrame) -> DataFrame:
-    """Of (arm, question_id, reply, again, recall): a row an arm with counts of verdicts, of replies that changed, and of agreement with full recall.
+def verdict(reply: str | Column) -> Column:
+    """The judge's word in a reply: CORRECT, WRONG or REFUSED, looked for in this order and in either case, else UNPARSED.
 
-    The words are looked for in the order CORRECT, WRONG, REFUSED, in either case. INCORRECT doesn't count
-    as CORRECT, which it contains: it is none of the words a judge may say, and so unparsed.
+    INCORRECT doesn't count as CORRECT, which it contains: it is none of the words a judge may say.
     """
-    word = lambda c: F.when(F.contains(F.upper(c), F.lit("CORRECT")) & ~F.contains(F.upper(c), F.lit("INCORRECT")), "CORRECT").when(F.contains(F.upper(c), F.lit("WRONG")), "WRONG").when(F.contains(F.upper(c), F.lit("REFUSED")), "REFUSED").otherwise("UNPARSED")
-    rows = graded.withColumns({"v": word(F.col("reply")), "w": word(F.col("again"))})
+    said = F.upper(reply)
+    word = F.when(F.contains(said, F.lit("CORRECT")) & ~F.contains(said, F.lit("INCORRECT")), "CORRECT")
+    return word.when(F.contains(said, F.lit("WRONG")), "WRONG").when(F.contains(said, F.lit("REFUSED")), "REFUSED").otherwise("UNPARSED")
+
+
+def verdicts(graded: DataFrame) -> DataFrame:
+    """Of (arm, question_id, reply, again, recall): a row an arm with counts of verdicts, of replies that changed, and of agreement with full recall."""
+    rows = graded.withColumns({"v": verdict("reply"), "w": verdict("again")})
     count = lambda v: F.count_if(F.col("v") == v).alias(v.lower())
     return rows.groupBy("arm").agg(F.count("*").alias("graded"), *map(count, ("CORRECT", "WRONG", "REFUSED", "UNPARSED")), F.count_if(F.col("v") != F.col("w")).alias("flipped"), F.count_if((F.col("v") == "CORRECT") == (F.col("recall") >= 0.999)).alias("agrees"))
 

@@ -146,11 +146,34 @@ def run(arms: list[Arm], questions: DataFrame, gold: DataFrame, docs: DataFrame,
     return evaluate.scored(asked, retrieved, gold, docs.count())
 
 
-def report(scores: DataFrame) -> str:
-    """A table of the arms, and which differences are real."""
+def reachable(gold: DataFrame, docs: DataFrame) -> DataFrame:
+    """(question_id, floor): the share of each question's gold (question_id, id) that is in the corpus at all; no arm's recall can be above it."""
+    marked = gold.select("question_id", "id").distinct().join(docs.select("id", F.lit(1).alias("_in")).distinct(), "id", "left")
+    return marked.groupBy("question_id").agg((F.count("_in") / F.count("*")).alias("floor"))
+
+
+def report(scores: DataFrame, gold: DataFrame | None = None, docs: DataFrame | None = None) -> str:
+    """A table of the arms; recall of held-out and other questions, by kind, and of enumerations against chance; which differences are real; and, with gold and docs, what of the gold could be found."""
     show = lambda x: "-" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
-    columns = ("arm", "asked", "failed", "measured", "recall", "mrr", "precision", "chance", "tokens_mean")
-    lines = ["  ".join(f"{c:>11}" for c in columns)]
-    lines += ["  ".join(f"{show(r[c]):>11}" for c in columns) for r in evaluate.by_arm(scores).orderBy(F.desc_nulls_last("recall"), "arm").collect()]
-    lines += [f"{r.arm} against {r.other}: {r.wins} won, {r.losses} lost, p {r.p:.3f}, {'real' if r.real else 'no real difference'}" for r in evaluate.compared(scores).orderBy("arm", "other").collect()]
-    return "\n".join(lines)
+    row = lambda values: "  ".join(f"{show(v):>12}" for v in values)
+    arms_ = evaluate.by_arm(scores).orderBy(F.desc_nulls_last("recall"), "arm").collect()
+    lines = []
+
+    def section(title: str, columns: tuple[str, ...], rows: list) -> None:
+        lines.extend(["", title, row(columns), *(row(r[c] for c in columns) for r in rows)] if rows else [])
+
+    section("arms", ("arm", "asked", "failed", "measured", "recall", "mrr", "precision", "tokens_mean", "tokens_when_answered"), arms_)
+    section("held out", ("arm", "recall_held_out", "recall_seen"), arms_)
+    beats = [r.asDict() | {"beats_chance": r.precision_enumerations is not None and r.chance is not None and r.precision_enumerations > 1.5 * r.chance} for r in arms_ if r.enumerations]
+    section("enumerations", ("arm", "enumerations", "precision_enumerations", "chance", "beats_chance"), beats)
+    section("by kind", ("kind", "arm", "measured", "recall", "mrr"), evaluate.by_kind(scores).where("measured > 0").orderBy("kind", F.desc("recall"), "arm").collect())
+    if gold is not None and docs is not None:
+        section("reachable", ("questions", "floor"), reachable(gold, docs).agg(F.count("*").alias("questions"), F.avg("floor").alias("floor")).collect())
+    lines += ["", *(f"{r.arm} against {r.other}: {r.wins} won, {r.losses} lost, p {r.p:.3f}, {'real' if r.real else 'no real difference'}" for r in evaluate.compared(scores).orderBy("arm", "other").collect())]
+    return "\n".join(lines).strip()
+
+
+def kept(scores: DataFrame, path: str) -> None:
+    """Scores, and a row an arm, as JSON lines below a folder."""
+    scores.write.mode("overwrite").json(f"{path}/scores")
+    evaluate.by_arm(scores).coalesce(1).write.mode("overwrite").json(f"{path}/arms")

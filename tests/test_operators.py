@@ -624,3 +624,42 @@ def test_partly_wrong_answers_peak(spark):
 def test_crossing_point(spark):
     rows = [(0.0, "g", 1.0), (0.0, "b", 0.4), (0.2, "g", 0.5), (0.2, "b", 0.4), (0.4, "g", 0.4), (0.4, "b", 0.4)]
     assert experiments.crossing(spark.createDataFrame(rows, "fraction double, arm string, recall double"), "g", "b").first().fraction == 0.4
+
+
+def test_stem_for_sql_is_the_expression(spark):
+    from opsgraph.functions.register import register
+
+    register(spark)
+    words = "classes ponies glass cats seed agreed need red planned running sing sings disk99 a is us ings eds thing".split()
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    df.createOrReplaceTempView("stem_t")
+    assert {tuple(r) for r in spark.sql("select t, stem(t) from stem_t").collect()} == {tuple(r) for r in df.select("t", text.stem(F.col("t"))).collect()}
+
+
+def test_a_judge_is_asked_twice_and_gated(spark):
+    from opsgraph.plans import judge
+
+    def ask(prompt):
+        if prompt.startswith("Answer"):
+            return "disk" if "disk" in prompt.split("Records:")[1].split("Question:")[0] else judge.REFUSAL
+        answer = prompt.rsplit("Answer:", 1)[1]
+        return "REFUSED" if judge.REFUSAL in answer else "CORRECT" if "disk" in answer else "WRONG"
+
+    rows = spark.createDataFrame([("bm25", 1, "what failed?", "the disk failed", "disk", 1.0), ("bm25", 2, "what failed?", None, "disk", 0.0), ("vector", 1, "what failed?", "the fan", "disk", 0.0)], "arm string, question_id long, question string, context string, gold_text string, recall double")
+    control = spark.createDataFrame([(1, "what failed?", "a disk", "a fan")], "question_id long, question string, gold_text string, random_text string")
+    verdicts, gate = judge.judged(rows, control, ask)
+    got = {r.arm: (r.graded, r.correct, r.refused, r.flipped, r.agrees) for r in verdicts.collect()}
+    assert got == {"bm25": (2, 1, 1, 0, 2), "vector": (1, 0, 1, 0, 1)}
+    assert tuple(gate.first()) == (1, 0, True)
+    assert judge.judged(rows, control, lambda p: "CORRECT")[1].first().passes is False
+
+
+def test_report_has_its_sections(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"note{i} about topic{i % 3}") for i in range(80)], "id long, text string")
+    asked = spark.createDataFrame([(1, "note5", "lookup", False, True, False), (2, "note7", "lookup", True, True, False), (3, "topic1", "sweep", True, True, False)], "question_id long, text string, kind string, holdout boolean, gradable boolean, expect_empty boolean")
+    gold = spark.createDataFrame([(1, 5), (2, 7), (2, 900), *((3, i) for i in range(70))], "question_id long, id long")
+    scores = arms.run([arms.Lexical(docs), arms.Control(docs)], asked, gold, docs).cache()
+    text_ = arms.report(scores, gold, docs)
+    assert all(t in text_ for t in ("held out", "enumerations", "by kind", "reachable", "bm25 against control")) and "0.833" in text_
+    arms.kept(scores, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "scores")).count() == 6 and spark.read.json(str(tmp_path / "arms")).count() == 2
