@@ -92,16 +92,17 @@ class Model:
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM for binary voters, from the posteriors `start` on. Gives the posteriors, each voter's rate of votes by class (voters x 2), and the voters' correlations.
+    """EM for binary voters, from the posteriors `start` on, whose mean stays the balance of the classes (else few voters that agree let one class run empty). Gives the posteriors, each voter's rate of votes by class (voters x 2), and the voters' correlations.
 
     Correlations are those of what is left of the votes once the class explains its part; a voter whose
     residuals follow others' has its log-odds divided by 1 + the sum of its squared correlations.
     """
     q, n = start.copy(), len(votes)
+    balance = np.log((start.mean() + 1e-6) / (1 - start.mean() + 1e-6))
     corr, damp = np.eye(votes.shape[1]), np.ones(votes.shape[1])
     for step in range(rounds):
         w = np.stack([1 - q, q])
-        rates = ((w @ votes + 0.5) / (w.sum(1, keepdims=True) + 1)).T
+        rates = ((w @ votes + 0.05) / (w.sum(1, keepdims=True) + 0.1)).T
         rest = votes - (np.outer(1 - q, rates[:, 0]) + np.outer(q, rates[:, 1]))
         if step % 5 == 0:
             cov = rest.T @ rest / n
@@ -110,7 +111,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 50) -> tuple
             damp = 1 / (1 + (corr**2).sum(1) - np.diag(corr) ** 2)
         log = np.log(rates)
         none = np.log1p(-rates)
-        odds = np.log((q.mean() + 1e-6) / (1 - q.mean() + 1e-6)) + (votes * damp) @ (log[:, 1] - log[:, 0]) + ((1 - votes) * damp) @ (none[:, 1] - none[:, 0])
+        odds = balance + (votes * damp) @ (log[:, 1] - log[:, 0]) + ((1 - votes) * damp) @ (none[:, 1] - none[:, 0])
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         done, q = np.abs(new - q).max() < 1e-6, new
         if done:
@@ -125,7 +126,7 @@ def posteriors(texts: list[str], x: np.ndarray, lexicon: list[tuple]) -> tuple[n
     """
     votes = np.stack([x[:, [k == g for k in lexicon]].max(1) for g in sorted(set(lexicon))] + [np.array([bool(p.search(t)) for t in texts], float) for p in PATTERNS], 1).astype(float)
     named = votes[:, : -len(PATTERNS)].sum(1)
-    return label_model(votes, np.where(named > 1, 0.9, np.where(named > 0, 0.5, 0.02)))
+    return label_model(votes[:, votes.any(0)], np.where(named > 1, 0.9, np.where(named > 0, 0.5, 0.02)))
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model:

@@ -329,9 +329,11 @@ def test_fingerprints_equal_brute_force(spark, hard):
     assert simhash.fingerprints(texts).tolist() == [brute(t) for t in texts]
 
 
-@pytest.mark.parametrize("bucket", [64, 2])
-def test_groups_equal_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket, ring", [(64, None), (2, None), (64, (5, 2)), (2, (9, 4)), (64, (63, 31))])
+def test_groups_equal_brute_force(spark, monkeypatch, bucket, ring):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
+    if ring:
+        monkeypatch.setattr(simhash, "ring", lambda count, distance: ring)
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(12)]
     prints = [0, 0, 1, 3, 7]
@@ -358,6 +360,21 @@ def test_groups_equal_brute_force(spark, monkeypatch, bucket):
     assert got == {i: find(i) for i in range(len(prints))}
 
 
+def test_rings_grow_with_the_fingerprints():
+    rings = [simhash.ring(10**e) for e in range(5, 13)]
+    assert rings[0] == (3, 1) and rings == sorted(rings) and rings[-1][0] > 50
+    assert all(2 * equal < m <= 63 for m, equal in rings)
+
+
+def test_hubs_and_copies_in_a_third_of_all_rows(spark):
+    prints = spark.range(12_000).select(F.col("id").alias("_key"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.xxhash64("id")).alias("_f"))
+    got = simhash.grouped(prints)
+    assert got.count() == 12_000 and got.where("_component = 0").count() == 4000
+    star = spark.range(1, 5000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    for edges in (star, star.select((F.lit(9999) - F.col("a")).alias("a"), F.lit(9999).cast("long").alias("b"))):
+        assert [tuple(r) for r in simhash.components(edges).groupBy("root").count().collect()] in ([(0, 5000)], [(5000, 5000)])
+
+
 def test_near_copies_of_hard_rows(spark, hard):
     got = all_same_rows(simhash.near_duplicates(hard), hard).collect()
     by = {r.doc_id: r.component_id for r in got}
@@ -394,8 +411,9 @@ def test_different_short_texts_stay(spark):
     assert simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts) == 10_000
 
 
-def test_near_copies_within_a_template_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SAMPLE_LEAST", 100)
+@pytest.mark.parametrize("ordered", [1_000_000, 0])
+def test_near_copies_within_a_template_equal_brute_force(spark, monkeypatch, ordered):
+    monkeypatch.setattr(simhash, "ORDERED", ordered)
     r = random.Random(5)
     fresh = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
     long, short = fresh(150), fresh(90)
@@ -414,6 +432,16 @@ def test_near_copies_within_a_template_equal_brute_force(spark, monkeypatch):
     assert {x.doc_id for x in simhash.deduplicated(df).collect()} == want
 
 
+def test_sets_are_those_of_the_shingles(hard):
+    texts = [r.text or '' for r in hard.collect()] + ['a b', 'a b c d e', 'A b c d E', 'a b c d e a b c d e', 'b a', 'a\x0bb']
+    values, bounds = simhash.sets(texts)
+    got = [frozenset(values[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+    want = [frozenset(simhash.shingles(t, 5)) for t in texts]
+    for i in range(len(texts)):
+        assert len(got[i]) == len(want[i])
+        assert all(len(got[i] & got[j]) == len(want[i] & want[j]) for j in range(i))
+
+
 def test_jaccard_decides_at_the_threshold(spark):
     r = random.Random(6)
     near, far = [], []

@@ -38,13 +38,13 @@ def test_toxicity_model_equals_plain_em():
     start = [0.9 if sum(v) > 1 else 0.1 for v in rows]
     q, n = list(start), len(rows)
     for step in range(4):
-        rate = [[(sum(w * v[j] for w, v in zip(ws, rows)) + 0.5) / (sum(ws) + 1) for ws in ([1 - x for x in q], q)] for j in range(4)]
+        rate = [[(sum(w * v[j] for w, v in zip(ws, rows)) + 0.05) / (sum(ws) + 0.1) for ws in ([1 - x for x in q], q)] for j in range(4)]
         rest = [[v[j] - (1 - x) * rate[j][0] - x * rate[j][1] for j in range(4)] for v, x in zip(rows, q)]
         if step == 0:
             cov = lambda a, b: sum(e[a] * e[b] for e in rest) / n
             corr = [[cov(a, b) / math.sqrt(cov(a, a) * cov(b, b)) for b in range(4)] for a in range(4)]
             damp = [1 / (1 + sum(corr[a][b] ** 2 for b in range(4) if b != a)) for a in range(4)]
-        mean = sum(q) / n
+        mean = sum(start) / n
         odds = [math.log(mean / (1 - mean)) + sum(damp[j] * math.log(rate[j][1] / rate[j][0] if v[j] else (1 - rate[j][1]) / (1 - rate[j][0])) for j in range(4)) for v in rows]
         q = [1 / (1 + math.exp(-o)) for o in odds]
     got, rates, said = toxicity.label_model(np.array(rows), np.array(start), 4)
@@ -52,6 +52,13 @@ def test_toxicity_model_equals_plain_em():
     assert damp[0] < 0.6 < damp[1]
 
 
+def test_few_voters_that_agree_keep_both_classes():
+    texts = [prose(i, 30) + (" vile rotten" if i % 5 == 0 else "") for i in range(100)]
+    model = toxicity.fit(texts, np.array([float(i % 5 == 0) for i in range(100)]))
+    scores = model.scores([prose(900 + i, 30) + (" rotten vile" if i % 2 else "") for i in range(20)])
+    assert (scores >= toxicity.THRESHOLD).tolist() == [bool(i % 2) for i in range(20)]
+
+
 def test_toxic_posteriors_come_from_votes():
     """Labels choose the lexicons; with the same lexicons, other labels change nothing."""
     texts = [prose(i, 30) + (" vile rotten" if i % 5 == 0 else " rotten" if i % 7 == 0 else "") for i in range(300)]
