@@ -130,26 +130,31 @@ class CrossParser:
 
         If they were parsed before, a stretch is left where all languages are in the states they were in then.
         """
-        end = state.copy()
-        lane = np.argsort(-length, kind="stable")
-        for t in range(int(length.max(initial=0))):
-            lane = lane[: np.searchsorted(-length[lane], -t, "left")]
+        order = np.argsort(-length, kind="stable")
+        begin, length, end = begin[order], length[order], state[:, order]
+        upto = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")  # stretches of more than t symbols
+        if not again:
+            for t, n in enumerate(upto.tolist()):
+                place = begin[:n] + t
+                step = np.take(self.table, end[:, :n] + symbols[place])
+                got[:, place] = step
+                end[:, :n] = step >> 1
+        lane = np.arange(len(length) if again else 0)
+        for t, n in enumerate(upto.tolist()):
+            lane = lane[: np.searchsorted(lane, n)]
             if not len(lane):
                 break
             place = begin[lane] + t
             step = np.take(self.table, end[:, lane] + symbols[place])
-            if again:
-                on = (got[:, place] != step).any(0)
-                done = ~on & (got[:, place] >> 1 == step >> 1).all(0)
-                got[:, place] = step
-                end[:, lane] = step >> 1
-                # from an equal step on all is as before, the end too
-                end[:, lane[done]] = got[:, begin[lane[done]] + length[lane[done]] - 1] >> 1
-                lane = lane[~done]
-            else:
-                got[:, place] = step
-                end[:, lane] = step >> 1
-        return end
+            done = (got[:, place] == step).all(0)
+            got[:, place] = step
+            end[:, lane] = step >> 1
+            # from an equal step on all is as before, the end too
+            end[:, lane[done]] = got[:, begin[lane[done]] + length[lane[done]] - 1] >> 1
+            lane = lane[~done]
+        out = np.empty_like(end)
+        out[:, order] = end
+        return out
 
     def _phrases(self, symbols: np.ndarray, at: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many phrases begin in each text (texts x languages), parsed from the states given on; and the states in the end."""
