@@ -6,30 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsgraph.llm import decontaminate, pieces, secretscan, simhash, toxicity
-from opsgraph.llm.common import saved, table
+from opsgraph.llm.common import packed, saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold by a model fitted on labels outside the held-out fold."""
+    """Documents scored below the threshold by a model fitted on labels outside the held-out fold.
+
+    Null and empty texts have the score of no evidence and stay; repeated rows are scored alike. Without
+    labels of both classes nothing is told apart: with none, or clean ones only, all stay.
+    """
     model = toxicity.learn(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).where(F.col("toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.score(packed(docs, text=F.col("text")), model).where(F.col("toxicity") < toxicity.THRESHOLD).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least doc_id (simhash.deduplicated): texts whose sets of five-word shingles are 0.8 alike, or whose fingerprints link.
+
+    Null and empty texts are copies of each other. Of equal rows one stays; rows that repeat a doc_id
+    with another text are documents of their own; rows with a null doc_id stay. An empty table stays empty.
+    """
     return simhash.deduplicated(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item leaks (decontaminate.leaks). Null and empty texts stay, as do repeated rows; with an empty benchmark all stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets (secretscan.find) masked and n_chars counted anew where a text changed. Null texts stay null; no row goes."""
     return secretscan.redact(docs)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_pieces and piece_ids; the ids decode to the masked text."""
-    found = pieces.encode(docs)
+    """doc_id, lang, source, n_pieces and piece_ids; the ids decode to the masked text. Other columns go.
+
+    A null text has null ids and an n_pieces of 0, an empty one no ids. Repeated rows are cut alike.
+    """
+    found = pieces.encode(docs.select("doc_id", "lang", "source", "text"))
     return found.select("doc_id", "lang", "source", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), "piece_ids")
 
 
