@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsgraph.functions.folds import let
 from opsgraph.plans.lineage import cut
 
 
@@ -91,17 +92,17 @@ def named_in(questions: DataFrame, names: DataFrame, folded: bool = True) -> Dat
     known = names.where(F.length("name") > 0).select("key", "name", fold("name").alias("_name"))
     known = known.withColumn("_end", F.substring("_name", F.greatest(F.lit(1), F.length("_name") - ENDING + 1), F.lit(ENDING)))
     kinds = known.select(F.length("_end").alias("n"), F.substring("_end", -1, 1).alias("c")).distinct().groupBy("n").agg(F.slice(F.array_sort(F.collect_set("c")), 1, LAST + 1).alias("c")).collect()  # ENDING rows at most
-    text = F.col("_text")
 
-    def pieces(n: int, last: list[str]) -> Column:
-        ends = F.sequence(F.lit(n), F.greatest(F.lit(n), F.length(text)))
+    def pieces(chars: Column, n: int, last: list[str]) -> Column:
+        """The stretches of n characters; a place in an array is found at once, in a text only from its start."""
+        ends = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars))), lambda i: (i >= n) & (i <= F.size(chars)))
         if len(last) <= LAST:
-            ends = F.filter(ends, lambda i: F.substring(text, i, F.lit(1)).isin(last))
-        return F.when(F.length(text) >= n, F.transform(ends, lambda i: F.substring(text, i - n + 1, F.lit(n))))
+            ends = F.filter(ends, lambda i: F.get(chars, i - 1).isin(last))
+        return F.transform(ends, lambda i: F.array_join(F.slice(chars, i - n + 1, n), ""))
 
     asked = questions.select("question_id", fold("text").alias("_text"))
     none = F.array().cast("array<string>")
-    every = F.array_distinct(F.concat(*(F.coalesce(pieces(r.n, r.c), none) for r in kinds))) if kinds else none
+    every = let(F.split("_text", ""), lambda chars: F.array_distinct(F.concat(*(pieces(chars, r.n, r.c) for r in kinds)))) if kinds else none
     found = asked.select("question_id", "_text", F.explode(every).alias("_end")).join(known, "_end").where(F.contains("_text", F.col("_name")))
     return found.select("question_id", "key", "name").distinct()
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from opsgraph.functions.text import STOPWORDS, approx_tokens, fingerprint, query_terms, stem, tokens
 from opsgraph.functions.times import month_before
-from opsgraph.plans import arms
 from opsgraph.operators import chunks, evaluate, experiments, fuse, graph, lexical, tickets, vector
+from opsgraph.plans import arms
+from opsgraph.plans.lineage import cut
 from opsgraph.sources import bridge
 from opsgraph.sources.bridge import AS_OF, EDGES_AS_OF, oracle, table
 from opsgraph.streaming import events as streams
@@ -800,12 +801,13 @@ def recall_sql(name: str, lex: str) -> str:
 
 
 @query(f"""WITH {STEM_TABLE}, {bm25_sql(TOKENS, ASKED, x="p_")}, {bm25_sql(STEMMED, STEMMED_ASKED, x="s_")}, gold AS ({HEADS}), {recall_sql('a', 'p_lex')}, {recall_sql('b', 's_lex')}
-SELECT question_id, round(a.recall, 6) AS before, round(b.recall, 6) AS after, CASE WHEN a.recall = 0 THEN 'rescued' WHEN b.recall > a.recall THEN 'better' ELSE 'worse' END AS change FROM a JOIN b USING (question_id) WHERE a.recall <> b.recall""")
-def stemming_moved(spark: SparkSession, d: str) -> DataFrame:
-    """Questions whose recall stems change, by keyword search without and with them."""
-    gold, asked, docs = passages(spark, d), questions(spark, d), documents(spark, d)
+SELECT question_id, round(a.recall, 6) AS plain, round(b.recall, 6) AS stemmed, a.recall <> b.recall AS moved FROM a JOIN b USING (question_id)""")
+def stemming_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall by keyword search without and with stems, and whether they move it."""
+    gold, asked, docs = cut(passages(spark, d)), questions(spark, d), documents(spark, d)
     plain, stemmed = lexical.search(lexical.index(docs), asked), lexical.search_stemmed(docs, asked)
-    return rounded(experiments.moved(experiments.recalls(plain, gold), experiments.recalls(stemmed, gold)))
+    both = experiments.recalls(plain, gold).withColumnRenamed("recall", "plain").join(experiments.recalls(stemmed, gold).withColumnRenamed("recall", "stemmed"), "question_id")
+    return rounded(both.withColumn("moved", F.col("plain") != F.col("stemmed")))
 
 
 DENORMALISED = f"""{side_sql('parent', 'child', 6, 'needs')}, {side_sql('child', 'parent', 6, 'dependants')}, ch AS (SELECT ci_key, array_to_string(list(number ORDER BY planned_start DESC, number DESC)[:3], ', ') AS recent FROM changes GROUP BY 1)"""
@@ -842,7 +844,7 @@ l AS (SELECT *, row_number() OVER (PARTITION BY seed, size, question_id ORDER BY
 SELECT size, round(avg(coalesce(hits, 0) / gold), 6) AS recall FROM s CROSS JOIN gs LEFT JOIN h USING (seed, size, question_id) GROUP BY size""")
 def scaling_keywords(spark: SparkSession, d: str) -> DataFrame:
     """Recall of benchmark items by keyword search over haystacks of six sizes and three seeds."""
-    return experiments.scaling_lexical(documents(spark, d), questions(spark, d), passages(spark, d), SIX, (1, 2, 3))
+    return experiments.scaling_lexical(documents(spark, d), questions(spark, d), cut(passages(spark, d)), SIX, (1, 2, 3))
 
 
 # Extensions over events.
