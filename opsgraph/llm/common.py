@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
@@ -12,13 +12,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsgraph.functions.folds import chunks, let, running
 from opsgraph.plans.lineage import cut as saved
 from opsgraph.plans.lineage import forget
 
-__all__ = ["forget", "saved"]
+__all__ = ["chunks", "forget", "let", "running", "saved"]
 
-#: Keys that hold more than one in so many of the rows are met by broadcast.
-HEAVY = 1000
+#: Keys that hold more than one in HEAVY of the rows, and more than LIGHT rows, are met by broadcast.
+HEAVY, LIGHT = 1000, 1000
 
 _shipped: set[str] = set()
 
@@ -41,20 +42,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def weighty(dims: DataFrame, n: str, total: int) -> Column:
-    """Whether a row of dims stands for so many (column n) of all `total` rows that it goes out by broadcast: at most HEAVY rows do."""
-    return F.col(n) > max(1000, total // HEAVY)
+def joined(rows: DataFrame, dims: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
+    """rows joined with dims (one row a key) by a null-free key, no key's rows in one task.
 
-
-def joined(rows: DataFrame, dims: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """rows joined with dims (one row a key, with n, how many of rows have it; n goes) by a null-free key, no key in one task.
-
-    Keys with over one in HEAVY of all rows are at most HEAVY; they are met by a broadcast, so their
-    rows stay where they are, and only the others are shuffled.
+    counts (key, n) says how many of the `total` rows have each key. Keys with over one in HEAVY of all
+    rows are at most HEAVY; they are met by a broadcast, so their rows stay where they are, and only the
+    others are shuffled.
     """
-    hot = weighty(dims, n, total)
-    many = F.broadcast(dims.where(hot).drop(n))
-    return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(dims.where(~hot).drop(n), key))
+    limit = max(LIGHT, total // HEAVY)
+    hot = counts.where(F.col("n") > limit).select(key).collect() if total > limit else []
+    if not hot:
+        return rows.join(dims, key)
+    hot = F.broadcast(dims.sparkSession.createDataFrame(hot, counts.select(key).schema))
+    many = F.broadcast(dims.join(hot, key, "left_semi"))
+    return rows.join(many, key).unionByName(rows.join(hot, key, "left_anti").join(dims, key))
 
 
 def fold(doc_id: str | Column, folds: int) -> Column:
@@ -102,38 +103,25 @@ def _in_words() -> np.ndarray:
     return np.array([chr(i).isalnum() for i in range(0x110000)])
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens (runs of letters and digits, lower case) of all texts in a row, and the bounds (one more than texts)."""
-    points, at = code_points([t.lower() for t in texts])
-    word = np.append(_in_words()[points], False)
+def runs_hashed(codes: np.ndarray, within: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of codes that are within, of texts that begin and end at `at`, and the bounds of each text's."""
+    word = np.append(within, False)
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     begins[at[:-1]] |= word[at[:-1]]
     stops = np.append(begins[1:], False) | ~np.append(word[1:], False)
     starts, ends = np.flatnonzero(begins), np.flatnonzero(word & stops) + 1
-    own, sizes = points[word[:-1]].astype(np.uint64), ends - starts
+    own, sizes = codes[within].astype(np.uint64), ends - starts
     first = np.cumsum(sizes) - sizes
-    within = np.arange(len(own)) - np.repeat(first, sizes)
-    values = np.add.reduceat(mix(own + np.uint64(1)) * FACTORS[within & 4095], first) if len(first) else np.zeros(0, np.uint64)
+    place = np.arange(len(own)) - np.repeat(first, sizes)
+    values = np.add.reduceat(mix(own + np.uint64(1)) * FACTORS[place & 4095], first) if len(first) else np.zeros(0, np.uint64)
     return mix(values + sizes.astype(np.uint64)), np.searchsorted(starts, at)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def chunks(values: Column) -> Column:
-    """An array cut into arrays of the square root of its size."""
-    wide = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values))).cast("int"))
-    return let(wide, lambda w: F.transform(F.filter(F.sequence(F.lit(0), w), lambda k: k * w < F.size(values)), lambda k: F.slice(values, k * w + 1, w)))
-
-
-def running(values: Column, neutral: Column, both: Callable[[Column, Column], Column]) -> Column:
-    """Of each value, the fold of all up to it; both is associative."""
-    within = F.transform(chunks(values), lambda c: F.transform(c, lambda _, j: F.aggregate(F.slice(c, F.lit(1), j + 1), neutral, both)))
-    before = lambda w: F.transform(w, lambda _, k: F.aggregate(F.slice(w, F.lit(1), k), neutral, lambda a, x: both(a, F.element_at(x, -1))))
-    return let(within, lambda w: F.flatten(F.zip_with(before(w), w, lambda b, own: F.transform(own, lambda x: both(b, x)))))
+def tokens(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens (runs of letters and digits, lower case) of all texts in a row, and the bounds (one more than texts)."""
+    points, at = code_points([t.lower() for t in texts])
+    return runs_hashed(points, _in_words()[points], at)
 
 
 def packed(docs: DataFrame, **own: Column) -> DataFrame:

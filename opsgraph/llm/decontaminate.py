@@ -120,7 +120,7 @@ def _hits(batches: Iterator[pa.RecordBatch], words: np.ndarray, bits: int, used:
     for batch in batches:
         t, u, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         fresh = list({k: i for i, k in enumerate(zip(t, u))}.values())
-        for a, b in slices([len(texts[i]) for i in fresh], 2_000_000):
+        for a, b in slices([len(texts[i]) for i in fresh], 400_000):
             mine = fresh[a:b]
             values, bounds = tokens([texts[i] for i in mine])
             after = np.repeat(bounds[1:], np.diff(bounds))

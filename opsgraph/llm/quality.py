@@ -144,7 +144,7 @@ class Scorer:
     def scores(self, texts: list[str]) -> np.ndarray:
         w = np.frombuffer(self.weights, np.float32) if self.weights else np.zeros(FAMILIES * BUCKETS, np.float32)
         out = [np.zeros(0)]
-        for a, b in slices([len(t) for t in texts], 1_000_000):
+        for a, b in slices([len(t) for t in texts], 400_000):
             row, at, value = features(texts[a:b])
             out.append(self.bias + np.bincount(row, w[at] * value, b - a))
         return _sigmoid(np.concatenate(out))
@@ -155,7 +155,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 150) -> Scorer:
     if not texts:
         return Scorer()
     parts, base = [], 0
-    for a, b in slices([len(t) for t in texts], 1_000_000):
+    for a, b in slices([len(t) for t in texts], 400_000):
         row, at, value = features(texts[a:b])
         parts.append((row + base, at, value))
         base += b - a
