@@ -66,10 +66,10 @@ def pairs(talks: DataFrame, key: str = "conv_id") -> DataFrame:
     rows = saved(marked.select("k", "h", F.struct("d", "p").alias("p")), "firsts")
     kinds = rows.groupBy("p", "h").agg(F.min("k").alias("k"), F.count("*").alias("n"))
     shared = kinds.groupBy("p").agg(F.min(F.struct("k", "h")).alias("a"), F.max("k").alias("b"), F.sum("n").alias("n")).where("a.k <> b")
-    deepest = joined(rows, saved(shared, "shared"), "p", "n", rows.count()).groupBy("k").agg(F.max(F.struct("p.d", "h", "a", "b")).alias("m"))
+    shared = saved(shared, "shared")
+    deepest = joined(rows, shared.drop("n"), "p", shared, rows.count()).groupBy("k").agg(F.max(F.struct("p.d", "h", "a", "b")).alias("m"))
     asked = saved(deepest.select("k", F.when(F.col("m.h") == F.col("m.a.h"), F.col("m.b")).otherwise(F.col("m.a.k")).alias("other")), "asked")
-    dims = own.select(F.col("k").alias("other"), F.col("turns").alias("theirs")).join(asked.groupBy("other").agg(F.count("*").alias("n")), "other")
-    met = joined(asked, dims, "other", "n", asked.count())
+    met = joined(asked, own.select(F.col("k").alias("other"), F.col("turns").alias("theirs")), "other", asked.groupBy("other").agg(F.count("*").alias("n")), asked.count())
 
     two = own.join(met, "k", "left")
     mine, theirs = _spoken("turns"), _spoken("theirs")
