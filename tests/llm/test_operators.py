@@ -264,6 +264,16 @@ def test_repeats_of_hard_rows(spark, hard):
     assert suffixdedup.remove_repeats(hard.limit(0)).count() == 0
 
 
+def test_repeats_of_repeated_and_null_keys_equal_brute_force(spark):
+    long = [prose(i, 60) for i in range(4)]
+    data = [(5, long[0]), (5, long[1] + long[0]), (5, long[0]), (None, long[1]), (None, long[2]), (None, long[2]), (2, long[3] + long[1][50:250]), (9, None), (9, ""), (7, long[3])]
+    order = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    brute = brute_repeats(dict(enumerate(t for _, t in order)))
+    want = sorted((str(order[i][0]), *v) for i, v in brute.items())
+    got = suffixdedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, sum(e - s for s, e in zip(r.starts, r.ends)), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in got) == want
+
+
 # Decontamination
 
 
