@@ -12,6 +12,8 @@ DOMAINS = ("checkout", "payments", "search", "identity", "catalogue", "shipping"
 FAMILIES = ("capacity", "latency", "replication", "certificate", "access", "failover", "backup", "deployment")
 CLUSTERS, ARRAYS = 6, 3
 STALE, UNLINKED, REPEATS, PASTED = 0.18, 0.17, 0.14, 0.3
+#: Shares of incidents with an item and family that one of the last PAIRS had, and that name one of the last POOL of their family.
+CHRONIC, RELATED, PAIRS, POOL = 0.2, 0.2, 4000, 400
 
 
 def uniform(seed: int, slot: str, *keys: str) -> Column:
@@ -63,31 +65,54 @@ def edges(spark: SparkSession, services: int, seed: int) -> DataFrame:
 
 
 def incidents(spark: SparkSession, services: int, n: int, seed: int) -> DataFrame:
-    """Incidents by weekday and working hours mostly, with long-tailed repair times; repeats point to the one before on the item and family."""
+    """Incidents by weekday and working hours mostly, with long-tailed repair times.
+
+    A share has the item and family of an earlier one, as faults recur: what those are is a function of that
+    one's id alone, so nothing is looked up. Repeats point to the one before on the item and family, related
+    ones name one of the last POOL of their family.
+    """
     u = lambda slot: uniform(seed, slot, "id")
-    family = chosen(FAMILIES, u("family"))
-    item = F.concat(F.lit("svc-"), F.lpad(F.floor(F.pow(u("item"), F.lit(2.0)) * services).cast("long").cast("string"), 6, "0"))
+    like = F.when((u("chronic") < CHRONIC) & (F.col("id") > 0), F.col("id") - 1 - F.floor(u("pair") * F.least(F.col("id"), F.lit(PAIRS))).cast("long")).otherwise(F.col("id"))
+    family = chosen(FAMILIES, uniform(seed, "family", "like"))
+    item = F.concat(F.lit("svc-"), F.lpad(F.floor(F.pow(uniform(seed, "item", "like"), F.lit(2.0)) * services).cast("long").cast("string"), 6, "0"))
     hour = F.when(u("day") < 0.75, 8 + F.floor((u("h1") + u("h2")) * 5)).otherwise(F.floor(u("h1") * 24))
     opened = F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval((1 + F.floor(u("date") * 700)).cast("int")) + F.make_dt_interval(F.lit(0), hour.cast("int"), F.floor(u("minute") * 60).cast("int"))
     normal = F.sqrt(-2 * F.log(F.greatest(u("n1"), F.lit(1e-12)))) * F.cos(2 * math.pi * u("n2"))
     minutes = F.least(F.exp(5 + 1.1 * normal), F.lit(60_000.0))
-    rows = spark.range(n).select(
+    rows = spark.range(n).withColumn("like", like).select(
         "id", F.concat(F.lit("INC"), F.lpad((F.col("id") + 1_000_000).cast("string"), 7, "0")).alias("number"), item.alias("_item"), family.alias("category"),
         F.when(u("link") >= UNLINKED, item).alias("ci_key"), weighted(((1, 0.04), (2, 0.12), (3, 0.5), (4, 0.34)), u("priority")).alias("priority"),
-        opened.alias("opened_at"), minutes.alias("_minutes"), (u("repeat") < REPEATS).alias("_repeat"), (u("paste") < PASTED).alias("_paste"), u("words").alias("_w"),
+        opened.alias("opened_at"), minutes.alias("_minutes"), (u("repeat") < REPEATS).alias("_repeat"), (u("paste") < PASTED).alias("_paste"), u("words").alias("_w"), (u("related") < RELATED).alias("_related"), u("which").alias("_which"),
     )
     end = F.least(F.col("opened_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("_minutes").cast("int")), F.lit(AS_OF).cast("timestamp_ntz"))
     before = F.lag("number").over(Window.partitionBy("_item", "category").orderBy("opened_at", "number"))
     told = F.concat(F.lit("Since "), F.date_format("opened_at", "HH:mm"), F.lit(" users of "), F.when(F.col("ci_key").isNotNull(), F.col("ci_key")).otherwise(F.lit("an unknown system")), F.lit(" report "), F.col("category"), F.lit(" trouble; first noticed by team "), F.floor(F.col("_w") * 900).cast("string"), F.lit(", who restarted their client, cleared the cache and tried another network without any change in what they see, reference "), F.hex(F.col("id")))
-    return rows.select(
+    related = F.when(F.col("_other").isNotNull(), F.concat(F.lit("\n\nPossibly related to "), F.col("_other"), F.lit(", similar symptoms."))).otherwise(F.lit(""))
+    return _with_related(rows).select(
         "number", F.concat(F.col("category"), F.lit(" trouble")).alias("short_description"),
-        F.concat(told, F.when(F.col("_paste"), F.concat(F.lit("\nERROR at worker "), F.hex(F.xxhash64("id")))).otherwise(F.lit(""))).alias("description"),
+        F.concat(told, F.when(F.col("_paste"), F.concat(F.lit("\nERROR at worker "), F.hex(F.xxhash64("id")))).otherwise(F.lit("")), related).alias("description"),
         "ci_key", "category", "priority", "opened_at", F.when(end < F.lit(AS_OF).cast("timestamp_ntz"), end).alias("resolved_at"),
         F.concat(F.lit("group"), (F.abs(F.xxhash64("category")) % 9).cast("string")).alias("assignment_group"),
         F.when(F.col("_repeat"), before).alias("duplicate_of"),
     )
 
 
+def _with_related(rows: DataFrame) -> DataFrame:
+    """rows with _other: for related ones the number of one of the last POOL of the family, by time.
+
+    Places in a family are counted by day first, so that no family is ranked in one task; which place is
+    meant is then a number, and finding it a join.
+    """
+    day = F.to_date("opened_at")
+    days = rows.groupBy("category", day.alias("_day")).agg(F.count("*").alias("_c"))
+    before = days.withColumn("_before", F.sum("_c").over(Window.partitionBy("category").orderBy("_day")) - F.col("_c")).drop("_c")
+    within = F.row_number().over(Window.partitionBy("category", "_day").orderBy("opened_at", "number"))
+    placed = rows.withColumn("_day", day).withColumn("_in", within).join(before, ["category", "_day"]).withColumn("_place", F.col("_before") + F.col("_in"))
+    wanted = F.when(F.col("_related") & (F.col("_place") > 1), F.col("_place") - 1 - F.floor(F.col("_which") * F.least(F.col("_place") - 1, F.lit(POOL))).cast("long"))
+    pool = placed.select("category", F.col("_place").alias("_wanted"), F.col("number").alias("_other"))
+    return placed.withColumn("_wanted", wanted).join(pool, ["category", "_wanted"], "left")
+
+
 def changes(spark: SparkSession, services: int, n: int, seed: int, incident_share: float = 0.15) -> DataFrame:
     """Changes with planned and actual times, one in seven never begun, some raised after an incident."""
     u = lambda slot: uniform(seed, "chg" + slot, "id")

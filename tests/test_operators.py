@@ -663,3 +663,13 @@ def test_report_has_its_sections(spark, tmp_path):
     assert all(t in text_ for t in ("held out", "enumerations", "by kind", "reachable", "bm25 against control")) and "0.833" in text_
     arms.kept(scores, str(tmp_path))
     assert spark.read.json(str(tmp_path / "scores")).count() == 6 and spark.read.json(str(tmp_path / "arms")).count() == 2
+
+
+def test_related_incidents_are_recent_and_alike(spark):
+    rows = synth.incidents(spark, 100, 3000, 7).cache()
+    assert rows.count() == rows.select("number").distinct().count() == 3000
+    named = rows.withColumn("other", F.regexp_extract("description", "Possibly related to (INC[0-9]+)", 1)).where("other <> ''")
+    both = named.join(rows.select(F.col("number").alias("other"), F.col("category").alias("c2"), F.col("opened_at").alias("o2")), "other")
+    assert 0.15 < named.count() / 3000 < 0.25 and both.count() == named.count() == both.where("category = c2 and o2 <= opened_at").count()
+    pairs = rows.where("ci_key is not null").groupBy("ci_key", "category").count()
+    assert rows.where("duplicate_of is not null").count() > 100 and pairs.where("count > 1").count() > 200
