@@ -623,8 +623,9 @@ ARMS = f"{VEC}, {GOLD}, c AS (SELECT vec_id AS id, row_number() OVER (ORDER BY m
 SCORED = f"""{ARMS}, asked AS (SELECT arm, vec_id AS question_id, 'label' || label AS kind, vec_id % 100 = 0 AS holdout, vec_id % 150 = 50 AND arm = 'control' AS failed, 40::bigint AS tokens FROM embeddings, (SELECT unnest(['vector', 'control']) AS arm) WHERE vec_id % 50 = 0),
 h AS (SELECT arm, question_id, count(*) AS n, count(DISTINCT id) FILTER (WHERE g) AS hits, min(place) FILTER (WHERE g) AS first FROM (SELECT r.*, gold.id IS NOT NULL AS g FROM ret r LEFT JOIN gold USING (question_id, id)) GROUP BY ALL),
 gs AS (SELECT question_id, count(*) AS gold FROM gold GROUP BY 1),
-score AS (SELECT arm, question_id, kind, holdout, tokens, failed, NOT failed AND gold > 60 AS enumeration, CASE WHEN NOT failed AND gold <= 60 THEN hits / gold END AS recall, CASE WHEN NOT failed AND gold <= 60 THEN coalesce(1.0::double / first, 0) END AS mrr,
-CASE WHEN NOT failed THEN hits / n END AS precision, CASE WHEN NOT failed AND gold > 60 THEN gold / (SELECT count(*) FROM embeddings) END AS chance_precision FROM asked LEFT JOIN h USING (arm, question_id) LEFT JOIN gs USING (question_id))"""
+score AS (SELECT arm, question_id, kind, holdout, tokens, failed, ranked AND gold > 60 AS enumeration, CASE WHEN ranked AND gold <= 60 THEN hits / gold END AS recall, CASE WHEN ranked AND gold <= 60 THEN coalesce(1.0::double / first, 0) END AS mrr,
+CASE WHEN ranked THEN hits / n WHEN graded THEN (n = 0)::double END AS precision, CASE WHEN ranked AND gold > 60 THEN gold / (SELECT count(*) FROM embeddings) END AS chance_precision
+FROM (SELECT *, NOT failed AND question_id % 350 <> 0 AS graded, NOT failed AND question_id % 350 <> 0 AND question_id % 400 <> 200 AS ranked FROM asked) LEFT JOIN h USING (arm, question_id) LEFT JOIN gs USING (question_id))"""
 
 
 def arm_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -633,7 +634,7 @@ def arm_scores(spark: SparkSession, d: str) -> DataFrame:
     near = vector_ranking(spark, d).select(F.lit("vector").alias("arm"), "question_id", "id", "place")
     retrieved = near.unionByName(fuse.control(v, asked_ids).select(F.lit("control").alias("arm"), "question_id", "id", "place"))
     both = F.explode(F.array(F.lit("vector"), F.lit("control")))
-    asked = asked_ids.select(both.alias("arm"), "question_id", "label", F.concat(F.lit("label"), F.col("label").cast("string")).alias("kind"), (F.col("question_id") % 100 == 0).alias("holdout"), F.lit(True).alias("gradable"), F.lit(False).alias("expect_empty"), F.lit(40).cast("long").alias("tokens"))
+    asked = asked_ids.select(both.alias("arm"), "question_id", "label", F.concat(F.lit("label"), F.col("label").cast("string")).alias("kind"), (F.col("question_id") % 100 == 0).alias("holdout"), (F.col("question_id") % 350 != 0).alias("gradable"), (F.col("question_id") % 400 == 200).alias("expect_empty"), F.lit(40).cast("long").alias("tokens"))
     broken = F.when((F.col("question_id") % 150 == 50) & (F.col("arm") == "control"), "timeout")
     return evaluate.scored_by_class(asked.withColumn("error", broken), retrieved, v.select("id", "label"), v.count())
 
@@ -689,6 +690,19 @@ DRAW = "('0x' || substring(md5(seed || '|' || src || '|' || dst), 1, 8))::bigint
 GRID = "grid AS (SELECT seed, fraction FROM (SELECT unnest([1, 2, 3]) AS seed), (SELECT unnest([0.0, 0.1, 0.2, 0.4, 0.6]::double[]) AS fraction))"
 
 
+FAMILIES = {"incident": "chunks_per_record", "configuration_item": "chunks_items", "change": "chunks_changes", "problem": "chunks_problems", "article": "chunks_sections"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS source_kind, count(*) AS n, sum(tokens)::bigint AS tokens, count(DISTINCT chunk_id) AS ids FROM ({ORACLES[name]})" for kind, name in FAMILIES.items()))
+def corpus_families(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus of all five families of chunks, counted by family."""
+    found = None
+    for kind, name in FAMILIES.items():
+        own = QUERIES[name](spark, d).withColumn("source_kind", F.lit(kind))
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("source_kind").agg(F.count("*").alias("n"), F.sum("tokens").cast("long").alias("tokens"), F.countDistinct("chunk_id").alias("ids"))
+
+
 @query(oracle(f"""WITH {GRID}, left_ AS (SELECT seed, fraction, src, dst FROM (SELECT DISTINCT src, dst FROM supports), grid WHERE {DRAW} >= fraction), st AS (SELECT 'nation:' || n_nationkey AS start FROM nation),
 w(seed, fraction, start, node, hop) AS (SELECT seed, fraction, start, start, 0 FROM grid, st UNION SELECT w.seed, w.fraction, w.start, l.dst, hop + 1 FROM w JOIN left_ l ON l.seed = w.seed AND l.fraction = w.fraction AND l.src = w.node WHERE hop < 4),
 got AS (SELECT seed, fraction, start, count(DISTINCT node) - 1 AS found FROM w GROUP BY ALL), g AS (SELECT start, max(found) AS gold FROM got WHERE fraction = 0 GROUP BY start HAVING max(found) > 0)
