@@ -1,13 +1,14 @@
 """SimHash near-duplicate groups, candidates pruned by pigeonring filtering.
 
 Two fingerprints that differ in at most D of 64 bits, cut into m segments laid out as a ring, have a
-segment from which every chain of l consecutive segments differs in at most l x D / m bits. With
-m = D + 1 the chain's first segment is equal, which is the join key; the longer chains prune what
-shares it, and the full Hamming distance decides.
+segment from which every chain of l consecutive segments differs in at most l x D / m bits. As long as
+l x D < m, a chain must be equal: these first segments of it are the join key; the longer chains prune
+what shares the key, and the full Hamming distance decides. m grows with the number of fingerprints, and
+so does the key, so that few share one by chance.
 
-Work is on distinct fingerprints, so copies cost nothing. A segment value that more than BUCKET
-fingerprints share isn't paired: its fingerprints meet, exactly, in the values one bit away from them
-(two that differ in at most two bits have such a value in common, and at most 65 share one).
+Work is on distinct fingerprints, so copies cost nothing. A key that more than BUCKET fingerprints share
+all the same isn't paired: its fingerprints meet, exactly, in the values one bit away from them (two that
+differ in at most two bits have such a value in common, and at most 65 share one).
 
 For texts that are alike to a lower degree, bits are too few to tell; there, texts meet by the rarest of
 their shingles (prefix filtering) and their sets of shingles decide.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsgraph.llm.common import mix, packed, saved, ship, slices, unpacked
+from opsgraph.llm.common import FACTORS, forget, joined, let, mix, packed, runs_hashed, saved, ship, slices, unpacked
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 BUCKET = 64
@@ -46,7 +47,7 @@ def shingles(text: str, size: int) -> list[bytes]:
 def fingerprints(texts: list[str], size: int = SHINGLE) -> np.ndarray:
     """64-bit SimHash of each text: a bit is 1 if it is in over half of the shingles' XXH64."""
     out = np.zeros(len(texts), np.uint64)
-    for a, b in slices([len(t) for t in texts], 1_000_000):
+    for a, b in slices([len(t) for t in texts], 200_000):
         hashes, counts = [], []
         for t in texts[a:b]:
             found = shingles(t, size)
@@ -74,9 +75,8 @@ def hex_digits(fingerprint: str | Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def _segments(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of distance + 1 segments of 64 bits."""
-    m = distance + 1
+def _segments(m: int) -> list[tuple[int, int]]:
+    """(shift, width) of m segments of 64 bits."""
     cuts = [64 * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -85,36 +85,47 @@ def _segment(value: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def ring(count: int, distance: int = DISTANCE) -> tuple[int, int]:
+    """(m, l): of how many segments a ring is, and how many of a chain are equal, for so many fingerprints.
+
+    The fewest segments with which at most 4 fingerprints share a key by chance. Keys of up to half of
+    the bits are made, for up to some 10 thousand million fingerprints; of more, more share one.
+    """
+    for equal in range(1, 63 // distance + 1):
+        m = equal * distance + 1
+        if count <= 4 << equal * (64 // m):
+            break
+    return m, equal
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, count: int | None = None) -> DataFrame:
     """prints: distinct longs f. Pairs (a, b) that join all fingerprints within the distance into groups.
 
-    Pairs that meet in a segment value of up to BUCKET fingerprints come as they are. Of a more frequent
-    value, each fingerprint is linked to the least one with which it shares a value one bit away: fewer
-    links, of at most two bits each, and the same groups. That exact way is for distances up to 2.
+    Pairs that meet in a key of up to BUCKET fingerprints come as they are. Of a more frequent key, each
+    fingerprint is linked to the least one with which it shares a value one bit away: fewer links, of at
+    most two bits each, and the same groups. That exact way is for distances up to 2.
     """
     if distance > 2:
-        raise ValueError("the exact way for frequent segment values is for distances up to 2")
-    parts = _segments(distance)
-    keyed = prints.select("f", F.posexplode(F.array(*(_segment(F.col("f"), *p) for p in parts))).alias("i", "v"))
-    shared = keyed.groupBy("i", "v").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(shared, ["i", "v"])
-
-    few = rows.where(F.col("n") <= BUCKET).select("i", "v", "f")
-    pairs = few.withColumnRenamed("f", "a").join(few.withColumnRenamed("f", "b"), ["i", "v"]).where("a < b")
+        raise ValueError("the exact way for frequent keys is for distances up to 2")
+    count = prints.count() if count is None else count
+    m, equal = ring(count, distance)
+    parts = _segments(m)
+    key = lambda i: F.struct(F.lit(i).alias("i"), *(_segment(F.col("f"), *parts[(i + j) % m]).alias(f"v{j}") for j in range(equal)))
+    keyed = prints.select("f", F.explode(F.array(*map(key, range(m)))).alias("v"))
+    shared = saved(keyed.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    rows = joined(keyed, shared, "v", shared, m * count)
+
+    few = rows.where(F.col("n") <= BUCKET).select("v", "f")
+    pairs = few.withColumnRenamed("f", "a").join(few.withColumnRenamed("f", "b"), "v").where("a < b")
     diff = F.col("a").bitwiseXOR(F.col("b"))
-    m = len(parts)
-    near = []
-    for i in range(m):
-        chain, passed = F.lit(0), F.col("i") == i
-        for step in range(m):
-            chain = chain + F.bit_count(_segment(diff, *parts[(i + step) % m]))
-            passed = passed & (chain * m <= (step + 1) * distance)
-        near.append(passed)
-    close = pairs.where(reduce(Column.__or__, near)).select("a", "b")
-
-    many = rows.where(F.col("n") > BUCKET).select("i", "f")
+    more = lambda s, a, j: a["chain"] + F.get(s, (F.col("v.i") + j) % m)
+    step = lambda s: lambda a, j: F.struct(more(s, a, j).alias("chain"), (a["near"] & (more(s, a, j) * m <= (j + 1) * distance)).alias("near"))
+    chained = lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(m - 1)), F.struct(F.lit(0).alias("chain"), F.lit(True).alias("near")), step(s), lambda a: a["near"])
+    close = pairs.where(let(F.array(*(F.bit_count(_segment(diff, *p)) for p in parts)), chained)).select("a", "b")
+
+    many = rows.where(F.col("n") > BUCKET).select("f")
     around = F.array(F.col("f"), *(F.col("f").bitwiseXOR(F.lit((1 << b) - (1 << 64) if b == 63 else 1 << b)) for b in range(64)))
-    met = many.select("f").distinct().select("f", F.explode(around).alias("v")).select("f", F.min("f").over(Window.partitionBy("v")).alias("b"))
+    met = many.distinct().select("f", F.explode(around).alias("v")).select("f", F.min("f").over(Window.partitionBy("v")).alias("b"))
     return close.union(met.where("f <> b").select(F.col("b").alias("a"), F.col("f").alias("b"))).distinct()
 
 
@@ -122,18 +133,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the least node that can be reached.
 
     Alternating large-star and small-star steps: in each, every node meets the least of its neighbours
-    through an aggregation and a join, so no node's neighbours are ever gathered. Each round is written
-    to the shared folder.
+    through an aggregation and a join, so no node's neighbours are ever gathered, and nodes with very
+    many are met by a broadcast. Each round is written to the shared folder, and the one before deleted.
     """
     now, before = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links"), None
     while (state := now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()) != before:
         before = state
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = saved(small, "links")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined(both, least.drop("n"), "a", least, 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined(large, low.drop("n"), "a", low, 2 * state[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        old, now = now, saved(small, "links")
+        forget(old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -156,24 +168,53 @@ def prints(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int =
 
 
 def grouped(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """prints (_key, _f, ...) with _component."""
-    least = saved(prints.groupBy("_f").agg(F.min("_key").alias("_least")), "prints")
-    roots = components(links(least.select(F.col("_f").alias("f")), distance))
-    rooted = least.join(roots, least._f == roots.node, "left").select("_f", "_least", F.coalesce("root", "_f").alias("_root"))
-    named = rooted.groupBy("_root").agg(F.min("_least").alias("_component"))
-    return prints.join(rooted.select("_f", "_root").join(named, "_root").select("_f", "_component"), "_f")
+    """prints (_key, _f, ...) with _component. prints is read twice and more."""
+    least = saved(prints.groupBy("_f").agg(F.min("_key").alias("_least"), F.count("*").alias("_n")), "prints")
+    kinds, rows = least.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    roots = components(links(least.select(F.col("_f").alias("f")), distance, kinds))
+    rooted = saved(least.join(roots, least._f == roots.node, "left").select("_f", "_least", "_n", F.coalesce("root", "_f").alias("_root")), "rooted")
+    named = rooted.groupBy("_root").agg(F.min("_least").alias("_component"), F.count("*").alias("n"))
+    told = joined(rooted.select("_f", "_n", "_root"), named.drop("n"), "_root", named, kinds)
+    return joined(prints, told.select("_f", "_component"), "_f", least.select("_f", F.col("_n").alias("n")), rows)
 
 
 WIDE, SIMILARITY, WORDS = 2048, 0.8, 5
-#: Buckets of up to SMALL texts are compared pair by pair, larger ones in rounds, in each of which a bucket asks GROW times as many of its texts.
+#: Buckets of up to SMALL texts are compared pair by pair; of larger ones first each text with the least, then, in rounds,
+#: GROW times as many of its texts with all others that aren't in their group.
 SMALL, GROW = 8, 8
-#: Shingles are ordered by how many of a sample of the texts hold them, if COMMON or more do. The order only makes buckets smaller; any gives the same pairs.
-SAMPLE_LEAST, SAMPLE_MOST, SAMPLE_ONE_IN, COMMON, ORDERED = 4_000, 32_000, 500, 3, 200_000
+#: Shingles in the prefixes of over SMALL texts are put last, the most frequent ORDERED of them in order, found in COUNTS rounds. The order only makes buckets smaller; any gives the same pairs.
+ORDERED, COUNTS = 250_000, 2
+#: Code points of texts whose sets are made at once.
+PART = 200_000
 #: Prints of sets of PRINTED or more shingles are trusted to tell, beyond FAR standard deviations, that two texts are not alike.
 PRINTED, FAR = 128, 6
 MET = "b long, k long, s long, asked boolean, o long"
 
 
+def sets(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's distinct shingles, ascending, and the bounds (one more than texts)."""
+    raw = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+    at = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum([len(r) for r in raw], out=at[1:])
+    flat = np.frombuffer(b"".join(raw), np.uint8)
+    words, bounds = runs_hashed(flat, (flat != 32) & ((flat < 9) | (flat > 13)), at)
+    count = np.diff(bounds)
+    n = max(0, len(words) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(size):
+        h += words[j : j + n] * FACTORS[j]
+    owner = np.repeat(np.arange(len(texts)), count)
+    whole = owner[:n] == owner[size - 1 :] if n else np.zeros(0, bool)
+    short = np.flatnonzero((count > 0) & (count < size))
+    own = [(words[bounds[i] : bounds[i + 1]] * FACTORS[size : size + count[i]]).sum() for i in short]
+    h, owner = mix(np.concatenate([h[whole], np.array(own, np.uint64)])), np.concatenate([owner[:n][whole], short])
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
+
+
 def wide_fingerprints(texts: list[str], size: int = WORDS) -> np.ndarray:
     """SimHash of WIDE bits, as rows of bytes, over each text's distinct shingles.
 
@@ -181,12 +222,10 @@ def wide_fingerprints(texts: list[str], size: int = WORDS) -> np.ndarray:
     signs each; a bit is 1 where the sum is above 0. Equal bits estimate the angle between two texts.
     """
     out = np.zeros((len(texts), WIDE // 8), np.uint8)
-    for a, b in slices([len(t) + 20_000 for t in texts], 8_000_000):
-        sums = np.zeros((b - a, WIDE), np.float32)
-        for i, t in enumerate(texts[a:b]):
-            if found := set(shingles(t, size)):
-                h = mix(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
-                sums[i] = np.bincount((h % np.uint64(WIDE)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), WIDE)
+    for a, b in slices([len(t) + 20_000 for t in texts], 1_000_000):
+        values, bounds = sets(texts[a:b], size)
+        at = np.repeat(np.arange(b - a), np.diff(bounds)) * WIDE + (values % np.uint64(WIDE)).astype(np.int64)
+        sums = np.bincount(at, np.where(values >> np.uint64(63), 1.0, -1.0), (b - a) * WIDE).astype(np.float32).reshape(b - a, WIDE)
         step = 1
         while step < WIDE:
             pairs = sums.reshape(b - a, WIDE // (2 * step), 2, step)
@@ -197,44 +236,29 @@ def wide_fingerprints(texts: list[str], size: int = WORDS) -> np.ndarray:
     return out
 
 
-def distinct(text: str, size: int = WORDS) -> np.ndarray:
-    """XXH64 of the text's distinct shingles, in ascending order."""
-    found = set(shingles(text, size))
-    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found)))
+def names(values: np.ndarray, bounds: np.ndarray) -> list[int]:
+    """What stands for each set of shingles: 64 bits, signed."""
+    raw, cuts = values.tobytes(), (8 * bounds).tolist()
+    hashes = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return np.array(hashes, np.uint64).view(np.int64).tolist()
 
 
-def name(values: np.ndarray) -> int:
-    """What stands for a set of shingles: 64 bits, signed."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).view(np.int64))
+def _in_parts(texts: list[str], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """sets() of parts of the texts, with where each part begins."""
+    for a, b in slices([len(t) for t in texts], PART):
+        yield a, *sets(texts[a:b], size)
 
 
 def _both(size: int) -> Column:
     @F.pandas_udf("struct<f:long,k:long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         values = [t or "" for t in texts]
-        return pd.DataFrame({"f": fingerprints(values).view(np.int64), "k": np.array([name(distinct(t, size)) for t in values], np.int64)})
+        k = [x for _, v, bounds in _in_parts(values, size) for x in names(v, bounds)]
+        return pd.DataFrame({"f": fingerprints(values).view(np.int64), "k": np.array(k, np.int64)})
 
     return of("_text")
 
 
-def _order(own: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that are frequent in a sample of own (_key, _text), ascending, and the rank of each by frequency."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [distinct(t or "", size) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["v"])
-
-    rows = own.count()
-    want = min(SAMPLE_MOST, max(SAMPLE_LEAST, rows // SAMPLE_ONE_IN))
-    some = own.where(F.pmod(F.xxhash64("_key", F.lit(SEED)), F.lit(1 << 20)) < (1 << 20) * want // max(rows, 1))
-    counts = some.select("_text").mapInArrow(of, "v long").groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    top = counts.orderBy(F.desc("n"), "v").limit(ORDERED).toArrow()
-    values, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
-    order = np.argsort(values)
-    return values[order], n[order]
-
-
 def _bounds(similarity: float) -> tuple[int, int]:
     return Fraction(str(similarity)).as_integer_ratio()
 
@@ -246,25 +270,62 @@ def _possible(s: np.ndarray, t: np.ndarray, up: int, down: int) -> np.ndarray:
     return most * (up + down) >= up * (n + m)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], order: tuple[np.ndarray, np.ndarray], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """text -> for each shingle of its prefix: the shingle b, the text's name k, its number of shingles and the shingle's place s."""
-    (known, rank), (up, down) = order, _bounds(similarity)
+def _prefixes(batches: Iterator[pa.RecordBatch], order: np.ndarray, size: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """text -> for each shingle of its prefix: the shingle b, the text's name k, its number of shingles and the shingle's place s, and whether b is in order.
+
+    order: the shingles that come last, the most frequent at the end. Of equal texts of a batch one counts.
+    """
+    up, down = _bounds(similarity)
+    known = np.argsort(order)
+    sorted_ = order[known]
     for batch in batches:
-        seen, b, k, s = set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for t in batch.column(0).to_pylist():
-            v = distinct(t or "", size)
-            one, n = name(v), len(v)
-            if not n or one in seen:
-                continue
-            seen.add(one)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, v), len(known) - 1)
-                v = v[np.lexsort((v, np.where(known[at] == v, rank[at], 0)))]
-            v = v[: n + -(up * n) // down + 1]
-            b.append(v)
-            k.append(np.full(len(v), one))
-            s.append(n << 31 | np.arange(len(v)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(b).view(np.int64)), pa.array(np.concatenate(k)), pa.array(np.concatenate(s))], names=["b", "k", "s"])
+        seen, found = set(), []
+        for _, v, bounds in _in_parts([t or "" for t in batch.column(0).to_pylist()], size):
+            name, n = np.array(names(v, bounds), np.int64), np.diff(bounds)
+            fresh = np.zeros(len(n), bool)
+            for i in np.flatnonzero(n).tolist():
+                fresh[i] = name[i] not in seen
+                seen.add(int(name[i]))
+            keep = np.repeat(fresh, n)
+            v, n, name = v[keep], n[fresh], name[fresh]
+            owner = np.repeat(np.arange(len(n)), n)
+            last = np.zeros(len(v), np.int64)
+            if len(order):
+                at = np.minimum(np.searchsorted(sorted_, v), len(order) - 1)
+                last = np.where(sorted_[at] == v, known[at] + 1, 0)
+                turn = np.lexsort((v, last, owner))
+                v, last = v[turn], last[turn]
+            place = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)
+            use = place < np.repeat(n + -(up * n) // down + 1, n)
+            found.append((v[use].view(np.int64), name[owner[use]], n[owner[use]] << 31 | place[use], last[use] > 0))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["b", "k", "s", "known"])
+
+
+def _order(own: DataFrame, size: int, similarity: float) -> np.ndarray:
+    """The shingles that most prefixes have, ascending by how many: at most ORDERED, of those that over SMALL have.
+
+    What is frequent is put last, and then others come into the prefixes, which COUNTS rounds look at.
+    """
+    values, counts, order = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    for _ in range(COUNTS):
+        sent = own.sparkSession.sparkContext.broadcast(order)
+        rows = own.select("_text").mapInArrow(lambda x: _prefixes(x, sent.value, size, similarity), "b long, k long, s long, known boolean")
+        many = saved(rows.where("not known").groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "frequent")
+        band = F.floor(4 * F.log2("n"))
+        bands = sorted(((r.b, r.n) for r in many.groupBy(band.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+        left, least = ORDERED - len(values), None
+        for at, n in bands:  # as many whole bands of counts as there is room for
+            if n > left:
+                break
+            left, least = left - n, at
+        if least is None:
+            break
+        top = many.where(band >= least).toArrow()
+        values, counts = np.concatenate([values, top.column(0).to_numpy()]), np.concatenate([counts, top.column(1).to_numpy()])
+        order = values[np.lexsort((values, counts))].view(np.uint64)
+        forget(many)
+    return order
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -350,9 +411,9 @@ def _details(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             texts = part.column(1).to_pylist()
-            n = [len(set(shingles(t, size))) for t in texts]
+            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(bounds) for _, _, bounds in _in_parts(texts, size))])
             w, z = [x.tobytes() for x in wide_fingerprints(texts, size)], [zlib.compress(t.encode("utf-8", "surrogatepass"), 3) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(w, pa.binary()), pa.array(z, pa.binary())], names=["k", "n", "w", "z"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(w, pa.binary()), pa.array(z, pa.binary())], names=["k", "n", "w", "z"])
 
 
 def _alike(pairs: DataFrame, details: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -369,21 +430,24 @@ def _alike(pairs: DataFrame, details: DataFrame, size: int, similarity: float) -
 
     @F.arrow_udf("boolean")
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
-        found = lru_cache(64)(lambda z: frozenset(shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"), size)))
+        found = lru_cache(64)(lambda z: sets([zlib.decompress(z).decode("utf-8", "surrogatepass")], size)[0])
         out = []
         for v, w in zip(x.to_pylist(), y.to_pylist()):
             v, w = found(v), found(w)
-            out.append(len(v & w) * (up + down) >= up * (len(v) + len(w)))
+            out.append(len(np.intersect1d(v, w, True)) * (up + down) >= up * (len(v) + len(w)))
         return pa.array(out, pa.bool_())
 
-    def both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
-        one, two = (of.select(F.col("k").alias(k), *(F.col(c).alias(c + i) for c in columns)) for k, i in (("k", "1"), ("o", "2")))
-        return pairs.join(one, "k").join(two, "o")
+    def beside(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        """pairs with these columns of both; texts that a great many are compared with go out by broadcast."""
+        own, total = pairs, pairs.count()
+        for key, i in (("k", "1"), ("o", "2")):
+            pairs = joined(pairs, of.select(F.col("k").alias(key), *(F.col(c).alias(c + i) for c in columns)), key, own.groupBy(key).agg(F.count("*").alias("n")), total)
+        return pairs
 
-    some = both(pairs.select("k", "o").distinct(), details, "n", "w").where((F.least("n1", "n2") < PRINTED) | (differ("w1", "w2") <= most))
+    some = beside(saved(pairs.select("k", "o").distinct(), "pairs"), details, "n", "w").where((F.least("n1", "n2") < PRINTED) | (differ("w1", "w2") <= most))
     some = saved(some.select("k", "o"), "candidates")
     texts = details.join(some.select("k").union(some.select("o")).distinct(), "k", "left_semi").select("k", "z")
-    return both(some, saved(texts, "texts"), "z").where(near("z1", "z2")).select(F.col("k").alias("a"), F.col("o").alias("b"))
+    return beside(some, saved(texts, "texts"), "z").where(near("z1", "z2")).select(F.col("k").alias("a"), F.col("o").alias("b"))
 
 
 def similar(own: DataFrame, named: DataFrame, linked: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -395,26 +459,41 @@ def similar(own: DataFrame, named: DataFrame, linked: DataFrame, size: int = WOR
     of their prefixes, the rarest ones, and the sets decide. No pair is left out by chance; in a large
     bucket only pairs that are in one group already are.
     """
-    sent = own.sparkSession.sparkContext.broadcast(_order(own, size))
-    prefixes = own.select("_text").mapInArrow(lambda x: _prefixes(x, sent.value, size, similarity), "b long, k long, s long")
-    met = saved(prefixes.repartition("b").sortWithinPartitions("b", "k").mapInArrow(lambda x: _met(x, similarity), MET), "met")
-    taken = met.select("k").union(met.where("o is not null").select("o")).distinct()
+    (up, down), spark = _bounds(similarity), own.sparkSession
+    sent = spark.sparkContext.broadcast(_order(own, size, similarity))
+    prefixes = saved(own.select("_text").mapInArrow(lambda x: _prefixes(x, sent.value, size, similarity), "b long, k long, s long, known boolean"), "prefixes")
+    met = saved(prefixes.where("not known").drop("known").repartition("b").sortWithinPartitions("b", "k").mapInArrow(lambda x: _met(x, similarity), MET), "met")
+    large = saved(met.where("o is null").select("b", "k", "s").union(prefixes.where("known").select("b", "k", "s").dropDuplicates(["b", "k"])), "large")
+    forget(prefixes)
+
+    # Large buckets: every text beside the one of least name, which for copies of one text is all there is to do.
+    first = saved(large.groupBy("b").agg(F.min(F.struct("k", "s")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    led = saved(joined(large, first.drop("n"), "b", first, large.count()), "led")
+    forget(large)
+    n, place = (lambda s: F.shiftright(s, 31)), (lambda s: F.col(s).bitwiseAND((1 << 31) - 1))
+    most = F.least(n("s") - place("s"), n("first.s") - place("first.s"))
+    can = (F.col("k") > F.col("first.k")) & (most * (up + down) >= up * (n("s") + n("first.s")))
+    pairs = met.where("o is not null").select("k", "o").union(led.where(can).select("first.k", F.col("k").alias("o")))
+
+    taken = saved(pairs.select("k").union(pairs.select("o")).union(led.select("k")).distinct(), "taken")
     least = named.join(taken, "k").groupBy("k").agg(F.min(F.struct("_key", "_t")).alias("l")).select("k", "l._key", "l._t")
-
     texts = own.join(least, ["_key", "_t"]).select("k", "_text")
     details = texts.mapInArrow(lambda x: _details(x, size), "k long, n long, w binary, z binary")
     if not named.groupBy("_key", "_t").count().where("count > 1").isEmpty():
         details = details.dropDuplicates(["k"])
     details = saved(details, "details")
-    found = linked.unionByName(saved(_alike(met.where("o is not null"), details, size, similarity), "alike"))
-    left, take, roots = met.where("o is null"), 1, None
+    found = linked.unionByName(saved(_alike(pairs, details, size, similarity), "alike"))
+    left, take, roots = led.select("b", "k", "s", (F.col("k") == F.col("first.k")).alias("asked")), GROW, None
     while not left.isEmpty():
         if roots is None:
             roots = saved(components(found), "roots")
-        rooted = left.select("b", "k", "s", "asked").join(roots, left.k == roots.node, "left").select("b", "k", "s", "asked", F.coalesce("root", "k").alias("r"))
-        asked = saved(rooted.repartition("b").sortWithinPartitions("b").mapInArrow(lambda x, take=take: _ask(x, take, similarity), MET), "asked")
+        rooted = saved(left.join(roots, left.k == roots.node, "left").select("b", "k", "s", "asked", F.coalesce("root", "k").alias("r")), "rooted")
+        open_ = rooted.groupBy("b").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.count("*").alias("n")).where("x <> y").select("b", "n")
+        rest = joined(rooted, open_.select("b"), "b", open_, rooted.count())
+        asked = saved(rest.repartition("b").sortWithinPartitions("b").mapInArrow(lambda x, take=take: _ask(x, take, similarity), MET), "asked")
+        forget(rooted)
         new = saved(_alike(asked.where("o is not null"), details, size, similarity), "alike")
-        left, take = asked.where("o is null"), take * GROW
+        left, take = asked.where("o is null").select("b", "k", "s", "asked"), take * GROW
         if not new.isEmpty():
             found, roots = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(new), None
     return found
