@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsgraph.llm import decontaminate, pieces, secretscan, simhash, toxicity
 from opsgraph.llm.common import packed, saved, table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+#: Rows that a Python worker gets at once: bounds what it holds of texts.
+BATCH = 500
+
+
+def bounded(stage: Stage) -> Stage:
+    """The stage, in a session whose Arrow batches have at most BATCH rows."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name, "0")) <= BATCH:
+            spark.conf.set(name, str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold by a model fitted on labels outside the held-out fold.
 
@@ -19,6 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(packed(docs, text=F.col("text")), model).where(F.col("toxicity") < toxicity.THRESHOLD).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
+@bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of least doc_id (simhash.deduplicated): texts whose sets of five-word shingles are 0.8 alike, or whose fingerprints link.
 
@@ -28,16 +52,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.deduplicated(docs)
 
 
+@bounded
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item leaks (decontaminate.leaks). Null and empty texts stay, as do repeated rows; with an empty benchmark all stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@bounded
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets (secretscan.find) masked and n_chars counted anew where a text changed. Null texts stay null; no row goes."""
     return secretscan.redact(docs)
 
 
+@bounded
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_pieces and piece_ids; the ids decode to the masked text. Other columns go.
 
