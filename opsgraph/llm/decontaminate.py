@@ -120,7 +120,7 @@ def _hits(batches: Iterator[pa.RecordBatch], words: np.ndarray, bits: int, used:
     for batch in batches:
         t, u, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         fresh = list({k: i for i, k in enumerate(zip(t, u))}.values())
-        for a, b in slices([len(texts[i]) for i in fresh], 400_000):
+        for a, b in slices([len(texts[i]) for i in fresh], 200_000):
             mine = fresh[a:b]
             values, bounds = tokens([texts[i] for i in mine])
             after = np.repeat(bounds[1:], np.diff(bounds))
@@ -177,9 +177,9 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod("t", F.lit(SALTS)).cast("int").alias("salt")
     each = hits.select("t", "u", salt, F.inline(F.arrays_zip("h", "at")))
-    pairs = each.join(salted(mine), ["h", "salt"]).select("t", "u", "salt", "i", (F.col("at") - F.col("off")).alias("at")).distinct()
+    pairs = each.join(salted(mine).hint("merge"), ["h", "salt"]).select("t", "u", "salt", "i", (F.col("at") - F.col("off")).alias("at")).distinct()
     texts = hits.dropDuplicates(["t", "u"]).select("t", "u", "tokens")
-    sides = pairs.join(salted(known), ["i", "salt"]).join(texts, ["t", "u"])
+    sides = pairs.join(salted(known), ["i", "salt"]).join(texts.hint("merge"), ["t", "u"])  # texts are wide: never by a broadcast
     skip, from_ = F.greatest(F.lit(0), -F.col("at")), F.greatest(F.lit(0), "at")
     n = F.least(F.size("item") - skip, F.size("tokens") - from_)
     beside = sides.select("t", "u", "i", F.size("item").alias("n"), F.slice("item", skip + 1, n).alias("a"), F.slice("tokens", from_ + 1, n).alias("b"))
