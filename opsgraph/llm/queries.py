@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsgraph.llm import chat, decontaminate, imatch, langid, pieces, quality, secretscan, simhash, suffixdedup, toxicity
+from opsgraph.llm import chat, decontaminate, imatch, katz, langid, merkle, pieces, quality, secretscan, simhash, suffixdedup, toxicity, whitening
 from opsgraph.llm.common import fold, saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,27 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_neighbours(docs, imatch.lexicon(docs))
 
 
+#: Rows whose id has a crc32 divisible by this are presented with another n_chars.
+TAMPERED = 7
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.COLUMNS)
+    other = F.when(fold("doc_id", TAMPERED) == 0, F.try_add("n_chars", F.lit(1).cast("long"))).otherwise(F.col("n_chars"))
+    return merkle.manifest(docs, claim={"n_chars": other}).drop("lang")
+
+
+def op12_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, scores = katz.learned_and_scored(katz.blocks(docs, train=fold("doc_id", 5) != 1))
+    held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out")
+    return scores.select("doc_id", held_out, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_langid": op1_langid,
     "op2_secrets": op2_secrets,
@@ -89,6 +110,9 @@ QUERIES: dict[str, Query] = {
     "op8_pieces": op8_pieces,
     "op9_simhash": op9_simhash,
     "op10_imatch": op10_imatch,
+    "op11_merkle": op11_merkle,
+    "op12_katz": op12_katz,
+    "op13_whitening": op13_whitening,
 }
 
 def _matches_sql(pattern: str, group: int, least: int, below: int, kind: int) -> str:
@@ -144,7 +168,33 @@ SELECT conv_id, coalesce(other, conv_id) AS other_id, cast(n AS bigint) AS commo
     {loss('a[n + 1:]')} AS chosen_loss_chars, {loss('b[n + 1:]')} AS rejected_loss_chars FROM n"""
 
 
+def _merkle_sql() -> str:
+    told = " || ".join(f"coalesce(strlen(cast({{{c}}} AS varchar)) || ':' || cast({{{c}}} AS varchar), '-')" for c in merkle.COLUMNS)
+    own = {c: c for c in merkle.COLUMNS}
+    leaf, claim = f"sha256({told.format(**own)})", f"sha256({told.format(**own | {'n_chars': 'n_chars + 1'})})"
+    # crc32 of the id's digits, bit by bit.
+    byte = "list_reduce(range(0, 8), lambda c, i: xor(c // 2, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END), xor(c, x))"
+    crc = f"xor(list_reduce(list_transform(string_split(cast(doc_id AS varchar), ''), lambda s: cast(ascii(s) AS bigint)), lambda c, x: {byte}, 4294967295), 4294967295)"
+    climb = lambda leaves: f"(SELECT tree, 0 AS level, pos, n, digest FROM {leaves} UNION ALL SELECT tree, level + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY pos)) FROM {{0}} WHERE n > 1 GROUP BY tree, level, pos // 2)"
+    return f"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, {leaf} AS digest, CASE WHEN ({crc}) % {TAMPERED} = 0 THEN {claim} ELSE {leaf} END AS claim FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+a(tree, level, pos, n, digest) AS {climb('o').format('a')},
+s AS (SELECT '' AS tree, tree AS own, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n, digest FROM a WHERE n = 1),
+b(tree, level, pos, n, digest) AS {climb('s').format('b')},
+w AS (SELECT o.tree, o.pos, level AS step, o.pos >> level AS here, a.pos AS other, a.digest FROM o JOIN a ON a.tree = o.tree AND a.n > 1 AND a.pos = xor(o.pos >> level, 1)),
+v AS (SELECT s.own AS tree, level AS step, s.pos >> level AS here, b.pos AS other, b.digest FROM s JOIN b ON b.n > 1 AND b.pos = xor(s.pos >> level, 1)),
+z AS (SELECT tree, max(level) AS top FROM a GROUP BY tree),
+e AS (SELECT tree, pos, step, here, other, digest FROM w UNION ALL SELECT o.tree, o.pos, z.top + step, here, other, v.digest FROM o JOIN z ON z.tree = o.tree JOIN v ON v.tree = o.tree),
+h AS (SELECT z.tree, z.top + (SELECT max(level) FROM b) AS steps FROM z),
+p AS (SELECT tree, pos, sha256(string_agg(digest, '' ORDER BY step)) AS proof FROM e GROUP BY tree, pos),
+f(tree, pos, step, digest) AS (SELECT tree, pos, 0::bigint, claim FROM o UNION ALL SELECT f.tree, f.pos, f.step + 1, sha256(CASE WHEN e.other IS NULL THEN f.digest WHEN e.other < e.here THEN e.digest || f.digest ELSE f.digest || e.digest END) FROM f JOIN h ON h.tree = f.tree AND f.step < h.steps LEFT JOIN e ON e.tree = f.tree AND e.pos = f.pos AND e.step = f.step)
+SELECT o.doc_id, o.digest AS leaf, s.digest AS subroot, r.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = r.digest AS verified
+FROM o JOIN s ON s.own = o.tree JOIN h ON h.tree = o.tree JOIN f ON f.tree = o.tree AND f.pos = o.pos AND f.step = h.steps CROSS JOIN (SELECT digest FROM b WHERE n = 1) r LEFT JOIN p ON p.tree = o.tree AND p.pos = o.pos"""
+
+
 ORACLES: dict[str, str] = {
     "op2_secrets": _secrets_sql(),
     "op4_preferences": _preferences_sql(),
+    "op11_merkle": _merkle_sql(),
 }
