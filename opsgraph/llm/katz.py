@@ -38,8 +38,8 @@ from opsgraph.plans.lineage import shared_dir
 ORDER = 2
 #: Counts up to CUT are discounted, as Katz has it.
 CUT = 5
-#: Code points of a block (a longer text is one alone); tokens for each part of a table.
-BLOCK, TOKENS = 6_000_000, 2_000_000
+#: Code points of a block (a longer text is one alone), and of what is hashed at once; tokens for each part of a table.
+BLOCK, AT_ONCE, TOKENS = 6_000_000, 1_000_000, 2_000_000
 #: A context of more than one in HOT of all tokens is dealt out; there are at most HOT an order.
 HOT = 1000
 #: The hash that stands for the end of a text, and the identifiers of what is before its begin and of unknown words.
@@ -68,10 +68,14 @@ def rising(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words, A-Z in lower case, none of them END; and the bounds (one more than texts)."""
-    points, at = code_points(texts)
-    points = points + np.uint32(32) * ((points >= 65) & (points <= 90))
-    hashes, bounds = runs_hashed(points, (points != 32) & ((points < 9) | (points > 13)), at)
-    return np.maximum(hashes, np.uint64(1)), bounds
+    hashes, sizes = [], [np.zeros(1, np.int64)]
+    for a, b in slices([len(t) for t in texts], AT_ONCE):
+        points, at = code_points(texts[a:b])
+        points = points + np.uint32(32) * ((points >= 65) & (points <= 90))
+        found, bounds = runs_hashed(points, (points != 32) & ((points < 9) | (points > 13)), at)
+        hashes.append(np.maximum(found, np.uint64(1)))
+        sizes.append(np.diff(bounds))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(sizes))
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
@@ -144,6 +148,13 @@ class Model:
         """Tokens learned from."""
         return self.orders[0].tokens if self.orders else 0
 
+    def of_words(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of words that occur so often; of 0, that of the unknown."""
+        words = self.orders[0]
+        totals = np.array([words.hot.get(0, (0.0,) * TOTALS)])
+        seen, alpha = shares(counts, _whole(totals), totals[:, :CUT], totals[:, -1], words.discounts)
+        return np.where(counts > 0, seen, alpha)
+
     def without_tables(self) -> Model:
         """The model as tasks get it."""
         return replace(self, tables=())
@@ -169,20 +180,18 @@ def discounts(counts: list[int]) -> tuple[float, ...]:
 TOTALS = CUT + 2
 
 
-def shares(counts: np.ndarray, totals: np.ndarray, d: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Of n-grams with their counts and contexts' TOTALS: the probability if seen, and the context's backoff weight.
-
-    A context whose n-grams all occur more than CUT times, of which nothing is discounted, has one more
-    occurrence, of the unseen.
-    """
-    few, n, lower = totals[:, :CUT], totals[:, CUT], totals[:, CUT + 1]
-    some = few.sum(1) > 0
-    whole = np.where(some, n, n + 1)
-    left = np.where(some, few @ (np.arange(1, CUT + 1) * (1 - np.array(d))), 1.0)
+def shares(counts: np.ndarray, whole: np.ndarray, few: np.ndarray, lower: np.ndarray, d: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of n-grams with their counts and contexts' totals (whole as `_whole` has it): the probability if seen, and the context's backoff weight."""
+    left = np.where(few.sum(1) > 0, few @ (np.arange(1, CUT + 1) * (1 - np.array(d))), 1.0)
     kept = np.array([1.0, *d, 1.0])[np.minimum(counts, CUT + 1)]
     return kept * counts / whole, left / whole / np.maximum(1 - lower, np.finfo(float).tiny)
 
 
+def _whole(totals: np.ndarray) -> np.ndarray:
+    """What a context's counts are divided by: its tokens; and one more, of the unseen, if all its n-grams occur more than CUT times, so that none is discounted."""
+    return totals[:, CUT] + (totals[:, :CUT].sum(1) == 0)
+
+
 def _starts(x: np.ndarray) -> np.ndarray:
     """Where another value begins in sorted numbers."""
     return np.append(True, x[1:] != x[:-1])[: len(x)]
@@ -214,40 +223,40 @@ class Asked:
     def rows(self, block: int) -> Iterator[tuple]:
         for part, g in self.groups:
             ctx, runs = np.unique(self.ctx[g], return_counts=True)
-            values, at = np.unique(self.lower[g], return_inverse=True)
-            yield part, block, packed_array(rising(ctx)), packed_array(runs), packed_array(self.w[g]), packed_array(self.counts[g]), packed_array(values), packed_array(at)
+            yield part, block, packed_array(rising(ctx)), packed_array(runs), packed_array(self.w[g]), packed_array(self.counts[g]), packed_array(self.lower[g])
 
 
-_ASKED = "part long, block long, ctx binary, runs binary, w binary, n binary, lower binary, lower_at binary"
-#: The model's rows have no block; replies have their totals by context, sums apart, and no contexts.
-_FOUND = "part long, block long, ctx binary, runs binary, w binary, n binary, totals binary, sums binary, counted binary"
+#: lower: how often the last word occurs, which gives its probability, or from the third order on the probability under the shorter context.
+_ASKED = "part long, block long, ctx binary, runs binary, w binary, n binary, lower binary"
+#: The model's rows have no block. Replies have no contexts but, in the order asked, identifiers, counts and of each context the whole; of those with an unseen n-gram, which back off, the other totals too.
+_FOUND = "part long, block long, ctx binary, runs binary, w binary, n binary, whole binary, few binary, sums binary, counted binary"
 
 
 def _unpack(x: dict) -> tuple[np.ndarray, ...]:
-    """Context, word, count and lower probability of each n-gram of a row."""
+    """Context, word, count and what is said of the shorter context for each n-gram of a row."""
     w = unpacked_array(x["w"]).astype(np.uint64)
     ctx = np.repeat(np.cumsum(unpacked_array(x["ctx"]), dtype=np.uint64), unpacked_array(x["runs"]).astype(np.int64))
-    lower = unpacked_array(x["lower"])[unpacked_array(x["lower_at"])] if x.get("lower") is not None else np.zeros(len(w))
-    return ctx, w, unpacked_array(x["n"]).astype(np.int64), lower
+    return ctx, w, unpacked_array(x["n"]).astype(np.int64), unpacked_array(x["lower"]) if x.get("lower") is not None else np.zeros(len(w), np.int64)
 
 
 def _totals(x: dict) -> np.ndarray:
-    """TOTALS by context, of a row of the model or a reply."""
-    return np.hstack([unpacked_array(x["totals"]).reshape(TOTALS - 1, -1).T, unpacked_array(x["sums"])[:, None]])
+    """TOTALS by context, of a row of the model."""
+    whole, few = unpacked_array(x["whole"]), unpacked_array(x["few"]).reshape(CUT, -1).T
+    return np.hstack([few, whole[:, None], unpacked_array(x["sums"])[:, None]])
 
 
-def _answer(asked: list[dict], stored: list[dict] | None, parts: int) -> Iterator[tuple]:
+def _answer(asked: list[dict], stored: list[dict] | None, model: Model, order: int) -> Iterator[tuple]:
     """A part's replies to the blocks that asked it; before them, unless the model is stored, its row of that. A stored model counts nothing more."""
     part, rows = asked[0]["part"], [*(stored or []), *asked]
     columns = [_unpack(x) for x in rows]
     bounds = np.cumsum([0, *(len(c[1]) for c in columns)])
     ctx, w, n, lower = map(np.concatenate, zip(*columns))
-    order = np.lexsort((w, ctx))
-    begins = _starts(ctx[order]) | _starts(w[order])
-    pair = np.empty(len(order), np.int64)
-    pair[order] = np.cumsum(begins) - 1
-    first = order[begins]
-    ctx, w, lower = ctx[first], w[first], lower[first]
+    by = np.lexsort((w, ctx))
+    begins = _starts(ctx[by]) | _starts(w[by])
+    pair = np.empty(len(by), np.int64)
+    pair[by] = np.cumsum(begins) - 1
+    first = by[begins]
+    ctx, w, lower = ctx[first], w[first], model.of_words(lower[first]) if order == 2 else lower[first].astype(float)
     if stored is not None:
         n[bounds[len(stored)] :] = 0
     counts = np.bincount(pair, n, len(first)).astype(np.int64)
@@ -264,13 +273,13 @@ def _answer(asked: list[dict], stored: list[dict] | None, parts: int) -> Iterato
         held, runs = np.unique(ctx[seen], return_counts=True)
         own = totals[np.searchsorted(contexts, held)]
         counted = np.bincount(np.minimum(counts[seen], CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
-        yield part, None, packed_array(rising(held)), packed_array(runs), packed_array(w[seen]), packed_array(counts[seen]), packed_array(own[:, :-1].T.ravel().astype(np.int64)), packed_array(own[:, -1]), np.append(counted, [counts.sum(), seen.sum()]).astype(np.int64).tobytes()
-    ids = _ids(ctx, w, counts, part, parts)
+        yield part, None, packed_array(rising(held)), packed_array(runs), packed_array(w[seen]), packed_array(counts[seen]), packed_array(own[:, CUT].astype(np.int64)), packed_array(own[:, :CUT].T.ravel().astype(np.int64)), packed_array(own[:, -1]), np.append(counted, [counts.sum(), seen.sum()]).astype(np.int64).tobytes()
+    ids, whole = _ids(ctx, w, counts, part, model.parts), _whole(totals)
     for x, a, b in zip(rows, bounds, bounds[1:]):
         if "lower" in x:
-            mine = pair[a:b]
-            their = totals[of[mine][_starts(of[mine])]]
-            yield part, x["block"], None, None, packed_array(ids[mine]), packed_array(counts[mine]), packed_array(their[:, :-1].T.ravel().astype(np.int64)), packed_array(their[:, -1]), None
+            mine, their = pair[a:b], of[pair[a:b]]
+            backs = totals[np.unique(their[counts[mine] == 0])]
+            yield part, x["block"], None, None, packed_array(ids[mine]), packed_array(counts[mine]), packed_array(whole[their[_starts(their)]].astype(np.int64)), packed_array(backs[:, :CUT].T.ravel().astype(np.int64)), packed_array(backs[:, -1]), None
 
 
 class Parsed:
@@ -287,20 +296,25 @@ class Parsed:
     def ask(self, model: Model, order: int) -> Asked:
         """What the block asks of an order, once it has taken the replies of those before."""
         if order > 1:
-            return Asked(self.ctx, self.w, self.occurs, self.p, self.train, model)
+            return Asked(self.ctx, self.w, self.occurs, self.known if order == 2 else self.p, self.train, model)
         # Of the empty context, which always occurs, each word of the dictionary once.
         counts, some = np.bincount(self.at, self.train, len(self.words)), np.ones(len(self.words))
-        return Asked(np.zeros(len(self.words), np.uint64), self.words, some, np.zeros(len(self.words)), counts, Model(model.parts))
+        return Asked(np.zeros(len(self.words), np.uint64), self.words, some, np.zeros(len(self.words), np.int64), counts, Model(model.parts))
 
     def take(self, asked: Asked, replies: dict[int, dict], model: Model, order: int) -> None:
         known = model.orders[order - 1]
-        counts, ids, totals = np.zeros(len(asked.w), np.int64), np.zeros(len(asked.w), np.uint64), np.zeros((len(asked.w), TOTALS))
+        size = len(asked.w)
+        counts, ids, whole, few, sums = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.ones(size), np.zeros((size, CUT)), np.zeros(size)
         for part, g in asked.groups:
-            counts[g], ids[g] = unpacked_array(replies[part]["n"]), unpacked_array(replies[part]["w"])
-            totals[g] = _totals(replies[part])[np.cumsum(_starts(asked.ctx[g])) - 1]
-        for ctx, sums in known.hot.items():
-            totals[asked.ctx == np.uint64(ctx)] = sums
-        seen, alpha = shares(counts, totals, known.discounts)
+            x, of = replies[part], np.cumsum(_starts(asked.ctx[g])) - 1
+            counts[g], ids[g], whole[g] = unpacked_array(x["n"]), unpacked_array(x["w"]), unpacked_array(x["whole"])[of]
+            back = g[counts[g] == 0]
+            of = np.cumsum(_starts(asked.ctx[back])) - 1
+            few[back], sums[back] = unpacked_array(x["few"]).reshape(CUT, -1).T[of], unpacked_array(x["sums"])[of]
+        for ctx, totals in known.hot.items():
+            mine = asked.ctx == np.uint64(ctx)
+            whole[mine], few[mine], sums[mine] = _whole(np.array([totals])), totals[:CUT], totals[-1]
+        seen, alpha = shares(counts, whole, few, sums, known.discounts)
         if order == 1:
             # Behind the empty context stands the class of unknown words, of probability 1.
             self.p, self.known = np.where(counts > 0, seen, alpha)[self.at], counts[self.at]
@@ -341,12 +355,13 @@ def _ask(cut: DataFrame, replies: DataFrame | None, model: Model, order: int) ->
     return cut.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(later, _ASKED)
 
 
-def _reply(asked: DataFrame, table: DataFrame | None, parts: int) -> DataFrame:
+def _reply(asked: DataFrame, table: DataFrame | None, model: Model, order: int) -> DataFrame:
+    told = model.without_tables()
     if table is None:
-        return asked.groupBy("part").applyInArrow(lambda rows: _table(list(_answer(rows.to_pylist(), None, parts)), _FOUND), _FOUND)
+        return asked.groupBy("part").applyInArrow(lambda rows: _table(list(_answer(rows.to_pylist(), None, told, order)), _FOUND), _FOUND)
 
     def known(rows: pa.Table, stored: pa.Table) -> pa.Table:
-        return _table(list(_answer(rows.to_pylist(), stored.to_pylist(), parts)) if rows.num_rows else [], _FOUND)
+        return _table(list(_answer(rows.to_pylist(), stored.to_pylist(), told, order)) if rows.num_rows else [], _FOUND)
 
     return asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(known, _FOUND)
 
@@ -410,7 +425,7 @@ def learned_and_scored(cut: DataFrame, order: int = ORDER, model: Model | None =
     built = replace(model, orders=(), tables=()) if model else Model(max(1, -(-(size.tokens or 0) // TOKENS)), size.begins or 0)
     replies = None
     for at in range(1, 1 + (len(model.orders) if model else order)):
-        found = saved(_reply(_ask(cut, replies, built, at), model.tables[at - 1] if model else None, built.parts), f"order{at}")
+        found = saved(_reply(_ask(cut, replies, built, at), model.tables[at - 1] if model else None, built, at), f"order{at}")
         if model:
             built = replace(built, orders=model.orders[:at], tables=model.tables[:at])
         else:
@@ -418,7 +433,7 @@ def learned_and_scored(cut: DataFrame, order: int = ORDER, model: Model | None =
             hot = [0] if at == 1 else [*_frequent(built.tables[-1], built.parts, built.hot_at), *([int(BEGIN.view(np.int64))] if built.begins > built.hot_at else [])]
             built = replace(built, orders=(*built.orders, _order(table, hot)), tables=(*built.tables, table))
             built = replace(built, hot_at=built.tokens / HOT)
-        heard = found.where("block is not null").select(F.lit(at).alias("for_order"), "part", "block", "w", "n", "totals", "sums")
+        heard = found.where("block is not null").select(F.lit(at).alias("for_order"), "part", "block", "w", "n", "whole", "few", "sums")
         replies = heard if replies is None else replies.unionByName(heard)
     scores = saved(_scores(cut, replies, built), "scores") if replies is not None else spark.createDataFrame([], SCORES)
     return built, scores
