@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsgraph.functions.times import out_of_hours
 from opsgraph.operators.graph import named_in, reach
+from opsgraph.operators.paths import path_counts
 
 
 def latest(rows: DataFrame, by: str, at: str, number: str = "number", n: int = 1) -> DataFrame:
@@ -48,11 +49,12 @@ def followed(changes: DataFrame, incidents: DataFrame, days: int = 2) -> DataFra
     return changes.join(c.join(i, on, "left_semi").select("number").distinct(), "number", "left_semi")
 
 
-def preceding_changes(incidents: DataFrame, changes: DataFrame, hours: int = 24, reactive: bool = False, edges: DataFrame | None = None, near: int = 2) -> DataFrame:
+def preceding_changes(incidents: DataFrame, changes: DataFrame, hours: int = 24, reactive: bool = False, edges: DataFrame | None = None, near: int = 2, paths: bool = False) -> DataFrame:
     """(incident, change, minutes): changes that ended within the hours before an incident opened, on its item or, with edges (src, dst), on one that supports it in at most `near` steps.
 
     Changes raised after an incident follow it rather than cause it and are left out, unless asked for.
-    A change that is near in several ways is one row. Both sides are cut into stretches of the window's
+    A change that is near in several ways is one row; with paths (edges being rows, near 2 at most), that
+    says by how many different ones. Both sides are cut into stretches of the window's
     length, each change standing in its own and the next, so that the join's key is item and stretch, and
     an item with very many records spreads out.
     """
@@ -61,10 +63,11 @@ def preceding_changes(incidents: DataFrame, changes: DataFrame, hours: int = 24,
     i = incidents.where("ci_key is not null").select("ci_key", F.col("number").alias("incident"), "opened_at", _cell("opened_at", hours).alias("cell"))
     if edges is not None:
         # Changed items walk up to what they support: there are fewer of them than of all that an item needs.
-        back = reach(edges, own.select(F.col("ci_key").alias("start")).where("start is not null").distinct(), near, include_start=True)
-        c = c.join(back.select(F.col("start").alias("ci_key"), "node"), "ci_key").drop("ci_key").withColumnRenamed("node", "ci_key").distinct()
+        changed = own.select(F.col("ci_key").alias("start")).where("start is not null").distinct()
+        back = path_counts(edges, changed, near) if paths else reach(edges, changed, near, include_start=True).drop("hop")
+        c = c.join(back.withColumnRenamed("start", "ci_key"), "ci_key").drop("ci_key").withColumnRenamed("node", "ci_key").distinct()
     found = i.join(c, ["ci_key", "cell"]).where((F.col("actual_end") < F.col("opened_at")) & (F.col("actual_end") > F.col("opened_at") - F.expr(f"interval '{hours}' hour")))
-    return found.select("incident", "change", F.floor(F.timestamp_diff("SECOND", F.col("actual_end"), F.col("opened_at")) / 60).alias("minutes"))
+    return found.select("incident", "change", F.floor(F.timestamp_diff("SECOND", F.col("actual_end"), F.col("opened_at")) / 60).alias("minutes"), *(["paths"] if paths and edges is not None else []))
 
 
 def seen_before(incidents: DataFrame, problems: DataFrame, articles: DataFrame | None = None) -> DataFrame:

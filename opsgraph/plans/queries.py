@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from opsgraph.functions.text import STOPWORDS, approx_tokens, fingerprint, query_terms, stem, tokens
 from opsgraph.functions.times import month_before
-from opsgraph.operators import chunks, evaluate, experiments, fuse, graph, lexical, tickets, vector
+from opsgraph.operators import chunks, evaluate, experiments, fuse, graph, lexical, paths, tickets, vector
 from opsgraph.plans import arms
 from opsgraph.plans.lineage import cut
 from opsgraph.sources import bridge
@@ -58,15 +58,29 @@ def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     return graph.reach(bridge.supports(spark, d), starts(spark, "region:0"), 4).groupBy("hop").agg(F.count("*").alias("n"))
 
 
-@query(oracle(f"WITH {reach_sql(REGIONS, 'supports', 4)} SELECT start, count(*) AS n, max(hop)::int AS hops FROM r WHERE hop > 0 GROUP BY start", "supports", recursive=True))
+ITEMS = "SELECT DISTINCT src AS start, src AS node, 0 AS hop FROM supports"
+
+
+@query(oracle(f"WITH {reach_sql(ITEMS, 'supports', 4)} SELECT start, count(*) AS n, max(hop)::int AS hops FROM r WHERE hop > 0 GROUP BY start", "supports", recursive=True))
 def blast_radius_of_all(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.reach(bridge.supports(spark, d), table(spark, d, "region").select(bridge.key("region", "r_regionkey").alias("start")), 4)
-    return found.groupBy("start").agg(F.count("*").alias("n"), F.max("hop").alias("hops"))
+    """How much stands on each item, and in how many steps."""
+    return paths.reach_sizes(bridge.supports(spark, d), 4).select(F.col("node").alias("start"), "n", F.col("depth").alias("hops"))
 
 
-@query(oracle(f"WITH {reach_sql(REGIONS, 'supports', 4)} SELECT start AS key, count(*) AS n FROM r WHERE hop > 0 GROUP BY start ORDER BY n DESC, key LIMIT 1", "supports", recursive=True))
+@query(oracle(f"WITH {reach_sql(ITEMS, 'supports', 4)} SELECT start AS key, count(*) AS n FROM r WHERE hop > 0 GROUP BY start ORDER BY n DESC, key LIMIT 1", "supports", recursive=True))
 def largest_blast_radius(spark: SparkSession, d: str) -> DataFrame:
-    return blast_radius_of_all(spark, d).select(F.col("start").alias("key"), "n").orderBy(F.desc("n"), "key").limit(1)
+    """The item on which most stands, of all items."""
+    return paths.largest_reach(bridge.supports(spark, d), 4).select(F.col("node").alias("key"), "n")
+
+
+ESTATE = "SELECT child AS src, parent AS dst FROM edges"
+
+
+@query(oracle(f"WITH every AS ({ESTATE}), {reach_sql('SELECT DISTINCT src AS start, src AS node, 0 AS hop FROM every', 'every', 4)} SELECT start AS key, count(*) AS n FROM r WHERE hop > 0 GROUP BY start ORDER BY n DESC, key LIMIT 1", "edges", recursive=True))
+def largest_reach_unfiltered(spark: SparkSession, d: str) -> DataFrame:
+    """The item from which most is reached over edges of any type, in which parts have several suppliers."""
+    e = bridge.edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    return paths.largest_reach(e, 4).select(F.col("node").alias("key"), "n")
 
 
 DOWN = "SELECT 'order:' || o_orderkey AS start, 'order:' || o_orderkey AS node, 0 AS hop FROM orders"
@@ -142,12 +156,41 @@ def on_a_cycle(spark: SparkSession, d: str) -> DataFrame:
     return graph.returns(g, g.select(F.col("src").alias("start")).distinct(), 4)
 
 
-UNDIRECTED = "SELECT child AS src, parent AS dst FROM edges WHERE impact UNION SELECT parent, child FROM edges WHERE impact"
+#: Every trail, its edges listed: what trail_reach must not enumerate.
+TRAILS = """t(start, node, hop, used) AS (SELECT start, CASE WHEN e.src = start THEN e.dst ELSE e.src END, 1, [e.id] FROM st JOIN e ON e.src = start OR e.dst = start
+UNION ALL SELECT t.start, CASE WHEN e.src = t.node THEN e.dst ELSE e.src END, t.hop + 1, list_append(t.used, e.id) FROM t JOIN e ON (e.src = t.node OR e.dst = t.node) AND NOT list_contains(t.used, e.id) WHERE t.hop < {hops})"""
 
 
-@query(oracle(f"WITH u AS ({UNDIRECTED}), {reach_sql(NATION, 'u', 3)} SELECT hop::int AS hop, count(*) AS n FROM r WHERE hop > 0 GROUP BY hop", "edges", recursive=True))
+@query(oracle(f"""WITH e AS (SELECT child AS src, parent AS dst, row_number() OVER () AS id FROM edges WHERE impact), st AS (SELECT key AS start FROM (SELECT src AS key FROM e UNION ALL SELECT dst FROM e) GROUP BY key ORDER BY count(*) DESC, key LIMIT 1),
+{TRAILS.format(hops=3)} SELECT start, hop::int AS hop, count(*) AS n FROM (SELECT start, node, min(hop) AS hop FROM t GROUP BY ALL) GROUP BY ALL""", "edges", recursive=True))
 def undirected_reach(spark: SparkSession, d: str) -> DataFrame:
-    return graph.undirected_reach(bridge.supports(spark, d), starts(spark, "nation:3"), 3).groupBy("hop").agg(F.count("*").alias("n"))
+    """What is within three steps, taken either way, of the item with most edges."""
+    e = bridge.edges(spark, d).where("impact")
+    busiest = graph.degree(e).orderBy(F.desc("degree"), "key").limit(1).select(F.col("key").alias("start"))
+    found = paths.trail_reach(e.select(F.col("child").alias("src"), F.col("parent").alias("dst"), "type_name"), busiest, 3, "type_name")
+    return found.groupBy("start", "hop").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT * FROM ({EVENT_GRAPH}) WHERE dst IS NOT NULL), e AS (SELECT src, dst, row_number() OVER () AS id FROM g), st AS (SELECT src AS start FROM g UNION SELECT dst FROM g), {TRAILS.format(hops=3)}
+SELECT start, node, min(hop)::int AS hop FROM t GROUP BY ALL""")
+def trails_between_events(spark: SparkSession, d: str) -> DataFrame:
+    """Which types of event are joined by a trail of at most three edges, and whether one leads back: a graph of loops, parallel edges and cycles."""
+    g = event_graph(spark, d)
+    types = g.select(F.explode(F.array("src", "dst")).alias("start"))
+    return paths.trail_reach(g.withColumn("way", F.concat_ws(">", "src", "dst")), types, 3, "way")
+
+
+SHARED = "SELECT DISTINCT parent AS part, child AS supplier FROM edges WHERE parent LIKE 'part:%'"
+
+
+@query(oracle(f"""WITH m AS ({SHARED}), u AS (SELECT part AS src, supplier AS dst FROM m UNION ALL SELECT supplier, part FROM m), {reach_sql('SELECT DISTINCT supplier AS start, supplier AS node, 0 AS hop FROM m', 'u', 4)},
+c AS (SELECT DISTINCT s FROM (SELECT x.supplier AS s, y.supplier AS t FROM m x JOIN m y ON x.part = y.part AND x.supplier <> y.supplier GROUP BY ALL HAVING count(*) >= 2))
+SELECT start, count(*) + (start IN (SELECT s FROM c))::int AS n, start IN (SELECT s FROM c) AS closed FROM r WHERE hop > 0 GROUP BY start""", "edges", recursive=True))
+def suppliers_on_a_trail(spark: SparkSession, d: str) -> DataFrame:
+    """Of each supplier: what is within four steps through shared parts, and whether it shares two parts with another, so that a trail leads back."""
+    e = bridge.edges(spark, d).where("startswith(parent, 'part:')").select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit("").alias("kind"))
+    found = paths.trail_reach(e, e.select(F.col("dst").alias("start")), 4, "kind")
+    return found.groupBy("start").agg(F.count("*").alias("n"), F.bool_or(F.col("node") == F.col("start")).alias("closed"))
 
 
 @query(oracle("SELECT key, count(*) AS degree FROM (SELECT parent AS key FROM edges UNION ALL SELECT child FROM edges) GROUP BY key ORDER BY degree DESC, key LIMIT 5", "edges"))
@@ -325,6 +368,14 @@ def change_correlation_near(spark: SparkSession, d: str) -> DataFrame:
     return tickets.preceding_changes(bridge.incidents(spark, d), bridge.changes(spark, d), edges=e)
 
 
+@query(oracle("""WITH e AS (SELECT child AS src, parent AS dst, row_number() OVER () AS id FROM edges), p(start, node, used) AS (SELECT DISTINCT ci_key, ci_key, []::bigint[] FROM changes WHERE ci_key IS NOT NULL UNION ALL SELECT p.start, e.dst, list_append(p.used, e.id) FROM p JOIN e ON e.src = p.node AND NOT list_contains(p.used, e.id) WHERE len(p.used) < 2)
+SELECT i.number AS incident, c.number AS change, (epoch_us(i.opened_at) - epoch_us(c.actual_end)) // 60000000 AS minutes, count(*) AS paths FROM incidents i JOIN p ON p.node = i.ci_key JOIN changes c ON c.ci_key = p.start AND c.actual_end < i.opened_at AND c.actual_end > i.opened_at - INTERVAL 24 HOUR WHERE c.raised_after_incident IS NULL GROUP BY ALL""", "incidents", "changes", "edges", recursive=True))
+def change_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Changes before an incident, with the number of paths of at most two edges by which they bear on its item."""
+    e = bridge.edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    return tickets.preceding_changes(bridge.incidents(spark, d), bridge.changes(spark, d), edges=e, paths=True)
+
+
 @query(oracle(f"WITH {reach_sql(REGIONS, 'supports', 4)} SELECT start, domain, count(*) AS n FROM r JOIN items ON key = node WHERE hop > 0 GROUP BY ALL", "supports", "items", recursive=True))
 def owners_of_blast_radius(spark: SparkSession, d: str) -> DataFrame:
     """Which domains own what stands on each region."""
