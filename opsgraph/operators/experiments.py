@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsgraph.functions.text import query_terms, tokens
-from opsgraph.operators import lexical
 from opsgraph.operators.fuse import seeded_order
 from opsgraph.operators.graph import reach
-from opsgraph.operators.vector import dot
-from opsgraph.plans.lineage import cut
 
 SEEDS, FRACTIONS = (1, 2, 3), (0.0, 0.1, 0.2, 0.4, 0.6)
 
@@ -48,18 +44,6 @@ def damage_sweep(edges: DataFrame, starts: DataFrame, hops: int = 4, seeds=SEEDS
     return damage_runs(edges, starts, hops, seeds, fractions).groupBy("fraction").agg(*_outcomes())
 
 
-def damaged_walks(edges: DataFrame, starts: DataFrame, gold: DataFrame, limit: int = 60, hops: int = 4, seeds=SEEDS, fractions=FRACTIONS) -> DataFrame:
-    """(fraction, recall): of gold (start, id), how much a walk along damaged edges returns, the nearest `limit` nodes; the mean over seeds and starts."""
-    world = ("seed", "fraction")
-    begun = _grid(starts.select("start").distinct(), seeds, fractions)
-    reached = reach(damaged(edges, seeds, fractions), begun, hops, world=world)
-    first = reached.withColumn("_p", F.row_number().over(Window.partitionBy(*world, "start").orderBy("hop", "node"))).where(F.col("_p") <= limit)
-    hit = first.join(gold.select("start", F.col("id").alias("node")), ["start", "node"], "left_semi").groupBy(*world, "start").agg(F.count("*").alias("hits"))
-    sizes = gold.groupBy("start").agg(F.count("*").alias("gold"))
-    rows = begun.join(sizes, "start").join(hit, [*world, "start"], "left").fillna(0, ["hits"])
-    return rows.groupBy("fraction").agg(F.round(F.avg(F.col("hits") / F.col("gold")), 6).alias("recall"))
-
-
 def recalls(ranking: DataFrame, gold: DataFrame) -> DataFrame:
     """(question_id, recall) of a ranking (question_id, id), for each question that has gold (question_id, id)."""
     sizes = gold.groupBy("question_id").agg(F.count("*").alias("gold"))
@@ -67,37 +51,6 @@ def recalls(ranking: DataFrame, gold: DataFrame) -> DataFrame:
     return sizes.join(hit, "question_id", "left").fillna(0, ["hits"]).select("question_id", (F.col("hits") / F.col("gold")).alias("recall"))
 
 
-def scaling_lexical(docs: DataFrame, questions: DataFrame, gold: DataFrame, sizes: tuple[int, ...], seeds: tuple[int, ...], top: int = 40) -> DataFrame:
-    """(size, recall) of questions (question_id, text) by BM25 over docs (id, text) as the haystack grows, the mean over seeds and questions with gold (question_id, id).
-
-    A haystack is the first `size` documents, those that are gold of any question before all others, the
-    others in a hashed order. What a term is worth is counted in each haystack anew, for asked terms only.
-    """
-    needles = gold.select("id").distinct().withColumn("_gold", F.lit(0))
-    drawn = docs.select("id").join(needles, "id", "left").withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    placed = drawn.withColumn("_p", F.row_number().over(Window.partitionBy("seed").orderBy(F.coalesce("_gold", F.lit(1)), seeded_key("seed", "id"), "id"))).where(F.col("_p") <= max(sizes))
-    stacks = cut(placed.select("id", "seed", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda s: s >= F.col("_p"))).alias("size")))
-    counted = docs.select("id", F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("w"))
-    lengths = cut(counted.select("id", F.size("w").alias("length")).join(stacks, "id"))
-    totals = lengths.groupBy("seed", "size").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = questions.select("question_id", F.explode(query_terms("text")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    tf = counted.select("id", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"))
-    here = cut(tf.join(lengths, "id"))
-    df = here.groupBy("seed", "size", "term").agg(F.count("*").alias("df"))
-    n, d, x, length, mean = (F.col(c) for c in ("n", "df", "tf", "length", "mean"))
-    part = F.col("times") * F.log(1 + (n - d + 0.5) / (d + 0.5)) * x * (lexical.K1 + 1) / (x + lexical.K1 * (1 - lexical.B + lexical.B * length / mean))
-    scored = here.join(df, ["seed", "size", "term"]).join(totals, ["seed", "size"]).join(asked, "term").groupBy("seed", "size", "question_id", "id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
-    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("seed", "size", "question_id").orderBy(F.desc("score"), F.desc("id")))).where(F.col("_r") <= top)
-    hit = best.join(gold, ["question_id", "id"], "left_semi").groupBy("seed", "size", "question_id").agg(F.count("*").alias("hits"))
-    wanted = gold.groupBy("question_id").agg(F.count("*").alias("gold")).join(totals.select("seed", "size"))  # a row for each of the few haystacks
-    rows = wanted.join(hit, ["seed", "size", "question_id"], "left").fillna(0, ["hits"])
-    return rows.groupBy("size").agg(F.round(F.avg(F.col("hits") / F.col("gold")), 6).alias("recall"))
-
-
-def seeded_key(seed: str, key: str) -> Column:
-    return F.md5(F.concat_ws("|", F.col(seed).cast("string"), F.col(key).cast("string")))
-
-
 def dropped_exactly(edges: DataFrame, seed: int, fraction: float) -> DataFrame:
     """edges (src, dst) without just floor(n x fraction) of them, drawn by hash.
 
@@ -131,22 +84,6 @@ def moved(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.withColumn("change", change)
 
 
-def scaling(vectors: DataFrame, question: DataFrame, sizes: tuple[int, ...], seeds: tuple[int, ...], top: int = 40) -> DataFrame:
-    """(size, recall) of one question over vectors (id, embedding, gold) as the haystack grows, the mean over seeds.
-
-    A haystack is the first `size` rows, gold before all others and those in a hashed order. Every row is
-    scored once; the cut-off of each seed and size is found among the rows' order keys, and the best
-    `top` of each haystack by rank.
-    """
-    scored = vectors.join(F.broadcast(question.select(F.col("embedding").alias("_q")))).select("id", "gold", F.round(dot("embedding", "_q"), 9).alias("score"))
-    drawn = scored.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).withColumn("_o", F.struct(~F.col("gold"), F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("id").cast("string"))), "id"))
-    first = drawn.withColumn("_p", F.row_number().over(Window.partitionBy("seed").orderBy("_o"))).where(F.col("_p") <= max(sizes))
-    stacks = first.withColumn("size", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda s: s >= F.col("_p"))))
-    hit = stacks.withColumn("_r", F.row_number().over(Window.partitionBy("seed", "size").orderBy(F.desc("score"), F.desc("id"))))
-    each = hit.groupBy("seed", "size").agg((F.count_if(F.col("gold") & (F.col("_r") <= top)) / F.count_if("gold")).alias("recall"))
-    return each.groupBy("size").agg(F.round(F.avg("recall"), 6).alias("recall"))
-
-
 def peaks(by_seed: DataFrame, share: float = 0.8) -> DataFrame:
     """One row from (seed, fraction, short): at which fraction partly wrong answers are most, and whether in at least `share` of the seeds they become fewer after.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from opsgraph.functions.text import STOPWORDS, approx_tokens, fingerprint, query_terms, stem, tokens
 from opsgraph.functions.times import month_before
-from opsgraph.operators import chunks, evaluate, experiments, fuse, graph, lexical, paths, tickets, vector
+from opsgraph.operators import chunks, evaluate, experiments, fuse, graph, lexical, paths, tickets, vector, worlds
 from opsgraph.plans import arms
 from opsgraph.plans.lineage import cut
 from opsgraph.sources import bridge
@@ -813,23 +813,54 @@ def nation_questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(bridge.key("nation", "n_nationkey").alias("question_id"), F.col("n_name").alias("text"))
 
 
-@query(oracle(f"""WITH {GRID}, left_ AS (SELECT seed, fraction, src, dst FROM (SELECT DISTINCT src, dst FROM supports), grid WHERE {DRAW} >= fraction), st AS (SELECT 'nation:' || n_nationkey AS start FROM nation),
-w(seed, fraction, start, node, hop) AS (SELECT seed, fraction, start, start, 0 FROM grid, st UNION SELECT w.seed, w.fraction, w.start, l.dst, hop + 1 FROM w JOIN left_ l ON l.seed = w.seed AND l.fraction = w.fraction AND l.src = w.node WHERE hop < 4),
-o AS (SELECT seed, fraction, start, node, min(hop) AS hop FROM w GROUP BY ALL), gold AS (SELECT DISTINCT start, node FROM o WHERE fraction = 0 AND hop > 0),
-f AS (SELECT *, row_number() OVER (PARTITION BY seed, fraction, start ORDER BY hop, node) AS p FROM o WHERE hop > 0 QUALIFY p <= 60),
-h AS (SELECT seed, fraction, start, count(*) AS hits FROM f JOIN gold USING (start, node) GROUP BY ALL), gs AS (SELECT start, count(*) AS gold FROM gold GROUP BY 1),
-{bm25_sql(TOKENS, NATIONS, docs=NEEDS, x="k_")}, kh AS (SELECT question_id AS start, count(*) AS hits FROM k_lex JOIN gold ON gold.start = question_id AND gold.node = id GROUP BY 1)
-SELECT 'graph_only' AS arm, fraction, round(avg(coalesce(hits, 0) / gold), 6) AS recall FROM grid CROSS JOIN gs LEFT JOIN h USING (seed, fraction, start) GROUP BY fraction
-UNION ALL SELECT 'bm25', fraction, (SELECT round(avg(coalesce(hits, 0) / gold), 6) FROM gs LEFT JOIN kh USING (start)) FROM (SELECT DISTINCT fraction FROM grid)""", "edges", "supports", "items", recursive=True))
+#: Of a nation's question: the first eight records by vectors, and by vectors and keywords fused, as seeds of walks.
+ARM_SEEDS = f"""{bm25_sql(TOKENS, NATIONS, docs=NEEDS, x="k_")},
+nq AS (SELECT 'nation:' || n_nationkey AS question_id, n_nationkey AS v FROM nation), vs AS (SELECT question_id, e.vec_id AS id, round(list_dot_product(x.embedding::double[], e.embedding::double[]), 9) AS score FROM nq JOIN embeddings x ON x.vec_id = nq.v, embeddings e),
+vr AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id DESC) AS place FROM vs QUALIFY place <= 40),
+vk AS (SELECT question_id, CASE id % 3 WHEN 0 THEN 'customer:' || id WHEN 1 THEN 'INC' || lpad(id::varchar, 7, '0') ELSE 'CHG' || lpad(id::varchar, 7, '0') END AS id, place FROM vr),
+fu AS (SELECT question_id, id, round(sum(1 / (60 + place)), 9) AS score, min({{'o': o, 'p': place}}) AS f FROM (SELECT question_id, id, place, 0 AS o FROM k_lex UNION ALL SELECT question_id, id, place, 1 FROM vk) GROUP BY ALL),
+fr AS (SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, f, id) AS place FROM fu),
+stand AS (SELECT key AS id, key AS node FROM items UNION SELECT number, ci_key FROM incidents WHERE ci_key IS NOT NULL UNION SELECT number, ci_key FROM changes WHERE ci_key IS NOT NULL),
+sd AS (SELECT 'graph_only' AS arm, question_id AS start, question_id AS node FROM nq UNION SELECT 'vector_walk', question_id, node FROM vk JOIN stand USING (id) WHERE place <= 8 UNION SELECT 'hybrid_walk', question_id, node FROM fr JOIN stand USING (id) WHERE place <= 8)"""
+ARM_RECALLS = f"""{ARM_SEEDS}, grid AS (SELECT seed, fraction FROM (SELECT unnest([1, 2, 3]) AS seed), (SELECT unnest([0.0, 0.1, 0.2, 0.4, 0.6]::double[]) AS fraction)), ed AS (SELECT DISTINCT src, dst FROM supports),
+rk AS (SELECT seed, src, dst, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || src || '|' || dst), src || '|' || dst) AS rank, count(*) OVER (PARTITION BY seed) AS n FROM ed, (SELECT unnest([1, 2, 3]) AS seed)),
+le AS (SELECT grid.seed, fraction, 'up' AS way, src, dst FROM rk JOIN grid USING (seed) WHERE rank > floor(n * fraction) UNION ALL SELECT grid.seed, fraction, 'down', dst, src FROM rk JOIN grid USING (seed) WHERE rank > floor(n * fraction)),
+w(arm, seed, fraction, way, start, node, hop) AS (SELECT arm, seed, fraction, way, start, node, 0 FROM sd, grid, (SELECT unnest(['up', 'down']) AS way) UNION SELECT w.arm, w.seed, w.fraction, w.way, w.start, le.dst, hop + 1 FROM w JOIN le ON le.seed = w.seed AND le.fraction = w.fraction AND le.way = w.way AND le.src = w.node WHERE hop < 4),
+o AS (SELECT arm, seed, fraction, start, node, min(hop) AS hop FROM w GROUP BY ALL HAVING arm <> 'graph_only' OR min(hop) > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY arm, seed, fraction, start ORDER BY hop, node) AS p FROM o QUALIFY p <= CASE arm WHEN 'graph_only' THEN 60 ELSE 40 END),
+gold AS (SELECT DISTINCT start, node FROM w WHERE arm = 'graph_only' AND way = 'up' AND seed = 1 AND fraction = 0 AND hop > 0 AND node <> start), gs AS (SELECT start, count(*) AS gold FROM gold GROUP BY 1),
+h AS (SELECT arm, seed, fraction, start, count(*) AS hits FROM f JOIN gold USING (start, node) GROUP BY ALL), kh AS (SELECT question_id AS start, count(*) AS hits FROM k_lex JOIN gold ON gold.start = question_id AND gold.node = id GROUP BY 1),
+rec AS (SELECT arm, fraction, round(avg(coalesce(hits, 0) / gold), 6) AS recall FROM (SELECT unnest(['graph_only', 'vector_walk', 'hybrid_walk']) AS arm) CROSS JOIN grid CROSS JOIN gs LEFT JOIN h USING (arm, seed, fraction, start) GROUP BY ALL
+UNION ALL SELECT 'bm25', fraction, (SELECT round(avg(coalesce(hits, 0) / gold), 6) FROM gs LEFT JOIN kh USING (start)) FROM (SELECT DISTINCT fraction FROM grid))"""
+
+
+@query(oracle(f"WITH {ARM_RECALLS} SELECT arm, fraction, recall FROM rec", "supports", "items", "incidents", "changes", "edges", recursive=True))
 def damaged_arms(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of nations' blast radii by a walk along damaged edges, beside keyword search, which damage doesn't touch."""
+    """Recall of nations' blast radii when just a fraction of the edges is lost, by four arms: keyword search, which damage doesn't touch, a walk from the nation, and walks from what the first records by vectors, or by both, stand for."""
     e, asked = bridge.supports(spark, d), nation_questions(spark, d)
-    begin = asked.select(F.col("question_id").alias("start"))
-    gold = graph.reach(e, begin, 4).select("start", F.col("node").alias("id"))
-    walks = experiments.damaged_walks(e, begin, gold).select(F.lit("graph_only").alias("arm"), "fraction", "recall")
-    keyword = lexical.search(lexical.index(needs(spark, d)), asked)
-    once = experiments.recalls(keyword, gold.withColumnRenamed("start", "question_id")).agg(F.round(F.avg("recall"), 6).alias("recall"))
-    return walks.unionByName(walks.select(F.lit("bm25").alias("arm"), "fraction").join(once).select("arm", "fraction", "recall"))  # one row
+    gold = cut(graph.reach(e, asked.select(F.col("question_id").alias("start")), 4).select(F.col("start").alias("question_id"), F.col("node").alias("id")))
+    keyword = cut(lexical.search(lexical.index(needs(spark, d)), asked).select("question_id", "id", "place"))
+    v = vectors(spark, d)
+    # A nation's question has the vector of its number; the ranking is by number too, until records' names take its place.
+    near = vector.nearest(v, table(spark, d, "nation").join(v.select(F.col("id").alias("n_nationkey"), "embedding"), "n_nationkey").select(F.col("n_nationkey").cast("long").alias("question_id"), "embedding"))
+    near = cut(near.select(bridge.key("nation", "question_id").alias("question_id"), record_of("id").alias("id"), "place"))
+    fused = fuse.reciprocal_ranks([keyword, near])
+    levels = cut(worlds.damage_levels(e))
+    records = cut(near.select(F.lit("vector_walk").alias("arm"), "question_id", F.col("id").alias("record_id"), "place").unionByName(fused.select(F.lit("hybrid_walk").alias("arm"), "question_id", F.col("id").alias("record_id"), "place")).where("place <= 8").drop("place"))
+    stand = graph.seeds(records.select("record_id").distinct(), bridge.items(spark, d), bridge.incidents(spark, d), bridge.changes(spark, d)).withColumnRenamed("start", "record_id")
+    begin = records.join(stand, "record_id").select("arm", "question_id", "node").unionByName(asked.select(F.lit("graph_only").alias("arm"), "question_id", F.col("question_id").alias("node")))
+    # All arms walk at once, each question of an arm being a start.
+    walked = worlds.walks_in_worlds(levels, begin.select(F.concat_ws("|", "arm", "question_id").alias("start"), "node"), len(worlds.FRACTIONS), 61).withColumnRenamed("node", "id")
+    walked = walked.withColumns({"arm": F.split_part("start", F.lit("|"), F.lit(1)), "question_id": F.split_part("start", F.lit("|"), F.lit(2))}).where(F.when(F.col("arm") == "graph_only", F.col("hop") > 0).otherwise(F.col("place") <= 40))
+    grid = spark.createDataFrame([("bm25", s, w) for s in worlds.SEEDS for w in range(len(worlds.FRACTIONS))], "arm string, seed int, world int")
+    found = walked.select("arm", "seed", "world", "question_id", "id").unionByName(keyword.join(F.broadcast(grid)).select("arm", "seed", "world", "question_id", "id"))
+    return worlds.arm_recalls(found, gold, ("graph_only", "vector_walk", "hybrid_walk", "bm25"))
+
+
+@query(oracle(f"WITH {ARM_RECALLS}, best AS (SELECT fraction, max(recall) FILTER (WHERE arm <> 'bm25') AS graph, max(recall) FILTER (WHERE arm = 'bm25') AS words FROM rec GROUP BY 1) SELECT min(fraction) AS fraction FROM best WHERE graph <= words", "supports", "items", "incidents", "changes", "edges", recursive=True))
+def damage_crossing(spark: SparkSession, d: str) -> DataFrame:
+    """From which share of lost edges on no walk finds more than keyword search; null if one always does."""
+    return worlds.crossing(damaged_arms(spark, d))
 
 
 @query(oracle("WITH e AS (SELECT DISTINCT src, dst FROM supports), r AS (SELECT *, row_number() OVER (ORDER BY md5('7|' || src || '|' || dst), src, dst) AS i, count(*) OVER () AS n FROM e) SELECT src, dst FROM r WHERE i > floor(n * 0.4::double)", "supports"))
@@ -851,12 +882,12 @@ def moved_questions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(experiments.moved(side("control"), side("vector")))
 
 
-HEADS = "SELECT item_id AS question_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40)) WHERE b.text <> ''"
+HELD = "SELECT item_id AS question_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''"
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
-    """(question_id, id): documents that hold the first 40 characters of a benchmark item, as gold."""
-    heads = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.left("text", F.lit(40)).alias("name"))
+    """(question_id, id): documents that hold a whole benchmark item, as gold."""
+    heads = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("name"))
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), "text")
     return graph.named_in(texts, heads, folded=False).select(F.col("key").alias("question_id"), F.col("question_id").alias("id"))
 
@@ -865,7 +896,7 @@ def recall_sql(name: str, lex: str) -> str:
     return f"{name} AS (SELECT question_id, count(l.id) / count(*) AS recall FROM gold LEFT JOIN {lex} l USING (question_id, id) GROUP BY question_id)"
 
 
-@query(f"""WITH {STEM_TABLE}, {bm25_sql(TOKENS, ASKED, x="p_")}, {bm25_sql(STEMMED, STEMMED_ASKED, x="s_")}, gold AS ({HEADS}), {recall_sql('a', 'p_lex')}, {recall_sql('b', 's_lex')}
+@query(f"""WITH {STEM_TABLE}, {bm25_sql(TOKENS, ASKED, x="p_")}, {bm25_sql(STEMMED, STEMMED_ASKED, x="s_")}, gold AS ({HELD}), {recall_sql('a', 'p_lex')}, {recall_sql('b', 's_lex')}
 SELECT question_id, round(a.recall, 6) AS plain, round(b.recall, 6) AS stemmed, a.recall <> b.recall AS moved FROM a JOIN b USING (question_id)""")
 def stemming_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall by keyword search without and with stems, and whether they move it."""
@@ -897,19 +928,34 @@ def ablation_recall(spark: SparkSession, d: str) -> DataFrame:
     return found.select("strategy", "asked", "recall")
 
 
-SIX = (50, 100, 150, 300, 600, 900)
+#: Haystacks of six sizes and three seeds as copies of their documents, and what of a ranking in each fits into 3,000 tokens.
+def stacks_sql(docs: str) -> str:
+    return f"""o AS (SELECT seed, id, row_number() OVER (PARTITION BY seed ORDER BY (CASE WHEN id IN (SELECT id FROM gold) THEN 0 ELSE 1 END), md5(seed || '|' || id), id) AS pl FROM ({docs}), (SELECT unnest([1, 2, 3]) AS seed)),
+z AS (SELECT i AS world, greatest((SELECT count(DISTINCT id) FROM gold), floor((SELECT count(*) FROM ({docs})) * share)::bigint) AS size FROM (SELECT unnest(range(6)) AS i, unnest([1/32, 1/16, 1/8, 1/4, 1/2, 1.0]::double[]) AS share)),
+st AS (SELECT seed, world, id FROM o, z WHERE pl <= size)"""
+
+
+def packed_sql(ranking: str) -> str:
+    return f"""g AS (SELECT seed, world, question_id, place, l.id, greatest(1, length(text) // 4) AS t FROM {ranking} l JOIN documents ON doc_id = l.id),
+g2 AS (SELECT *, row_number() OVER (PARTITION BY seed, world, question_id ORDER BY place) AS i FROM g),
+k(seed, world, question_id, i, used, ids) AS (SELECT DISTINCT seed, world, question_id, 0, 0::bigint, []::bigint[] FROM g UNION ALL SELECT k.seed, k.world, k.question_id, k.i + 1, CASE WHEN used + t <= 3000 THEN used + t ELSE used END, CASE WHEN used + t <= 3000 THEN list_append(ids, g2.id) ELSE ids END FROM k JOIN g2 ON g2.seed = k.seed AND g2.world = k.world AND g2.question_id = k.question_id AND g2.i = k.i + 1),
+kept AS (SELECT seed, world, question_id, unnest(ids) AS id FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY seed, world, question_id ORDER BY i DESC) = 1)),
+h AS (SELECT seed, world, question_id, count(*) AS hits FROM kept JOIN (SELECT DISTINCT question_id, id FROM gold) USING (question_id, id) GROUP BY ALL), gs AS (SELECT question_id, count(DISTINCT id) AS gold FROM gold GROUP BY 1),
+m AS (SELECT seed, world, avg(coalesce(hits, 0) / gold) AS recall FROM (SELECT unnest([1, 2, 3]) AS seed) CROSS JOIN (SELECT world FROM z) CROSS JOIN gs LEFT JOIN h USING (seed, world, question_id) GROUP BY ALL)
+SELECT size, round(avg(recall), 6) AS recall, round(stddev_pop(recall), 6) AS deviation FROM m JOIN z USING (world) GROUP BY size"""
 
 
-@query(f"""WITH gold AS ({HEADS}), o AS (SELECT seed, doc_id AS id, text, row_number() OVER (PARTITION BY seed ORDER BY (CASE WHEN doc_id IN (SELECT id FROM gold) THEN 0 ELSE 1 END), md5(seed || '|' || doc_id), doc_id) AS pl FROM documents, (SELECT unnest([1, 2, 3]) AS seed)),
-t AS (SELECT seed, size, id, {TOKENS} AS w FROM o, (SELECT unnest({list(SIX)}) AS size) WHERE pl <= size), s AS (SELECT seed, size, count(*) AS n, avg(len(w)) AS mean FROM t GROUP BY ALL),
-p AS (SELECT seed, size, id, len, term, count(*) AS tf FROM (SELECT seed, size, id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL), f AS (SELECT seed, size, term, count(*) AS df FROM p GROUP BY ALL),
+@query(f"""WITH RECURSIVE gold AS ({HELD}), {stacks_sql("SELECT doc_id AS id FROM documents")}, t AS (SELECT seed, world, id, {TOKENS} AS w FROM st JOIN documents ON doc_id = id), s AS (SELECT seed, world, count(*) AS n, avg(len(w)) AS mean FROM t GROUP BY ALL),
+p AS (SELECT seed, world, id, len, term, count(*) AS tf FROM (SELECT seed, world, id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY ALL), f AS (SELECT seed, world, term, count(*) AS df FROM p GROUP BY ALL),
 q AS (SELECT question_id, term, count(*) AS times FROM (SELECT question_id, unnest(terms) AS term FROM ({ASKED})) GROUP BY ALL),
-sc AS (SELECT seed, size, question_id, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 9) AS score FROM q JOIN p USING (term) JOIN f USING (seed, size, term) JOIN s USING (seed, size) GROUP BY ALL HAVING score > 0),
-l AS (SELECT *, row_number() OVER (PARTITION BY seed, size, question_id ORDER BY score DESC, id DESC) AS r FROM sc QUALIFY r <= 40), gs AS (SELECT question_id, count(*) AS gold FROM gold GROUP BY 1), h AS (SELECT seed, size, question_id, count(*) AS hits FROM l JOIN gold USING (question_id, id) GROUP BY ALL)
-SELECT size, round(avg(coalesce(hits, 0) / gold), 6) AS recall FROM s CROSS JOIN gs LEFT JOIN h USING (seed, size, question_id) GROUP BY size""")
+sc AS (SELECT seed, world, question_id, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 9) AS score FROM q JOIN p USING (term) JOIN f USING (seed, world, term) JOIN s USING (seed, world) GROUP BY ALL HAVING score > 0),
+l AS (SELECT *, row_number() OVER (PARTITION BY seed, world, question_id ORDER BY score DESC, id DESC) AS place FROM sc QUALIFY place <= 40), {packed_sql('l')}""")
 def scaling_keywords(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of benchmark items by keyword search over haystacks of six sizes and three seeds."""
-    return experiments.scaling_lexical(documents(spark, d), questions(spark, d), cut(passages(spark, d)), SIX, (1, 2, 3))
+    """Recall of benchmark items within 3,000 tokens by keyword search over haystacks from a 32nd of the documents to all, three seeds."""
+    docs, gold = documents(spark, d), cut(passages(spark, d))
+    levels, sizes = worlds.haystacks(docs, gold)
+    ranked = cut(worlds.lexical_rankings(docs, levels, len(sizes), questions(spark, d)))
+    return worlds.scaling(ranked, gold, docs.select("id", approx_tokens("text").alias("tokens")), sizes)
 
 
 # Extensions over events.
@@ -950,18 +996,17 @@ def ablation_sizes(spark: SparkSession, d: str) -> DataFrame:
     return chunks.size_report(both)
 
 
-HAY = f"""{GOLD}, qs AS (SELECT vec_id AS q FROM embeddings WHERE vec_id % 50 = 0), needle AS (SELECT DISTINCT id FROM gold),
-o AS (SELECT seed, vec_id AS id, row_number() OVER (PARTITION BY seed ORDER BY (CASE WHEN label IN (SELECT label FROM embeddings WHERE vec_id = 50) THEN 0 ELSE 1 END), md5(seed || '|' || vec_id), vec_id) AS p FROM embeddings, (SELECT unnest([1, 2, 3]) AS seed)),
-h AS (SELECT seed, size, id FROM o, (SELECT unnest([100, 200, 400]) AS size) WHERE p <= size),
-sc AS (SELECT h.seed, h.size, h.id, round(list_dot_product((SELECT embedding::double[] FROM embeddings WHERE vec_id = 50), v.embedding::double[]), 9) AS score FROM h JOIN embeddings v ON v.vec_id = h.id),
-t AS (SELECT *, row_number() OVER (PARTITION BY seed, size ORDER BY score DESC, id DESC) AS place FROM sc QUALIFY place <= 40)
-SELECT size, round(avg(recall), 6) AS recall FROM (SELECT seed, size, count(*) FILTER (WHERE id IN (SELECT id FROM gold WHERE question_id = 50)) / (SELECT count(*) FROM gold WHERE question_id = 50) AS recall FROM t GROUP BY ALL) GROUP BY size"""
+ALIKE = "gold AS (SELECT q.vec_id AS question_id, v.vec_id AS id FROM (SELECT * FROM embeddings JOIN documents ON doc_id = vec_id) q JOIN (SELECT * FROM embeddings JOIN documents ON doc_id = vec_id) v ON v.label = q.label AND v.source = q.source AND v.lang = q.lang WHERE q.vec_id % 50 = 0)"
 
 
-@query(f"WITH {HAY}")
+@query(f"""WITH RECURSIVE {ALIKE}, {stacks_sql("SELECT vec_id AS id FROM embeddings")}, q AS (SELECT vec_id AS question_id, embedding AS x FROM embeddings WHERE vec_id % 50 = 0),
+sc AS (SELECT question_id, vec_id AS id, round(list_dot_product(x::double[], embedding::double[]), 9) AS score FROM q, embeddings),
+l AS (SELECT seed, world, question_id, id, row_number() OVER (PARTITION BY seed, world, question_id ORDER BY score DESC, id DESC) AS place FROM sc JOIN st USING (id) QUALIFY place <= 40), {packed_sql('l')}""")
 def scaling(spark: SparkSession, d: str) -> DataFrame:
-    """Recall of one question as the haystack grows, over three seeds; each haystack holds all gold and the smaller ones."""
+    """Recall of vectors of the same label, their documents being of one source and language, within 3,000 tokens of these, haystacks from a 32nd of the vectors to all, three seeds."""
     v = vectors(spark, d)
-    one = v.where("id = 50")
-    marked = v.join(one.select("label", F.lit(True).alias("gold")), "label", "left").withColumn("gold", F.coalesce("gold", F.lit(False)))
-    return experiments.scaling(marked, one.select(F.col("id").alias("question_id"), "embedding"), (100, 200, 400), (1, 2, 3))
+    told = v.select("id", "label").join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang"), "id")
+    gold = cut(told.where("id % 50 = 0").withColumnRenamed("id", "question_id").join(told, ["label", "source", "lang"]).select("question_id", "id"))
+    levels, sizes = worlds.haystacks(v, gold)
+    ranked = cut(worlds.vector_rankings(v, levels, len(sizes), v.where("id % 50 = 0").select(F.col("id").alias("question_id"), "embedding")))
+    return worlds.scaling(ranked, gold, documents(spark, d).select("id", approx_tokens("text").alias("tokens")), sizes)
