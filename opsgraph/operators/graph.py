@@ -7,8 +7,12 @@ node), so many starts walk at once and a node with very many neighbours costs as
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from opsgraph.functions.folds import let
 from opsgraph.plans.lineage import cut
@@ -75,7 +79,9 @@ def degree(edges: DataFrame, a: str = "parent", b: str = "child") -> DataFrame:
     return edges.select(F.explode(F.array(a, b)).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
 
 
-#: Names and texts meet in the last so many characters of the name.
+#: Names of at most so many characters in all are one automaton, which every task gets.
+AUTOMATON = 4_000_000
+#: More names and texts meet in the last so many characters of the name.
 ENDING = 8
 #: If they end in no more different characters than these, only such places of a text are looked at.
 LAST = 64
@@ -84,12 +90,46 @@ LAST = 64
 def named_in(questions: DataFrame, names: DataFrame, folded: bool = True) -> DataFrame:
     """(question_id, key, name): every name (not empty) that a question's text holds; folded: letter case aside.
 
+    Names of AUTOMATON characters in all are looked for by one automaton, in one scan of a text, however
+    many names end alike. More of them meet texts in an equality join, see `_named_by_endings`.
+    """
+    fold = F.lower if folded else F.col
+    known = names.where(F.length("name") > 0).select("key", "name", fold("name").alias("_name")).distinct()
+    asked = questions.select("question_id", fold("text").alias("_text"))
+    size = known.agg(F.sum(F.length("name"))).first()[0] or 0
+    if size > AUTOMATON:
+        return _named_by_endings(asked, known)
+    rows = [(r.key, r.name, r._name) for r in known.collect()]
+    sent = questions.sparkSession.sparkContext.broadcast(rows)
+    types = {f.name: f.dataType for f in [*asked.schema, *known.schema]}
+    schema, key_type = f"question_id {types['question_id'].simpleString()}, key {types['key'].simpleString()}, name string", to_arrow_type(types["key"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, (_, _, name) in enumerate(sent.value):
+            automaton.add_word(name, [*automaton.get(name, []), i])
+        automaton.make_automaton()
+        for batch in batches if len(automaton) else ():
+            at, of = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = {k for _, held in automaton.iter(text or "") for k in held}
+                at += [i] * len(found)
+                of += found
+            keys, told = [sent.value[k][0] for k in of], [sent.value[k][1] for k in of]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, key_type), pa.array(told, pa.string())], names=["question_id", "key", "name"])
+
+    return asked.where("_text is not null").mapInArrow(scan, schema).distinct()
+
+
+def _named_by_endings(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """named_in for any number of names.
+
     A name's ending, the part in which names of one kind differ, is the key of an equality join with the
     pieces of that length of a text; whether the whole name is there is looked at after. Pieces that no
     name can end in, for their last character or their length, are left out before the join.
     """
-    fold = F.lower if folded else F.col
-    known = names.where(F.length("name") > 0).select("key", "name", fold("name").alias("_name"))
     known = known.withColumn("_end", F.substring("_name", F.greatest(F.lit(1), F.length("_name") - ENDING + 1), F.lit(ENDING)))
     kinds = known.select(F.length("_end").alias("n"), F.substring("_end", -1, 1).alias("c")).distinct().groupBy("n").agg(F.slice(F.array_sort(F.collect_set("c")), 1, LAST + 1).alias("c")).collect()  # ENDING rows at most
 
@@ -100,7 +140,6 @@ def named_in(questions: DataFrame, names: DataFrame, folded: bool = True) -> Dat
             ends = F.filter(ends, lambda i: F.get(chars, i - 1).isin(last))
         return F.transform(ends, lambda i: F.array_join(F.slice(chars, i - n + 1, n), ""))
 
-    asked = questions.select("question_id", fold("text").alias("_text"))
     none = F.array().cast("array<string>")
     every = let(F.split("_text", ""), lambda chars: F.array_distinct(F.concat(*(pieces(chars, r.n, r.c) for r in kinds)))) if kinds else none
     found = asked.select("question_id", "_text", F.explode(every).alias("_end")).join(known, "_end").where(F.contains("_text", F.col("_name")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from opsgraph.functions.text import STOPWORDS, approx_tokens, fingerprint, query_terms, stem, tokens
 from opsgraph.functions.times import month_before
-from opsgraph.operators import chunks, evaluate, experiments, fuse, graph, lexical, paths, tickets, vector, worlds
+from opsgraph.operators import ann, chunks, evaluate, experiments, fuse, graph, lexical, paths, tickets, vector, worlds
 from opsgraph.plans import arms
-from opsgraph.plans.lineage import cut
+from opsgraph.plans.lineage import cut, shared_dir
 from opsgraph.sources import bridge
 from opsgraph.sources.bridge import AS_OF, EDGES_AS_OF, oracle, table
 from opsgraph.streaming import events as streams
@@ -996,6 +997,26 @@ def ablation_sizes(spark: SparkSession, d: str) -> DataFrame:
     return chunks.size_report(both)
 
 
+@query("SELECT count(*) AS asked, true AS enough FROM embeddings WHERE vec_id % 50 = 0 HAVING count(*) > 0")
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the compressed index finds at least nine tenths of the 40 nearest of every row's, on the mean over all questions."""
+    v = vectors(spark, d)
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("question_id"), "embedding")
+    fitted = ann.quantiser(v)
+    found = ann.nearest(cut(ann.indexed(v, fitted)), v, asked, fitted)
+    return ann.recall(found, vector.nearest(v, asked)).agg(F.count("*").alias("asked"), (F.avg("recall") >= 0.9).alias("enough")).where("asked > 0")
+
+
+@query("SELECT (SELECT count(DISTINCT coalesce(text, '')) FROM documents) AS embedded, 0::bigint AS again, (SELECT count(DISTINCT text) FROM benchmark WHERE text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL)) AS later, count(*) AS vectors, count(DISTINCT coalesce(text, '')) AS different FROM documents")
+def documents_embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Documents embedded into an empty store by their content: how many texts that took, how many a second run takes, how many the benchmark's do after, and the vectors of all documents by their texts."""
+    store = ann.Store(f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", "hashed-64")
+    docs, embed = documents(spark, d), vector.hashed_embedder()
+    counts = [store.add(x, embed) for x in (docs, docs, questions(spark, d))]
+    found = store.vectors(docs).join(docs.select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")), "id")
+    return found.agg(*(F.lit(n).cast("long").alias(c) for n, c in zip(counts, ("embedded", "again", "later"))), F.count("embedding").alias("vectors"), F.countDistinct("sha").alias("different"))
+
+
 ALIKE = "gold AS (SELECT q.vec_id AS question_id, v.vec_id AS id FROM (SELECT * FROM embeddings JOIN documents ON doc_id = vec_id) q JOIN (SELECT * FROM embeddings JOIN documents ON doc_id = vec_id) v ON v.label = q.label AND v.source = q.source AND v.lang = q.lang WHERE q.vec_id % 50 = 0)"
 
 
