@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from opsgraph.functions.text import STOPWORDS, approx_tokens, fingerprint, query_terms, stem, tokens
 from opsgraph.functions.times import month_before
 from opsgraph.operators import ann, chunks, evaluate, experiments, fuse, graph, lexical, paths, tickets, vector, worlds
-from opsgraph.plans import arms
+from opsgraph.plans import arms, judge, text2sql
 from opsgraph.plans.lineage import cut, shared_dir
 from opsgraph.sources import bridge
 from opsgraph.sources.bridge import AS_OF, EDGES_AS_OF, oracle, table
@@ -724,16 +724,70 @@ def p95_by_index(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.percentile_at(table(spark, d, "events"), "event_type", "value")
 
 
-VERDICTS = "SELECT source AS arm, doc_id AS question_id, CASE doc_id % 4 WHEN 0 THEN 'Correct.' WHEN 1 THEN 'verdict: WRONG' WHEN 2 THEN 'refused' ELSE 'Incorrect' END AS reply, CASE WHEN doc_id % 10 = 0 THEN 'WRONG' ELSE CASE doc_id % 4 WHEN 0 THEN 'Correct.' WHEN 1 THEN 'verdict: WRONG' WHEN 2 THEN 'refused' ELSE 'Incorrect' END END AS again, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.5 END AS recall FROM documents"
+NEEDS = "SELECT parent AS id, p.name || ' needs ' || string_agg(c.name, ', ' ORDER BY child) AS text FROM (SELECT DISTINCT parent, child FROM edges WHERE impact) JOIN items p ON p.key = parent JOIN items c ON c.key = child GROUP BY parent, p.name"
+NATIONS = f"SELECT 'nation:' || n_nationkey AS question_id, {TOKENS.replace('text', 'n_name')} AS terms FROM nation"
+
+
+def needs(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text): of each item a sentence that names what it directly needs."""
+    i = bridge.items(spark, d)
+    named = lambda c: i.select(F.col("key").alias(c), F.col("name").alias(f"{c}_name"))
+    rows = bridge.edges(spark, d).where("impact").select("parent", "child").distinct().join(named("parent"), "parent").join(named("child"), "child")
+    found = rows.groupBy("parent", "parent_name").agg(F.array_sort(F.collect_list(F.struct("child", "child_name"))).alias("x"))  # an item needs few
+    return found.select(F.col("parent").alias("id"), F.concat("parent_name", F.lit(" needs "), F.array_join(F.transform("x", lambda c: c["child_name"]), ", ")).alias("text"))
+
+
+def nation_questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select(bridge.key("nation", "n_nationkey").alias("question_id"), F.col("n_name").alias("text"))
+
+
+@query(oracle("SELECT name AS answer, 2::bigint AS repeats FROM items WHERE cls = 'cmdb_ci_lb'", "items"))
+def generated_answer(spark: SparkSession, d: str) -> DataFrame:
+    """A question turned into SQL, by a stand-in for a model that first writes, then invents a column, and is told; what the last query gives."""
+    bridge.items(spark, d).createOrReplaceTempView("estate")
+    replies = iter(("```insert into estate select * from estate```", "```sql\nselect title from estate\n```", "Sure:\n```sql\nselect name from estate where cls = 'cmdb_ci_lb'\n```"))
+    found, _, error, repeats = text2sql.answered(spark, "Which balancers are there?", ["estate"], lambda prompt: next(replies), seconds=600)
+    if error:
+        raise ValueError(error)
+    return spark.createDataFrame([(a, repeats) for a in found], "answer string, repeats long")  # what answered() bounds
+
+
+def looks_up(prompt: str) -> str:
+    """A stand-in for a model. As one that answers, it says the longest word of the question that a record has; as a judge, whether a gold record has it."""
+    words = lambda text: set(re.findall("[a-z0-9_]+", text.lower()))
+    records, _, rest = prompt.partition("Records:\n")[2].partition("\n\nQuestion: ")
+    if prompt.endswith("Verdict:"):
+        question = prompt.partition("Question: ")[2].partition("\n\nRecords:\n")
+        gold, _, said = question[2].partition("\n\nAnswer: ")
+        said = said.removesuffix("\nVerdict:")
+        return "REFUSED" if said == judge.REFUSAL else "CORRECT" if words(said) & words(question[0]) & words(gold) else "WRONG"
+    both = sorted(words(rest.removesuffix("\nAnswer:")) & words(records), key=lambda w: (-len(w), w))
+    return both[0] if both else judge.REFUSAL
 
 
-@query(f"WITH g AS ({VERDICTS}), v AS (SELECT *, CASE WHEN contains(upper(reply), 'CORRECT') AND NOT contains(upper(reply), 'INCORRECT') THEN 'CORRECT' WHEN contains(upper(reply), 'WRONG') THEN 'WRONG' WHEN contains(upper(reply), 'REFUSED') THEN 'REFUSED' ELSE 'UNPARSED' END AS v, CASE WHEN contains(upper(again), 'CORRECT') AND NOT contains(upper(again), 'INCORRECT') THEN 'CORRECT' WHEN contains(upper(again), 'WRONG') THEN 'WRONG' WHEN contains(upper(again), 'REFUSED') THEN 'REFUSED' ELSE 'UNPARSED' END AS w FROM g) SELECT arm, count(*) AS graded, count(*) FILTER (WHERE v = 'CORRECT') AS correct, count(*) FILTER (WHERE v = 'WRONG') AS wrong, count(*) FILTER (WHERE v = 'REFUSED') AS refused, count(*) FILTER (WHERE v = 'UNPARSED') AS unparsed, count(*) FILTER (WHERE v <> w) AS flipped, count(*) FILTER (WHERE (v = 'CORRECT') = (recall >= 0.999)) AS agrees FROM v GROUP BY arm")
+JUDGED = f"""WITH {bm25_sql(TOKENS, NATIONS, docs=NEEDS, x="k_")}, q AS (SELECT 'nation:' || n_nationkey AS question_id, lower(n_name) AS word FROM nation), r AS (SELECT question_id, id FROM k_lex WHERE place <= 5), c AS (SELECT question_id, string_agg(text, chr(10)) AS context FROM r JOIN ({NEEDS}) n USING (id) GROUP BY 1),
+fixed AS (SELECT string_agg(text, chr(10)) AS context FROM (SELECT text FROM ({NEEDS}) ORDER BY md5('0|' || id), id LIMIT 5)),
+a AS (SELECT 'bm25' AS arm, question_id, word, coalesce(context, '') AS context FROM q LEFT JOIN c USING (question_id) UNION ALL SELECT 'control', question_id, word, context FROM q, fixed),
+v AS (SELECT arm, list_contains(regexp_extract_all(lower(context), '[a-z0-9_]+'), word) AS has, EXISTS (SELECT 1 FROM ({NEEDS}) n WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9_]+'), word)) AS gold FROM a)"""
+
+
+@query(oracle(f"{JUDGED} SELECT arm, count(*) AS graded, count(*) FILTER (WHERE has) AS correct, 0::bigint AS wrong, count(*) FILTER (WHERE NOT has) AS refused, 0::bigint AS unparsed, 0::bigint AS flipped, (SELECT count(*) FROM q) > (SELECT count(*) FILTER (WHERE has) FROM v WHERE arm = 'control') AS passes FROM v GROUP BY arm", "items", "edges"))
 def judge_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Replies of a judge, here made from document ids, counted by arm."""
-    word = lambda n: F.when(n == 0, "Correct.").when(n == 1, "verdict: WRONG").when(n == 2, "refused").otherwise("Incorrect")
-    four = word(F.col("doc_id") % 4)
-    graded = table(spark, d, "documents").select(F.col("source").alias("arm"), F.col("doc_id").alias("question_id"), four.alias("reply"), F.when(F.col("doc_id") % 10 == 0, "WRONG").otherwise(four).alias("again"), F.when(F.col("doc_id") % 3 == 0, 1.0).otherwise(0.5).alias("recall"))
-    return evaluate.verdicts(graded)
+    """Nations asked for by name, answered from what keyword search and a fixed draw of records give, graded twice, beside the gate: answers from gold records must be right more often than from random ones."""
+    docs, asked = cut(needs(spark, d)), nation_questions(spark, d)
+    joined = lambda ranking: ranking.where("place <= 5").join(docs, "id").groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("context"))  # noqa: E731  five texts
+    rankings = {"bm25": lexical.search(lexical.index(docs), asked), "control": fuse.control(docs, asked)}
+    # A record that has the question's word is gold; one of them is shown to the judge.
+    word = F.lower("text")
+    gold = asked.select("question_id", word.alias("term")).join(docs.select(F.explode(F.array_distinct(F.regexp_extract_all(word, F.lit("([a-z0-9_]+)")))).alias("term"), F.col("text").alias("gold_text")), "term").groupBy("question_id").agg(F.min("gold_text").alias("gold_text"))
+    told = cut(asked.select("question_id", F.col("text").alias("question")).join(gold, "question_id", "left"))
+    rows = None
+    for arm, ranking in rankings.items():
+        own = told.join(joined(ranking), "question_id", "left").select(F.lit(arm).alias("arm"), "question_id", "question", "context", "gold_text", F.lit(1.0).alias("recall"))
+        rows = own if rows is None else rows.unionByName(own)
+    random = joined(rankings["control"]).withColumnRenamed("context", "random_text")
+    found, gate = judge.judged(rows, told.join(random, "question_id"), looks_up)
+    return found.drop("agrees").join(gate.select("passes"))  # one row
 
 
 # Experiments.
@@ -797,23 +851,6 @@ def damage_peak(spark: SparkSession, d: str) -> DataFrame:
     return experiments.peaks(many_runs(spark, d).groupBy("seed", "fraction").agg(F.count_if((found > 0) & (found < gold)).alias("short")))
 
 
-NEEDS = "SELECT parent AS id, p.name || ' needs ' || string_agg(c.name, ', ' ORDER BY child) AS text FROM (SELECT DISTINCT parent, child FROM edges WHERE impact) JOIN items p ON p.key = parent JOIN items c ON c.key = child GROUP BY parent, p.name"
-NATIONS = f"SELECT 'nation:' || n_nationkey AS question_id, {TOKENS.replace('text', 'n_name')} AS terms FROM nation"
-
-
-def needs(spark: SparkSession, d: str) -> DataFrame:
-    """(id, text): of each item a sentence that names what it directly needs."""
-    i = bridge.items(spark, d)
-    named = lambda c: i.select(F.col("key").alias(c), F.col("name").alias(f"{c}_name"))
-    rows = bridge.edges(spark, d).where("impact").select("parent", "child").distinct().join(named("parent"), "parent").join(named("child"), "child")
-    found = rows.groupBy("parent", "parent_name").agg(F.array_sort(F.collect_list(F.struct("child", "child_name"))).alias("x"))  # an item needs few
-    return found.select(F.col("parent").alias("id"), F.concat("parent_name", F.lit(" needs "), F.array_join(F.transform("x", lambda c: c["child_name"]), ", ")).alias("text"))
-
-
-def nation_questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select(bridge.key("nation", "n_nationkey").alias("question_id"), F.col("n_name").alias("text"))
-
-
 #: Of a nation's question: the first eight records by vectors, and by vectors and keywords fused, as seeds of walks.
 ARM_SEEDS = f"""{bm25_sql(TOKENS, NATIONS, docs=NEEDS, x="k_")},
 nq AS (SELECT 'nation:' || n_nationkey AS question_id, n_nationkey AS v FROM nation), vs AS (SELECT question_id, e.vec_id AS id, round(list_dot_product(x.embedding::double[], e.embedding::double[]), 9) AS score FROM nq JOIN embeddings x ON x.vec_id = nq.v, embeddings e),

@@ -251,10 +251,31 @@ def test_unknown_names_are_refused(spark):
         records.resolved(rows, dim, "type_name")
 
 
-@pytest.mark.parametrize("bad", ["drop table x", "select 1; select 2", "with a as (select 1) insert into t select * from a", "explain select 1", "select * from parquet.`/x`", "select * from json . `/x`", "with recursive r as (select 1 as n union all select n + 1 from r) select * from r", "with recursive r max recursion level 500 as (select 1 as n union all select n + 1 from r) select n from r"])
-def test_generated_queries_only_read(bad):
+BAD = """drop table x; select 1; select 2 ;; with a as (select 1) insert into t select * from a; explain select 1; select * from parquet.`/x`; select * from json . `/x`; set x = 1; cache table t; create view v as select 1
+select a from t where a in (select b from csv.`/x`); select (select max(a) from parquet.`/x`); with c as (select * from orc.`/x`) select 1; from t insert into u select *; select reflect('java.lang.System', 'exit', '1'); select a, upper(java_method('a', 'b')) from t; select * from read_files('/x')
+with recursive r as (select 1 as n union all select n + 1 from r) select * from r; with recursive r max recursion level 500 as (select 1 as n union all select n + 1 from r) select n from r; selec 1; refresh table t; use db; load data inpath '/x' into table t; add jar '/x'; describe t; """
+
+
+@pytest.mark.parametrize("bad", [q for line in BAD.splitlines() for q in line.replace("1; select 2 ;;", "1\x00 select 2;").split("; ")])
+def test_generated_queries_only_read(spark, bad):
     with pytest.raises(text2sql.Refused):
-        text2sql.guarded(bad)
+        text2sql.guarded(spark, bad.replace("\x00", ";"))
+
+
+GOOD = """select `set`, load from t -- drop table t
+select 'insert into t; drop table t' as create, add as delete from (select 1 as add)
+select a from t where exists (select 1 from u) union all (values (1)) order by a limit 5 offset 1
+with a as (select 1 as x), b as (select * from a) select * from b join a using (x) lateral view explode(array(1)) e as y
+select * from t pivot (sum(a) for b in (1, 2))
+from t |> where a > 1 |> aggregate count(*) group by b
+select count(*) over w from t window w as (order by a)
+select * from default.t tablesample (10 percent), lateral (select a + 1)
+with recursive r(n) max recursion level 10 as (select 1 union all select n + 1 from r where n < 4) select n from r"""
+
+
+@pytest.mark.parametrize("good", GOOD.splitlines())
+def test_reading_is_allowed_whatever_things_are_called(spark, good):
+    assert text2sql.guarded(spark, good) == good
 
 
 def test_bounded_recursion_is_run(spark):
