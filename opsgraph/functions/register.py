@@ -1,4 +1,4 @@
-"""Functions for SQL: approx_tokens, bm25_idf, out_of_hours, stem, and the table function terms."""
+"""Functions for SQL: approx_tokens, bm25_idf, out_of_hours, stem, and the table functions terms and pack."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import re
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udf, udtf
 
+from opsgraph.functions.tables import Pack
+
 SQL = {
     "approx_tokens": ("t STRING", "INT", "greatest(1, cast(length(t) div 4 AS INT))"),
     "bm25_idf": ("n BIGINT, df BIGINT", "DOUBLE", "ln(1 + (n - df + 0.5D) / (df + 0.5D))"),
@@ -43,4 +45,5 @@ def register(spark: SparkSession) -> None:
     for name, (arguments, kind, body) in SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
     spark.udtf.register("terms", Terms)
+    spark.udtf.register("pack", Pack)
     spark.udf.register("stem", _stem)

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opsgraph.functions.register import register
 from opsgraph.functions.text import STOPWORDS, approx_tokens, fingerprint, query_terms, stem, tokens
 from opsgraph.functions.times import month_before
 from opsgraph.operators import ann, chunks, evaluate, experiments, fuse, graph, lexical, paths, tickets, vector, worlds
@@ -741,6 +742,36 @@ def nation_questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(bridge.key("nation", "n_nationkey").alias("question_id"), F.col("n_name").alias("text"))
 
 
+#: Of each source the 40 longest documents, and which of them, in this order, fit into 20,000 tokens; for Spark, functions of ours and all.
+PACKED = """SELECT run AS source, id AS doc_id, place, used FROM pack(TABLE(
+    SELECT source AS run, doc_id AS id, approx_tokens(text) AS tokens, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS place FROM sourced WHERE text IS NOT NULL) WHERE place <= 40
+) PARTITION BY run ORDER BY (place), 20000)"""
+
+
+@query("""WITH RECURSIVE r AS (SELECT source, doc_id, greatest(1, length(text) // 4) AS t, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS p FROM documents WHERE text IS NOT NULL QUALIFY p <= 40),
+k(source, p, used, place, doc_id) AS (SELECT DISTINCT source, 0, 0::bigint, 0, NULL::bigint FROM r UNION ALL SELECT k.source, k.p + 1, CASE WHEN used + t <= 20000 THEN used + t ELSE used END, CASE WHEN used + t <= 20000 THEN place + 1 ELSE place END, CASE WHEN used + t <= 20000 THEN r.doc_id END FROM k JOIN r ON r.source IS NOT DISTINCT FROM k.source AND r.p = k.p + 1)
+SELECT source, doc_id, place::int AS place, used FROM k WHERE doc_id IS NOT NULL""")
+def packed_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed into a budget by source, in SQL alone."""
+    register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("sourced")
+    return spark.sql(PACKED)
+
+
+@query(f"""WITH {VEC}, n AS (SELECT question_id, id FROM vec WHERE place <= 20), g AS (SELECT q.vec_id AS question_id, v.vec_id AS id FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 50 = 0)
+SELECT question_id, (SELECT count(*) FROM (SELECT id FROM n WHERE n.question_id = q.question_id INTERSECT SELECT id FROM g WHERE g.question_id = q.question_id)) AS both, (SELECT count(*) FROM (SELECT id FROM n WHERE n.question_id = q.question_id EXCEPT SELECT id FROM g WHERE g.question_id = q.question_id)) AS found_only, (SELECT count(*) FROM (SELECT id FROM g WHERE g.question_id = q.question_id EXCEPT SELECT id FROM n WHERE n.question_id = q.question_id)) AS gold_only FROM (SELECT DISTINCT question_id FROM g) q""")
+def found_and_gold(spark: SparkSession, d: str) -> DataFrame:
+    """Of each question the records that a ranking's first 20 and its gold share, and those that only one has."""
+    v = vectors(spark, d)
+    found = cut(vector_ranking(spark, d).where("place <= 20").select("question_id", "id"))
+    gold = cut(v.where("id % 50 = 0").select(F.col("id").alias("question_id"), "label").join(v.select("id", "label"), "label").select("question_id", "id"))
+    sides = {"both": found.intersect(gold), "found_only": found.subtract(gold), "gold_only": gold.subtract(found)}
+    every = gold.select("question_id").distinct()
+    for name, rows in sides.items():
+        every = every.join(rows.groupBy("question_id").agg(F.count("*").alias(name)), "question_id", "left")
+    return every.fillna(0)
+
+
 @query(oracle("SELECT name AS answer, 2::bigint AS repeats FROM items WHERE cls = 'cmdb_ci_lb'", "items"))
 def generated_answer(spark: SparkSession, d: str) -> DataFrame:
     """A question turned into SQL, by a stand-in for a model that first writes, then invents a column, and is told; what the last query gives."""

@@ -694,3 +694,19 @@ def test_related_incidents_are_recent_and_alike(spark):
     assert 0.15 < named.count() / 3000 < 0.25 and both.count() == named.count() == both.where("category = c2 and o2 <= opened_at").count()
     pairs = rows.where("ci_key is not null").groupBy("ci_key", "category").count()
     assert rows.where("duplicate_of is not null").count() > 100 and pairs.where("count > 1").count() > 200
+
+
+def test_packing_as_a_table_function(spark):
+    from pyspark.errors import AnalysisException
+
+    from opsgraph.functions.register import register
+
+    register(spark)
+    rows = [("q", 1, 10, 2000), ("q", 2, 11, 1500), ("q", 3, 12, 900), ("q", 4, 13, None), ("q", 5, 14, 200), ("r", 1, 15, 9000), (None, 1, 16, 3000), (None, 2, 17, 0)]
+    spark.createDataFrame(rows, "run string, place int, id long, tokens int").createOrReplaceTempView("to_pack")
+    got = spark.sql("select * from pack(table(to_pack) partition by run order by (place), 3000)").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("q", 10, 1, 2000), ("q", 12, 2, 2900), (None, 16, 1, 3000), (None, 17, 2, 3000)], key=str)
+    assert spark.sql("select * from pack(table(select * from to_pack where false) partition by run order by (place), 10)").count() == 0
+    for wrong in ("pack(table(select 1 as run) partition by run, 5)", "pack(table(to_pack) partition by run, 'x')", "pack(1, 5)"):
+        with pytest.raises(AnalysisException, match="pack"):
+            spark.sql(f"select * from {wrong}").collect()
