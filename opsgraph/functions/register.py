@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udf, udtf
+from pyspark.sql.functions import udtf
 
 from opsgraph.functions.tables import Pack
 
 SQL = {
     "approx_tokens": ("t STRING", "INT", "greatest(1, cast(length(t) div 4 AS INT))"),
     "bm25_idf": ("n BIGINT, df BIGINT", "DOUBLE", "ln(1 + (n - df + 0.5D) / (df + 0.5D))"),
+    # functions.text.stem: plural endings first, then those of the past and the gerund where a vowel stays.
+    "stem_plural": ("t STRING", "STRING", "CASE WHEN endswith(t, 'sses') OR endswith(t, 'ies') THEN left(t, length(t) - 2) WHEN endswith(t, 's') AND NOT endswith(t, 'ss') THEN left(t, length(t) - 1) ELSE t END"),
+    "stem_past": ("t STRING", "STRING", "CASE WHEN t RLIKE '^.*[aeiou].*eed$' AND length(t) >= 6 THEN left(t, length(t) - 2) WHEN t RLIKE '^.*[aeiou].*ed$' AND length(t) >= 5 THEN left(t, length(t) - 2) WHEN t RLIKE '^.*[aeiou].*ing$' AND length(t) >= 6 THEN left(t, length(t) - 3) ELSE t END"),
+    "stem": ("t STRING", "STRING", "CASE WHEN length(t) <= 3 OR t RLIKE '[0-9]' THEN t ELSE coalesce(nullif(stem_past(stem_plural(t)), ''), 'x') END"),
     "out_of_hours": ("at TIMESTAMP_NTZ", "BOOLEAN", "weekday(at) >= 5 OR hour(at) < 8 OR hour(at) >= 18"),
 }
 
@@ -24,26 +28,9 @@ class Terms:
         yield from enumerate(re.findall("[a-z0-9_]+", (text or "").lower()))
 
 
-@udf(returnType="string", useArrow=True)
-def _stem(term: str) -> str:
-    """functions.text.stem, for SQL; in a DataFrame the expression is better."""
-    if term is None or len(term) <= 3 or re.search("[0-9]", term):
-        return term
-    for ending, less in (("sses", 2), ("ies", 2), ("ss", 0), ("s", 1)):
-        if term.endswith(ending):
-            term = term[: len(term) - less]
-            break
-    for ending, more in (("eed", "e"), ("ed", ""), ("ing", "")):
-        left = term[: -len(ending)]
-        if term.endswith(ending) and len(left) >= 3 and re.search("[aeiou]", left):
-            return left + more
-    return term or "x"
-
-
 def register(spark: SparkSession) -> None:
     """Makes them known to a session, until it ends."""
     for name, (arguments, kind, body) in SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
     spark.udtf.register("terms", Terms)
     spark.udtf.register("pack", Pack)
-    spark.udf.register("stem", _stem)

@@ -1,5 +1,6 @@
 """Operators on small hand-made tables."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -320,15 +321,40 @@ def test_stream_upserts(spark, sf_dir, tmp_path):
     rows.repartition(2).write.parquet(str(tmp_path / "in"))
     q = events.upsert_to(events.stream(spark, str(tmp_path / "in")), str(tmp_path / "t"), "user_id", "event_id", str(tmp_path / "ck"))
     q.awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "t"))
+    last = events.upserted(spark, str(tmp_path / "t"), rows.schema)
     want = {r.user_id: r.m for r in rows.groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
-    assert {r.user_id: r.event_id for r in last.collect()} == want and last.count() == len(want)
-    part = last.first()._part
-    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").glob("_part=*/*.parquet")}
-    rows.where(F.pmod(F.xxhash64("user_id"), F.lit(64)) == part).withColumn("event_id", F.col("event_id") + 10**6).coalesce(1).write.parquet(str(tmp_path / "in2"))
+    assert {r.user_id: r.event_id for r in last.collect()} == want and last.count() == len(want) and last.columns == rows.columns
+    before = json.loads((tmp_path / "t" / events.POINTER).read_text())["now"]
+    one = rows.where(F.pmod(F.xxhash64("user_id"), F.lit(64)) == int(min(before, key=int)))
+    one.withColumn("event_id", F.col("event_id") + 10**6).coalesce(1).write.parquet(str(tmp_path / "in2"))
     events.upsert_to(events.stream(spark, str(tmp_path / "in2")), str(tmp_path / "t"), "user_id", "event_id", str(tmp_path / "ck2")).awaitTermination()
-    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").glob("_part=*/*.parquet")}
-    assert 0 < len(before.keys() - after.keys()) < len(before) and spark.read.parquet(str(tmp_path / "t")).where("event_id >= 1000000").count() > 0
+    after = json.loads((tmp_path / "t" / events.POINTER).read_text())["now"]
+    assert sum(before[p] != after[p] for p in before) == 1  # just the touched one
+    assert events.upserted(spark, str(tmp_path / "t"), rows.schema).where("event_id >= 1000000").count() == one.select("user_id").distinct().count()
+
+
+def test_an_upsert_that_dies_before_the_switch_changes_nothing(spark, tmp_path, monkeypatch):
+    schema, folder = events.SCHEMA, str(tmp_path / "t")
+    row = lambda i, user, value: (i, datetime(2024, 1, 1), user, "e", value, "{}")
+    kept = lambda: {r.user_id: (r.event_id, r.value) for r in events.upserted(spark, folder, schema).collect()}
+    run = lambda: events.upsert_to(events.stream(spark, str(tmp_path / "in")), folder, "user_id", "event_id", str(tmp_path / "ck"), 4).awaitTermination()
+    assert events.upserted(spark, folder, schema).count() == 0
+    spark.createDataFrame([row(1, 1, 1.0), row(2, 2, 2.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    run()
+    assert kept() == {1: (1, 1.0), 2: (2, 2.0)}
+    spark.createDataFrame([row(3, 1, 3.0), row(4, 3, 4.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def dies(*_):
+        raise OSError("lost before the switch")
+
+    with monkeypatch.context() as m:
+        m.setattr(events, "_point", dies)
+        with pytest.raises(Exception, match="lost"):
+            run()
+    assert kept() == {1: (1, 1.0), 2: (2, 2.0)}
+    run()
+    run()
+    assert kept() == {1: (3, 3.0), 2: (2, 2.0), 3: (4, 4.0)}
 
 
 def test_index_finds_nine_in_ten(spark, sf_dir):
