@@ -1,4 +1,10 @@
-"""A Python data source over a paged service: pages are partitions, filters go to the service, and a page that keeps failing is an error or a row that says so."""
+"""A Python data source over a paged service, to read, to follow as a stream and to write.
+
+Reading: pages are partitions, filters go to the service, and a page that keeps failing is an error or a
+row that says so. Following: offsets are numbers of rows, so a stream goes on from its checkpoint.
+Writing: rows go in bulk under keys, so a repeated call or task adds nothing, and a write that falls
+short takes back what it added.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +12,13 @@ import json
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import batched
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql import Row
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 #: The column that takes the message of a page that couldn't be read.
 ERROR = "_error"
@@ -87,6 +97,86 @@ class FilteredReader(PagedReader):
                 yield f
 
 
+class Followed(DataSourceStreamReader):
+    """PagedReader's options but total. An offset is how many rows the service has; those between two are read by pages.
+
+    Rows must keep their places and be added at the end. Spark keeps the offsets in the stream's checkpoint:
+    rows read by a batch that wasn't committed are read again, by the same pages, and no other ones are.
+    """
+
+    def __init__(self, options, fields: list[str]):
+        self.pages = PagedReader(options, fields)
+
+    def initialOffset(self) -> dict:  # noqa: N802  the interface's names
+        return {"rows": self.pages.begin}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"rows": max(self.pages.begin, count(self.pages.url, self.pages.query, self.pages.attempts))}
+
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        return [Page(a, min(self.pages.size, end["rows"] - a)) for a in range(start["rows"], end["rows"], self.pages.size)]
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        return self.pages.read(partition)
+
+    def commit(self, end: dict) -> None:
+        """The service keeps nothing for a reader."""
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task sent, and what the service says it has of that."""
+
+    sent: int
+    taken: int
+
+
+class BulkWriter(DataSourceWriter):
+    """Options: url, key (a column that names each row), page, attempts, run (what marks the rows of this write).
+
+    Each page is one call, {"key": ..., "run": ..., "records": [...]}, to which the service answers how many of the keys it
+    now has, as {"taken": n}. It puts a row in the place of one with its key, so calls and tasks may be
+    repeated. If it has fewer in the end than were sent, the write is an error; a write that fails takes
+    back its rows by its run.
+    """
+
+    def __init__(self, options, fields: list[str]):
+        self.url, self.key, self.fields = options["url"], options["key"], fields
+        self.size, self.attempts = int(options.get("page", "1000")), int(options.get("attempts", "4"))
+        self.run = options.get("run") or uuid.uuid4().hex
+        if self.key not in fields:
+            raise ValueError(f"the rows have no column {self.key}, which is to be their key")
+
+    def _call(self, method: str, told: dict) -> dict:
+        asked = urllib.request.Request(self.url, json.dumps(told, default=str).encode(), {"Content-Type": "application/json"}, method=method)
+        for left in reversed(range(self.attempts)):
+            try:
+                with urllib.request.urlopen(asked, timeout=60) as reply:
+                    return json.load(reply)
+            except (OSError, ValueError):
+                if not left:
+                    raise
+                time.sleep(0.1 * 2 ** (self.attempts - left))
+        raise ValueError("attempts must be 1 at least")
+
+    def write(self, iterator: Iterator[Row]) -> Written:
+        sent = taken = 0
+        for page in batched(iterator, self.size):
+            records = {str(r[self.key]): dict(zip(self.fields, r)) for r in page}
+            sent += len(records)
+            taken += self._call("POST", {"key": self.key, "run": self.run, "records": list(records.values())})["taken"]
+        return Written(sent, taken)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        sent, taken = (sum(getattr(m, c) for m in messages if m) for c in ("sent", "taken"))
+        if taken < sent:
+            self.abort(messages)
+            raise ValueError(f"{sent - taken} of {sent} rows were not written")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._call("DELETE", {"run": self.run})
+
+
 class PagedSource(DataSource):
     """spark.dataSource.register(PagedSource); spark.read.format("paged").schema("a string, ...").option("url", ...).load()
 
@@ -103,3 +193,11 @@ class PagedSource(DataSource):
     def reader(self, schema) -> PagedReader:
         kind = FilteredReader if self.options.get("pushdown", "false") == "true" else PagedReader
         return kind(self.options, schema.fieldNames())
+
+    def streamReader(self, schema) -> Followed:  # noqa: N802
+        return Followed(self.options, schema.fieldNames())
+
+    def writer(self, schema, overwrite: bool) -> BulkWriter:
+        if overwrite:
+            raise ValueError("the service's rows are added to or replaced by key: write with mode append")
+        return BulkWriter(self.options, schema.fieldNames())
