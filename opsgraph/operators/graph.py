@@ -94,13 +94,12 @@ def named_in(questions: DataFrame, names: DataFrame, folded: bool = True) -> Dat
     many names end alike. More of them meet texts in an equality join, see `_named_by_endings`.
     """
     fold = F.lower if folded else F.col
-    known = names.where(F.length("name") > 0).select("key", "name", fold("name").alias("_name")).distinct()
+    known = names.where(F.length("name") > 0).select("key", "name", fold("name").alias("_name"))
     asked = questions.select("question_id", fold("text").alias("_text"))
     size = known.agg(F.sum(F.length("name"))).first()[0] or 0
     if size > AUTOMATON:
         return _named_by_endings(asked, known)
-    rows = [(r.key, r.name, r._name) for r in known.collect()]
-    sent = questions.sparkSession.sparkContext.broadcast(rows)
+    sent = questions.sparkSession.sparkContext.broadcast([c.to_pylist() for c in known.toArrow().columns])
     types = {f.name: f.dataType for f in [*asked.schema, *known.schema]}
     schema, key_type = f"question_id {types['question_id'].simpleString()}, key {types['key'].simpleString()}, name string", to_arrow_type(types["key"])
 
@@ -108,7 +107,8 @@ def named_in(questions: DataFrame, names: DataFrame, folded: bool = True) -> Dat
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for i, (_, _, name) in enumerate(sent.value):
+        keys, names_, looked_for = sent.value
+        for i, name in enumerate(looked_for):
             automaton.add_word(name, [*automaton.get(name, []), i])
         automaton.make_automaton()
         for batch in batches if len(automaton) else ():
@@ -117,8 +117,7 @@ def named_in(questions: DataFrame, names: DataFrame, folded: bool = True) -> Dat
                 found = {k for _, held in automaton.iter(text or "") for k in held}
                 at += [i] * len(found)
                 of += found
-            keys, told = [sent.value[k][0] for k in of], [sent.value[k][1] for k in of]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, key_type), pa.array(told, pa.string())], names=["question_id", "key", "name"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([keys[k] for k in of], key_type), pa.array([names_[k] for k in of], pa.string())], names=["question_id", "key", "name"])
 
     return asked.where("_text is not null").mapInArrow(scan, schema).distinct()
 

@@ -42,6 +42,10 @@ def starts(spark: SparkSession, *keys: str) -> DataFrame:
     return spark.createDataFrame([(k,) for k in keys], "start string")
 
 
+def nations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select(bridge.key("nation", "n_nationkey").alias("start"))
+
+
 # Traversal. REACH gives start, node and least hop; UNION keeps each (start, node, hop) once.
 
 
@@ -117,24 +121,24 @@ def filter_value(spark: SparkSession, d: str) -> DataFrame:
     return begin.join(count(e.where("impact"), "filtered"), "start", "left").join(count(e, "unfiltered"), "start", "left").fillna(0)
 
 
-NATION = "SELECT 'nation:3' AS start, 'nation:3' AS node, 0 AS hop"
+NATION = "SELECT 'nation:' || n_nationkey AS start, 'nation:' || n_nationkey AS node, 0 AS hop FROM nation"
 
 
 @query(oracle(f"""WITH back AS (SELECT dst AS src, src AS dst FROM supports), {reach_sql(NATION, 'supports', 4, 'u')}, {reach_sql(NATION, 'back', 4, 'n')},
 a AS (SELECT start, node, hop, CASE WHEN hop = 0 THEN 'start' ELSE 'up' END AS way FROM u UNION ALL SELECT start, node, hop, 'down' FROM n WHERE hop > 0),
 p AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hop, node) AS place FROM a) SELECT start, node, hop::int AS hop, way, place::int AS place FROM p WHERE place <= 80""", "supports", recursive=True))
 def walk(spark: SparkSession, d: str) -> DataFrame:
-    """A nation's neighbourhood both ways, the nearest 80."""
-    return graph.walk(bridge.supports(spark, d), starts(spark, "nation:3"))
+    """Every nation's neighbourhood both ways, the nearest 80 of each."""
+    return graph.walk(bridge.supports(spark, d), nations(spark, d))
 
 
 @query(oracle("""WITH e AS (SELECT child AS src, parent AS dst, last_discovered FROM edges WHERE impact),
-w(node, oldest, hops) AS (SELECT 'nation:3', CAST(NULL AS timestamp), 0 UNION SELECT e.dst, CASE WHEN w.oldest IS NULL THEN e.last_discovered WHEN e.last_discovered IS NULL THEN w.oldest ELSE least(w.oldest, e.last_discovered) END, w.hops + 1 FROM w JOIN e ON e.src = w.node WHERE w.hops < 3)
-SELECT node, oldest, min(hops)::int AS hops, coalesce(date_diff('day', oldest::date, DATE '2002-01-01'), -1)::int AS days FROM w WHERE hops > 0 GROUP BY node, oldest""", "edges", recursive=True))
+w(start, node, oldest, hops) AS (SELECT 'nation:' || n_nationkey, 'nation:' || n_nationkey, CAST(NULL AS timestamp), 0 FROM nation UNION SELECT w.start, e.dst, CASE WHEN w.oldest IS NULL THEN e.last_discovered WHEN e.last_discovered IS NULL THEN w.oldest ELSE least(w.oldest, e.last_discovered) END, w.hops + 1 FROM w JOIN e ON e.src = w.node WHERE w.hops < 3)
+SELECT start, node, oldest, min(hops)::int AS hops, coalesce(date_diff('day', oldest::date, DATE '2002-01-01'), -1)::int AS days FROM w WHERE hops > 0 GROUP BY start, node, oldest""", "edges", recursive=True))
 def evidence_age(spark: SparkSession, d: str) -> DataFrame:
     e = bridge.edges(spark, d).where("impact").select(F.col("child").alias("src"), F.col("parent").alias("dst"), "last_discovered")
-    found = graph.oldest_evidence(e, starts(spark, "nation:3"), 3)
-    return found.select("node", "oldest", "hops", F.coalesce(F.datediff(stamp(EDGES_AS_OF), "oldest"), F.lit(-1)).alias("days"))
+    found = graph.oldest_evidence(e, nations(spark, d), 3)
+    return found.select("start", "node", "oldest", "hops", F.coalesce(F.datediff(stamp(EDGES_AS_OF), "oldest"), F.lit(-1)).alias("days"))
 
 
 EVENT_GRAPH = "SELECT DISTINCT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events"
