@@ -4,8 +4,9 @@ Heuristic labellers vote good, bad or abstain on every text. How often each patt
 among all documents is counted (the patterns are bounded, 3 to the number of labellers); on the counts,
 expectation-maximisation estimates each labeller's accuracy in either class and the share of good
 documents. The posterior of its vote pattern labels a text, and on a bounded sample of such labels a
-linear scorer is trained over hashed words, pairs of neighbouring words and character n-grams. It never
-sees what the labellers measure, and scores every whole text from its own features.
+linear scorer is trained over hashed words, pairs of neighbouring words, character n-grams, the number of
+words and the share of equal neighbouring ones. It scores every whole text from its own features, of which
+the last two are also what two of the labellers measure.
 """
 
 from __future__ import annotations

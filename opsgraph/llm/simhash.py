@@ -456,8 +456,9 @@ def similar(own: DataFrame, named: DataFrame, linked: DataFrame, size: int = WOR
     own: (_key, _t, _text), named: (_key, _t, k) with k the name of the text's set of shingles. Two such
     sets have a shingle in common within the first n - ceil(similarity n) + 1 of each in any one order
     (prefix filtering), and by its places can still be similar. So texts meet in buckets by the shingles
-    of their prefixes, the rarest ones, and the sets decide. No pair is left out by chance; in a large
-    bucket only pairs that are in one group already are.
+    of their prefixes, the rarest ones, and the sets decide. No pair fails to meet by chance; in a large
+    bucket only pairs that are in one group already are left out. Of sets of PRINTED or more shingles
+    `_alike` drops pairs by random prints, which a true pair fails with a chance beyond FAR deviations.
     """
     (up, down), spark = _bounds(similarity), own.sparkSession
     sent = spark.sparkContext.broadcast(_order(own, size, similarity))
