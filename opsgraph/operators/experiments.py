@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opsgraph.operators.fuse import seeded_order
 from opsgraph.operators.graph import reach
+from opsgraph.plans.lineage import cut
 
 SEEDS, FRACTIONS = (1, 2, 3), (0.0, 0.1, 0.2, 0.4, 0.6)
 
@@ -63,6 +64,23 @@ def dropped_exactly(edges: DataFrame, seed: int, fraction: float) -> DataFrame:
     return ranked.where(F.col("_i") > F.floor(F.col("_n") * fraction)).select("src", "dst")
 
 
+def without(edges: DataFrame, lost: DataFrame) -> DataFrame:
+    """edges (src, dst, ...) without those of lost (src, dst), which must all be among them, each once: else an error, for what is measured then isn't what was asked for."""
+    left = cut(edges.join(lost.select("src", "dst"), ["src", "dst"], "left_anti"))
+    had, gone, now = edges.count(), lost.count(), left.count()
+    if had - gone != now:
+        raise ValueError(f"{had} edges less {gone} are {had - gone}, but {now} are left")
+    return left
+
+
+def restored(left: DataFrame, lost: DataFrame, whole: int) -> DataFrame:
+    """The edges left and those lost, if together they are as many different ones as before; else an error."""
+    back = cut(left.unionByName(lost).dropDuplicates(["src", "dst"]))
+    if (now := back.count()) != whole:
+        raise ValueError(f"{now} edges are back, not {whole}")
+    return back
+
+
 def crossing(means: DataFrame, falling: str, other: str) -> DataFrame:
     """One row: the first fraction at which `falling` is no better than `other`; null if it always is. means: (fraction, arm, recall)."""
     side = lambda a: means.where(F.col("arm") == a).select("fraction", F.col("recall").alias(a))

@@ -113,14 +113,14 @@ def _with_related(rows: DataFrame) -> DataFrame:
     return placed.withColumn("_wanted", wanted).join(pool, ["category", "_wanted"], "left")
 
 
-def changes(spark: SparkSession, services: int, n: int, seed: int, incident_share: float = 0.15) -> DataFrame:
-    """Changes with planned and actual times, one in seven never begun, some raised after an incident."""
+def changes(spark: SparkSession, services: int, n: int, seed: int, incident_share: float = 0.15, incidents_: DataFrame | None = None) -> DataFrame:
+    """Changes with planned and actual times, one in seven never begun. With incidents (number, ci_key, opened_at) some, where there is one, were raised after the last incident on their item before them."""
     u = lambda slot: uniform(seed, "chg" + slot, "id")
     start = F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval((2 + F.floor(u("date") * 700)).cast("int"), F.floor(u("hour") * 24).cast("int"))
     planned = 30 + F.floor(u("plan") * 240)
     minutes = lambda m: F.make_dt_interval(F.lit(0), F.lit(0), m.cast("int"))
     begun = u("begun") >= 1 / 7
-    return spark.range(n).select(
+    made = spark.range(n).select(
         F.concat(F.lit("CHG"), F.lpad((F.col("id") + 1_000_000).cast("string"), 7, "0")).alias("number"),
         F.concat(F.lit("Update of "), chosen(DOMAINS, u("domain"))).alias("short_description"), F.lit("Planned work").alias("description"),
         F.concat(F.lit("svc-"), F.lpad(F.floor(u("item") * services).cast("long").cast("string"), 6, "0")).alias("ci_key"),
@@ -128,8 +128,14 @@ def changes(spark: SparkSession, services: int, n: int, seed: int, incident_shar
         start.alias("planned_start"), (start + minutes(planned)).alias("planned_end"),
         F.when(begun, start).alias("actual_start"), F.when(begun, start + minutes(planned * (0.6 + u("run")))).alias("actual_end"),
         F.when(u("code") < 0.9, "successful").otherwise("unsuccessful").alias("close_code"),
-        F.when(u("after") < incident_share, F.concat(F.lit("INC"), F.lpad((F.floor(u("which") * 1000) + 1_000_000).cast("string"), 7, "0"))).alias("raised_after_incident"),
+        (u("after") < incident_share).alias("_after"),
     )
+    if incidents_ is None:
+        return made.withColumn("raised_after_incident", F.lit(None).cast("string")).drop("_after")
+    own = incidents_.where("ci_key is not null").select("ci_key", F.col("number").alias("_number"), "opened_at")
+    before = made.where("_after").select("number", "ci_key", "planned_start").join(own, "ci_key").where("opened_at < planned_start")
+    last = before.groupBy("number").agg(F.max_by("_number", F.struct("opened_at", "_number")).alias("raised_after_incident"))
+    return made.drop("_after").join(last, "number", "left")
 
 
 def problems(incidents_: DataFrame, seed: int) -> DataFrame:

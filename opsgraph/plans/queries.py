@@ -358,6 +358,14 @@ def reactive_trap(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(c.select(F.col("number").alias("change"), "raised_after_incident"), "change").agg(F.count("*").alias("all_pairs"), F.count("raised_after_incident").alias("reactive"))
 
 
+@query(oracle("SELECT c.number AS change, i.number AS incident, (epoch_us(c.planned_start) - epoch_us(i.opened_at)) // 60000000 AS minutes FROM changes c JOIN incidents i ON i.number = c.raised_after_incident AND i.ci_key = c.ci_key", "changes", "incidents"))
+def changes_after_incidents(spark: SparkSession, d: str) -> DataFrame:
+    """Changes that were raised after an incident on the same item, and how long after."""
+    after = bridge.changes(spark, d).where("raised_after_incident is not null").select(F.col("number").alias("change"), "ci_key", F.col("raised_after_incident").alias("incident"), "planned_start")
+    both = after.join(bridge.incidents(spark, d).select(F.col("number").alias("incident"), "ci_key", "opened_at"), ["incident", "ci_key"])
+    return both.select("change", "incident", F.floor(F.timestamp_diff("SECOND", F.col("opened_at"), F.col("planned_start")) / 60).alias("minutes"))
+
+
 @query(oracle("SELECT i.number, i.duplicate_of AS earlier, p.number AS problem, p.workaround, coalesce(a.number, '') AS article FROM incidents i JOIN (SELECT number, workaround, unnest(incident_numbers) AS earlier FROM problems) p ON p.earlier = i.duplicate_of LEFT JOIN articles a ON a.problem_number = p.number", "incidents", "problems", "articles"))
 def seen_before(spark: SparkSession, d: str) -> DataFrame:
     """What a repeat repeats, the problem behind it, and the articles on that."""
@@ -941,6 +949,17 @@ def dropped_exactly(spark: SparkSession, d: str) -> DataFrame:
     return experiments.dropped_exactly(bridge.supports(spark, d), 7, 0.4)
 
 
+@query(oracle("WITH e AS (SELECT DISTINCT src, dst FROM supports), n AS (SELECT count(*) AS n FROM e) SELECT n AS whole, n - floor(n * 0.4::double)::bigint AS left_, n AS restored FROM n", "supports"))
+def edges_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Edges lost and put back, counted on the way; a count that isn't right is an error."""
+    e = cut(bridge.supports(spark, d).distinct())
+    lost = e.join(experiments.dropped_exactly(e, 7, 0.4), ["src", "dst"], "left_anti")
+    left = experiments.without(e, lost)
+    whole = e.count()
+    back = experiments.restored(left, lost, whole)
+    return e.agg(F.count("*").alias("whole")).join(left.agg(F.count("*").alias("left_"))).join(back.agg(F.count("*").alias("restored")))  # single rows
+
+
 @query(f"WITH {GOLD}, n AS (SELECT DISTINCT id FROM gold WHERE question_id = 50), r AS (SELECT vec_id AS id, row_number() OVER (ORDER BY md5('1|' || vec_id), vec_id) AS p FROM embeddings WHERE vec_id NOT IN (SELECT id FROM n)) SELECT id FROM n UNION ALL SELECT id FROM r WHERE p <= 100 - (SELECT count(*) FROM n)")
 def haystack(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)

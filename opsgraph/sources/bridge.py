@@ -93,7 +93,11 @@ def incidents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_type = 'purchase'").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    """Purchases as changes. A tenth, if they are to the user's own item, were raised after the last linked incident on it before them, where there is one."""
+    both = table(spark, d, "events").where("event_type in ('error', 'purchase')").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    earlier = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    fault = F.last(F.when((F.col("event_type") == "error") & (F.col("k") % 6 != 0), F.col("event_id")), ignorenulls=True).over(earlier)
+    e = both.withColumn("last_error", fault).where("event_type = 'purchase'")
     minutes = lambda x: F.make_dt_interval(F.lit(0), F.lit(0), x.cast("int"), F.lit(0))
     planned = F.floor("value") + 10
     return e.select(
@@ -108,7 +112,7 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("k") % 7 != 0, F.col("ts")).alias("actual_start"),
         F.when(F.col("k") % 7 != 0, F.col("ts") + minutes(F.floor(planned * (F.col("k") % 5) / 2))).alias("actual_end"),
         F.when(F.col("k") % 4 == 0, "unsuccessful").otherwise("successful").alias("close_code"),
-        F.when(F.col("k") % 10 == 0, F.concat(F.lit("INC"), F.lpad(F.col("k").cast("string"), 7, "0"))).alias("raised_after_incident"),
+        F.when((F.col("k") % 10 == 0) & ~(F.col("k") % 8).isin(1, 2), F.concat(F.lit("INC"), F.lpad(F.col("last_error").cast("string"), 7, "0"))).alias("raised_after_incident"),
     )
 
 
@@ -160,8 +164,9 @@ VIEWS = {
         CASE WHEN k % 10 = 0 THEN 'emergency' ELSE 'normal' END AS change_type, ['low', 'moderate', 'high'][k % 3 + 1] AS risk, ts AS planned_start,
         ts + to_minutes((floor(value) + 10)::bigint) AS planned_end, CASE WHEN k % 7 <> 0 THEN ts END AS actual_start,
         CASE WHEN k % 7 <> 0 THEN ts + to_minutes(floor((floor(value) + 10) * (k % 5) / 2)::bigint) END AS actual_end,
-        CASE WHEN k % 4 = 0 THEN 'unsuccessful' ELSE 'successful' END AS close_code, CASE WHEN k % 10 = 0 THEN 'INC' || lpad(k::varchar, 7, '0') END AS raised_after_incident
-        FROM (SELECT *, json_extract(props, '$.k')::int AS k FROM events WHERE event_type = 'purchase')""",
+        CASE WHEN k % 4 = 0 THEN 'unsuccessful' ELSE 'successful' END AS close_code, CASE WHEN k % 10 = 0 AND k % 8 NOT IN (1, 2) THEN 'INC' || lpad(last_error::varchar, 7, '0') END AS raised_after_incident
+        FROM (SELECT *, last_value(CASE WHEN event_type = 'error' AND k % 6 <> 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_error
+            FROM (SELECT *, json_extract(props, '$.k')::int AS k FROM events WHERE event_type IN ('error', 'purchase'))) WHERE event_type = 'purchase'""",
     "problems": """SELECT 'PRB-' || ci_key || '-' || category AS number, 'Repeated ' || category || ' on ' || ci_key AS short_description, ci_key, category, opened_at,
         CASE WHEN n % 3 <> 0 THEN last_resolved END AS resolved_at, 'restart ' || ci_key AS workaround, incident_numbers
         FROM (SELECT ci_key, category, count(*) AS n, min(opened_at) AS opened_at, max(resolved_at) AS last_resolved, list(number ORDER BY number) AS incident_numbers FROM incidents WHERE ci_key IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)""",

@@ -73,3 +73,8 @@ def keep_progress(path: str, **counts: int) -> None:
     new = f"{path}.new"
     Path(new).write_text(json.dumps(progress(path) | counts, sort_keys=True))
     os.replace(new, path)
+
+
+def resume_point(path: str, name: str, present: int) -> int:
+    """How many rows of a load are there already: the kept count or what the target has, whichever is more. A count is kept late, and a target may have been filled otherwise; rows below it need no call."""
+    return max(progress(path).get(name, 0), present)

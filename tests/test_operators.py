@@ -595,6 +595,10 @@ def test_synthetic_records_hang_together(spark):
     assert chunks.sections(kb).count() >= 2 * kb.count()
     c = synth.changes(spark, 100, 700, 2)
     assert 0.05 < c.where("actual_end is null").count() / 700 < 0.25 and tickets.overran(c).count() > 0
+    after = synth.changes(spark, 100, 700, 2, incidents_=inc)
+    assert after.columns == c.columns and after.drop("raised_after_incident").subtract(c.drop("raised_after_incident")).count() == 0 and after.count() == 700
+    raised = after.where("raised_after_incident is not null").join(inc.select(F.col("number").alias("raised_after_incident"), F.col("ci_key").alias("_of"), "opened_at"), "raised_after_incident", "left")
+    assert 20 < raised.count() < 150 and raised.where("ci_key = _of and opened_at < planned_start").count() == raised.count()
 
 
 def test_frozen_hash_sees_a_changed_question(spark):
@@ -736,3 +740,23 @@ def test_packing_as_a_table_function(spark):
     for wrong in ("pack(table(select 1 as run) partition by run, 5)", "pack(table(to_pack) partition by run, 'x')", "pack(1, 5)"):
         with pytest.raises(AnalysisException, match="pack"):
             spark.sql(f"select * from {wrong}").collect()
+
+
+def test_lost_edges_are_counted_and_come_back(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    lost = e.where("src = 'b'")
+    left = experiments.without(e, lost)
+    assert left.count() == 2 and sorted(map(tuple, experiments.restored(left, lost, 3).collect())) == sorted(map(tuple, e.collect()))
+    with pytest.raises(ValueError, match="3 are left"):
+        experiments.without(e, spark.createDataFrame([("x", "y")], e.schema))
+    with pytest.raises(ValueError, match="2 edges are back"):
+        experiments.restored(left, lost.limit(0), 3)
+
+
+def test_a_load_goes_on_behind_what_is_there(tmp_path):
+    from opsgraph.sources import loader
+
+    path = str(tmp_path / "progress.json")
+    assert loader.resume_point(path, "events", 0) == 0 and loader.resume_point(path, "events", 7) == 7
+    loader.keep_progress(path, events=20)
+    assert loader.resume_point(path, "events", 7) == 20 and loader.resume_point(path, "events", 31) == 31 and loader.resume_point(path, "items", 2) == 2
