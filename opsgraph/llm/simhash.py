@@ -178,7 +178,7 @@ def grouped(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return joined(prints, told.select("_f", "_component"), "_f", least.select("_f", F.col("_n").alias("n")), rows)
 
 
-WIDE, SIMILARITY, WORDS = 2048, 0.8, 5
+SIMILARITY, WORDS = 0.8, 5
 #: Buckets of up to SMALL texts are compared pair by pair; of larger ones first each text with the least, then, in rounds,
 #: GROW times as many of its texts with all others that aren't in their group.
 SMALL, GROW = 8, 8
@@ -186,8 +186,8 @@ SMALL, GROW = 8, 8
 ORDERED, COUNTS = 250_000, 2
 #: Code points of texts whose sets are made at once.
 PART = 200_000
-#: Prints of sets of PRINTED or more shingles are trusted to tell, beyond FAR standard deviations, that two texts are not alike.
-PRINTED, FAR = 128, 6
+#: Cells in which a set's shingles are counted, up to 255 each, to bound what two sets can have in common.
+CELLS = 256
 MET = "b long, k long, s long, asked boolean, o long"
 
 
@@ -215,25 +215,16 @@ def sets(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
 
 
-def wide_fingerprints(texts: list[str], size: int = WORDS) -> np.ndarray:
-    """SimHash of WIDE bits, as rows of bytes, over each text's distinct shingles.
+def cells(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many shingles of each set fall into each of CELLS cells, at most 255."""
+    n = len(bounds) - 1
+    at = np.repeat(np.arange(n), np.diff(bounds)) * CELLS + (values % np.uint64(CELLS)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * CELLS), 255).astype(np.uint8).reshape(n, CELLS)
 
-    Shingles are hashed to WIDE signed sums, which a Hadamard transform turns into WIDE sums with other
-    signs each; a bit is 1 where the sum is above 0. Equal bits estimate the angle between two texts.
-    """
-    out = np.zeros((len(texts), WIDE // 8), np.uint8)
-    for a, b in slices([len(t) + 20_000 for t in texts], 1_000_000):
-        values, bounds = sets(texts[a:b], size)
-        at = np.repeat(np.arange(b - a), np.diff(bounds)) * WIDE + (values % np.uint64(WIDE)).astype(np.int64)
-        sums = np.bincount(at, np.where(values >> np.uint64(63), 1.0, -1.0), (b - a) * WIDE).astype(np.float32).reshape(b - a, WIDE)
-        step = 1
-        while step < WIDE:
-            pairs = sums.reshape(b - a, WIDE // (2 * step), 2, step)
-            plus, minus = pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]
-            pairs[:, :, 0], pairs[:, :, 1] = plus, minus
-            step *= 2
-        out[a:b] = np.packbits(sums > 0, axis=1)
-    return out
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least number of shingles that only one of two sets has, told by their cells: they share at most half of what is left of both."""
+    return np.abs(x.astype(np.int16) - y).sum(-1, dtype=np.int64)
 
 
 def names(values: np.ndarray, bounds: np.ndarray) -> list[int]:
@@ -250,11 +241,15 @@ def _in_parts(texts: list[str], size: int) -> Iterator[tuple[int, np.ndarray, np
 
 
 def _both(size: int) -> Column:
-    @F.pandas_udf("struct<f:long,k:long>")
+    @F.pandas_udf("struct<f:long,k:long,n:long,w:binary>")
     def of(texts: pd.Series) -> pd.DataFrame:
         values = [t or "" for t in texts]
-        k = [x for _, v, bounds in _in_parts(values, size) for x in names(v, bounds)]
-        return pd.DataFrame({"f": fingerprints(values).view(np.int64), "k": np.array(k, np.int64)})
+        k, n, w = [], [], []
+        for _, v, bounds in _in_parts(values, size):
+            k += names(v, bounds)
+            n += np.diff(bounds).tolist()
+            w += [c.tobytes() for c in cells(v, bounds)]
+        return pd.DataFrame({"f": fingerprints(values).view(np.int64), "k": np.array(k, np.int64), "n": np.array(n, np.int64), "w": w})
 
     return of("_text")
 
@@ -399,34 +394,24 @@ def _ask(batches: Iterator[pa.RecordBatch], take: int, similarity: float) -> Ite
                 yield _rows(b[i:j], k[i:j], s[i:j], done, [])
 
 
-def allowed(similarity: float) -> int:
-    """Bits of WIDE that may differ: the angle of two sets of equal size with that Jaccard similarity (the widest), and FAR standard deviations of the estimate."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return round(share * WIDE + FAR * np.sqrt(share * (1 - share) * WIDE))
-
-
-def _details(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """k, text -> k, how many shingles, wide print, compressed text."""
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, text -> k, compressed text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            texts = part.column(1).to_pylist()
-            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(bounds) for _, _, bounds in _in_parts(texts, size))])
-            w, z = [x.tobytes() for x in wide_fingerprints(texts, size)], [zlib.compress(t.encode("utf-8", "surrogatepass"), 3) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(w, pa.binary()), pa.array(z, pa.binary())], names=["k", "n", "w", "z"])
+        z = [zlib.compress(t.encode("utf-8", "surrogatepass"), 3) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["k", "z"])
 
 
-def _alike(pairs: DataFrame, details: DataFrame, size: int, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, kinds: DataFrame, own: DataFrame, repeated: bool, size: int, similarity: float) -> DataFrame:
     """The distinct pairs (k, o) whose sets of shingles have that Jaccard similarity, as links (a, b).
 
-    Prints of sets of PRINTED or more shingles that differ by FAR standard deviations spare the pair the comparison of its texts.
+    Cells bound what two sets can have in common, so that the pairs that cannot reach it go without
+    their texts; the sets of the others are compared. No pair is lost.
     """
-    (up, down), most = _bounds(similarity), allowed(similarity)
+    up, down = _bounds(similarity)
 
-    @F.arrow_udf("int")
+    @F.arrow_udf("long")
     def differ(x: pa.Array, y: pa.Array) -> pa.Array:
-        bits = [np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) for v in (x, y)]
-        return pa.array(np.bitwise_count(bits[0] ^ bits[1]).sum(1).astype(np.int32))
+        return pa.array(apart(*(np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), CELLS) for v in (x, y))))
 
     @F.arrow_udf("boolean")
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -444,21 +429,23 @@ def _alike(pairs: DataFrame, details: DataFrame, size: int, similarity: float) -
             pairs = joined(pairs, of.select(F.col("k").alias(key), *(F.col(c).alias(c + i) for c in columns)), key, own.groupBy(key).agg(F.count("*").alias("n")), total)
         return pairs
 
-    some = beside(saved(pairs.select("k", "o").distinct(), "pairs"), details, "n", "w").where((F.least("n1", "n2") < PRINTED) | (differ("w1", "w2") <= most))
-    some = saved(some.select("k", "o"), "candidates")
-    texts = details.join(some.select("k").union(some.select("o")).distinct(), "k", "left_semi").select("k", "z")
-    return beside(some, saved(texts, "texts"), "z").where(near("z1", "z2")).select(F.col("k").alias("a"), F.col("o").alias("b"))
+    both = F.col("n1") + F.col("n2")
+    can = (both - differ("w1", "w2")) * (up + down) >= both * 2 * up
+    some = saved(beside(saved(pairs.select("k", "o").distinct(), "pairs"), kinds, "n", "w").where(can).select("k", "o"), "candidates")
+    needed = kinds.join(some.select("k").union(some.select("o")).distinct(), "k", "left_semi").select("k", "_key", "_t")
+    texts = own.join(needed, ["_key", "_t"]).select("k", "_text").mapInArrow(_compressed, "k long, z binary")
+    texts = saved(texts.dropDuplicates(["k"]) if repeated else texts, "texts")
+    return beside(some, texts, "z").where(near("z1", "z2")).select(F.col("k").alias("a"), F.col("o").alias("b"))
 
 
-def similar(own: DataFrame, named: DataFrame, linked: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def similar(own: DataFrame, kinds: DataFrame, linked: DataFrame, repeated: bool = True, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) that, with those of linked, join all texts whose Jaccard similarity reaches `similarity`.
 
-    own: (_key, _t, _text), named: (_key, _t, k) with k the name of the text's set of shingles. Two such
-    sets have a shingle in common within the first n - ceil(similarity n) + 1 of each in any one order
+    own: (_key, _t, _text), kinds: (k, _key, _t, n, w), one row a set of shingles: its name, a text that
+    has it, its number of shingles and its cells; repeated: whether own repeats a (_key, _t). Two such sets have a shingle in common within the first n - ceil(similarity n) + 1 of each in any one order
     (prefix filtering), and by its places can still be similar. So texts meet in buckets by the shingles
-    of their prefixes, the rarest ones, and the sets decide. No pair fails to meet by chance; in a large
-    bucket only pairs that are in one group already are left out. Of sets of PRINTED or more shingles
-    `_alike` drops pairs by random prints, which a true pair fails with a chance beyond FAR deviations.
+    of their prefixes, the rarest ones, and the sets decide. No pair is left out by chance; in a large
+    bucket only pairs that are in one group already are left out.
     """
     (up, down), spark = _bounds(similarity), own.sparkSession
     sent = spark.sparkContext.broadcast(_order(own, size, similarity))
@@ -476,14 +463,7 @@ def similar(own: DataFrame, named: DataFrame, linked: DataFrame, size: int = WOR
     can = (F.col("k") > F.col("first.k")) & (most * (up + down) >= up * (n("s") + n("first.s")))
     pairs = met.where("o is not null").select("k", "o").union(led.where(can).select("first.k", F.col("k").alias("o")))
 
-    taken = saved(pairs.select("k").union(pairs.select("o")).union(led.select("k")).distinct(), "taken")
-    least = named.join(taken, "k").groupBy("k").agg(F.min(F.struct("_key", "_t")).alias("l")).select("k", "l._key", "l._t")
-    texts = own.join(least, ["_key", "_t"]).select("k", "_text")
-    details = texts.mapInArrow(lambda x: _details(x, size), "k long, n long, w binary, z binary")
-    if not named.groupBy("_key", "_t").count().where("count > 1").isEmpty():
-        details = details.dropDuplicates(["k"])
-    details = saved(details, "details")
-    found = linked.unionByName(saved(_alike(pairs, details, size, similarity), "alike"))
+    found = linked.unionByName(saved(_alike(pairs, kinds, own, repeated, size, similarity), "alike"))
     left, take, roots = led.select("b", "k", "s", (F.col("k") == F.col("first.k")).alias("asked")), GROW, None
     while not left.isEmpty():
         if roots is None:
@@ -493,7 +473,7 @@ def similar(own: DataFrame, named: DataFrame, linked: DataFrame, size: int = WOR
         rest = joined(rooted, open_.select("b"), "b", open_, rooted.count())
         asked = saved(rest.repartition("b").sortWithinPartitions("b").mapInArrow(lambda x, take=take: _ask(x, take, similarity), MET), "asked")
         forget(rooted)
-        new = saved(_alike(asked.where("o is not null"), details, size, similarity), "alike")
+        new = saved(_alike(asked.where("o is not null"), kinds, own, repeated, size, similarity), "alike")
         left, take = asked.where("o is null").select("b", "k", "s", "asked"), take * GROW
         if not new.isEmpty():
             found, roots = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(new), None
@@ -510,11 +490,13 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     ship(docs.sparkSession)
     words = F.coalesce(F.col(text), F.lit(""))
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.xxhash64(words).alias("_t"), words.alias("_text"))
-    named = saved(own.select("_key", "_t", _both(size).alias("p")).select("_key", "_t", F.col("p.f").alias("_f"), F.col("p.k").alias("k")), "keys")
+    named = saved(own.select("_key", "_t", _both(size).alias("p")).select("_key", "_t", F.col("p.f").alias("_f"), "p.k", "p.n", "p.w"), "keys")
+    kinds = saved(named.groupBy("k").agg(F.min(F.struct("_key", "_t", "n", "w")).alias("l")).select("k", "l.*"), "kinds")
+    repeated = not named.groupBy("_key", "_t").count().where("count > 1").isEmpty()
     linked = grouped(named.select(F.col("k").alias("_key"), "_f").distinct()).where("_key <> _component").select(F.col("_key").alias("a"), F.col("_component").alias("b"))
-    roots = components(similar(own, named, saved(linked, "linked"), size, similarity))
-    rooted = named.groupBy("k").agg(F.min(F.struct("_key", "_t")).alias("l")).join(roots, F.col("k") == roots.node, "left")
-    stay = rooted.groupBy(F.coalesce("root", "k").alias("r")).agg(F.min("l").alias("l")).select("l._key", "l._t")
+    roots = components(similar(own, kinds, saved(linked, "linked"), repeated, size, similarity))
+    rooted = kinds.join(roots, kinds.k == roots.node, "left").select(F.coalesce("root", "k").alias("r"), F.struct("_key", "_t").alias("l"))
+    stay = rooted.groupBy("r").agg(F.min("l").alias("l")).select("l._key", "l._t")
     mine = packed(docs.where(F.col(key).isNotNull()), _key=F.col(key).cast("long"), _t=F.xxhash64(words))
     kept = unpacked(mine.join(stay, ["_key", "_t"], "left_semi").dropDuplicates(["_key", "_t"]), docs)
     return kept.unionByName(docs.where(F.col(key).isNull()))
