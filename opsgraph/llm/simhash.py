@@ -432,7 +432,7 @@ def _alike(pairs: DataFrame, kinds: DataFrame, own: DataFrame, repeated: bool, s
     both = F.col("n1") + F.col("n2")
     can = (both - differ("w1", "w2")) * (up + down) >= both * 2 * up
     some = saved(beside(saved(pairs.select("k", "o").distinct(), "pairs"), kinds, "n", "w").where(can).select("k", "o"), "candidates")
-    needed = kinds.join(some.select("k").union(some.select("o")).distinct(), "k", "left_semi").select("k", "_key", "_t")
+    needed = saved(kinds.join(some.select("k").union(some.select("o")).distinct(), "k", "left_semi").select("k", "_key", "_t"), "needed")  # its size is known, so a few needed don't shuffle all texts
     texts = own.join(needed, ["_key", "_t"]).select("k", "_text").mapInArrow(_compressed, "k long, z binary")
     texts = saved(texts.dropDuplicates(["k"]) if repeated else texts, "texts")
     return beside(some, texts, "z").where(near("z1", "z2")).select(F.col("k").alias("a"), F.col("o").alias("b"))
