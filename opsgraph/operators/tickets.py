@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opsgraph.functions.times import out_of_hours
 from opsgraph.operators.graph import named_in, reach
 from opsgraph.operators.paths import path_counts
+from opsgraph.plans.lineage import cut
 
 
 def latest(rows: DataFrame, by: str, at: str, number: str = "number", n: int = 1) -> DataFrame:
@@ -62,10 +63,13 @@ def preceding_changes(incidents: DataFrame, changes: DataFrame, hours: int = 24,
     c = own.select("ci_key", F.col("number").alias("change"), "actual_end", F.explode(F.array(_cell("actual_end", hours), _cell("actual_end", hours) + 1)).alias("cell"))
     i = incidents.where("ci_key is not null").select("ci_key", F.col("number").alias("incident"), "opened_at", _cell("opened_at", hours).alias("cell"))
     if edges is not None:
-        # Changed items walk up to what they support: there are fewer of them than of all that an item needs.
-        changed = own.select(F.col("ci_key").alias("start")).where("start is not null").distinct()
-        back = path_counts(edges, changed, near) if paths else reach(edges, changed, near, include_start=True).drop("hop")
-        c = c.join(back.withColumnRenamed("start", "ci_key"), "ci_key").drop("ci_key").withColumnRenamed("node", "ci_key").distinct()
+        # Incidents' items walk to what supports them: an item needs few others, but a hub supports very many. Only changed items stay, and a change
+        # isn't copied to all that its item supports: an incident stands once for each changed item near it.
+        hit = i.select(F.col("ci_key").alias("start")).distinct()
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        support = path_counts(back, hit, near) if paths else reach(back, hit, near, include_start=True).drop("hop")
+        support = cut(support.join(own.select(F.col("ci_key").alias("node")).distinct(), "node", "left_semi"))
+        i = i.join(support.withColumnRenamed("start", "ci_key"), "ci_key").drop("ci_key").withColumnRenamed("node", "ci_key")
     found = i.join(c, ["ci_key", "cell"]).where((F.col("actual_end") < F.col("opened_at")) & (F.col("actual_end") > F.col("opened_at") - F.expr(f"interval '{hours}' hour")))
     return found.select("incident", "change", F.floor(F.timestamp_diff("SECOND", F.col("actual_end"), F.col("opened_at")) / 60).alias("minutes"), *(["paths"] if paths and edges is not None else []))
 

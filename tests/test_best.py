@@ -67,3 +67,57 @@ def test_search_sends_no_pairs_of_question_and_document(spark):
     assert {r.id % 7 for r in got if not r.question_id % 2} == {3}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "HashAggregate" not in plan
+
+
+def test_a_change_to_a_hub_is_not_copied_to_all_it_supports(spark):
+    """A hub supports 2,000 items, two of which have an incident: rows follow the incidents, not the hub's edges."""
+    from opsgraph.operators import tickets
+    from opsgraph.plans import lineage
+
+    edges = spark.range(2000).selectExpr("'hub' src", "concat('i', id) dst").union(spark.range(2000).selectExpr("concat('i', id) src", "concat('o', id) dst"))
+    at = "timestamp_ntz'2024-01-02 00:00:00'"
+    changes = spark.range(50).selectExpr("concat('c', id) number", "'hub' ci_key", f"{at} actual_end", "cast(null as string) raised_after_incident")
+    incidents = spark.createDataFrame([("a", "i1"), ("b", "o2"), ("c", "elsewhere")], "number string, ci_key string").selectExpr("*", f"{at} + interval 1 hour opened_at")
+    written, real = [], lineage.cut
+
+    def count(df, *more):
+        out = real(df, *more)
+        written.append((out.columns, out.count()))
+        return out
+
+    for module in (tickets, tickets.reach.__globals__, tickets.path_counts.__globals__):
+        (module if isinstance(module, dict) else vars(module))["cut"] = count
+    try:
+        for paths in (False, True):
+            got = tickets.preceding_changes(incidents, changes, edges=edges, paths=paths).collect()
+            assert sorted((r.incident, r.minutes) for r in got) == [("a", 60)] * 50 + [("b", 60)] * 50
+    finally:
+        for module in (tickets, tickets.reach.__globals__, tickets.path_counts.__globals__):
+            (module if isinstance(module, dict) else vars(module))["cut"] = real
+    assert max(n for columns, n in written if "start" in columns) <= 3
+
+
+def test_shared_reach_is_what_trails_reach(spark):
+    from pyspark.sql import functions as F
+
+    from opsgraph.operators import paths
+
+    r = np.random.default_rng(8)
+    for size, n in ((12, 15), (12, 25), (6, 30)):
+        rows = {(f"g{a}", f"m{b}") for a, b in zip(r.integers(0, size * 2, n).tolist(), r.integers(0, size, n).tolist())}
+        df = spark.createDataFrame(sorted(rows), "group string, member string")
+        e = df.select(F.col("group").alias("src"), F.col("member").alias("dst"), F.lit("").alias("kind"))
+        listed = paths.trail_reach(e, e.select(F.col("dst").alias("start")), 4, "kind").groupBy("start").agg(F.count("*").alias("n"), F.bool_or(F.col("node") == F.col("start")).alias("closed"))
+        assert sorted(map(tuple, paths.shared_reach(df).collect())) == sorted(map(tuple, listed.collect()))
+
+
+def test_shared_reach_walks_dense_parts_once(spark, monkeypatch):
+    from opsgraph.operators import paths
+
+    written, real = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: written.append(real(df)) or written[-1])
+    df = spark.range(3000).selectExpr("concat('g', id div 10) group", "concat('m', id % 30) member").union(spark.range(300).selectExpr("concat('g', id) group", "'m0' member"))
+    got = paths.shared_reach(df).collect()
+    assert {tuple(r)[1:] for r in got} == {(329 + 1, True)} and len(got) == 30
+    # Four different sets of what is met: of m0, and of the members of the three kinds of groups; not one for each of 30 members.
+    assert max(w.count() for w in written if "group" in w.columns and "name" not in w.columns) == 4 * 300
