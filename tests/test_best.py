@@ -121,3 +121,44 @@ def test_shared_reach_walks_dense_parts_once(spark, monkeypatch):
     assert {tuple(r)[1:] for r in got} == {(329 + 1, True)} and len(got) == 30
     # Four different sets of what is met: of m0, and of the members of the three kinds of groups; not one for each of 30 members.
     assert max(w.count() for w in written if "group" in w.columns and "name" not in w.columns) == 4 * 300
+
+
+def test_damage_has_one_row_a_start_and_node(spark, monkeypatch):
+    """All seeds and fractions walk in one row; what is counted is what walks on each damaged graph find."""
+    from opsgraph.operators import experiments
+
+    r = np.random.default_rng(2)
+    edges = spark.createDataFrame(sorted({(f"n{a}", f"n{b}") for a, b in r.integers(0, 25, (60, 2)).tolist()}), "src string, dst string").cache()
+    starts = edges.select("src").distinct().withColumnRenamed("src", "start")
+    seeds, fractions = (1, 2), (0.0, 0.2, 0.5)
+    written, real = [], experiments.cut
+    monkeypatch.setattr(experiments, "cut", lambda df: written.append(real(df)) or written[-1])
+    got = {(x.seed, x.fraction, x.start): (x.found, x.gold) for x in experiments.damage_runs(edges, starts, 3, seeds, fractions).collect()}
+    whole = {x.start: x.n for x in graph.reach(edges, starts, 3).groupBy("start").count().withColumnRenamed("count", "n").collect()}
+    for seed in seeds:
+        for f in fractions:
+            left = experiments.damaged(edges, (seed,), (f,))
+            found = {x.start: x.n for x in graph.reach(left, starts, 3).groupBy("start").count().withColumnRenamed("count", "n").collect()}
+            assert {s: v for (a, b, s), v in got.items() if (a, b) == (seed, f)} == {s: (found.get(s, 0), n) for s, n in whole.items()}
+    assert written[1].count() <= edges.count()  # the first frontier: a row an edge, not one for each seed and fraction
+
+
+def test_gold_of_a_whole_class_is_not_listed(spark):
+    from opsgraph.operators import evaluate
+
+    classes = spark.createDataFrame([(i, i % 3 if i < 9 else None) for i in range(12)], "id long, label int")
+    asked = classes.where("id in (0, 1, 10)").withColumnRenamed("id", "question_id")
+    found = spark.createDataFrame([(0, 3), (0, 4), (0, 11), (10, 1)], "question_id long, id long")
+    shared = evaluate.shared_with_class(found, asked, classes)
+    assert sorted(map(tuple, shared.collect())) == [(0, 1, 2, 2), (1, 0, 0, 3)]
+
+
+def test_largest_reach_reads_only_edges_that_pass_on(spark, monkeypatch):
+    """Leaves have no edges of their own; edges to them are read for the first hop alone."""
+    from opsgraph.operators import paths
+
+    edges = spark.range(400).selectExpr("concat('a', id % 4) src", "concat('leaf', id) dst").union(spark.range(4).selectExpr("'root' src", "concat('a', id) dst"))
+    written, real = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: written.append(real(df)) or written[-1])
+    assert [tuple(x) for x in paths.largest_reach(edges, 4).collect()] == [("root", 404)]
+    assert [w.count() for w in written if w.columns in (["src", "dst"], ["dst", "src"])] == [404, 4]
