@@ -179,8 +179,8 @@ def grouped(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 SIMILARITY, WORDS = 0.8, 5
-#: Buckets of up to SMALL texts are compared pair by pair; of larger ones first each text with the least, then, in rounds,
-#: GROW times as many of its texts with all others that aren't in their group.
+#: Buckets of up to SMALL texts are compared pair by pair; of larger ones first each text with the one that has the fewest rarer
+#: shingles, then, in rounds, GROW times as many of its texts with all others that aren't in their group.
 SMALL, GROW = 8, 8
 #: Shingles in the prefixes of over SMALL texts are put last, the most frequent ORDERED of them in order, found in COUNTS rounds. The order only makes buckets smaller; any gives the same pairs.
 ORDERED, COUNTS = 250_000, 2
@@ -188,7 +188,7 @@ ORDERED, COUNTS = 250_000, 2
 PART = 200_000
 #: Cells in which a set's shingles are counted, up to 255 each, to bound what two sets can have in common.
 CELLS = 256
-MET = "b long, k long, s long, asked boolean, o long"
+MET = "b long, k long, s long, o long"
 
 
 def sets(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -338,15 +338,15 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [c.to_numpy() for c in rest.columns]
 
 
-def _rows(b: np.ndarray, k: np.ndarray, s: np.ndarray, asked: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _rows(b: np.ndarray, k: np.ndarray, s: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """MET: rows of buckets, and (with o) distinct pairs of texts."""
     two = np.concatenate([np.zeros((0, 2), np.int64), *(np.stack([np.minimum(x, y), np.maximum(x, y)], 1) for x, y in pairs)])
     two = pd.DataFrame(two, columns=["k", "o"]).drop_duplicates().to_numpy()
     n, none = len(b), np.zeros(len(two), np.int64)
     o = np.concatenate([np.zeros(n, np.int64), two[:, 1]])
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([b, none])), pa.array(np.concatenate([k, two[:, 0]])), pa.array(np.concatenate([s, none])), pa.array(np.concatenate([asked, none > 0])), pa.array(o, mask=np.arange(len(o)) < n)],
-        names=["b", "k", "s", "asked", "o"],
+        [pa.array(np.concatenate([b, none])), pa.array(np.concatenate([k, two[:, 0]])), pa.array(np.concatenate([s, none])), pa.array(o, mask=np.arange(len(o)) < n)],
+        names=["b", "k", "s", "o"],
     )
 
 
@@ -365,33 +365,41 @@ def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.Re
             x = few[few + d < len(b)]
             x = x[(b[x] == b[x + d]) & _possible(s[x], s[np.minimum(x + d, len(b) - 1)], up, down)]
             pairs.append((k[x], k[x + d]))
-        yield _rows(b[large], k[large], s[large], np.zeros(int(large.sum()), bool), pairs)
+        yield _rows(b[large], k[large], s[large], pairs)
 
 
 def _ask(batches: Iterator[pa.RecordBatch], take: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(b, k, s, asked, r), sorted by bucket -> MET: each bucket's next `take` texts with those of other groups, and the rows of buckets not done.
+    """(b, k, s, r, w), sorted by bucket -> MET: each bucket's next `take` texts with those of other groups that by their cells can be alike, and the rows not asked yet of buckets not done.
 
-    Texts that joined the group of one asked before come first, so that a group found through one of its
-    texts is followed from there.
+    Texts of small groups are asked first, of equally large ones those with few shingles rarer than the bucket's: a bucket
+    is done when what is left is in one group, so the texts of its largest group need not be asked.
     """
     up, down = _bounds(similarity)
-    for b, k, s, asked, r in _by_bucket(batches):
+    for b, k, s, r, w in _by_bucket(batches):
+        w = np.frombuffer(b"".join(w), np.uint8).reshape(len(b), CELLS)
         start = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         for i, j in zip(start, np.append(start[1:], len(b))):
-            if (r[i:j] == r[i]).all():
-                continue
-            done = asked[i:j].astype(bool)
-            joined = np.isin(r[i:j], r[i:j][done])
-            turn = np.lexsort((k[i:j], ~joined, done))[: min(take, int((~done).sum()))]
-            for from_ in range(0, len(turn), 64):
-                pairs = []
-                for x in turn[from_ : from_ + 64]:
-                    other = np.flatnonzero(~done & (r[i:j] != r[i + x]) & _possible(s[i:j], s[i + x], up, down))
-                    done[x] = True
-                    pairs.append((np.full(len(other), k[i + x]), k[i:j][other]))
-                yield _rows(b[:0], k[:0], s[:0], done[:0], pairs)
-            if not done.all():
-                yield _rows(b[i:j], k[i:j], s[i:j], done, [])
+            _, group, many = np.unique(r[i:j], return_inverse=True, return_counts=True)
+            turn = np.lexsort((k[i:j], (s[i:j] & (1 << 31) - 1) / (s[i:j] >> 31), group, many[group]))
+            left, pairs = np.ones(j - i, bool), []
+            for x in turn[: min(take, j - i - int(many.max()))]:
+                left[x] = False
+                other = np.flatnonzero(left & (group != group[x]) & _possible(s[i:j], s[i + x], up, down))
+                pairs += [(np.full(len(o), k[i + x]), k[i + o]) for o in _within(w[i:j], s[i:j] >> 31, x, other, up, down)]
+                if sum(len(p[0]) for p in pairs) > PART:
+                    yield _rows(b[:0], k[:0], s[:0], pairs)
+                    pairs = []
+            rest = i + np.flatnonzero(left)
+            rest = rest[:0] if (r[rest] == r[rest[0]]).all() else rest
+            yield _rows(b[rest], k[rest], s[rest], pairs)
+
+
+def _within(w: np.ndarray, n: np.ndarray, x: int, other: np.ndarray, up: int, down: int) -> Iterator[np.ndarray]:
+    """Of the texts `other`, few at a time, those that by their cells can be up / down alike to x."""
+    for a in range(0, len(other), 4096):
+        o = other[a : a + 4096]
+        both = n[o] + n[x]
+        yield o[(both - apart(w[o], w[x])) * (up + down) >= both * 2 * up]
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,11 +409,11 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["k", "z"])
 
 
-def _alike(pairs: DataFrame, kinds: DataFrame, own: DataFrame, repeated: bool, size: int, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, kinds: DataFrame, own: DataFrame, repeated: bool, size: int, similarity: float, bounded: bool = False) -> DataFrame:
     """The distinct pairs (k, o) whose sets of shingles have that Jaccard similarity, as links (a, b).
 
     Cells bound what two sets can have in common, so that the pairs that cannot reach it go without
-    their texts; the sets of the others are compared. No pair is lost.
+    their texts (bounded: they are gone already); the sets of the others are compared. No pair is lost.
     """
     up, down = _bounds(similarity)
 
@@ -431,7 +439,9 @@ def _alike(pairs: DataFrame, kinds: DataFrame, own: DataFrame, repeated: bool, s
 
     both = F.col("n1") + F.col("n2")
     can = (both - differ("w1", "w2")) * (up + down) >= both * 2 * up
-    some = saved(beside(saved(pairs.select("k", "o").distinct(), "pairs"), kinds, "n", "w").where(can).select("k", "o"), "candidates")
+    some = saved(pairs.select("k", "o").distinct(), "pairs")
+    if not bounded:
+        some = saved(beside(some, kinds, "n", "w").where(can).select("k", "o"), "candidates")
     needed = saved(kinds.join(some.select("k").union(some.select("o")).distinct(), "k", "left_semi").select("k", "_key", "_t"), "needed")  # its size is known, so a few needed don't shuffle all texts
     texts = own.join(needed, ["_key", "_t"]).select("k", "_text").mapInArrow(_compressed, "k long, z binary")
     texts = saved(texts.dropDuplicates(["k"]) if repeated else texts, "texts")
@@ -454,27 +464,29 @@ def similar(own: DataFrame, kinds: DataFrame, linked: DataFrame, repeated: bool
     large = saved(met.where("o is null").select("b", "k", "s").union(prefixes.where("known").select("b", "k", "s").dropDuplicates(["b", "k"])), "large")
     forget(prefixes)
 
-    # Large buckets: every text beside the one of least name, which for copies of one text is all there is to do.
-    first = saved(large.groupBy("b").agg(F.min(F.struct("k", "s")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
-    led = saved(joined(large, first.drop("n"), "b", first, large.count()), "led")
-    forget(large)
+    # Large buckets: every text beside the one with the fewest rarer shingles, from which copies with some words changed were
+    # likely made, which for copies of one text is all there is to do.
     n, place = (lambda s: F.shiftright(s, 31)), (lambda s: F.col(s).bitwiseAND((1 << 31) - 1))
+    first = saved(large.groupBy("b").agg(F.min(F.struct((place("s") / n("s")).alias("rarer"), "k", "s")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    led = saved(joined(large, first.drop("n"), "b", first, large.count()).where(F.col("k") != F.col("first.k")), "led")
+    forget(large)
     most = F.least(n("s") - place("s"), n("first.s") - place("first.s"))
-    can = (F.col("k") > F.col("first.k")) & (most * (up + down) >= up * (n("s") + n("first.s")))
-    pairs = met.where("o is not null").select("k", "o").union(led.where(can).select("first.k", F.col("k").alias("o")))
+    can = most * (up + down) >= up * (n("s") + n("first.s"))
+    pairs = met.where("o is not null").select("k", "o").union(led.where(can).select(F.least("k", "first.k").alias("k"), F.greatest("k", "first.k").alias("o")))
 
     found = linked.unionByName(saved(_alike(pairs, kinds, own, repeated, size, similarity), "alike"))
-    left, take, roots = led.select("b", "k", "s", (F.col("k") == F.col("first.k")).alias("asked")), GROW, None
+    left, take, roots = led.select("b", "k", "s"), GROW, None
     while not left.isEmpty():
         if roots is None:
             roots = saved(components(found), "roots")
-        rooted = saved(left.join(roots, left.k == roots.node, "left").select("b", "k", "s", "asked", F.coalesce("root", "k").alias("r")), "rooted")
+        rooted = saved(left.join(roots, left.k == roots.node, "left").select("b", "k", "s", F.coalesce("root", "k").alias("r")), "rooted")
         open_ = rooted.groupBy("b").agg(F.min("r").alias("x"), F.max("r").alias("y"), F.count("*").alias("n")).where("x <> y").select("b", "n")
         rest = joined(rooted, open_.select("b"), "b", open_, rooted.count())
+        rest = rest.join(kinds.select("k", "w"), "k").select("b", "k", "s", "r", "w")  # a row of a bucket, not a pair, takes its cells along
         asked = saved(rest.repartition("b").sortWithinPartitions("b").mapInArrow(lambda x, take=take: _ask(x, take, similarity), MET), "asked")
         forget(rooted)
-        new = saved(_alike(asked.where("o is not null"), kinds, own, repeated, size, similarity), "alike")
-        left, take = asked.where("o is null").select("b", "k", "s", "asked"), take * GROW
+        new = saved(_alike(asked.where("o is not null"), kinds, own, repeated, size, similarity, bounded=True), "alike")
+        left, take = asked.where("o is null").select("b", "k", "s"), take * GROW
         if not new.isEmpty():
             found, roots = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(new), None
     return found

@@ -51,3 +51,25 @@ def test_large_texts_at_the_border_equal_brute_force(spark):
         root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
     left = {r.doc_id for r in simhash.deduplicated(docs).collect()}
     assert left == set(root) and 6 < len(left) < len(texts) and len(alike) > 5
+
+
+def test_a_large_bucket_of_texts_that_are_not_alike_makes_few_pairs(spark, monkeypatch):
+    """200 worn copies of a text that isn't there: each could be alike to any by its rarest shingles, few are."""
+    rng = random.Random(5)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for i in range(200):
+        words = list(base)
+        for at in rng.sample(range(5, 115), 2):
+            words[at] = f"y{i}z{at}"
+        texts.append(" ".join(words))
+    made, alike = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *rest, **more: made.append(pairs.select("k", "o").distinct().count()) or alike(pairs, *rest, **more))
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    prints = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    root = list(range(len(texts)))
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if 5 * len(found[a] & found[b]) >= 4 * len(found[a] | found[b])]
+    for a, b in [*near, *((b, a) for a, b in prints.items())]:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert kept == set(root)
+    assert sum(made) < 5_000 < len(texts) * (len(texts) - 1) / 2

@@ -1,6 +1,7 @@
 """The stages one after another, against what each should do."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,14 @@ def test_stages_keep_columns_and_take_effect(spark, folder):
 def test_run_gives_the_same_rows_again(spark, folder):
     a, b = (corpus_pipeline.run(spark, folder).select("doc_id", "piece_ids") for _ in range(2))
     assert a.count() > 0 and a.exceptAll(b).count() == 0
+
+
+def test_no_shuffle_files_stay_of_what_a_stage_has_done(spark):
+    files = lambda: sum("shuffle_" in f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before, texts = files(), [" ".join(f"w{i % 20}x{j}" for j in range(30)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 20
+    end = time.time() + 20
+    while files() > before and time.time() < end:
+        time.sleep(0.5)
+    assert files() <= before
