@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from opsgraph.operators import best, graph
+from opsgraph.operators import best, graph, lexical
 
 
 @pytest.mark.parametrize("words", [False, True])
@@ -162,3 +164,19 @@ def test_largest_reach_reads_only_edges_that_pass_on(spark, monkeypatch):
     monkeypatch.setattr(paths, "cut", lambda df: written.append(real(df)) or written[-1])
     assert [tuple(x) for x in paths.largest_reach(edges, 4).collect()] == [("root", 404)]
     assert [w.count() for w in written if w.columns in (["src", "dst"], ["dst", "src"])] == [404, 4]
+
+
+def test_each_different_term_is_folded_for_itself(spark):
+    """However often it occurs: what is folded is counted, 40,000 words of 100 kinds."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def fold(terms: pd.Series) -> pd.Series:
+        calls.add(len(terms))
+        return terms.str.rstrip("s")
+
+    texts = [(i, " ".join(f"{'aeiou'[j % 5]}{j}{'s' * (i % 2)}" for j in range(50) for _ in range(4))) for i in range(200)]
+    idx = lexical.index(spark.createDataFrame(texts, "id long, text string").repartition(4), lexical.tokens, fold)
+    got = {r.id: (r.length, list(r.codes), list(r.tfs)) for r in lexical.counted(idx, ["a5", "e1", "none"]).collect()}
+    assert got == {i: (200, [0, 1], [4, 4]) for i, _ in texts}
+    assert calls.value <= 2 * 100  # for the join's filter and for its key
