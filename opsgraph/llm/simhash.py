@@ -129,24 +129,68 @@ def links(prints: DataFrame, distance: int = DISTANCE, count: int | None = None)
     return close.union(met.where("f <> b").select(F.col("b").alias("a"), F.col("f").alias("b"))).distinct()
 
 
+#: Edges of a task that are made stars at once.
+EDGES = 1 << 18
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) -> each node but the least of its component, and that least one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (differ := x != y).any():
+        x, y = x[differ], y[differ]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        x, y = root[x], root[y]
+    rest = np.flatnonzero(root != np.arange(len(root)))
+    return nodes[rest], nodes[root[rest]]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) -> fewer edges of the same components, EDGES at most at once: where these suffice, a row a node."""
+
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*(c.to_numpy() for c in table.columns))], names=["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= EDGES:
+            yield done(held)
+            held, n = [], 0
+    if n:
+        yield done(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges (a, b): root is the least node that can be reached.
+    """(node, root) for each node of edges (a, b), longs: root is the least node that can be reached.
 
-    Alternating large-star and small-star steps: in each, every node meets the least of its neighbours
-    through an aggregation and a join, so no node's neighbours are ever gathered, and nodes with very
-    many are met by a broadcast. Each round is written to the shared folder, and the one before deleted.
+    In each round every task first makes stars of its own edges, so a node comes with few lesser ones (one a task and EDGES).
+    These are linked to the least of them, and the node to that one's own least: by an aggregation and a join, which meets
+    nodes that very many lead to by a broadcast. What a round wrote goes when the next has read it. It ends when the tasks' stars are those of the whole.
     """
-    now, before = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links"), None
-    while (state := now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()) != before:
-        before = state
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = joined(both, least.drop("n"), "a", least, 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = joined(large, low.drop("n"), "a", low, 2 * state[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        old, now = now, saved(small, "links")
-        forget(old)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    ship(edges.sparkSession)
+    old, edges = [], edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    while True:
+        now = saved(edges.mapInArrow(_stars, "a long, b long"), "links")
+        for done in old:
+            forget(done)
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("up")), F.struct(F.col("b").alias("node"), F.lit(None).cast("long").alias("up")))).alias("e")
+        nodes = now.select(ends).groupBy("e.node").agg(F.min("e.up").alias("least"), F.max("e.up").alias("most"), F.count_if(F.col("e.up").isNull()).alias("below"))
+        if not nodes.agg(F.count_if((F.col("least") < F.col("most")) | F.col("least").isNotNull() & (F.col("below") > 0))).first()[0]:  # a node has one lesser one, which has none
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        up = saved(now.groupBy("a").agg(F.collect_set("b").alias("s")).select("a", F.array_min("s").alias("m"), "s"), "up")
+        beyond = up.select(F.col("a").alias("m"), F.col("m").alias("r"))
+        least = saved(up.groupBy("m").agg(F.count("*").alias("n")).join(beyond, "m", "left"), "least")
+        forget(now)
+        old = [up, least]
+        told = joined(up, least.select("m", F.coalesce("r", "m").alias("r")), "m", least, up.count())
+        ends = F.concat(F.array("a"), F.filter("s", lambda b: b != F.col("m")))
+        edges = told.select(F.explode(ends).alias("a"), F.col("r").alias("b")).where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -181,7 +225,7 @@ def grouped(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 SIMILARITY, WORDS = 0.8, 5
 #: Buckets of up to SMALL texts are compared pair by pair; of larger ones first each text with the one that has the fewest rarer
 #: shingles, then, in rounds, GROW times as many of its texts with all others that aren't in their group.
-SMALL, GROW = 8, 8
+SMALL, GROW = 8, 16
 #: Shingles in the prefixes of over SMALL texts are put last, the most frequent ORDERED of them in order, found in COUNTS rounds. The order only makes buckets smaller; any gives the same pairs.
 ORDERED, COUNTS = 250_000, 2
 #: Code points of texts whose sets are made at once.

@@ -385,6 +385,35 @@ def test_hubs_and_copies_in_a_third_of_all_rows(spark):
         assert [tuple(r) for r in simhash.components(edges).groupBy("root").count().collect()] in ([(0, 5000)], [(5000, 5000)])
 
 
+@pytest.mark.parametrize("chain", [True, False])
+def test_groups_are_found_in_few_rounds(spark, monkeypatch, chain):
+    """Every round writes tables of as many files as there are partitions: a chain of thousands of nodes in any order takes few."""
+    r = random.Random(1)
+    nodes = r.sample(range(-2000, 2000), 3000)
+    pairs = list(zip(nodes, nodes[1:])) if chain else [(r.choice(nodes), r.choice(nodes)) for _ in range(2000)] + [(nodes[0], x) for x in nodes[::3]]
+    least = {x: x for x in nodes}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        least[max(a, b)] = min(a, b)
+    written, saved = [], simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df, tag="cut": (written.append(tag), saved(df, tag))[1])
+    got = [tuple(x) for x in simhash.components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, find(x)) for p in pairs if p[0] != p[1] for x in p}
+    assert written.count("links") <= 4 and len(written) <= 10
+
+
+def test_stars_of_some_edges():
+    a, b = simhash.stars(np.array([3, 9, 4, 7, 7]), np.array([1, 4, 3, 5, 7]))
+    assert dict(zip(a.tolist(), b.tolist())) == {3: 1, 4: 1, 9: 1, 7: 5}
+    assert not len(simhash.stars(np.zeros(0, np.int64), np.zeros(0, np.int64))[0])
+
+
 def test_near_copies_of_hard_rows(spark, hard):
     got = all_same_rows(simhash.near_duplicates(hard), hard).collect()
     by = {r.doc_id: r.component_id for r in got}
