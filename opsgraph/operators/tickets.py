@@ -132,10 +132,13 @@ def notes_naming_neighbour(incidents: DataFrame, edges: DataFrame, items: DataFr
     What the notes name is found first, by name; being neighbours is then an equality join, so an
     item with very many neighbours costs no row an incident.
     """
-    near = edges.select(F.col("parent").alias("ci_key"), F.col("child").alias("key")).union(edges.select(F.col("child").alias("ci_key"), F.col("parent").alias("key"))).distinct()
     own = incidents.where("ci_key is not null").select("number", "ci_key", F.array_join(F.transform("work_notes", lambda n: n["text"]), " ").alias("text"))
     named = named_in(own.select(F.col("number").alias("question_id"), "text"), items.select("key", "name"), folded=False)
-    return own.select("number", "ci_key").join(named.select(F.col("question_id").alias("number"), "key"), "number").join(near, ["ci_key", "key"], "left_semi").select("number").distinct()
+    found = cut(own.select("number", "ci_key").join(named.select(F.col("question_id").alias("number"), "key"), "number"))
+    either = lambda df, a, b, c, d: df.select(F.col(a).alias(c), F.col(b).alias(d)).union(df.select(F.col(b).alias(c), F.col(a).alias(d)))
+    ends = either(found, "ci_key", "key", "parent", "child").distinct()
+    near = edges.select("parent", "child").join(ends.hint("shuffle_hash"), ["parent", "child"], "left_semi")  # edges pass by what was named, they are neither sorted nor gathered
+    return found.join(either(near, "parent", "child", "ci_key", "key"), ["ci_key", "key"], "left_semi").select("number").distinct()
 
 
 def state_word(code: Column) -> Column:

@@ -510,6 +510,16 @@ def test_notes_that_name_a_neighbour(spark):
     assert {r.number for r in tickets.notes_naming_neighbour(incidents, e, items).collect()} == {"I1", "I4"}
 
 
+def test_edges_pass_by_what_notes_name(spark):
+    """A task's memory is that of the pairs named, not of the edges: these are neither sorted nor made distinct."""
+    incidents = spark.createDataFrame([("I1", "a", [("saw BETA and BETA",)]), ("I2", "c", [("saw BETA",)]), ("I3", "b", [("ALPHA",)])], "number string, ci_key string, work_notes array<struct<text:string>>")
+    items = spark.createDataFrame([("a", "ALPHA"), ("b", "BETA"), ("c", "GAMMA")], "key string, name string")
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), (None, "b"), ("c", "a")], "parent string, child string")
+    got = tickets.notes_naming_neighbour(incidents, e, items)
+    assert [tuple(r) for r in got.orderBy("number").collect()] == [("I1",), ("I3",)]
+    assert "ShuffledHashJoin [parent" in got._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_the_graph_arm_returns_what_it_reached(spark):
     e = edges(spark, ("db", "web"), ("web", "shop"), ("san", "db"), ("shop", "web"))
     items = spark.createDataFrame([(k, k, "c", "prd") for k in ("db", "web", "shop", "san")], "key string, name string, cls string, environment string")
