@@ -96,3 +96,11 @@ def test_names_by_automaton_or_endings(spark, monkeypatch, size):
     assert got == {("a", 1), ("a", 2), ("a", 3), ("a", 6), ("b", 7)}
     assert {(r.question_id, r.key) for r in graph.named_in(texts, names, folded=False).collect()} == {("a", 1), ("a", 2), ("a", 3), ("a", 6)}
     assert graph.named_in(texts, names.limit(0)).count() == 0
+
+
+def test_pieces_of_texts_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "AUTOMATON", 0)
+    names = spark.createDataFrame([(1, "web-0001")], "key long, name string")
+    texts = spark.createDataFrame([("a", "on web-0001")], "question_id string, text string")
+    found = graph.named_in(texts, names)
+    assert "SortMergeJoin [_end" in found._jdf.queryExecution().sparkPlan().toString() and found.count() == 1
