@@ -117,6 +117,14 @@ def test_sign_test_column(spark):
     assert [r.p for r in df.collect()] == pytest.approx([evaluate.sign_test(*c) for c in cases])
 
 
+def test_sign_test_column_of_thousands_of_questions(spark):
+    """Where neither the binomial coefficients nor 2 ** n are numbers of 64 bits any more."""
+    cases = [(168, 294), (600, 600), (590, 640), (640, 590), (1100, 1250), (0, 1500), (5000, 5150)]
+    df = spark.createDataFrame(cases, "w long, l long").select("w", "l", evaluate.sign_test_column(F.col("w"), F.col("l")).alias("p")).collect()
+    assert [r.p for r in df] == pytest.approx([evaluate.sign_test(r.w, r.l) for r in df], rel=1e-9)
+    assert 0.1 < df[2].p < 0.2 and 0.001 < df[4].p < 0.01
+
+
 def scored(spark, n_gold, retrieved, error=None, expect_empty=False):
     asked = spark.createDataFrame([("a", 1, "k", False, True, expect_empty, error, 10)], "arm string, question_id long, kind string, holdout boolean, gradable boolean, expect_empty boolean, error string, tokens long")
     got = spark.createDataFrame([("a", 1, i, p) for p, i in enumerate(retrieved, 1)], "arm string, question_id long, id long, place int")
