@@ -11,22 +11,28 @@ import pyarrow as pa
 LINKS = 1_000_000
 #: Words of 64 bits that a walk's states have at most, over all members of a part (three states are held).
 WORDS = 4_000_000
+#: Edges that are folded together at least; more if a group has them.
+PIECE = 1_000_000
 #: Below so many rows to fold at once, each is folded by itself.
 FEW = 32
 
 
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, first, members) of (group, member) sorted by group: a group's members in one row or several, and the one that begins the first of them."""
-    group = first = None
+    """(group, first, members) of (group, member) sorted by both: a group's different members in one row or several, and the first of them all."""
+    group = first = last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         g, m = (batch.column(i).to_numpy() for i in (0, 1))
+        new = np.concatenate(([g[0] != group or m[0] != last], (g[1:] != g[:-1]) | (m[1:] != m[:-1])))
+        g, m = g[new], m[new]
+        if not len(g):
+            continue
         begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         lead = m[begin]
         if g[0] == group:
             lead[0] = first
-        group, first = g[-1], lead[-1]
+        group, first, last = g[-1], lead[-1], m[-1]
         members = pa.ListArray.from_arrays(pa.array(np.append(begin, len(m)).astype(np.int32)), pa.array(m))
         yield pa.RecordBatch.from_arrays([pa.array(g[begin]), pa.array(lead), members], names=["group", "first", "members"])
 
@@ -93,18 +99,17 @@ class Folds:
     """For each of some rows the bits of all rows of another table that it names: flat holds the names, `counts` of them a row."""
 
     def __init__(self, flat: np.ndarray, counts: np.ndarray) -> None:
-        self.order = np.argsort(-counts, kind="stable")
-        self.flat, self.counts, self.less = flat, counts[self.order], -counts[self.order]
-        self.begin = (np.cumsum(counts) - counts)[self.order]
+        order = np.argsort(-counts, kind="stable")
+        self.flat, self.order, self.less, self.begin = flat, *(x.astype(np.int32) for x in (order, -counts[order], (np.cumsum(counts) - counts)[order]))
 
     def of(self, bits: np.ndarray) -> np.ndarray:
         """Rows by falling counts: the first names of all, then the second ones of those that have two, and so on."""
         out, j = bits[self.flat[self.begin]], 1
-        while (live := int(np.searchsorted(self.less, -j))) > FEW:
+        while (live := int(np.searchsorted(self.less, np.int32(-j)))) > FEW:
             out[:live] |= bits[self.flat[self.begin[:live] + j]]
             j += 1
         for i in range(live):
-            out[i] |= np.bitwise_or.reduce(bits[self.flat[self.begin[i] + j : self.begin[i] + self.counts[i]]], axis=0)
+            out[i] |= np.bitwise_or.reduce(bits[self.flat[self.begin[i] + j : self.begin[i] - self.less[i]]], axis=0)
         return out
 
 
@@ -125,7 +130,7 @@ class Part:
         self.known, self.number = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pieces: list[tuple[np.ndarray, np.ndarray]] = []  # of whole groups: members, and how many each group has
         self.group: int | None = None
-        self.open = np.zeros(0, np.int32)  # members so far of the last group
+        self.open, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)  # the same of what isn't a piece yet
 
     def add(self, groups: np.ndarray, sizes: np.ndarray, members: np.ndarray) -> None:
         """Rows sorted by group; a group may go on in the next call."""
@@ -141,18 +146,20 @@ class Part:
         begin = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
         counts = np.add.reduceat(sizes, begin)
         if groups[0] == self.group:
-            counts[0] += len(self.open)
-        elif len(self.open):
-            counts = np.append(len(self.open), counts)
-        found = np.concatenate([self.open, found])
-        done = len(found) - int(counts[-1])
-        self.group, self.open = groups[-1], found[done:]
-        if done:
-            self.pieces.append((found[:done], counts[:-1]))
+            counts[0] += self.counts[-1]
+            self.counts = self.counts[:-1]
+        self.group, self.open, self.counts = groups[-1], np.concatenate([self.open, found]), np.concatenate([self.counts, counts])
+        if (done := len(self.open) - int(self.counts[-1])) >= PIECE:
+            self._cut(done, len(self.counts) - 1)
+
+    def _cut(self, edges: int, groups: int) -> None:
+        """Numbers take no more bytes than the members known so far need."""
+        self.pieces.append((self.open[:edges].astype(np.min_scalar_type(len(self.known))), self.counts[:groups]))
+        self.open, self.counts = self.open[edges:], self.counts[groups:]
 
     def walked(self, share: int, shares: int) -> Iterator[pa.RecordBatch]:
         """(member, n, closed) of the members in every `shares`-th block of them; see paths.shared_reach."""
-        self.pieces.append((self.open, np.array([len(self.open)])))
+        self._cut(len(self.open), len(self.counts))
         size = len(self.known)
         ways = np.zeros(size, np.int64)
         kept = []
@@ -162,10 +169,10 @@ class Part:
             ways += np.bincount(found, weights=counts[of] - 1, minlength=size).astype(np.int64)
             order = np.argsort(found, kind="stable")
             here, times = np.unique(found, return_counts=True)
-            down = Folds(found.astype(np.min_scalar_type(size)), counts)
-            place = np.empty(len(counts), np.int64)
+            down = Folds(found, counts)
+            place = np.empty(len(counts), np.min_scalar_type(len(counts)))
             place[down.order] = np.arange(len(counts))
-            up = Folds(place[of[order]].astype(np.min_scalar_type(len(counts))), times)
+            up = Folds(place[of[order]], times)
             kept.append((down, up, here[up.order]))
         names = np.empty(size, np.int64)
         names[self.number] = self.known

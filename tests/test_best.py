@@ -155,9 +155,10 @@ def test_shared_reach_of_dense_parts_has_no_row_for_a_pair(spark, monkeypatch):
         monkeypatch.setattr(paths, name, value)
     assert {x.start: (x.n, x.closed) for x in paths.shared_reach(df).collect()} == trails(rows)
     assert max(w.count() for w in written) <= len(rows)
-    for table in (written[0], spark.createDataFrame([], "group string, member string")):
-        monkeypatch.setattr(paths, "MEMBERS", 0)
-        assert paths.shared_reach(table.select("group", "member")).count() == table.select("member").distinct().count()
+    assert paths.shared_reach(df.where("false")).count() == 0
+    chains = df.where("group like 'c%' or group like 'd%'")
+    monkeypatch.setattr(paths, "MEMBERS", 0)
+    assert {x.start: (x.n, x.closed) for x in paths.shared_reach(chains.union(chains)).collect()} == trails({x for x in rows if x[0][0] in "cd"})
 
 
 def test_walks_as_bits_are_those_of_sets(monkeypatch):
@@ -168,11 +169,11 @@ def test_walks_as_bits_are_those_of_sets(monkeypatch):
 
     r = np.random.default_rng(6)
     for links, words, few, size in ((1, 1, 0, 3), (50, 700, 2, 7), (10**6, 10**6, 32, 1000)):
-        for name, value in (("LINKS", links), ("WORDS", words), ("FEW", few)):
+        for name, value in (("LINKS", links), ("WORDS", words), ("FEW", few), ("PIECE", links)):
             monkeypatch.setattr(dense, name, value)
         rows = sorted({(a * 7919 - 5000, b * 104729 - 999) for a, b in zip(r.integers(0, 90, 300).tolist(), r.integers(0, 150, 300).tolist())} | {(-1, b * 104729 - 999) for b in range(100, 150)})
         batches = lambda names, columns: [pa.RecordBatch.from_arrays([c[i : i + size] for c in columns], names=names) for i in range(0, len(columns[0]), size)]
-        lists = pa.Table.from_batches(dense.lists(iter(batches(["group", "member"], [pa.array(c) for c in zip(*rows)])))).combine_chunks().to_batches()[0]
+        lists = pa.Table.from_batches(dense.lists(iter(batches(["group", "member"], [pa.array(c) for c in zip(*sorted(rows * 2))])))).combine_chunks().to_batches()[0]
         parts = {x["member"]: x["part"] for b in dense.starred(dense.linked(iter(batches(["first", "members"], lists.columns[1:])))) for x in b.to_pylist()}
         leads = sorted((parts[x["first"]], share, 2, x["group"], x["members"]) for x in lists.to_pylist() for share in (0, 1))
         found = dense.walked(iter(batches(["part", "share", "shares", "group", "members"], [pa.array(c) for c in zip(*leads)])))
